@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from arborlane.llm.exact_dedup import exact_groups
+from arborlane.llm.ngram_join import components_of
 from arborlane.llm.packing import pack
 from arborlane.llm.substring_dedup import remove_repeats
 from arborlane.llm.url_filters import judge
@@ -24,6 +25,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components_of(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_packing, op6_url_filters, op9_exact_dedup, op10_substring_dedup)
+    f.__name__: f for f in (op5_packing, op6_url_filters, op7_ngram_join, op9_exact_dedup, op10_substring_dedup)
 }
 
 OP6_SQL = r"""
