@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from arborlane.llm.exact_dedup import exact_groups
 from arborlane.llm.ngram_join import components_of
 from arborlane.llm.packing import pack
+from arborlane.llm.quality import classify
 from arborlane.llm.substring_dedup import remove_repeats
 from arborlane.llm.url_filters import judge
 
@@ -29,6 +30,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_of(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_packing, op6_url_filters, op7_ngram_join, op9_exact_dedup, op10_substring_dedup)
+    f.__name__: f for f in (op5_packing, op6_url_filters, op7_ngram_join, op8_quality, op9_exact_dedup, op10_substring_dedup)
 }
 
 OP6_SQL = r"""
