@@ -39,6 +39,11 @@ def _rank(chars: int, key) -> tuple:
     return (-chars, key is None, key)
 
 
+def _splitter(bare):
+    """What the splitters are sampled from: the start of a text, then its hash, so that the driver gets short keys."""
+    return F.substring(bare, 1, 128), F.xxhash64(bare)
+
+
 def _collapse_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (digest, bare, batch, ids, chars) of the distinct texts of each batch; ids best first."""
     from pyspark import TaskContext
@@ -111,7 +116,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     ordered = (
         collapsed.select("bare", "digest", "batch", F.col("ids")[0].alias("best"), "chars", F.size("ids").cast("long").alias("n"))
-        .repartitionByRange(tasks_for(spark), "bare")
+        .repartitionByRange(tasks_for(spark), *_splitter(F.col("bare")))
         .sortWithinPartitions("bare")
     )
     groups = ordered.mapInArrow(
@@ -187,7 +192,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bare = F.translate(F.coalesce(F.col(f"c{text_at}").cast("string"), F.lit("")), WHITE, "")
     return (
         plain.mapInArrow(batch_best, plain.schema)
-        .repartitionByRange(tasks_for(docs.sparkSession), bare)
+        .repartitionByRange(tasks_for(docs.sparkSession), *_splitter(bare))
         .withColumn("bare", bare)
         .sortWithinPartitions("bare")
         .drop("bare")
