@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arborlane.llm.exact_dedup import exact_groups
 from arborlane.llm.fingerprints import edited_fingerprints
+from arborlane.llm.mixing import Target, usage
 from arborlane.llm.ngram_join import components_of
 from arborlane.llm.packing import pack
 from arborlane.llm.quality import classify
@@ -23,6 +24,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage(_table(spark, sf_dir, "documents"), Target(repeats=4.0))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_fingerprints, op5_packing, op6_url_filters, op7_ngram_join, op8_quality, op9_exact_dedup, op10_substring_dedup)
+    f.__name__: f for f in (op2_fingerprints, op4_mixing, op5_packing, op6_url_filters, op7_ngram_join, op8_quality, op9_exact_dedup, op10_substring_dedup)
 }
 
 OP6_SQL = r"""
