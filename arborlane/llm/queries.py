@@ -13,6 +13,7 @@ from arborlane.llm.ngram_join import components_of
 from arborlane.llm.packing import pack
 from arborlane.llm.quality import classify
 from arborlane.llm.substring_dedup import remove_repeats
+from arborlane.llm.token_counts import token_counts
 from arborlane.llm.url_filters import judge
 
 
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_fingerprints, op4_mixing, op5_packing, op6_url_filters, op7_ngram_join, op8_quality, op9_exact_dedup, op10_substring_dedup)
+    f.__name__: f for f in (op1_token_counts, op2_fingerprints, op4_mixing, op5_packing, op6_url_filters, op7_ngram_join, op8_quality, op9_exact_dedup, op10_substring_dedup)
 }
 
 OP6_SQL = r"""
