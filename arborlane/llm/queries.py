@@ -11,6 +11,7 @@ from arborlane.llm.fingerprints import edited_fingerprints
 from arborlane.llm.mixing import Target, usage
 from arborlane.llm.ngram_join import components_of
 from arborlane.llm.packing import pack
+from arborlane.llm.pitman_yor import score
 from arborlane.llm.quality import classify
 from arborlane.llm.substring_dedup import remove_repeats
 from arborlane.llm.token_counts import token_counts
@@ -29,6 +30,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage(_table(spark, sf_dir, "documents"), Target(repeats=4.0))
 
@@ -58,7 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_fingerprints, op4_mixing, op5_packing, op6_url_filters, op7_ngram_join, op8_quality, op9_exact_dedup, op10_substring_dedup)
+    f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_pitman_yor, op4_mixing, op5_packing, op6_url_filters, op7_ngram_join, op8_quality, op9_exact_dedup, op10_substring_dedup)
 }
 
 OP6_SQL = r"""
