@@ -1,0 +1,46 @@
+"""Histograms of gradient sums as plans: hist(tree_id, node_id, col_id, bin, g, h)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+KEY = ["tree_id", "node_id", "col_id", "bin"]
+
+
+def full(rows: DataFrame, bins: str = "bins", g: str = "g", h: str = "h") -> DataFrame:
+    """rows(tree_id, node_id, bins array<int>, g, h): sums by node, column and bin. Partial sums come before the shuffle."""
+    cells = rows.select("tree_id", "node_id", F.posexplode(bins).alias("col_id", "bin"), F.col(g).alias("g"), F.col(h).alias("h"))
+    return cells.groupBy(*KEY).agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+
+
+def sparse_filled(rows: DataFrame, bins: str = "bins", g: str = "g", h: str = "h") -> DataFrame:
+    """The same for rows that are mostly missing: only filled cells are dealt, and the missing bin is the node's total less
+    the rest. A column without a filled cell has its total in the missing bin."""
+    cells = rows.select("tree_id", "node_id", F.posexplode(bins).alias("col_id", "bin"), F.col(g).alias("g"), F.col(h).alias("h")).filter("bin <> 0")
+    filled = cells.groupBy(*KEY).agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
+    totals = rows.groupBy("tree_id", "node_id").agg(F.sum(g).alias("gt"), F.sum(h).alias("ht"), F.count("*").alias("nt"), F.max(F.size(bins)).alias("cols"))
+    grid = totals.select("*", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col_id"))
+    sums = filled.groupBy("tree_id", "node_id", "col_id").agg(F.sum("g").alias("gs"), F.sum("h").alias("hs"), F.sum("n").alias("ns"))
+    zero = F.lit(0.0)
+    missing = grid.join(sums, ["tree_id", "node_id", "col_id"], "left").filter(F.col("nt") > F.coalesce("ns", F.lit(0))).select(
+        "tree_id", "node_id", "col_id", F.lit(0).alias("bin"), (F.col("gt") - F.coalesce("gs", zero)).alias("g"), (F.col("ht") - F.coalesce("hs", zero)).alias("h")
+    )
+    return filled.drop("n").unionByName(missing)
+
+
+def subtract(parent: DataFrame, right: DataFrame) -> DataFrame:
+    """Left child = parent - right child; both keyed by the parent's node_id. A column the right child lacks stays."""
+    r = right.select(*KEY, F.col("g").alias("rg"), F.col("h").alias("rh"))
+    zero = F.lit(0.0)
+    return parent.join(r, KEY, "left").select(*KEY, (F.col("g") - F.coalesce("rg", zero)).alias("g"), (F.col("h") - F.coalesce("rh", zero)).alias("h"))
+
+
+def voted_columns(local_gains: DataFrame, k: int) -> DataFrame:
+    """local_gains(part, tree_id, node_id, col_id, gain): each part votes for its k best columns of a node; the 2k with
+    most votes are taken, ties to the lower column."""
+    own = Window.partitionBy("part", "tree_id", "node_id").orderBy(F.desc("gain"), "col_id")
+    votes = local_gains.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= k)
+    counted = votes.groupBy("tree_id", "node_id", "col_id").agg(F.count("*").alias("votes"))
+    top = Window.partitionBy("tree_id", "node_id").orderBy(F.desc("votes"), "col_id")
+    return counted.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= 2 * k).drop("r")
