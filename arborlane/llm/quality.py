@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlane.llm.blocks import batch
-from arborlane.llm.words import Words, chunks, mix, ngrams
+from arborlane.llm.words import Words, chunks, mix, ngrams, tidy
 from arborlane.session import materialise
 
 WORD_SIZE, FORM_SIZE = 1 << 20, 1 << 14
@@ -101,7 +101,7 @@ def _count():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             half, good, clean = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("half", "good", "clean"))
-            for first, data, offsets in chunks(rows.column(0), 1 << 22):
+            for first, data, offsets in chunks(rows.column(0)):
                 wd, wb, fd, fb = features(data, offsets)
                 for view, doc, bucket, size, wanted in ((0, wd, wb, WORD_SIZE, clean), (1, fd, fb, FORM_SIZE, good)):
                     key, n = np.unique((half[first + doc] * 2 + wanted[first + doc]) * size + bucket, return_counts=True)
@@ -122,19 +122,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labelled = two.join(F.broadcast(known), "id")  # at most max_labelled rows
     labelled = labelled.withColumn("sign", F.xxhash64("text")).dropDuplicates(["sign"])
     labelled = materialise(labelled.select("text", F.pmod(F.shiftright("sign", 7), F.lit(2)).cast("int").alias("half"), "good", "clean"), "labelled")
-    counts = labelled.mapInArrow(_count(), "view int, bucket int, half int, wanted int, n long")
-    found = counts.groupBy("view", "bucket", "half", "wanted").agg(F.sum("n").alias("n")).toPandas()  # at most 4 * (WORD_SIZE + FORM_SIZE)
+    counts = labelled.mapInArrow(tidy(_count()), "view int, bucket int, half int, wanted int, n long")
+    cell = lambda half, wanted: F.sum(F.when((F.col("half") == half) & (F.col("wanted") == wanted), F.col("n")).otherwise(0)).cast("int")
+    table = counts.groupBy("view", "bucket").agg(*(cell(h, w).alias(f"n{h}{w}") for h in (0, 1) for w in (0, 1)))
+    # A word that no unwanted text has speaks for nothing. At most WORD_SIZE + FORM_SIZE rows of integers.
+    found = table.filter("view = 1 or n00 + n10 > 0").toPandas()
     units = np.zeros((2, 2, 2))  # view, half, wanted
     for half, good, clean, n in labelled.groupBy("half", "good", "clean").count().collect():
         units[0, half, clean] += n
-    forms = found[found.view == 1].groupby(["half", "wanted"]).n.sum()
-    for (half, wanted), n in forms.items():
-        units[1, half, wanted] += n
+    forms = found[found.view == 1]
+    for half in (0, 1):
+        for wanted in (0, 1):
+            units[1, half, wanted] = forms[f"n{half}{wanted}"].sum()
 
     def ratios(view: int, size: int, halves: tuple[int, ...]) -> np.ndarray:
-        mine = found[(found.view == view) & found.half.isin(halves)]
+        mine = found[found.view == view]
         sums = np.zeros((2, size))
-        np.add.at(sums, (mine.wanted.to_numpy(), mine.bucket.to_numpy()), mine.n.to_numpy().astype(float))
+        for wanted in (0, 1):
+            sums[wanted, mine.bucket.to_numpy()] = sum(mine[f"n{half}{wanted}"].to_numpy().astype(float) for half in halves)
         raw, target = units[view][list(halves)].sum(axis=0)
         if not raw or not target:
             return np.zeros(size, np.float32)
@@ -214,7 +219,7 @@ def _keys(docs: DataFrame, model: Model, id_col: str, text_col: str, sharpness:
     noise = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text)
     two = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), noise.alias("noise"))
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = two.mapInArrow(_score(model), f"id {kind}, noise long, log_weight double")
+    scored = two.mapInArrow(tidy(_score(model)), f"id {kind}, noise long, log_weight double")
     u = (F.shiftrightunsigned("noise", 11) + F.lit(0.5)) * F.lit(2.0**-53)
     return scored.withColumn("gumbel_key", F.col("log_weight") * F.lit(sharpness) - F.log(-F.log(u)))
 
@@ -259,4 +264,4 @@ def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             # The last digits of a logarithm may differ between the JVM and numpy.
             yield rows.filter(pa.array(key >= least - 1e-9))
 
-    return plain.mapInArrow(run, plain.schema).drop("noise").toDF(*names)
+    return plain.mapInArrow(tidy(run), plain.schema).drop("noise").toDF(*names)
