@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlane.llm.blocks import Bloom, batch, binary
-from arborlane.llm.words import BYTE_B, WORD_B, Words, chunks, deal, ngrams
+from arborlane.llm.words import BYTE_B, WORD_B, Words, chunks, deal, mix, ngrams, tidy
 from arborlane.session import materialise, shared_dir, tasks_for
 
 WINDOW, NGRAM = 35, 8
@@ -74,24 +74,46 @@ def _postings(kind: int, buckets: int, hashes, docs, pos, seen) -> Iterator[pa.R
             )
 
 
-def _matches(docs: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each document: its positions."""
+def _matches(buckets: int, docs: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packed by bucket of the document: distinct keys (doc), how many positions each has (seen), positions."""
     if not len(docs):
         return
-    order = np.lexsort((pos, docs))
-    docs, pos = docs[order], pos[order].astype(np.uint32)
-    cuts = np.flatnonzero(np.diff(docs)) + 1
-    lows = np.append(0, cuts)
-    for at in range(0, len(lows), 20_000):
-        some, ends = lows[at : at + 20_000], [*lows[at + 1 : at + 20_000], lows[at + 20_000] if at + 20_000 < len(lows) else len(docs)]
-        k = len(some)
-        none = pa.nulls(k, pa.binary())
+    to = (mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((pos, docs, to))
+    docs, pos, to = docs[order], pos[order].astype(np.uint32), to[order]
+    cuts = np.flatnonzero(np.diff(to)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(docs)], strict=True):
+        first = np.flatnonzero(np.append(True, docs[lo + 1 : hi] != docs[lo : hi - 1]))
+        count = np.diff(np.append(first, hi - lo)).astype(np.uint32)
         yield batch(
-            bucket=pa.array(np.zeros(k, np.int32)), kind=pa.array(np.full(k, MATCH, np.int32)), n=pa.array(docs[some].astype(np.int64)),
-            hash=none, doc=none, pos=pa.array([binary(pos[a:b]) for a, b in zip(some, ends, strict=True)], pa.binary()), seen=none,
+            bucket=pa.array([int(to[lo])], pa.int32()), kind=pa.array([MATCH], pa.int32()), n=pa.array([int(hi - lo)], pa.int64()),
+            hash=pa.nulls(1, pa.binary()), doc=pa.array([binary(docs[lo:hi][first])], pa.binary()),
+            pos=pa.array([binary(pos[lo:hi])], pa.binary()), seen=pa.array([binary(count)], pa.binary()),
         )
 
 
+def _unpack_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One partition's packed matches: a row for each document with its positions."""
+    parts = []
+    for rows in batches:
+        for doc, pos, seen in zip(*(rows.column(c).to_pylist() for c in ("doc", "pos", "seen")), strict=True):
+            parts.append((np.repeat(np.frombuffer(doc, np.int64), np.frombuffer(seen, np.uint32)), np.frombuffer(pos, np.uint32)))
+    if not parts:
+        return
+    docs, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((pos, docs))
+    docs, pos = docs[order], pos[order]
+    first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+    ends = [*first[1:].tolist(), len(docs)]
+    yield batch(key=pa.array(docs[first]), positions=pa.array([binary(pos[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()))
+
+
+def positions_of(matches: DataFrame, buckets: int) -> DataFrame:
+    """(key, positions) of packed matches, one row for each document."""
+    dealt = matches.select("bucket", "doc", "pos", "seen").repartitionById(buckets, F.col("bucket"))
+    return dealt.mapInArrow(tidy(_unpack_matches), "key long, positions binary")
+
+
 class _Gathered:
     """Arrays gathered up to a bound, then handed on."""
 
@@ -116,11 +138,11 @@ def _settle(buckets: int, hashes, docs, pos) -> Iterator[pa.RecordBatch]:
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(hashes)))
     again = np.repeat(count > 1, count)
-    yield from _matches(docs[again], pos[again])
+    yield from _matches(buckets, docs[again], pos[again])
     yield from _postings(FRESH, buckets, hashes[first], docs[first], pos[first], count > 1)
 
 
-def _index_docs(window: int, ngram: int, buckets: int, limit: int = 1 << 21):
+def _index_docs(window: int, ngram: int, buckets: int, limit: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Gathered(limit)
         for rows in batches:
@@ -152,17 +174,27 @@ def _index_docs(window: int, ngram: int, buckets: int, limit: int = 1 << 21):
     return run
 
 
+def _passed(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """(matches, which need no merge; the rest)."""
+    match = rows.column("kind").to_numpy(zero_copy_only=False) == MATCH
+    return rows.filter(pa.array(match)), rows.filter(pa.array(~match))
+
+
 def _read(rows: pa.RecordBatch) -> Iterator[tuple]:
     for kind, h, d, p, s in zip(*(rows.column(c).to_pylist() for c in ("kind", "hash", "doc", "pos", "seen")), strict=True):
         h = np.frombuffer(h, np.uint64)
         yield kind, h, np.frombuffer(d, np.int64), np.frombuffer(p, np.uint32), np.frombuffer(s, np.uint8)
 
 
-def _merge(buckets: int, keep_run: bool):
+def _merge(buckets: int):
     """Of one partition's blocks, new and of earlier runs: the postings of repeated hashes, and the new run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [x for rows in batches for x in _read(rows)]
+        parts = []
+        for rows in batches:
+            done, rows = _passed(rows)
+            yield done
+            parts += _read(rows)
         if not parts:
             return
         kind = np.concatenate([np.full(len(x[1]), x[0], np.uint8) for x in parts])
@@ -175,20 +207,19 @@ def _merge(buckets: int, keep_run: bool):
         # seen: reported already, by a task or an earlier merge
         told = np.maximum.reduceat((kind == RUN) & (seen == 1), first)
         report = np.repeat(count > 1, count) & (seen == 0) & ~(np.repeat(told, count) & (kind == RUN))
-        yield from _matches(docs[report], pos[report])
-        if keep_run:
-            # A new hash goes into the run, and so does one of an earlier run that was just reported, marked as told.
-            fresh = first[kind[first] == FRESH]
-            met = first[(kind[first] == RUN) & (count > 1) & ~told]
-            at = np.append(fresh, met)
-            mark = np.append(np.maximum(seen[fresh], (count > 1)[kind[first] == FRESH]), np.ones(len(met), np.uint8))
-            yield from _postings(RUN, buckets, hashes[at], docs[at], pos[at], mark)
+        yield from _matches(buckets, docs[report], pos[report])
+        # A new hash goes into the run, and so does one of an earlier run that was just reported, marked as told.
+        fresh = first[kind[first] == FRESH]
+        met = first[(kind[first] == RUN) & (count > 1) & ~told]
+        at = np.append(fresh, met)
+        mark = np.append(np.maximum(seen[fresh], (count > 1)[kind[first] == FRESH]), np.ones(len(met), np.uint8))
+        yield from _postings(RUN, buckets, hashes[at], docs[at], pos[at], mark)
 
     return run
 
 
 class FingerprintIndex:
-    """Runs of fingerprints in a shared folder; ``append`` adds a batch and returns (key, positions) of repeats.
+    """Runs of fingerprints in a shared folder; ``append`` adds a batch and returns packed matches, for ``positions_of``.
 
     A repeat is reported when its second occurrence comes in; a reported one is not reported again.
     """
@@ -204,16 +235,14 @@ class FingerprintIndex:
 
     def append(self, docs: DataFrame) -> DataFrame:
         """docs: (key long, text)."""
-        new = materialise(docs.select("key", "text").mapInArrow(_index_docs(self.window, self.ngram, self.buckets), POSTINGS), "batch")
-        blocks = new.filter(F.col("kind") == FRESH)
+        blocks = docs.select("key", "text").mapInArrow(tidy(_index_docs(self.window, self.ngram, self.buckets)), POSTINGS)
         for run in self.runs:
             blocks = blocks.unionByName(run)
-        merged = materialise(self._dealt(blocks).mapInArrow(_merge(self.buckets, True), POSTINGS), "run")
+        merged = materialise(self._dealt(blocks).mapInArrow(tidy(_merge(self.buckets)), POSTINGS), "run")
         self.runs.append(merged.filter(F.col("kind") == RUN))
         if len(self.runs) > self.max_runs:
             self.compact()
-        found = new.filter(F.col("kind") == MATCH).unionByName(merged.filter(F.col("kind") == MATCH))
-        return found.select(F.col("n").alias("key"), F.col("pos").alias("positions"))
+        return merged.filter(F.col("kind") == MATCH)
 
     def compact(self) -> None:
         """One run in place of all, one posting for each hash, marked if any of its postings is."""
@@ -234,7 +263,7 @@ class FingerprintIndex:
         self.runs = [materialise(self._dealt(blocks).mapInArrow(run, POSTINGS), "run")]
 
 
-def _candidate_windows(window: int, ngram: int, buckets: int, limit: int = 1 << 21):
+def _candidate_windows(window: int, ngram: int, buckets: int, limit: int = 1 << 19):
     """Rows (key, text, positions): the whole hash of each window whose fingerprint is at one of the positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +276,7 @@ def _candidate_windows(window: int, ngram: int, buckets: int, limit: int = 1 <<
                 starts, least, grams = fingerprints(words, window, ngram)
                 if not len(starts):
                     continue
-                flagged = [np.frombuffer(b"".join(marks[first + i]), np.uint32) + words.first[i] for i in range(len(offsets) - 1)]
+                flagged = [np.frombuffer(marks[first + i], np.uint32) + words.first[i] for i in range(len(offsets) - 1)]
                 values = grams[np.concatenate(flagged).astype(np.int64)]
                 starts = starts[np.isin(least, values)]
                 whole = ngrams(words.hashes(), window)[starts]
@@ -266,10 +295,10 @@ def _candidate_windows(window: int, ngram: int, buckets: int, limit: int = 1 <<
 WINDOWS = "bucket int, kind int, n long, hash binary, check binary, doc binary, keys binary, pos binary, seen binary"
 
 
-def _window_matches(docs, pos) -> Iterator[pa.RecordBatch]:
-    for rows in _matches(docs, pos):
+def _window_matches(buckets: int, docs, pos) -> Iterator[pa.RecordBatch]:
+    for rows in _matches(buckets, docs, pos):
         none = pa.nulls(rows.num_rows, pa.binary())
-        yield batch(**{c: rows.column(c) for c in ("bucket", "kind", "n")}, hash=none, check=none, doc=none, keys=none, pos=rows.column("pos"), seen=none)
+        yield batch(**{c: rows.column(c) for c in ("bucket", "kind", "n")}, hash=none, check=none, doc=rows.column("doc"), keys=none, pos=rows.column("pos"), seen=rows.column("seen"))
 
 
 def _settle_windows(buckets: int, hashes, docs, packed) -> Iterator[pa.RecordBatch]:
@@ -280,7 +309,7 @@ def _settle_windows(buckets: int, hashes, docs, packed) -> Iterator[pa.RecordBat
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(hashes)))
     again = np.repeat(count > 1, count)
-    yield from _window_matches(docs[again], pos[again])
+    yield from _window_matches(buckets, docs[again], pos[again])
     hashes, check, docs, pos, seen = hashes[first], check[first], docs[first], pos[first], count > 1
     order = np.argsort(deal(hashes, buckets), kind="stable")
     hashes, check, docs, pos, seen = (x[order] for x in (hashes, check, docs, pos, seen))
@@ -298,23 +327,28 @@ def _settle_windows(buckets: int, hashes, docs, packed) -> Iterator[pa.RecordBat
             )
 
 
-def _merge_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = []
-    for rows in batches:
-        for r in rows.to_pylist():
-            keys = np.frombuffer(r["keys"], np.int64)
-            index = np.frombuffer(r["doc"], np.uint16 if len(keys) < 1 << 16 else np.uint32)
-            parts.append((np.frombuffer(r["hash"], np.uint64), np.frombuffer(r["check"], np.uint32), keys[index], np.frombuffer(r["pos"], np.uint32), np.frombuffer(r["seen"], np.uint8)))
-    if not parts:
-        return
-    hashes, check, docs, pos, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    order = np.lexsort((check, hashes))
-    hashes, check, docs, pos, seen = (x[order] for x in (hashes, check, docs, pos, seen))
-    first = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])))
-    count = np.diff(np.append(first, len(hashes)))
-    report = np.repeat(count > 1, count) & (seen == 0)
-    yield from _window_matches(docs[report], pos[report])
+def _merge_windows(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for rows in batches:
+            done, rows = _passed(rows)
+            yield done
+            for r in rows.to_pylist():
+                keys = np.frombuffer(r["keys"], np.int64)
+                index = np.frombuffer(r["doc"], np.uint16 if len(keys) < 1 << 16 else np.uint32)
+                parts.append((np.frombuffer(r["hash"], np.uint64), np.frombuffer(r["check"], np.uint32), keys[index], np.frombuffer(r["pos"], np.uint32), np.frombuffer(r["seen"], np.uint8)))
+        if not parts:
+            return
+        hashes, check, docs, pos, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((check, hashes))
+        hashes, check, docs, pos, seen = (x[order] for x in (hashes, check, docs, pos, seen))
+        first = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])))
+        count = np.diff(np.append(first, len(hashes)))
+        report = np.repeat(count > 1, count) & (seen == 0)
+        yield from _window_matches(buckets, docs[report], pos[report])
+
+    return run
 
 
 def _kept(window: int):
@@ -331,7 +365,7 @@ def _kept(window: int):
                     lo, hi = int(words.first[i]), int(words.first[i + 1])
                     gone = 0
                     if marks[first + i]:
-                        starts = np.frombuffer(b"".join(marks[first + i]), np.uint32)
+                        starts = np.frombuffer(marks[first + i], np.uint32)
                         edge = np.zeros(hi - lo + 1, np.int32)
                         np.add.at(edge, starts, 1)
                         np.add.at(edge, starts + window, -1)
@@ -360,17 +394,15 @@ def remove_repeats(
     for i in range(batches):
         new = index.append(two.filter(F.pmod("key", F.lit(batches)) == i))
         found = new if found is None else found.unionByName(new)
-    bloom = Bloom.of(found, "key")
+    marks = materialise(positions_of(found, index.buckets), "marks")
+    bloom = Bloom.of(marks, "key")
     maybe = bloom.filter(two, "key")
-    marks = found.groupBy("key").agg(F.collect_list("positions").alias("marks"))
-    joined = maybe.select("key", "text").join(marks, "key").select("key", "text", "marks")
-    blocks = joined.mapInArrow(_candidate_windows(window, ngram, index.buckets), WINDOWS)
-    blocks = materialise(blocks, "windows")
-    again = blocks.filter(F.col("kind") == FRESH).repartitionById(index.buckets, F.col("bucket")).mapInArrow(_merge_windows, WINDOWS)
-    starts = blocks.filter(F.col("kind") == MATCH).unionByName(again).filter(F.col("kind") == MATCH)
-    starts = starts.groupBy(F.col("n").alias("key")).agg(F.collect_list("pos").alias("marks"))
+    joined = maybe.select("key", "text").join(marks, "key").select("key", "text", "positions")
+    blocks = joined.mapInArrow(tidy(_candidate_windows(window, ngram, index.buckets)), WINDOWS)
+    starts = blocks.repartitionById(index.buckets, F.col("bucket")).mapInArrow(tidy(_merge_windows(index.buckets)), WINDOWS)
+    starts = positions_of(starts, index.buckets)
     kind = f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string"
-    plain = bloom.filter(two, "key", inside=False).select("id", "text", F.lit(None).cast("array<binary>").alias("marks"))
-    rest = maybe.join(starts, "key", "left").select("id", "text", "marks")
-    out = plain.mapInArrow(_kept(window), kind).unionByName(rest.mapInArrow(_kept(window), kind))
+    plain = bloom.filter(two, "key", inside=False).select("id", "text", F.lit(None).cast("binary").alias("positions"))
+    rest = maybe.join(starts, "key", "left").select("id", "text", "positions")
+    out = plain.mapInArrow(tidy(_kept(window)), kind).unionByName(rest.mapInArrow(tidy(_kept(window)), kind))
     return out.withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ BYTE_A, BYTE_B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 WORD_A, WORD_B = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES, SLICE_ROWS = 1 << 19, 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,20 +53,36 @@ def _prefix(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of whole texts of about ``limit`` bytes; null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if not len(column):
-        return
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    first = 0
-    while first < len(column):
-        last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), len(column))
-        yield first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        first = last
+    for at in range(0, len(column), SLICE_ROWS):  # copies are of a slice, not of the batch
+        part = pc.fill_null(column.slice(at, SLICE_ROWS).cast(pa.large_string()), "")
+        _, offsets, data = part.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        first = 0
+        while first < len(part):
+            last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
+            last = min(max(last, first + 1), len(part))
+            yield at + first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+            first = last
+
+
+def tidy(run):
+    """A partition function that gives freed memory back to the system when its partition ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        _trim()
+
+    return wrapped
+
+
+def _trim() -> None:
+    import ctypes
+    import sys
+
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Words:
