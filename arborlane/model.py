@@ -26,14 +26,29 @@ def feature_columns(df: DataFrame, features: str | list[str], size: int | None =
         return [F.col(c) for c in features]
     kind = df.schema[features].dataType
     array = vector_to_array(F.col(features)) if isinstance(kind, VectorUDT) else F.col(features)
-    if size is None:
-        first = df.select(F.size(array)).filter(array.isNotNull()).first()
-        if first is None:
-            raise ValueError("no rows to read the number of features from")
-        size = first[0]
+    size = feature_count(df, features) if size is None else size
     return [F.get(array, F.lit(i)) for i in range(size)]
 
 
+def feature_array(df: DataFrame, features: str | list[str]) -> Column:
+    """All features of a row as one array<double>."""
+    if isinstance(features, (list, tuple)):
+        return BoostedModel.array([F.col(c) for c in features])
+    kind = df.schema[features].dataType
+    return vector_to_array(F.col(features)) if isinstance(kind, VectorUDT) else F.col(features).cast("array<double>")
+
+
+def feature_count(df: DataFrame, features: str | list[str]) -> int:
+    """The size is read from the first row."""
+    if isinstance(features, (list, tuple)):
+        return len(features)
+    array = feature_array(df, features)
+    first = df.select(F.size(array)).filter(array.isNotNull()).first()
+    if first is None:
+        raise ValueError("no rows to read the number of features from")
+    return first[0]
+
+
 @dataclass
 class BoostedModel:
     objective: Objective
@@ -108,23 +123,25 @@ class BoostedModel:
         return run
 
     @staticmethod
-    def array(features: list[Column]) -> Column:
+    def array(features: list[Column] | Column) -> Column:
+        if isinstance(features, Column):
+            return features
         return F.array(*(F.coalesce(f.cast("double"), F.lit(float("nan"))) for f in features))
 
-    def predict_raw(self, features: list[Column], first_trees: int = -1) -> Column:
+    def predict_raw(self, features: list[Column] | Column, first_trees: int = -1) -> Column:
         """array<double>, one for each output."""
         return self._function(T.ArrayType(T.DoubleType()), lambda b: self.raw_of(b, first_trees))(self.array(features))
 
-    def predict(self, features: list[Column], first_trees: int = -1) -> Column:
+    def predict(self, features: list[Column] | Column, first_trees: int = -1) -> Column:
         """array<double>: the link of the raw score."""
         return self._function(T.ArrayType(T.DoubleType()), lambda b: self.objective.transform(self.raw_of(b, first_trees)))(self.array(features))
 
-    def leaf(self, features: list[Column], first_trees: int = -1) -> Column:
+    def leaf(self, features: list[Column] | Column, first_trees: int = -1) -> Column:
         """array<int>: leaf of each tree, by the order of node ids."""
         n = self._first(first_trees)
         return self._function(T.ArrayType(T.IntegerType()), lambda b: np.stack([t.leaf_of(b) for t in self.trees[:n]], axis=1) if n else np.zeros((len(b), 0), int))(self.array(features))
 
-    def leaf_places(self, features: list[Column], first_trees: int = -1) -> tuple[Column, int]:
+    def leaf_places(self, features: list[Column] | Column, first_trees: int = -1) -> tuple[Column, int]:
         """(array<int> of the ones of a one-hot vector over all leaves of all trees, its size)."""
         n = self._first(first_trees)
         sizes = self.num_leaves[:n]

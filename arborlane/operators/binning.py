@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,16 +42,13 @@ def depth_bin(v: Column, splits: Column) -> Column:
     return F.when(v.isNull(), F.lit(0)).otherwise(F.size(F.filter(splits, lambda s: s < v)) + 1).cast("int")
 
 
-def width_stats(v: Column, max_bins: int) -> list[Column]:
-    """Aggregates (start, step, bins) over clean values."""
+def width_column(low: float | None, high: float | None, max_bins: int) -> dict:
+    """Equal-width bins between the least and greatest clean value; without values one bin."""
+    if low is None:
+        return {"kind": "width", "start": 0.0, "step": 0.0, "bins": 1}
     m = max_bins - 1
-    step = (F.max(v) - F.min(v)) / F.lit(float(m - 1))
-    none = F.count(v) == 0
-    return [
-        F.when(none, 0.0).otherwise(F.min(v) + step / 2).alias("start"),
-        F.when(none, 0.0).otherwise(step).alias("step"),
-        F.when(none, 1).otherwise(m).cast("int").alias("bins"),
-    ]
+    step = (high - low) / (m - 1)
+    return {"kind": "width", "start": low + step / 2, "step": step, "bins": m}
 
 
 def depth_points(max_bins: int) -> list[float]:
@@ -58,6 +57,34 @@ def depth_points(max_bins: int) -> list[float]:
     return [(i + 0.5) / (m - 1) for i in range(m - 1)]
 
 
+#: Beyond so many columns one expression for each would outgrow generated code; Arrow batches are binned instead.
+WIDE = 24
+
+
+def matrix(column: pa.Array, size: int) -> np.ndarray:
+    """Rows by places of a list column; null is NaN. A row of another length, or null, is an error."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(column) and not (lengths == size).all():
+        raise ValueError(f"a row has not {size} features")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), size)
+
+
+def _wide_ranges(df: DataFrame, array: Column, size: int, zero_as_missing: bool) -> dict[int, tuple[float, float]]:
+    """(least, greatest) clean value of each column; a row for each column comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full(size, np.inf), np.full(size, -np.inf)
+        for rows in batches:
+            x = matrix(rows.column(0), size)
+            ok = np.isfinite(x) & ((x != 0) if zero_as_missing else True)
+            low = np.minimum(low, np.where(ok, x, np.inf).min(axis=0, initial=np.inf))
+            high = np.maximum(high, np.where(ok, x, -np.inf).max(axis=0, initial=-np.inf))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(low), pa.array(high)], names=["c", "l", "h"])
+
+    rows = df.select(array.alias("x")).mapInArrow(run, "c int, l double, h double").groupBy("c").agg(F.min("l"), F.max("h")).collect()
+    return {c: (lo, hi) for c, lo, hi in rows if lo <= hi}
+
+
 @dataclass
 class Discretizer:
     """Fitted bins of every column; columns are plain expressions when transforming, arrays when scoring."""
@@ -73,18 +100,21 @@ class Discretizer:
         return len(self.columns)
 
     @staticmethod
-    def fit(df: DataFrame, features: list[Column], params: Params, exact: bool = False, extra: list[Column] = ()) -> tuple[Discretizer, list]:
-        """One aggregation over all columns; ``extra`` aggregates (such as the label's mean) ride along."""
+    def fit(df: DataFrame, features: list[Column], params: Params, exact: bool = False, extra: list[Column] = (), array: Column | None = None) -> tuple[Discretizer, list]:
+        """One aggregation over all columns; ``extra`` aggregates (such as the label's mean) ride along. array: all
+        features as one column, by which wide tables are read."""
         mode, other = params.modes()
         rest = {*params.cat_cols, *params.rank_cols}
         out = Discretizer(params.max_bins, params.discretization_type, params.zero_as_missing, tuple(sorted(rest)))
         aggs: list[Column] = []
+        wide = mode == "width" and array is not None and len(features) > WIDE
+        ranges = _wide_ranges(df, array, len(features), params.zero_as_missing) if wide else {}
         for i, v in enumerate(features):
             v = clean(v, params.zero_as_missing)
-            if i in rest or mode in CAST_MODES:
+            if i in rest or mode in CAST_MODES or wide:
                 continue
             if mode == "width":
-                aggs.append(F.struct(*width_stats(v, params.max_bins)).alias(f"c{i}"))
+                aggs += [F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}")]
             else:
                 points = F.array(*map(F.lit, depth_points(params.max_bins)))
                 # Finer than a bin: an error of 1 / (16 * max_bins) of the rows.
@@ -96,8 +126,8 @@ class Discretizer:
             elif mode in CAST_MODES:
                 out.columns.append({"kind": "cast", "mode": mode})
             elif mode == "width":
-                r = row[f"c{i}"]
-                out.columns.append({"kind": "width", "start": r["start"], "step": r["step"], "bins": r["bins"]})
+                low, high = ranges.get(i, (None, None)) if wide else (row[f"l{i}"], row[f"h{i}"])
+                out.columns.append(width_column(low, high, params.max_bins))
             else:
                 out.columns.append({"kind": "depth", "splits": sorted({float(x) for x in (row[f"c{i}"] or []) if x is not None})})
         return out, [row[f"x{k}"] for k in range(len(extra))]

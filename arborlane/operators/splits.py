@@ -189,9 +189,9 @@ def brute_splits(hist: DataFrame, p, base: float = 0.0) -> DataFrame:
     n = F.size("bins")
     packed = packed.filter((n >= 2) & (n <= p.max_brute_bins)).select(
         "*", F.aggregate("bins", F.lit(0.0), lambda a, x: a + x["g"]).alias("gt"), F.aggregate("bins", F.lit(0.0), lambda a, x: a + x["h"]).alias("ht"),
-        F.explode(F.sequence(F.lit(1), (F.shiftleft(F.lit(1), n - 1) - 1).cast("int"))).alias("mask"),
+        F.explode(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n - 1) - 1)).alias("mask"),
     )
-    chosen = F.filter("bins", lambda x, i: F.expr("shiftright(mask, 0)").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0)
+    chosen = F.filter("bins", lambda x, i: F.getbit(F.col("mask"), i) == 1)
     c = packed.withColumn("chosen", chosen)
     c = c.select(*NODE, "mask", "gt", "ht", F.transform("chosen", lambda x: x["bin"]).alias("set"),
                  F.aggregate("chosen", F.lit(0.0), lambda a, x: a + x["g"]).alias("gl"), F.aggregate("chosen", F.lit(0.0), lambda a, x: a + x["h"]).alias("hl"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from arborlane.functions.metrics import Metric
 from arborlane.functions.objectives import Objective, Square
-from arborlane.operators.binning import Discretizer
+from arborlane.operators.binning import WIDE, Discretizer, matrix
 from arborlane.operators.sampling import choose_columns, keep_array
 from arborlane.operators.splits import Split, best_split, leaf_weight
 from arborlane.operators.trees import Tree
@@ -451,13 +451,23 @@ def new_weights(weights: list[float], added: int, dropped: list[int], params: Pa
     return [*out, *[1.0 / (k + params.step_size)] * added]
 
 
-def prepare(df: DataFrame, discretizer: Discretizer, features: list[Column], label: Column, weight: Column, raw_base: list[float], key: Column | None = None, parts: int | None = None) -> DataFrame:
+def prepare(df: DataFrame, discretizer: Discretizer, features: list[Column], label: Column, weight: Column, raw_base: list[float], key: Column | None = None, array: Column | None = None) -> DataFrame:
     """The binned table of a fit, written once. key: a stable row key for sampling; without one the row's place in the
     written table is taken, which is stable from then on but depends on the input's partitions."""
     key = key.cast("long") if key is not None else F.monotonically_increasing_id()
-    rows = df.select(key.alias("key"), discretizer.transform(features).alias("bins"), label.cast("double").alias("label"), weight.cast("double").alias("weight"), F.array(*map(F.lit, raw_base)).cast("array<double>").alias("raw"))
-    if parts:
-        rows = rows.repartition(parts)
+    more = [label.cast("double").alias("label"), weight.cast("double").alias("weight"), F.array(*map(F.lit, raw_base)).cast("array<double>").alias("raw")]
+    if array is not None and discretizer.size > WIDE:
+        def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                x = matrix(rows.column("bins"), discretizer.size)
+                bins = np.stack([discretizer.bin_array(i, x[:, i]) for i in range(x.shape[1])], axis=1)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bins.size + 1, x.shape[1], dtype=np.int32)), pa.array(bins.ravel()))
+                yield rows.set_column(1, "bins", flat)
+
+        rows = df.select(key.alias("key"), array.alias("bins"), *more)
+        rows = rows.mapInArrow(binned, "key long, bins array<int>, label double, weight double, raw array<double>")
+    else:
+        rows = df.select(key.alias("key"), discretizer.transform(features).alias("bins"), *more)
     return materialise(rows, "binned")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlane.functions.metrics import Metric, metric
 from arborlane.functions.objectives import Objective, Softmax, objective
-from arborlane.model import BoostedModel, feature_columns
+from arborlane.model import BoostedModel, feature_array, feature_columns
 from arborlane.operators.binning import Discretizer
 from arborlane.params import Params
 from arborlane.plans.boosting import Booster, prepare
@@ -31,7 +31,7 @@ def fit(
     params = params or Params()
     loss = objective(loss) if isinstance(loss, str) else loss
     metrics = [metric(m) if isinstance(m, str) else m for m in metrics]
-    cols = feature_columns(train, features)
+    cols, array = feature_columns(train, features), feature_array(train, features)
     if any(c >= len(cols) for c in (*params.cat_cols, *params.rank_cols)):
         raise ValueError("cat_cols and rank_cols must be columns of the features")
     y, w = F.col(label).cast("double"), (F.col(weight) if weight else F.lit(1.0)).cast("double")
@@ -39,7 +39,7 @@ def fit(
         disc, raw_base = initial.discretizer, initial.raw_base
     else:
         means = _means(loss, y, w) if not params.base_score else []
-        disc, found = Discretizer.fit(train, cols, params, exact_quantiles, means)
+        disc, found = Discretizer.fit(train, cols, params, exact_quantiles, means, array)
         if params.base_score and len(params.base_score) != loss.size:
             raise ValueError(f"base_score needs {loss.size} values")
         base = list(params.base_score) or found
@@ -49,8 +49,8 @@ def fit(
     stable = F.xxhash64(key) if key else None
     if key and dict(train.dtypes)[key] in ("bigint", "int", "smallint"):
         stable = F.col(key)
-    data = prepare(train, disc, cols, y, w, raw_base, stable)
-    held = prepare(valid, disc, feature_columns(valid, features, len(cols)), y, w, raw_base, stable) if valid is not None else None
+    data = prepare(train, disc, cols, y, w, raw_base, stable, array)
+    held = prepare(valid, disc, feature_columns(valid, features, len(cols)), y, w, raw_base, stable, feature_array(valid, features)) if valid is not None else None
     trees, weights = (list(initial.trees), list(initial.weights)) if initial else ([], [])
     booster = Booster(data, disc, loss, raw_base, params, metrics, list(callbacks), held, trees, weights)
     booster.run(lambda: BoostedModel(loss, disc, raw_base, list(booster.trees), list(booster.weights)))

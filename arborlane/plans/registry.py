@@ -1,10 +1,377 @@
-"""Queries by name, and the SQL of those that SQL can express."""
+"""Queries by name, one for each operator on the driver's tables, and the SQL of those that SQL can express.
+
+The queries run the library; the SQL is written from the definitions and shares nothing with it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arborlane.functions import metrics as M
+from arborlane.functions.objectives import Logistic, Softmax, Square
+from arborlane.model import BoostedModel
+from arborlane.operators import histogram as H
+from arborlane.operators import sampling as S
+from arborlane.operators import splits as P
+from arborlane.operators.binning import Discretizer, cast_bin, clean
+from arborlane.params import Params
+from arborlane.plans.boosting import new_weights
+from arborlane.plans.fit import fit
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+LINE = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _binned(df: DataFrame, columns: list[str], params: Params, exact: bool = False) -> DataFrame:
+    cols = [F.col(c) for c in columns]
+    disc, _ = Discretizer.fit(df, cols, params, exact)
+    return df.withColumn("bins", disc.transform(cols))
+
+
+def _bin_counts(df: DataFrame) -> DataFrame:
+    cells = df.select(F.posexplode("bins").alias("col_id", "bin"))
+    return cells.groupBy("col_id", "bin").agg(F.count("*").alias("n"))
+
+
+_LINE_CELLS = """p AS (SELECT 0 AS col_id, CAST(l_quantity AS DOUBLE) AS v, l_extendedprice AS y FROM lineitem UNION ALL
+  SELECT 1, l_discount, l_extendedprice FROM lineitem UNION ALL SELECT 2, l_tax, l_extendedprice FROM lineitem)"""
+_WIDTH = """e AS (SELECT col_id, MIN(v) + (MAX(v) - MIN(v)) / 14 / 2 AS start_, (MAX(v) - MIN(v)) / 14 AS step FROM p GROUP BY col_id),
+q AS (SELECT p.col_id, CASE WHEN v IS NULL THEN 0 WHEN step = 0 OR v <= start_ THEN 1 ELSE LEAST(1 + CAST(CEIL((v - start_) / step) AS INT), 15) END AS bin, y
+  FROM p JOIN e ON p.col_id = e.col_id)"""
+
+
+@query(f"WITH {_LINE_CELLS}, {_WIDTH} SELECT col_id, bin, COUNT(*) AS n FROM q GROUP BY ALL")
+def bin_width(spark, sf_dir):
+    return _bin_counts(_binned(_table(spark, sf_dir, "lineitem"), LINE, Params(max_bins=16)))
+
+
+@query(f"""WITH {_LINE_CELLS}, c AS (SELECT col_id, CASE WHEN v = 0 THEN NULL ELSE v END AS v, y FROM p),
+e AS (SELECT col_id, MIN(v) + (MAX(v) - MIN(v)) / 14 / 2 AS start_, (MAX(v) - MIN(v)) / 14 AS step FROM c GROUP BY col_id)
+SELECT c.col_id, CASE WHEN v IS NULL THEN 0 WHEN v <= start_ THEN 1 ELSE LEAST(1 + CAST(CEIL((v - start_) / step) AS INT), 15) END AS bin, COUNT(*) AS n
+FROM c JOIN e ON c.col_id = e.col_id GROUP BY ALL""")
+def bin_zero_as_missing(spark, sf_dir):
+    return _bin_counts(_binned(_table(spark, sf_dir, "lineitem"), LINE, Params(max_bins=16, zero_as_missing=True)))
+
+
+@query("""WITH s AS (SELECT UNNEST(list_distinct(quantile_cont(value, [""" + ", ".join(f"{(i + 0.5) / 14}" for i in range(14)) + """]))) AS s FROM events)
+SELECT 0 AS col_id, CAST(1 + (SELECT COUNT(*) FROM s WHERE s < value) AS INT) AS bin, COUNT(*) AS n FROM events GROUP BY ALL""")
+def bin_depth_exact(spark, sf_dir):
+    return _bin_counts(_binned(_table(spark, sf_dir, "events"), ["value"], Params(max_bins=16, discretization_type="depth"), exact=True))
+
+
+def _cast_query(mode: str, whole: str) -> None:
+    def run(spark, sf_dir):
+        df = _table(spark, sf_dir, "events").select(cast_bin(F.col("value") / 7, mode, 32).alias("bin"))
+        return df.groupBy("bin").agg(F.count("*").alias("n"))
+
+    run.__name__ = f"bin_{mode}"
+    query(f"SELECT CAST(GREATEST(0, LEAST({whole}, 31)) AS INT) AS bin, COUNT(*) AS n FROM events GROUP BY ALL")(run)
+
+
+_cast_query("floor", "FLOOR(value / 7)")
+_cast_query("ceil", "CEIL(value / 7)")
+_cast_query("round", "FLOOR(value / 7 + 0.5)")
+
+
+@query("SELECT ROUND(SUM(l_quantity * l_extendedprice) / SUM(l_quantity), 6) AS mean FROM lineitem")
+def label_mean(spark, sf_dir):
+    df = _table(spark, sf_dir, "lineitem")
+    _, found = Discretizer.fit(df, [F.col("l_tax")], Params(max_bins=16), extra=[F.sum(F.col("l_quantity") * F.col("l_extendedprice")) / F.sum("l_quantity")])
+    return spark.createDataFrame([(float(found[0]),)], "mean double").select(F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT quality AS label, CAST(COUNT(*) AS DOUBLE) AS weight FROM labels GROUP BY ALL")
+def class_weights(spark, sf_dir):
+    return _table(spark, sf_dir, "labels").groupBy(F.col("quality").alias("label")).agg(F.sum(F.lit(1.0)).alias("weight"))
+
+
+@query("SELECT ROUND(AVG((CASE WHEN l_discount = 0 THEN 1.0 ELSE 0 END + CASE WHEN l_tax = 0 THEN 1.0 ELSE 0 END) / 2), 9) AS sparsity FROM lineitem")
+def sparsity(spark, sf_dir):
+    from arborlane.operators.binning import sparsity as of
+
+    df = _binned(_table(spark, sf_dir, "lineitem"), ["l_discount", "l_tax"], Params(max_bins=16, zero_as_missing=True))
+    return spark.createDataFrame([(of(df, "bins", 2),)], "sparsity double").select(F.round("sparsity", 9).alias("sparsity"))
+
+
+@query("SELECT p_partkey, ROUND(p_size - p_retailprice, 6) AS g, 1.0::DOUBLE AS h FROM part")
+def grad_square(spark, sf_dir):
+    g, h = Square.columns(F.col("p_retailprice"), F.col("p_size").cast("double"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.round(g, 6).alias("g"), h.alias("h"))
+
+
+@query("""WITH s AS (SELECT doc_id, quality AS y, 1 / (1 + EXP(-((doc_id * 37) % 1009 / 250.0 - 2))) AS p FROM labels)
+SELECT doc_id, ROUND(p - y, 9) AS g, ROUND(GREATEST(p * (1 - p), 1e-16), 9) AS h FROM s""")
+def grad_logistic(spark, sf_dir):
+    raw = F.pmod(F.col("doc_id") * 37, F.lit(1009)) / F.lit(250.0) - 2
+    g, h = Logistic.columns(F.col("quality").cast("double"), raw)
+    return _table(spark, sf_dir, "labels").select("doc_id", F.round(g, 9).alias("g"), F.round(h, 9).alias("h"))
+
+
+@query("""WITH e AS (SELECT vec_id, label % 3 AS y, [EXP(embedding[1]::DOUBLE), EXP(embedding[2]::DOUBLE), EXP(embedding[3]::DOUBLE)] AS e FROM embeddings),
+k AS (SELECT vec_id, y, UNNEST([0, 1, 2]) AS k, e FROM e), p AS (SELECT vec_id, k, CASE WHEN y = k THEN 1.0 ELSE 0.0 END AS y, e[k + 1] / (e[1] + e[2] + e[3]) AS p FROM k)
+SELECT vec_id, k, ROUND(p - y, 6) AS g, ROUND(GREATEST(2 * p * (1 - p), 1e-16), 6) AS h FROM p""")
+def grad_softmax(spark, sf_dir):
+    df = _table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).alias("y"), *(F.col("embedding")[i].cast("double").alias(f"r{i}") for i in range(3)))
+    found = Softmax.columns([F.when(F.col("y") == k, 1.0).otherwise(0.0) for k in range(3)], [F.col(f"r{k}") for k in range(3)])
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.round(g, 6).alias("g"), F.round(h, 6).alias("h")) for k, (g, h) in enumerate(found)))).alias("r")
+    return df.select("vec_id", rows).select("vec_id", "r.*")
+
+
+def _line_rows(spark, sf_dir, max_bins: int = 16, columns: list[str] = LINE, zero_as_missing: bool = False) -> DataFrame:
+    """Binned rows of one node with square-loss gradients at the mean, in whole cents so that sums are exact."""
+    df = _table(spark, sf_dir, "lineitem")
+    df = _binned(df, columns, Params(max_bins=max_bins, zero_as_missing=zero_as_missing))
+    g = F.lit(3_000_000.0) - F.round(F.col("l_extendedprice") * 100)
+    return df.select(F.lit(0).alias("tree_id"), F.when(F.col("l_linenumber") <= 3, F.lit(1)).otherwise(F.lit(2)).alias("part"), F.lit(1).alias("node_id"), "bins", g.alias("g"), F.lit(1.0).alias("h"))
+
+
+_G = "3000000.0 - ROUND(y * 100)"
+_HIST = f"WITH {_LINE_CELLS}, {_WIDTH}, hist AS (SELECT col_id, bin, SUM({_G}) AS g, CAST(COUNT(*) AS DOUBLE) AS h FROM q GROUP BY ALL)"
+
+
+@query(f"{_HIST} SELECT 0 AS tree_id, 1 AS node_id, col_id, bin, g, h FROM hist")
+def hist_basic(spark, sf_dir):
+    return H.full(_line_rows(spark, sf_dir))
+
+
+@query(f"""WITH p AS (SELECT 0 AS col_id, l_linenumber AS ln, CAST(l_quantity AS DOUBLE) AS v, l_extendedprice AS y FROM lineitem UNION ALL
+  SELECT 1, l_linenumber, l_discount, l_extendedprice FROM lineitem UNION ALL SELECT 2, l_linenumber, l_tax, l_extendedprice FROM lineitem),
+e AS (SELECT col_id, MIN(v) + (MAX(v) - MIN(v)) / 14 / 2 AS start_, (MAX(v) - MIN(v)) / 14 AS step FROM p GROUP BY col_id)
+SELECT 0 AS tree_id, CASE WHEN ln <= 3 THEN 2 ELSE 3 END AS node_id, p.col_id,
+  CASE WHEN step = 0 OR v <= start_ THEN 1 ELSE LEAST(1 + CAST(CEIL((v - start_) / step) AS INT), 15) END AS bin, SUM({_G}) AS g, CAST(COUNT(*) AS DOUBLE) AS h
+FROM p JOIN e ON p.col_id = e.col_id GROUP BY ALL""")
+def hist_two_nodes(spark, sf_dir):
+    return H.full(_line_rows(spark, sf_dir).withColumn("node_id", F.col("part") + 1))
+
+
+_PART_HIST = ORACLE_SQL["hist_two_nodes"]
+
+
+@query(f"SELECT tree_id, 1 AS node_id, col_id, bin, g, h FROM ({_PART_HIST}) WHERE node_id = 2")
+def hist_subtract(spark, sf_dir):
+    rows = _line_rows(spark, sf_dir)
+    return H.subtract(H.full(rows), H.full(rows.filter("part = 2"))).filter("h <> 0")
+
+
+@query(f"""WITH p AS (SELECT 0 AS col_id, l_discount AS v, l_extendedprice AS y FROM lineitem UNION ALL SELECT 1, l_tax, l_extendedprice FROM lineitem),
+c AS (SELECT col_id, CASE WHEN v = 0 THEN NULL ELSE v END AS v, y FROM p),
+e AS (SELECT col_id, MIN(v) + (MAX(v) - MIN(v)) / 14 / 2 AS start_, (MAX(v) - MIN(v)) / 14 AS step FROM c GROUP BY col_id)
+SELECT 0 AS tree_id, 1 AS node_id, c.col_id, CASE WHEN v IS NULL THEN 0 WHEN v <= start_ THEN 1 ELSE LEAST(1 + CAST(CEIL((v - start_) / step) AS INT), 15) END AS bin,
+  SUM({_G}) AS g, CAST(COUNT(*) AS DOUBLE) AS h FROM c JOIN e ON c.col_id = e.col_id GROUP BY ALL""")
+def hist_sparse_fill(spark, sf_dir):
+    return H.sparse_filled(_line_rows(spark, sf_dir, columns=["l_discount", "l_tax"], zero_as_missing=True))
+
+
+def _splits_sql(lam: str, alpha: str, least: int = 1) -> str:
+    score = lambda g, h: f"POWER(GREATEST(ABS({g}) - {alpha}, 0), 2) / (2 * ({h} + {lam}))"
+    weight = lambda g, h: f"-SIGN({g}) * GREATEST(ABS({g}) - {alpha}, 0) / ({h} + {lam})"
+    return f"""{_HIST}, c AS (SELECT col_id, bin, SUM(g) OVER w AS gl, SUM(h) OVER w AS hl, SUM(g) OVER (PARTITION BY col_id) AS gt, SUM(h) OVER (PARTITION BY col_id) AS ht
+  FROM hist WINDOW w AS (PARTITION BY col_id ORDER BY bin)),
+k AS (SELECT *, {score('gl', 'hl')} + {score('gt - gl', 'ht - hl')} - {score('gt', 'ht')} AS gain FROM c WHERE hl >= {least} AND ht - hl >= {least})
+SELECT col_id, bin AS threshold, ROUND({weight('gl', 'hl')}, 4) AS wl, ROUND({weight('gt - gl', 'ht - hl')}, 4) AS wr, ROUND(gain / 1e6, 2) AS gain FROM k WHERE gain >= 0"""
+
+
+def _rounded(splits: DataFrame, *more: str) -> DataFrame:
+    return splits.select("col_id", *more, F.round("wl", 4).alias("wl"), F.round("wr", 4).alias("wr"), F.round(F.col("gain") / 1e6, 2).alias("gain"))
+
+
+@query(_splits_sql("1.0", "0.0"))
+def split_seq(spark, sf_dir):
+    return _rounded(P.sequential_splits(hist_basic(spark, sf_dir), Params()), "threshold")
+
+
+@query(_splits_sql("5.0", "20000.0", 50))
+def split_l1(spark, sf_dir):
+    return _rounded(P.sequential_splits(hist_basic(spark, sf_dir), Params(reg_alpha=20000.0, reg_lambda=5.0, min_node_hess=50.0)), "threshold")
+
+
+@query(f"SELECT * FROM ({_splits_sql('1.0', '0.0')}) ORDER BY gain DESC, col_id, threshold LIMIT 1")
+def split_best(spark, sf_dir):
+    return _rounded(P.best_per_node(P.sequential_splits(hist_basic(spark, sf_dir), Params()), "miss_right", "threshold"), "threshold")
+
+
+@query("""WITH h AS (SELECT CAST(CASE WHEN l_discount = 0 THEN 0 ELSE ROUND(l_discount * 100) END AS INT) AS bin, SUM(3000000.0 - ROUND(l_extendedprice * 100)) AS g, CAST(COUNT(*) AS DOUBLE) AS h FROM lineitem GROUP BY 1),
+o AS (SELECT 0 AS miss_right, bin AS ord, bin, g, h FROM h UNION ALL
+  SELECT 1, CASE WHEN bin = 0 THEN 1000000 ELSE bin END, bin, g, h FROM h WHERE EXISTS (SELECT 1 FROM h WHERE bin = 0)),
+c AS (SELECT miss_right, bin, SUM(g) OVER w AS gl, SUM(h) OVER w AS hl, SUM(g) OVER (PARTITION BY miss_right) AS gt, SUM(h) OVER (PARTITION BY miss_right) AS ht
+  FROM o WINDOW w AS (PARTITION BY miss_right ORDER BY ord)),
+k AS (SELECT *, 0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM c WHERE hl >= 1 AND ht - hl >= 1)
+SELECT 0 AS col_id, miss_right, bin AS threshold, ROUND(-gl / (hl + 1), 4) AS wl, ROUND(-(gt - gl) / (ht - hl + 1), 4) AS wr, ROUND(gain / 1e6, 2) AS gain FROM k WHERE gain >= 0""")
+def split_missing(spark, sf_dir):
+    df = _table(spark, sf_dir, "lineitem")
+    bins = F.array(cast_bin(F.round(clean(F.col("l_discount"), True) * 100), "round", 16))
+    g = F.lit(3_000_000.0) - F.round(F.col("l_extendedprice") * 100)
+    hist = H.full(df.select(F.lit(0).alias("tree_id"), F.lit(1).alias("node_id"), bins.alias("bins"), g.alias("g"), F.lit(1.0).alias("h")))
+    return _rounded(P.sequential_splits(hist, Params()), "miss_right", "threshold")
+
+
+def _category_hist(spark, sf_dir, table: str, bin_of, g) -> DataFrame:
+    df = _table(spark, sf_dir, table)
+    return H.full(df.select(F.lit(0).alias("tree_id"), F.lit(1).alias("node_id"), F.array(bin_of).alias("bins"), g.alias("g"), F.lit(1.0).alias("h")))
+
+
+@query("""WITH h AS (SELECT CAST(SUBSTR(o_orderpriority, 1, 1) AS INT) AS bin, SUM(15000000.0 - ROUND(o_totalprice * 100)) AS g, CAST(COUNT(*) AS DOUBLE) AS h FROM orders GROUP BY 1),
+n AS (SELECT *, ROW_NUMBER() OVER (ORDER BY bin) - 1 AS i, SUM(g) OVER () AS gt, SUM(h) OVER () AS ht, COUNT(*) OVER () AS m FROM h),
+k AS (SELECT mask, list(bin ORDER BY bin) AS s, SUM(g) AS gl, SUM(h) AS hl, MAX(gt) AS gt, MAX(ht) AS ht
+  FROM n, (SELECT UNNEST(range(1, 1 << 4)) AS mask) WHERE (mask >> i::INT) & 1 = 1 AND mask < (1 << (m::INT - 1)) GROUP BY mask),
+c AS (SELECT *, 0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM k)
+SELECT 0 AS col_id, array_to_string(s, ',') AS members, ROUND(-gl / (hl + 1), 4) AS wl, ROUND(-(gt - gl) / (ht - hl + 1), 4) AS wr, ROUND(gain / 1e6, 2) AS gain
+FROM c WHERE hl >= 1 AND ht - hl >= 1 AND gain >= 0""")
+def split_cat_brute(spark, sf_dir):
+    hist = _category_hist(spark, sf_dir, "orders", F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(15_000_000.0) - F.round(F.col("o_totalprice") * 100))
+    found = P.brute_splits(hist, Params()).withColumn("members", F.array_join(F.col("set").cast("array<string>"), ","))
+    return _rounded(found, "members")
+
+
+@query("""WITH h AS (SELECT CAST(REGEXP_EXTRACT(p_brand, '([0-9]+)', 1) AS INT) AS bin, SUM(95000.0 - ROUND(p_retailprice * 100)) AS g, CAST(COUNT(*) AS DOUBLE) AS h FROM part GROUP BY 1),
+r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY g / (h + 1.0 / 64), bin) AS i, SUM(g) OVER () AS gt, SUM(h) OVER () AS ht, COUNT(*) OVER () AS m FROM h),
+c AS (SELECT i, m, SUM(g) OVER (ORDER BY i) AS gl, SUM(h) OVER (ORDER BY i) AS hl, gt, ht FROM r),
+k AS (SELECT *, 0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM c WHERE i < m AND hl >= 1 AND ht - hl >= 1)
+SELECT 0 AS col_id, CAST(i AS INT) AS size, ROUND(-gl / (hl + 1), 4) AS wl, ROUND(-(gt - gl) / (ht - hl + 1), 4) AS wr, ROUND(gain / 1e6, 2) AS gain FROM k WHERE gain >= 0""")
+def split_cat_heuristic(spark, sf_dir):
+    hist = _category_hist(spark, sf_dir, "part", F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int"), F.lit(95_000.0) - F.round(F.col("p_retailprice") * 100))
+    return _rounded(P.heuristic_splits(hist, Params(), 64).withColumn("size", F.size("set")), "size")
+
+
+@query("""WITH v AS (SELECT l_suppkey % 4 AS part, l_linenumber AS col_id, SUM(l_quantity) AS gain FROM lineitem GROUP BY ALL),
+k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY part ORDER BY gain DESC, col_id) AS r FROM v),
+c AS (SELECT col_id, COUNT(*) AS votes FROM k WHERE r <= 2 GROUP BY 1)
+SELECT 0 AS tree_id, 1 AS node_id, col_id, votes FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY votes DESC, col_id) AS r FROM c) WHERE r <= 4""")
+def vote_topk(spark, sf_dir):
+    df = _table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 4).alias("part"), F.col("l_linenumber").alias("col_id")).agg(F.sum("l_quantity").alias("gain"))
+    return H.voted_columns(df.withColumns({"tree_id": F.lit(0), "node_id": F.lit(1)}), 2)
+
+
+_STUMP = """b AS (SELECT AVG(CAST(l_quantity AS DOUBLE)) AS base FROM lineitem),
+e AS (SELECT MIN(l_tax) + (MAX(l_tax) - MIN(l_tax)) / 14 / 2 AS start_, (MAX(l_tax) - MIN(l_tax)) / 14 AS step FROM lineitem),
+r AS (SELECT CASE WHEN l_tax <= start_ THEN 1 ELSE LEAST(1 + CAST(CEIL((l_tax - start_) / step) AS INT), 15) END AS bin, base - l_quantity AS g, base FROM lineitem, b, e),
+h AS (SELECT bin, SUM(g) AS g, CAST(COUNT(*) AS DOUBLE) AS h FROM r GROUP BY bin),
+c AS (SELECT bin, SUM(g) OVER (ORDER BY bin) AS gl, SUM(h) OVER (ORDER BY bin) AS hl, SUM(g) OVER () AS gt, SUM(h) OVER () AS ht FROM h),
+k AS (SELECT bin AS cut, -gl / (hl + 1) AS wl, -(gt - gl) / (ht - hl + 1) AS wr,
+  0.5 * (gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) AS gain FROM c WHERE ht - hl >= 1 ORDER BY gain DESC, bin LIMIT 1)"""
+
+
+@query(f"""WITH {_STUMP} SELECT bin, COUNT(*) AS n, ROUND(MAX(base + 0.5 * CASE WHEN bin <= cut THEN wl ELSE wr END), 6) AS prediction FROM r, k GROUP BY bin""")
+def boost_stump(spark, sf_dir):
+    """One round of depth 1, scored; rows by bin."""
+    df = _table(spark, sf_dir, "lineitem")
+    model, _ = fit(df, ["l_tax"], "l_quantity", params=Params(max_iter=1, max_depth=1, max_bins=16, step_size=0.5))
+    features = [F.col("l_tax")]
+    scored = df.select(model.discretizer.bin(0, features[0]).alias("bin"), model.predict(features)[0].alias("p"))
+    return scored.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.max("p"), 6).alias("prediction"))
+
+
+@query(f"""WITH {_STUMP} SELECT CAST(CASE WHEN (bin <= cut) = ((SELECT SUM(h) FROM h WHERE bin <= cut) >= (SELECT SUM(h) FROM h WHERE bin > cut)) THEN 0 ELSE 1 END AS INT) AS leaf, COUNT(*) AS n FROM r, k GROUP BY 1""")
+def leaf_index(spark, sf_dir):
+    df = _table(spark, sf_dir, "lineitem")
+    model, _ = fit(df, ["l_tax"], "l_quantity", params=Params(max_iter=1, max_depth=1, max_bins=16, step_size=0.5))
+    return df.select(model.leaf([F.col("l_tax")])[0].alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT event_id, value * value AS norm FROM events), c AS (SELECT quantile_cont(norm, 0.8) AS cut FROM n)
+SELECT CASE WHEN norm >= cut THEN 1.0 ELSE 0.8 / 0.1 END::DOUBLE AS scale, COUNT(*) AS n FROM n, c WHERE norm >= cut OR event_id % 8 = 0 GROUP BY 1""")
+def goss_weights(spark, sf_dir):
+    df = _table(spark, sf_dir, "events")
+    out = S.goss(df, F.col("value") * F.col("value"), 0.2, 0.1, F.col("event_id") % 8 == 0, exact=True)
+    return out.groupBy(F.round("scale", 9).alias("scale")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES (0, 1.0 * 2 / 2.1), (1, 1.0), (2, 1.0 * 2 / 2.1), (3, 1 / 2.1)) t(tree, w)".replace("SELECT *", "SELECT tree, ROUND(w::DOUBLE, 9) AS weight"))
+def dart_weights(spark, sf_dir):
+    weights = new_weights([1.0, 1.0, 1.0], 1, [0, 2], Params(boost_type="dart"), 1)
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "tree int, w double").select("tree", F.round("w", 9).alias("weight"))
+
+
+@query("""SELECT ROUND(SUM(l_quantity * POWER(l_discount - l_tax, 2)) / SUM(l_quantity), 9) AS mse, ROUND(SQRT(SUM(l_quantity * POWER(l_discount - l_tax, 2)) / SUM(l_quantity)), 9) AS rmse,
+ROUND(SUM(l_quantity * ABS(l_discount - l_tax)) / SUM(l_quantity), 9) AS mae,
+ROUND(1 - (SUM(l_quantity * POWER(l_discount - l_tax, 2)) / SUM(l_quantity)) / (SUM(l_quantity * l_tax * l_tax) / SUM(l_quantity) - POWER(SUM(l_quantity * l_tax) / SUM(l_quantity), 2)), 6) AS r2 FROM lineitem""")
+def metric_regression(spark, sf_dir):
+    aggs = M.regression_aggregates(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount"))
+    return _table(spark, sf_dir, "lineitem").agg(*(F.round(c, 6 if k == "r2" else 9).alias(k) for k, c in aggs.items()))
+
+
+_PSEUDO = "((doc_id * 37) % 1009) / 1009.0"
+
+
+@query(f"""WITH s AS (SELECT CAST(quality AS DOUBLE) AS y, {_PSEUDO} AS p FROM labels)
+SELECT ROUND(AVG(CASE WHEN y = 1 THEN -LN(GREATEST(p, 1e-16)) ELSE -LN(GREATEST(1 - p, 1e-16)) END), 9) AS logloss, ROUND(AVG(CASE WHEN (p > 0.5) <> (y > 0.5) THEN 1.0 ELSE 0.0 END), 9) AS error FROM s""")
+def metric_logloss_error(spark, sf_dir):
+    p = F.pmod(F.col("doc_id") * 37, F.lit(1009)) / F.lit(1009.0)
+    aggs = M.classification_aggregates(F.lit(1.0), F.col("quality").cast("double"), p)
+    return _table(spark, sf_dir, "labels").agg(*(F.round(c, 9).alias(k) for k, c in aggs.items()))
+
+
+@query(f"""WITH s AS (SELECT CAST(quality AS INT) AS y, LEAST(CAST(FLOOR({_PSEUDO} * 64) AS INT), 63) AS b FROM labels),
+h AS (SELECT b, CAST(SUM(y) AS DOUBLE) AS p, CAST(SUM(1 - y) AS DOUBLE) AS n FROM s GROUP BY b),
+c AS (SELECT b, p, n, SUM(p) OVER (ORDER BY b DESC) AS tp, SUM(n) OVER (ORDER BY b DESC) AS fp, SUM(p) OVER () AS pt, SUM(n) OVER () AS nt FROM h),
+d AS (SELECT *, tp / (tp + fp) AS prec, LAG(tp / (tp + fp)) OVER (ORDER BY b DESC) AS prev FROM c)
+SELECT ROUND(SUM(n * (tp - p / 2)) / MAX(pt * nt), 9) AS auroc, ROUND(SUM(p / pt * (COALESCE(prev, prec) + prec) / 2), 9) AS auprc FROM d""")
+def metric_auroc_auprc(spark, sf_dir):
+    p = F.pmod(F.col("doc_id") * 37, F.lit(1009)) / F.lit(1009.0)
+    found = M.ranking(_table(spark, sf_dir, "labels"), F.lit(1.0), F.col("quality").cast("double"), p, 64)
+    return found.select(F.round("auroc", 9).alias("auroc"), F.round("auprc", 9).alias("auprc"))
+
+
+def _part_model(spark, sf_dir, **given) -> tuple[DataFrame, BoostedModel]:
+    df = _table(spark, sf_dir, "part")
+    model, _ = fit(df, ["p_partkey", "p_size"], "p_retailprice", params=Params(**({"max_iter": 5, "max_bins": 64} | given)), key="p_partkey")
+    return df, model
+
+
+@query()
+def importance(spark, sf_dir):
+    _, model = _part_model(spark, sf_dir)
+    table = model.tree_table(spark).filter("not node.is_leaf").groupBy(F.col("node.col").alias("col_id"))
+    return table.agg(F.count("*").cast("double").alias("numsplits"), F.sum("node.gain").alias("sumgain"), F.avg("node.gain").alias("avggain"))
+
+
+@query()
+def tree_stats(spark, sf_dir):
+    _, model = _part_model(spark, sf_dir)
+    return model.tree_table(spark).groupBy("treeIndex").agg(F.count("*").alias("nodes"), F.sum(F.col("node.is_leaf").cast("int")).alias("leaves"))
+
+
+def _scored(spark, sf_dir, **given) -> DataFrame:
+    df, model = _part_model(spark, sf_dir, **given)
+    return df.select("p_partkey", "p_retailprice", model.predict([F.col("p_partkey"), F.col("p_size")])[0].alias("prediction"))
+
+
+def _scored_query(name: str, **given) -> None:
+    def run(spark, sf_dir):
+        return _scored(spark, sf_dir, **given)
+
+    run.__name__ = name
+    query()(run)
+
+
+_scored_query("boost_gbtree")
+_scored_query("boost_subtract", histogram_computation_type="subtract")
+_scored_query("boost_vote", histogram_computation_type="vote")
+_scored_query("boost_dart", boost_type="dart", drop_rate=0.4, drop_skip=0.2, seed=3)
+_scored_query("boost_forest", forest_size=3, col_sample_rate_by_tree=0.5, seed=3)
+_scored_query("boost_goss", sub_sample_type="goss", seed=3)
+_scored_query("boost_leafwise", leaf_boosting=True)
+_scored_query("boost_categorical", discretization_type="width:round", cat_cols=(1,))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
