@@ -263,7 +263,7 @@ def _burn(buckets: int, hot: np.ndarray, seed: int):
         for what, key, value in out:
             key = part.vocabulary[key].view(np.int64) if what == "root" else key
             some = value != 0
-            yield batch(what=pa.array([what] * int(some.sum())), key=pa.array(key[some].astype(np.int64)), value=pa.array(value[some].astype(float)))
+            yield batch(what=pa.array([what] * int(some.sum()), pa.string()), key=pa.array(key[some].astype(np.int64)), value=pa.array(value[some].astype(float)))
 
     return run
 

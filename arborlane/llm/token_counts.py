@@ -73,7 +73,7 @@ class Trie:
             score = get(text[i:end])
             if score is not None:
                 s, k = best[i - base] + score, tokens[i - base] + 1
-                if s > top + 1e-12 or (s > top - 1e-12 and k < count):
+                if s > top + 1e-12 or (s >= top - 1e-12 and k < count):
                     top, count = s, k
         return top, count
 
