@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from arborlane.session import materialise, tasks_for
 
-SAMPLES = 64
+SAMPLES, GROUP = 64, 4
 BITS = 21
+#: A sample's least a is under CERTAIN over the number of words but once in exp(CERTAIN), about nine million.
+CERTAIN, CHARS_PER_WORD = 16.0, 6.5
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -34,21 +36,33 @@ def _uniform(h: Column, part: int) -> Column:
     return (bits + F.lit(0.5)) * F.lit(1.0 / (1 << BITS))
 
 
-def samples(term: Column, weights: list[Column], count: int = SAMPLES) -> list[list[Column]]:
-    """For each weight, ``count`` columns whose least value over a document's terms holds its sample in the low 20 bits."""
-    logs = [F.when(w > 0, F.log(w.cast("double"))) for w in weights]
-    out: list[list[Column]] = [[] for _ in weights]
-    for j in range(count):
-        h, g = F.xxhash64(term, F.lit(2 * j)), F.xxhash64(term, F.lit(2 * j + 1))
-        r = -F.log(_uniform(h, 0) * _uniform(h, 1))
-        ln_c = F.log(-F.log(_uniform(g, 0) * _uniform(g, 1)))
-        b, word = _uniform(h, 2), F.shiftrightunsigned(g, 2 * BITS)
-        for k, ln_w in enumerate(logs):
-            t = F.floor(ln_w / r + b)
-            ln_a = ln_c - r * (t - b + F.lit(1.0))
-            key = F.shiftleft(((ln_a + F.lit(256.0)) * F.lit(float(1 << 26))).cast("bigint"), 20)
-            out[k].append(key.bitwiseOR((word + t * F.lit(40503)).bitwiseAND(F.lit((1 << 20) - 1))))
-    return out
+def _samples_of_group(weighted: DataFrame, key: str) -> DataFrame:
+    """(key, g, a0.., b0..): the least of each of GROUP samples over a document's terms, for both texts.
+
+    Every term meets every group of samples, so that a row works out few samples in small generated code. The least a of
+    a document is exponential with its total weight as the rate. Where a term's a is certainly over ``bound`` its draws
+    stay null: a >= c exp(-r) / w >= (1 - v1 v2) u1 u2 / w, without logarithms, where r and c are -ln(u1 u2) and
+    -ln(v1 v2). Such a term stays behind all that are under the bound, in the order of a hash; so a sample is exact
+    wherever its a is under the bound.
+    """
+    seed = F.col("g") * F.lit(2 * GROUP)
+    cols = []
+    for j in range(GROUP):
+        h, g = F.xxhash64("term", seed + F.lit(2 * j)), F.xxhash64("term", seed + F.lit(2 * j + 1))
+        u, v = _uniform(h, 0) * _uniform(h, 1), _uniform(g, 0) * _uniform(g, 1)
+        near = (F.lit(1.0) - v) * u < F.col("bound")
+        cols += [F.when(near, -F.log(u)).alias(f"r{j}"), F.when(near, F.log(-F.log(v))).alias(f"c{j}"), _uniform(h, 2).alias(f"u{j}"), F.shiftrightunsigned(g, 2 * BITS).alias(f"x{j}")]
+    drawn = weighted.select(key, "g", "w0", "w1", "ln_w0", "ln_w1", *cols)
+    low = F.lit((1 << 20) - 1)
+
+    def sample(j: int, w: str) -> Column:
+        r, ln_c, b, word = (F.col(f"{c}{j}") for c in "rcux")
+        t = F.when(F.col(w) > 1, F.floor(F.col(f"ln_{w}") / r + b)).otherwise(F.lit(0))
+        ln_a = ln_c - r * (t - b + F.lit(1.0))
+        exact = F.shiftleft(((ln_a + F.lit(256.0)) * F.lit(float(1 << 26))).cast("bigint"), 20).bitwiseOR((word + t * F.lit(40503)).bitwiseAND(low))
+        return F.when(F.col(w) > 0, F.coalesce(exact, word + F.lit(1 << 61)))
+
+    return drawn.groupBy(key, "g").agg(*(F.min(sample(j, w)).alias(f"{n}{j}") for n, w in (("a", "w0"), ("b", "w1")) for j in range(GROUP)))
 
 
 def _hex(least: str) -> Column:
@@ -65,31 +79,33 @@ def likeness(x: Column, y: Column, count: int = SAMPLES) -> Column:
     return total / F.lit(float(count))
 
 
-def fingerprint_pair(texts: DataFrame, key: str, first: str, second: str, keep: list[str], count: int = SAMPLES) -> DataFrame:
-    """(key, keep..., fingerprint, second_fingerprint) of two texts of each row; rows must already lie by key."""
-    both = texts.select(
-        key, *keep, F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col(first).alias("t")), F.struct(F.lit(1).alias("w"), F.col(second).alias("t")))).alias("s")
-    )
-    words = both.select(key, *keep, F.col("s.w").alias("w"), F.explode(F.split("s.t", BLANK)).alias("x"))
+def fingerprint_pair(texts: DataFrame, key: str, first: str, second: str, size: str, count: int = SAMPLES) -> DataFrame:
+    """(key, fingerprint, second_fingerprint) of two texts of each row; rows must already lie by key.
+
+    size: column of the first text's characters. The second is about as long.
+    """
+    each = F.array(F.struct(F.lit(0).alias("w"), F.col(first).alias("t")), F.struct(F.lit(1).alias("w"), F.col(second).alias("t")))
+    both = texts.select(key, F.col(size).alias("chars"), F.explode(each).alias("s"))
+    words = both.select(key, "chars", F.col("s.w").alias("w"), F.explode(F.split("s.t", BLANK)).alias("x"))
     term = F.when(F.col("x") != "", F.xxhash64("x"))
-    counted = words.groupBy(key, *keep, term.alias("term")).agg(
+    counted = words.groupBy(key, "chars", term.alias("term")).agg(
         F.sum(F.when(F.col("w") == 0, 1).otherwise(0)).alias("w0"), F.sum(F.col("w")).alias("w1")
     )
     some = F.col("term").isNotNull()
     w0, w1 = (F.when(some, F.col(w)).otherwise(0) for w in ("w0", "w1"))
-    a, b = samples(F.col("term"), [w0, w1], count)
-    least = counted.groupBy(key, *keep).agg(
-        *(F.min(c).alias(f"a{j}") for j, c in enumerate(a)), *(F.min(c).alias(f"b{j}") for j, c in enumerate(b))
-    )
-    return least.select(
-        key, *keep,
-        F.concat(*(_hex(f"a{j}") for j in range(count))).alias("fingerprint"),
-        F.concat(*(_hex(f"b{j}") for j in range(count))).alias("second_fingerprint"),
+    bound = F.lit(CERTAIN * CHARS_PER_WORD) / F.greatest(F.col("chars"), F.lit(1)) * F.greatest("w0", "w1")
+    weighted = counted.select(
+        key, "term", w0.alias("w0"), w1.alias("w1"), F.log(F.col("w0").cast("double")).alias("ln_w0"), F.log(F.col("w1").cast("double")).alias("ln_w1"),
+        bound.alias("bound"), F.explode(F.array(*map(F.lit, range(count // GROUP)))).alias("g"),
     )
+    least = _samples_of_group(weighted, key)
+    parts = F.struct("g", F.concat(*(_hex(f"a{j}") for j in range(GROUP))).alias("a"), F.concat(*(_hex(f"b{j}") for j in range(GROUP))).alias("b"))
+    joined = least.select(key, parts.alias("p")).groupBy(key).agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return joined.select(key, F.array_join(F.col("p.a"), "").alias("fingerprint"), F.array_join(F.col("p.b"), "").alias("second_fingerprint"))
 
 
 def _order(meta: DataFrame) -> DataFrame:
-    """(k, next_k) in the order of id and k, the last row's next the first's; no window over more than a partition."""
+    """(k, id, next_k, n) in the order of id and k, the last row's next the first's; no window over more than a partition."""
     spark = meta.sparkSession
     dealt = meta.repartitionByRange(tasks_for(spark), "id", "k").withColumn("part", F.spark_partition_id())
     dealt = materialise(dealt, "order")
@@ -101,7 +117,7 @@ def _order(meta: DataFrame) -> DataFrame:
     parts = [r["part"] for r in inner.select("part").distinct().orderBy("part").collect()]
     follow = {p: firsts[(i + 1) % len(firsts)] for i, p in enumerate(parts)}
     rows = spark.createDataFrame(list(follow.items()) or [(-1, 0)], "part int, follow long")
-    return inner.join(F.broadcast(rows), "part").select("k", F.coalesce("next_k", "follow").alias("next_k"), "n")
+    return inner.join(F.broadcast(rows), "part").select("k", "id", F.coalesce("next_k", "follow").alias("next_k"), "n")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = SAMPLES) -> DataFrame:
@@ -117,17 +133,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Who asks a document for its beginning, and how much of it.
     asks = order.select(F.col("next_k").alias("k"), F.col("k").alias("by"), F.floor(F.col("n") / 4).cast("int").alias("take"))
     n = 4 * tasks_for(spark)
-    texts = base.select("k", "id", "text").repartition(n, "k")
-    heads = texts.join(asks.hint("shuffle_hash"), "k").select(
-        F.col("by").alias("k"), F.col("k").alias("next_k"), F.col("id").alias("next_id"), F.substring("text", F.lit(1), F.col("take")).alias("head")
-    )
+    texts = base.select("k", "text").repartition(n, "k")
+    heads = texts.join(asks.hint("shuffle_hash"), "k").select(F.col("by").alias("k"), F.substring("text", F.lit(1), F.col("take")).alias("head"))
     size = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), (size - F.floor(size / 4)).cast("int")), F.col("head"))
-    pairs = texts.join(heads.hint("shuffle_hash"), "k").select(
-        "k", "next_k", "next_id", "id", size.cast("long").alias("n_chars"), "text", edited.alias("edited")
-    ).withColumn("edited_sha256", F.sha2(F.col("edited"), 256))
-    keep = ["id", "next_k", "next_id", "n_chars", "edited_sha256"]
-    found = fingerprint_pair(pairs.withColumn("edited_sha256", F.col("edited_sha256")), "k", "text", "edited", keep, count)
+    pairs = texts.join(heads.hint("shuffle_hash"), "k").select("k", size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    # Both sides read the same columns of the same exchanges, so Spark shuffles the texts once.
+    about = pairs.select("k", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"))
+    about = about.join(order.select("k", "id", "next_k").hint("shuffle_hash"), "k")
+    found = fingerprint_pair(pairs, "k", "text", "edited", "n_chars", count).join(about.hint("shuffle_hash"), "k")
     # A row goes to its own key with its fingerprint, and to the next document's with all it has, to meet the other there.
     out = [F.col(c) for c in ("id", "n_chars", "edited_sha256", "fingerprint", "second_fingerprint")]
     sent = found.select(
