@@ -25,7 +25,7 @@ from arborlane.operators.sampling import choose_columns, keep_array
 from arborlane.operators.splits import Split, best_split, leaf_weight
 from arborlane.operators.trees import Tree
 from arborlane.params import Params
-from arborlane.session import materialise, tasks_for
+from arborlane.session import materialise, release, tasks_for
 
 
 def mixed_seed(*parts: int) -> int:
@@ -211,7 +211,18 @@ class Booster:
         self.params, self.metrics, self.callbacks = params, list(metrics), list(callbacks)
         self.trees, self.weights, self.since = list(trees), list(weights), 0
         self.history: dict[str, list[dict[str, float]]] = {"train": [], "valid": []}
-        self.tasks = tasks_for(data.sparkSession)
+        p = params.histogram_parallelism
+        self.tasks = p if p > 0 else -p * tasks_for(data.sparkSession)
+        # Each task sends histograms once, so more tasks than the cluster can run at a time only send more.
+        self.readers = 3 * data.sparkSession.sparkContext.defaultParallelism
+
+    def _read(self) -> DataFrame:
+        return self.data.coalesce(self.readers)
+
+    def close(self) -> None:
+        """Delete the written tables of this fit."""
+        for table in (self.data, self.valid):
+            release(table)
 
     # -- one level -------------------------------------------------------------------------------------------------
 
@@ -237,7 +248,7 @@ class Booster:
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _hist_rows(local(batches))
 
-        hists = self.data.mapInArrow(gather, HIST)
+        hists = self._read().mapInArrow(gather, HIST)
         current = None
         if not subtract:
             def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +313,7 @@ class Booster:
             rows = [(t, n, c) for (t, n), found in gains.items() for _, c in sorted(found)[: p.top_k]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], names=["tree", "node", "col"])
 
-        counted = self.data.mapInArrow(votes, "tree int, node long, col int").groupBy("tree", "node", "col").count()
+        counted = self._read().mapInArrow(votes, "tree int, node long, col int").groupBy("tree", "node", "col").count()
         by: dict[tuple[int, int], list] = {}
         for t, n, c, k in counted.collect():  # at most partitions * top_k a node
             by.setdefault((t, n), []).append((-k, c))
@@ -333,7 +344,7 @@ class Booster:
                 g, _ = round_.gradients(weight, label, raw)
                 yield pa.RecordBatch.from_arrays([pa.array((g * g).sum(axis=1))], names=["norm"])
 
-        row = self.data.mapInArrow(norms, "norm double").agg(F.percentile_approx("norm", F.lit(1 - self.params.top_rate), 10_000)).first()
+        row = self._read().mapInArrow(norms, "norm double").agg(F.percentile_approx("norm", F.lit(1 - self.params.top_rate), 10_000)).first()
         return [row[0] if row[0] is not None else 0.0]
 
     def _root_weights(self, round_: Round) -> None:
@@ -347,7 +358,7 @@ class Booster:
                     sums[t] = sums.get(t, 0) + h.sum(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()], pa.float64()), pa.array([s[1] for s in sums.values()], pa.float64())], names=["t", "g", "h"])
 
-        for t, g, h in self.data.mapInArrow(roots, "t int, g double, h double").groupBy("t").agg(F.sum("g"), F.sum("h")).collect():
+        for t, g, h in self._read().mapInArrow(roots, "t int, g double, h double").groupBy("t").agg(F.sum("g"), F.sum("h")).collect():
             round_.new[t].nodes[1].prediction = float(leaf_weight(g, h, self.params.reg_lambda, self.params.reg_alpha))
             round_.new[t]._flat = None
 
@@ -365,7 +376,9 @@ class Booster:
         remaining, done, hists = [p.max_leaves - 1] * count, set(), None
         for depth in range(p.max_depth):
             round_.depth = depth
-            found, hists = self._level(round_, remaining, done, hists)
+            before = hists
+            found, hists = self._level(round_, remaining, done, before)
+            release(before)
             for t in range(count):
                 mine = found.get(t, {})
                 if mine:
@@ -375,6 +388,7 @@ class Booster:
                     done.add(t)
             if len(done) == count:
                 break
+        release(hists)
         new = round_.new
         if all(t.is_empty for t in new):
             return []
@@ -396,9 +410,11 @@ class Booster:
                 raw = round_.batch(rows)[3]
                 yield rows.set_column(rows.schema.get_field_index("raw"), "raw", pa.array(raw.tolist(), pa.list_(pa.float64())))
 
-        self.data = materialise(self.data.mapInArrow(scored, self.data.schema), "scored")
-        if self.valid is not None:
-            self.valid = materialise(self.valid.mapInArrow(scored, self.valid.schema), "scored")
+        for name in ("data", "valid"):
+            old = getattr(self, name)
+            if old is not None:
+                setattr(self, name, materialise(old.mapInArrow(scored, old.schema), "scored"))
+                release(old)
         self.since = len(self.trees)
 
     def evaluate(self, data: DataFrame) -> dict[str, float]:

@@ -53,7 +53,10 @@ def fit(
     held = prepare(valid, disc, feature_columns(valid, features, len(cols)), y, w, raw_base, stable, feature_array(valid, features)) if valid is not None else None
     trees, weights = (list(initial.trees), list(initial.weights)) if initial else ([], [])
     booster = Booster(data, disc, loss, raw_base, params, metrics, list(callbacks), held, trees, weights)
-    booster.run(lambda: BoostedModel(loss, disc, raw_base, list(booster.trees), list(booster.weights)))
+    try:
+        booster.run(lambda: BoostedModel(loss, disc, raw_base, list(booster.trees), list(booster.weights)))
+    finally:
+        booster.close()
     return BoostedModel(loss, disc, raw_base, booster.trees, booster.weights), booster.history
 
 

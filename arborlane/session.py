@@ -39,7 +39,18 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(df: DataFrame | None) -> None:
+    """Delete the files of a materialised table that nothing will read again."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
