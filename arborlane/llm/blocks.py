@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlane.llm.words import mix
-from arborlane.session import materialise
+from arborlane.session import materialise, release
 
 #: One for each hash of a Bloom filter.
 SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)
@@ -92,8 +92,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: a node's smaller neighbours and itself are linked to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        old = pairs
         pairs = materialise(small.unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
+        release(old)
         if now == before:
             break
         before = now
