@@ -28,6 +28,10 @@ from arborlane.params import Params
 from arborlane.session import materialise, release, tasks_for
 
 
+#: Histograms of a level that the driver may gather instead of dealing them to tasks.
+DRIVER_BYTES = 8 << 20
+
+
 def mixed_seed(*parts: int) -> int:
     x = 0x9E3779B97F4A7C15
     for p in parts:
@@ -215,6 +219,7 @@ class Booster:
         self.tasks = p if p > 0 else -p * tasks_for(data.sparkSession)
         # Each task sends histograms once, so more tasks than the cluster can run at a time only send more.
         self.readers = 3 * data.sparkSession.sparkContext.defaultParallelism
+        self.parts = min(self.readers, data.rdd.getNumPartitions())
 
     def _read(self) -> DataFrame:
         return self.data.coalesce(self.readers)
@@ -250,11 +255,15 @@ class Booster:
 
         hists = self._read().mapInArrow(gather, HIST)
         current = None
-        if not subtract:
+        if not subtract and self._few(active, columns):
+            # So few histograms that the driver adds them up in the time of starting the tasks that would.
+            table = hists.select("tree", "node", "col", "hist").toArrow()
+            rows = best(_summed(iter(table.to_batches()), size)).to_pylist()
+        elif not subtract:
             def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield best(_summed(batches, size))
 
-            rows = hists.repartition(self.tasks, "tree", "node", "col").mapInArrow(search, SPLIT)
+            rows = hists.repartition(self.tasks, "tree", "node", "col").mapInArrow(search, SPLIT).collect()
         else:
             if depth:
                 hists = hists.withColumn("node", F.shiftright("node", 1)).withColumn("kind", F.lit(1)).unionByName(parent)
@@ -284,9 +293,9 @@ class Booster:
             def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield best(_summed(batches, size))
 
-            rows = current.mapInArrow(search, SPLIT)
+            rows = current.mapInArrow(search, SPLIT).collect()
         found: dict[int, dict[int, Split]] = {}
-        for r in rows.collect():  # at most tasks * 2 ** depth rows a tree
+        for r in rows:  # at most tasks * 2 ** depth rows a tree
             s = Split(r["col"], r["missing_go"], r["is_seq"], tuple(r["data"]), r["left_first"], r["gain"], *r["stats"])
             mine = found.setdefault(r["tree"], {})
             old = mine.get(r["node"])
@@ -297,6 +306,11 @@ class Booster:
             found[t] = dict(order)
         return found, current
 
+    def _few(self, active: set, columns: list[list[int]]) -> bool:
+        """Whether all tasks' histograms of a level are within DRIVER_BYTES."""
+        cells = sum(len(columns[t]) for t, _ in active) * self.params.max_bins
+        return 16 * cells * self.parts <= DRIVER_BYTES
+
     def _vote(self, round_: Round, active: set, columns_by_node) -> set[tuple[int, int, int]]:
         """Columns that the partitions vote for: each its top_k by local gain of each node; of these the 2 * top_k of most votes."""
         p, categorical = self.params, set(self.params.cat_cols)
@@ -484,6 +498,9 @@ def prepare(df: DataFrame, discretizer: Discretizer, features: list[Column], lab
         rows = rows.mapInArrow(binned, "key long, bins array<int>, label double, weight double, raw array<double>")
     else:
         rows = df.select(key.alias("key"), discretizer.transform(features).alias("bins"), *more)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < 2 * cores:  # few files: let every core have a share
+        rows = rows.repartition(cores)
     return materialise(rows, "binned")
 
 
