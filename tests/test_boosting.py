@@ -113,6 +113,15 @@ def test_variants_learn(data, params):
         assert max(model.num_leaves) <= 4
 
 
+def test_search_in_tasks_equals_search_on_the_driver(data, monkeypatch):
+    from arborlane.plans import boosting
+
+    base, _ = _fit(data)
+    monkeypatch.setattr(boosting, "DRIVER_BYTES", 0)
+    other, _ = _fit(data)
+    np.testing.assert_allclose(_scores(data, other), _scores(data, base), rtol=1e-9)
+
+
 def test_node_hessians_add_up(data):
     model, _ = _fit(data)
     for tree in model.trees:
