@@ -35,7 +35,7 @@ from arborlane.llm.blocks import batch
 from arborlane.llm.words import Words, chunks, mix, ngrams, tidy
 from arborlane.session import materialise
 
-WORD_SIZE, FORM_SIZE = 1 << 20, 1 << 14
+WORD_SIZE, FORM_SIZE = 1 << 22, 1 << 14
 ALPHA = 1.0
 CUTS = (1.5, 2.0, 2.5, 3.0, 3.5, 4.0)
 LOST_COSTS = 4.0  # a wanted document lost counts as this many unwanted ones let through
