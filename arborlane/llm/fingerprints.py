@@ -6,6 +6,10 @@ pair (x, t) of least a. Two documents agree in a sample with the probability of
 sum of least weights over the sum of greatest. A fingerprint is ``SAMPLES`` samples of 16 bits, four hex digits each, so
 unequal samples agree by chance once in 65,535 times.
 
+The least a is exponential with the text's total weight, its number of words, as the rate, so draws whose a is certainly
+over ``CERTAIN`` over that weight are left out at first. A fingerprint with a sample whose least a is not under that bound
+is worked out anew with every draw; so each fingerprint is that of all draws and depends on the text's words alone.
+
 A draw from Gamma(2, 1) is minus the log of a product of two uniform numbers. Words are counted and sampled where their
 document lies: after one exchange of the texts by document nothing is shuffled but neighbours' beginnings and, at the
 end, the fingerprints. Every document is small against a partition, so no key is hot.
@@ -26,7 +30,7 @@ from arborlane.session import materialise, tasks_for
 SAMPLES, GROUP = 64, 4
 BITS = 21
 #: A sample's least a is under CERTAIN over the number of words but once in exp(CERTAIN), about nine million.
-CERTAIN, CHARS_PER_WORD = 16.0, 6.5
+CERTAIN = 16.0
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -36,33 +40,46 @@ def _uniform(h: Column, part: int) -> Column:
     return (bits + F.lit(0.5)) * F.lit(1.0 / (1 << BITS))
 
 
-def _samples_of_group(weighted: DataFrame, key: str) -> DataFrame:
-    """(key, g, a0.., b0..): the least of each of GROUP samples over a document's terms, for both texts.
+def _key(ln_a: Column) -> Column:
+    return ((ln_a + F.lit(256.0)) * F.lit(float(1 << 26))).cast("bigint")
+
 
-    Every term meets every group of samples, so that a row works out few samples in small generated code. The least a of
-    a document is exponential with its total weight as the rate. Where a term's a is certainly over ``bound`` its draws
-    stay null: a >= c exp(-r) / w >= (1 - v1 v2) u1 u2 / w, without logarithms, where r and c are -ln(u1 u2) and
-    -ln(v1 v2). Such a term stays behind all that are under the bound, in the order of a hash; so a sample is exact
-    wherever its a is under the bound.
+def _samples_of_group(weighted: DataFrame, key: str, certain: float | None) -> DataFrame:
+    """(key, g, a0.., b0.., exact): the least of each of GROUP samples over a document's terms, for both texts.
+
+    Every term meets every group of samples, so that a row works out few samples in small generated code. A text's bound
+    is ``certain`` over its number of words, n0 or n1. Where a term's a is certainly over the bounds of both texts its
+    draws stay null: a >= c exp(-r) / w >= (1 - v1 v2) u1 u2 / w, without logarithms, where r and c are -ln(u1 u2) and
+    -ln(v1 v2). exact: whether the least a of every sample is under its text's bound, so that no term left out is less.
+    Without ``certain`` no draw is left out.
     """
+    some_words = [F.greatest(n, F.lit(1)) for n in ("n0", "n1")]
+    bound = F.greatest(*(F.lit(certain) * F.col(w) / n for w, n in zip(("w0", "w1"), some_words, strict=True))) if certain else None
+    weighted = weighted.withColumn("bound", bound) if certain else weighted
     seed = F.col("g") * F.lit(2 * GROUP)
     cols = []
     for j in range(GROUP):
         h, g = F.xxhash64("term", seed + F.lit(2 * j)), F.xxhash64("term", seed + F.lit(2 * j + 1))
         u, v = _uniform(h, 0) * _uniform(h, 1), _uniform(g, 0) * _uniform(g, 1)
-        near = (F.lit(1.0) - v) * u < F.col("bound")
+        near = (F.lit(1.0) - v) * u < F.col("bound") if certain else F.lit(True)
         cols += [F.when(near, -F.log(u)).alias(f"r{j}"), F.when(near, F.log(-F.log(v))).alias(f"c{j}"), _uniform(h, 2).alias(f"u{j}"), F.shiftrightunsigned(g, 2 * BITS).alias(f"x{j}")]
-    drawn = weighted.select(key, "g", "w0", "w1", "ln_w0", "ln_w1", *cols)
+    drawn = weighted.select(key, "n0", "n1", "g", "w0", "w1", "ln_w0", "ln_w1", *cols)
     low = F.lit((1 << 20) - 1)
 
     def sample(j: int, w: str) -> Column:
         r, ln_c, b, word = (F.col(f"{c}{j}") for c in "rcux")
         t = F.when(F.col(w) > 1, F.floor(F.col(f"ln_{w}") / r + b)).otherwise(F.lit(0))
         ln_a = ln_c - r * (t - b + F.lit(1.0))
-        exact = F.shiftleft(((ln_a + F.lit(256.0)) * F.lit(float(1 << 26))).cast("bigint"), 20).bitwiseOR((word + t * F.lit(40503)).bitwiseAND(low))
-        return F.when(F.col(w) > 0, F.coalesce(exact, word + F.lit(1 << 61)))
+        drawn_a = F.shiftleft(_key(ln_a), 20).bitwiseOR((word + t * F.lit(40503)).bitwiseAND(low))
+        return F.when(F.col(w) > 0, F.coalesce(drawn_a, F.lit(1 << 61)))
 
-    return drawn.groupBy(key, "g").agg(*(F.min(sample(j, w)).alias(f"{n}{j}") for n, w in (("a", "w0"), ("b", "w1")) for j in range(GROUP)))
+    least = drawn.groupBy(key, "n0", "n1", "g").agg(*(F.min(sample(j, w)).alias(f"{n}{j}") for n, w in (("a", "w0"), ("b", "w1")) for j in range(GROUP)))
+    if not certain:
+        return least.withColumn("exact", F.lit(True))
+    # One step less than the bound's own, against rounding.
+    limits = [F.shiftleft(_key(F.log(F.lit(certain) / n)) - F.lit(1), 20) for n in some_words]
+    worst = [F.greatest(*(F.coalesce(F.col(f"{c}{j}"), F.lit(0)) for j in range(GROUP))) for c in "ab"]
+    return least.withColumn("exact", (worst[0] < limits[0]) & (worst[1] < limits[1]))
 
 
 def _hex(least: str) -> Column:
@@ -79,29 +96,33 @@ def likeness(x: Column, y: Column, count: int = SAMPLES) -> Column:
     return total / F.lit(float(count))
 
 
-def fingerprint_pair(texts: DataFrame, key: str, first: str, second: str, size: str, count: int = SAMPLES) -> DataFrame:
-    """(key, fingerprint, second_fingerprint) of two texts of each row; rows must already lie by key.
+def fingerprint_pair(texts: DataFrame, key: str, first: str, second: str, count: int = SAMPLES, certain: float | None = None) -> DataFrame:
+    """(key, fingerprint, second_fingerprint, exact) of two texts of each row; rows must already lie by key."""
+    blank = [F.split(t, BLANK) for t in (first, second)]
+    split = texts.select(key, blank[0].alias("x0"), blank[1].alias("x1"))
 
-    size: column of the first text's characters. The second is about as long.
-    """
-    each = F.array(F.struct(F.lit(0).alias("w"), F.col(first).alias("t")), F.struct(F.lit(1).alias("w"), F.col(second).alias("t")))
-    both = texts.select(key, F.col(size).alias("chars"), F.explode(each).alias("s"))
-    words = both.select(key, "chars", F.col("s.w").alias("w"), F.explode(F.split("s.t", BLANK)).alias("x"))
+    def number(x: str) -> Column:
+        """Words of a split text, whose first and last piece alone can be empty."""
+        ends = [F.when(F.element_at(x, at) == "", 1).otherwise(0) for at in (1, -1)]
+        return F.greatest(F.size(x) - ends[0] - ends[1], F.lit(0))
+
+    each = F.array(*(F.struct(F.lit(w).alias("w"), F.col(f"x{w}").alias("x")) for w in (0, 1)))
+    both = split.select(key, number("x0").alias("n0"), number("x1").alias("n1"), F.explode(each).alias("s"))
+    words = both.select(key, "n0", "n1", F.col("s.w").alias("w"), F.explode("s.x").alias("x"))
     term = F.when(F.col("x") != "", F.xxhash64("x"))
-    counted = words.groupBy(key, "chars", term.alias("term")).agg(
+    counted = words.groupBy(key, "n0", "n1", term.alias("term")).agg(
         F.sum(F.when(F.col("w") == 0, 1).otherwise(0)).alias("w0"), F.sum(F.col("w")).alias("w1")
     )
     some = F.col("term").isNotNull()
     w0, w1 = (F.when(some, F.col(w)).otherwise(0) for w in ("w0", "w1"))
-    bound = F.lit(CERTAIN * CHARS_PER_WORD) / F.greatest(F.col("chars"), F.lit(1)) * F.greatest("w0", "w1")
     weighted = counted.select(
-        key, "term", w0.alias("w0"), w1.alias("w1"), F.log(F.col("w0").cast("double")).alias("ln_w0"), F.log(F.col("w1").cast("double")).alias("ln_w1"),
-        bound.alias("bound"), F.explode(F.array(*map(F.lit, range(count // GROUP)))).alias("g"),
+        key, "n0", "n1", "term", w0.alias("w0"), w1.alias("w1"), F.log(F.col("w0").cast("double")).alias("ln_w0"), F.log(F.col("w1").cast("double")).alias("ln_w1"),
+        F.explode(F.array(*map(F.lit, range(count // GROUP)))).alias("g"),
     )
-    least = _samples_of_group(weighted, key)
+    least = _samples_of_group(weighted, key, certain)
     parts = F.struct("g", F.concat(*(_hex(f"a{j}") for j in range(GROUP))).alias("a"), F.concat(*(_hex(f"b{j}") for j in range(GROUP))).alias("b"))
-    joined = least.select(key, parts.alias("p")).groupBy(key).agg(F.sort_array(F.collect_list("p")).alias("p"))
-    return joined.select(key, F.array_join(F.col("p.a"), "").alias("fingerprint"), F.array_join(F.col("p.b"), "").alias("second_fingerprint"))
+    joined = least.select(key, "exact", parts.alias("p")).groupBy(key).agg(F.sort_array(F.collect_list("p")).alias("p"), F.min("exact").alias("exact"))
+    return joined.select(key, F.array_join(F.col("p.a"), "").alias("fingerprint"), F.array_join(F.col("p.b"), "").alias("second_fingerprint"), "exact")
 
 
 def _order(meta: DataFrame) -> DataFrame:
@@ -120,6 +141,21 @@ def _order(meta: DataFrame) -> DataFrame:
     return inner.join(F.broadcast(rows), "part").select("k", "id", F.coalesce("next_k", "follow").alias("next_k"), "n")
 
 
+def _found(base: DataFrame, order: DataFrame, count: int, certain: float | None) -> DataFrame:
+    """(k, id, next_k, n_chars, edited_sha256, fingerprint, second_fingerprint, exact) of every document of ``order``."""
+    # Who asks a document for its beginning, and how much of it.
+    asks = order.select(F.col("next_k").alias("k"), F.col("k").alias("by"), F.floor(F.col("n") / 4).cast("int").alias("take"))
+    texts = base.select("k", "text").repartition(4 * tasks_for(base.sparkSession), "k")
+    heads = texts.join(asks.hint("shuffle_hash"), "k").select(F.col("by").alias("k"), F.substring("text", F.lit(1), F.col("take")).alias("head"))
+    size = F.length("text")
+    edited = F.concat(F.substring("text", F.lit(1), (size - F.floor(size / 4)).cast("int")), F.col("head"))
+    pairs = texts.join(heads.hint("shuffle_hash"), "k").select("k", size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    # Both sides read the same columns of the same exchanges, so Spark shuffles the texts once.
+    about = pairs.select("k", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"))
+    about = about.join(order.select("k", "id", "next_k").hint("shuffle_hash"), "k")
+    return fingerprint_pair(pairs, "k", "text", "edited", count, certain).join(about.hint("shuffle_hash"), "k")
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = SAMPLES) -> DataFrame:
     """One row for each input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
@@ -130,18 +166,13 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if repeated:
         base = base.groupBy("k").agg(F.first("id").alias("id"), F.first("text").alias("text"))
     order = _order(meta.select("k", "id", "n"))
-    # Who asks a document for its beginning, and how much of it.
-    asks = order.select(F.col("next_k").alias("k"), F.col("k").alias("by"), F.floor(F.col("n") / 4).cast("int").alias("take"))
-    n = 4 * tasks_for(spark)
-    texts = base.select("k", "text").repartition(n, "k")
-    heads = texts.join(asks.hint("shuffle_hash"), "k").select(F.col("by").alias("k"), F.substring("text", F.lit(1), F.col("take")).alias("head"))
-    size = F.length("text")
-    edited = F.concat(F.substring("text", F.lit(1), (size - F.floor(size / 4)).cast("int")), F.col("head"))
-    pairs = texts.join(heads.hint("shuffle_hash"), "k").select("k", size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    # Both sides read the same columns of the same exchanges, so Spark shuffles the texts once.
-    about = pairs.select("k", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"))
-    about = about.join(order.select("k", "id", "next_k").hint("shuffle_hash"), "k")
-    found = fingerprint_pair(pairs, "k", "text", "edited", "n_chars", count).join(about.hint("shuffle_hash"), "k")
+    found = materialise(_found(base, order, count, CERTAIN), "found")
+    inexact = found.filter(~F.col("exact")).select("k", "next_k")
+    if inexact.limit(1).count():
+        asking = inexact.select("k")
+        needed = asking.unionByName(inexact.select(F.col("next_k").alias("k"))).distinct()
+        redone = _found(base.join(needed, "k", "left_semi"), order.join(asking, "k", "left_semi"), count, None)
+        found = found.filter("exact").unionByName(redone)
     # A row goes to its own key with its fingerprint, and to the next document's with all it has, to meet the other there.
     out = [F.col(c) for c in ("id", "n_chars", "edited_sha256", "fingerprint", "second_fingerprint")]
     sent = found.select(

@@ -195,6 +195,26 @@ def test_fingerprints(spark, docs, rows, empty):
     assert fingerprints.edited_fingerprints(docs).count() == len(rows)
 
 
+def test_fingerprints_of_long_tokens_and_blanks(spark, monkeypatch):
+    """A fingerprint depends on the words alone: not on their length, the blanks between them or the next document."""
+    rng = random.Random(11)
+    long = " ".join(f"{rng.getrandbits(4000):x}" for _ in range(12))
+    few = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    texts = [long, few, long, "next " * 500, few.replace(" ", " " * 3000), long.replace(" ", "\n\n"), few, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def run():
+        return {r["doc_id"]: r.asDict() for r in fingerprints.edited_fingerprints(df).collect()}
+
+    got = run()
+    assert got[0]["fingerprint"] == got[2]["fingerprint"] == got[5]["fingerprint"]
+    assert got[1]["fingerprint"] == got[4]["fingerprint"] == got[6]["fingerprint"]
+    # All draws, first for the samples over a bound that most are over, then for all documents.
+    for certain in (0.5, None):
+        monkeypatch.setattr(fingerprints, "CERTAIN", certain)
+        assert run() == got
+
+
 def test_fingerprint_plan_is_native(docs):
     plan = fingerprints.edited_fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
