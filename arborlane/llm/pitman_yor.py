@@ -1,15 +1,16 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Every context, the previous word hashed into ``CONTEXTS`` classes, is a restaurant; all share one parent, the unigram
+Every context, the 64-bit hash of the previous word, is a restaurant; all share one parent, the unigram
 restaurant, whose base is uniform over the training words and one unknown. A context's customers are the training tokens
 after it, and each of its tables sends a customer to the parent. Gibbs sampling takes the customers of one dish out and
 seats them again in turn: at a new table with weight (strength + discount * tables) * parent's probability, else at an old
 one with (customers - discount * tables of the dish). The predictive probabilities of several samples are averaged.
 
 Plan: tokens are dealt once by word, as sorted, packed blocks, so that all restaurants' tables of a word, its parent
-tables and its count meet in one task; what a task must know of others is customers and tables by context and a few
-totals, of fixed size. A first pass seats with totals scaled up from its own part; its counts, summed, are the totals of
-the second, which samples, averages and scores. Sums by document go back packed by block of documents.
+tables and its count meet in one task. A first pass seats with totals scaled up from its own part. Its customers and
+tables by context are added up and sent, packed, to each task that has the context; a few totals of fixed size come by the
+driver. With them the second pass, which deals the tokens again, samples, averages and scores. Sums by document go back
+packed by block of documents.
 
 Skew: words that make up more than ``HOT_SHARE`` of a run of tokens (a bounded number) are counted first and dealt by word
 and context, so that a word of any share is in all tasks; their counts are sent to the tasks.
@@ -21,21 +22,23 @@ training; repeated rows are read and scored each; an empty table gives no rows;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from arborlane.llm.blocks import batch, binary
 from arborlane.llm.words import Words, chunks, mix, tidy
-from arborlane.session import shared_dir
+from arborlane.session import materialise
 
-CONTEXTS = 1 << 16
 HOT_SHARE, HOT_WORDS = 1 / 128, 1024
 RUN_TOKENS, BUCKET_CHARS = 1_000_000, 24_000_000
+PACK_ROWS = 2_000_000
+SUMS = 8
 STRENGTH = 1.0
 BURN, SAMPLES = 2, 3
 END = np.uint64(0x8F5C28F5C28F5C29)  # stands for the end of a document
@@ -53,7 +56,7 @@ def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     before = np.empty_like(token)
     before[1:] = token[:-1]
     before[np.append(0, ends[:-1] + 1)[: min(texts, len(token))]] = END
-    return token, (mix(before) & np.uint64(CONTEXTS - 1)).astype(np.uint16), doc
+    return token, before, doc
 
 
 def _runs(batches: Iterator[pa.RecordBatch]):
@@ -104,7 +107,7 @@ def _deal(hot: np.ndarray, buckets: int):
             length = np.bincount(doc, minlength=len(ids)).astype(np.int64)
 
             def row(kind, bucket, **given):
-                blank = {c: pa.nulls(1, pa.binary()) for c in ("word", "count", "context", "doc", "held", "length")}
+                blank = {c: pa.nulls(1, pa.binary()) for c in BINARY}
                 blank |= {"ids": pa.nulls(1, pa.list_(ids.type))} | given
                 return batch(kind=pa.array([kind], pa.int32()), bucket=pa.array([bucket], pa.int32()), run=pa.array([name], pa.int64()), **blank)
 
@@ -113,7 +116,7 @@ def _deal(hot: np.ndarray, buckets: int):
             key = mix(token)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
-                key = np.where(hot[at] == token, mix(key + context.astype(np.uint64)), key)
+                key = np.where(hot[at] == token, mix(key + context), key)
             to = (key >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(token, kind="stable")
             order = order[np.argsort(to[order].astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")]
@@ -125,23 +128,28 @@ def _deal(hot: np.ndarray, buckets: int):
                 if hi > lo:
                     first = np.flatnonzero(np.append(True, token[lo + 1 : hi] != token[lo : hi - 1]))
                     count = np.diff(np.append(first, hi - lo)).astype(np.uint32)
+                    known, at = np.unique(context[lo:hi], return_inverse=True)
+                    at = at.astype(np.uint16 if len(known) < 1 << 16 else np.uint32)
                     yield row(1, b, word=pa.array([binary(token[lo:hi][first])], pa.binary()), count=pa.array([binary(count)], pa.binary()),
-                              context=pa.array([binary(context[lo:hi])], pa.binary()), doc=pa.array([binary(doc[lo:hi].astype(small))], pa.binary()),
+                              contexts=pa.array([binary(known)], pa.binary()), context=pa.array([binary(at)], pa.binary()), doc=pa.array([binary(doc[lo:hi].astype(small))], pa.binary()),
                               held=pa.array([binary(held.astype(np.uint8))], pa.binary()))
 
     return run
 
 
+BINARY = ("word", "count", "contexts", "context", "doc", "held", "length", "customers", "tables")
+
+
 def _dealt_schema(kind: T.DataType) -> T.StructType:
     out = T.StructType().add("kind", T.IntegerType()).add("bucket", T.IntegerType()).add("run", T.LongType())
-    for c in ("word", "count", "context", "doc", "held", "length"):
+    for c in BINARY:
         out = out.add(c, T.BinaryType())
     return out.add("ids", T.ArrayType(kind))
 
 
 @dataclass
 class Totals:
-    """Of the training tokens: by context customers and tables, and in all."""
+    """Of the training tokens: customers and tables of the contexts of one part, and in all."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -187,17 +195,24 @@ class _Part:
     """The tokens of one bucket."""
 
     def __init__(self, batches: Iterator[pa.RecordBatch]):
-        words, counts, contexts, docs, train, self.runs = [], [], [], [], [], []
-        self.headers, at = [], 0
+        words, counts, known, contexts, docs, train, self.runs = [], [], [], [], [], [], []
+        #: heads: rows of runs; totals: (contexts, customers, tables)
+        self.heads, self.totals, at = [], [], 0
         for rows in batches:
-            for r in rows.select([c for c in rows.schema.names if c != "ids"]).to_pylist():
-                if r["kind"] != 1:
+            for i, r in enumerate(rows.select([c for c in rows.schema.names if c != "ids"]).to_pylist()):
+                if r["kind"] == 0:
+                    self.heads.append(rows.slice(i, 1).select(["bucket", "run", "held", "length", "ids"]))
+                    continue
+                if r["kind"] == 2:
+                    self.totals.append((np.frombuffer(r["contexts"], np.uint64), np.frombuffer(r["customers"], float), np.frombuffer(r["tables"], float)))
                     continue
+                self.bucket = r["bucket"]
                 held = np.frombuffer(r["held"], np.uint8)
                 doc = np.frombuffer(r["doc"], np.uint16 if len(held) < 1 << 16 else np.uint32)
                 words.append(np.frombuffer(r["word"], np.uint64))
                 counts.append(np.frombuffer(r["count"], np.uint32))
-                contexts.append(np.frombuffer(r["context"], np.uint16))
+                known.append(np.frombuffer(r["contexts"], np.uint64))
+                contexts.append(np.frombuffer(r["context"], np.uint16 if len(known[-1]) < 1 << 16 else np.uint32))
                 docs.append(doc)
                 train.append(held[doc] == 0)
                 self.runs.append((r["run"], len(held), at, at + len(doc)))
@@ -209,12 +224,14 @@ class _Part:
         word = np.repeat(index.astype(np.int32), np.concatenate(counts))
         self.doc = docs
         self.train = np.concatenate(train)
-        key = (word.astype(np.int64) << 16) | np.concatenate(contexts)
-        del words, counts, contexts, train, index, word
+        #: contexts: hashes of the part's contexts; elsewhere a context is its place among them
+        self.contexts = np.unique(np.concatenate(known))
+        key = (word.astype(np.int64) << 32) | np.concatenate([np.searchsorted(self.contexts, k)[c] for k, c in zip(known, contexts, strict=True)])
+        del words, counts, known, contexts, train, index, word
         #: dishes: pairs of a word and a context; dish: that of each token
         pairs, self.dish = np.unique(key, return_inverse=True)
         self.dish = self.dish.astype(np.int32)
-        self.word, self.context = (pairs >> 16).astype(np.int32), (pairs & 0xFFFF).astype(np.int32)
+        self.word, self.context = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
         self.count = np.bincount(self.dish[self.train], minlength=len(pairs)).astype(float)
         self.of_word = np.bincount(self.word, weights=self.count, minlength=len(self.vocabulary))
 
@@ -233,20 +250,24 @@ class _Part:
 
 
 def _burn(buckets: int, hot: np.ndarray, seed: int):
-    """First pass: (what, key, value) counts of one part after seating with totals scaled up from it."""
+    """First pass: counts of one part after seating with totals scaled up from it.
+
+    (what, bucket, key, value, tables): of what ``context``, also those of held-out tokens alone, value is the customers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _Part(batches)
-        if part.empty or not part.train.any():
+        if part.empty:
             return
+        n = len(part.contexts)
         rng = np.random.default_rng((seed, int(part.vocabulary[0] & np.uint64(0xFFFFFFFF))))
-        customers = np.bincount(part.context, weights=part.count, minlength=CONTEXTS)
+        customers = np.bincount(part.context, weights=part.count, minlength=n)
         tables = np.minimum(part.count, 1)
         known = part.of_word > 0
         shared = np.isin(part.vocabulary, hot)
         ones, twos = (part.count == 1).sum(), (part.count == 2).sum()
         for _ in range(BURN):
-            by = np.bincount(part.context, weights=tables, minlength=CONTEXTS)
+            by = np.bincount(part.context, weights=tables, minlength=n)
             root = np.bincount(part.word, weights=tables, minlength=len(known))
             root_tables = np.minimum(root, 1).sum() if _ == 0 else root_tables.sum()
             totals = Totals(
@@ -254,23 +275,22 @@ def _burn(buckets: int, hot: np.ndarray, seed: int):
                 discount_of(ones, twos), discount_of((root == 1).sum(), (root == 2).sum()),
             )
             tables, root_tables, _p = part.sample(totals, rng, tables, np.where(shared, root * (buckets - 1), 0.0))
-        by = np.bincount(part.context, weights=tables, minlength=CONTEXTS)
+        by = np.bincount(part.context, weights=tables, minlength=n)
         root = np.bincount(part.word, weights=tables, minlength=len(known))
         single = ~shared
-        out = [("customers", np.arange(CONTEXTS), customers), ("tables", np.arange(CONTEXTS), by), ("root", np.flatnonzero(shared), root[shared])]
-        sums = [part.count.sum(), (known & single).sum(), root_tables[single].sum(), ones, twos, (root[single] == 1).sum(), (root[single] == 2).sum()]
-        out.append(("sums", np.arange(len(sums)), np.array(sums, float)))
-        for what, key, value in out:
-            key = part.vocabulary[key].view(np.int64) if what == "root" else key
-            some = value != 0
-            yield batch(what=pa.array([what] * int(some.sum()), pa.string()), key=pa.array(key[some].astype(np.int64)), value=pa.array(value[some].astype(float)))
+        out = [("root", part.vocabulary[shared].view(np.int64), root[shared], None), ("context", part.contexts.view(np.int64), customers, by)]
+        sums = [part.count.sum(), (known & single).sum(), root_tables[single].sum(), ones, twos, (root[single] == 1).sum(), (root[single] == 2).sum(), by.sum()]
+        out.append(("sums", np.arange(SUMS), np.array(sums, float), None))
+        for what, key, value, more in out:
+            more = np.zeros(len(key)) if more is None else more
+            yield batch(what=pa.array([what] * len(key), pa.string()), bucket=pa.array(np.full(len(key), part.bucket, np.int32)), key=pa.array(key), value=pa.array(value.astype(float)), tables=pa.array(more))
 
     return run
 
 
 def _totals(rows: DataFrame, hot: np.ndarray, hot_count: np.ndarray) -> tuple[Totals, np.ndarray]:
-    """At most 2 * CONTEXTS + HOT_WORDS + 7 rows come to the driver. Also the parent's customers of the hot words."""
-    found = rows.groupBy("what", "key").agg(F.sum("value").alias("value")).toPandas()
+    """At most HOT_WORDS + SUMS rows come to the driver. Also the parent's customers of the hot words."""
+    found = rows.filter("what <> 'context'").groupBy("what", "key").agg(F.sum("value").alias("value")).toPandas()
 
     def of(what: str, size: int, places=None) -> np.ndarray:
         mine, out = found[found.what == what], np.zeros(size)
@@ -278,43 +298,77 @@ def _totals(rows: DataFrame, hot: np.ndarray, hot_count: np.ndarray) -> tuple[To
         out[key if places is None else np.searchsorted(places, key.view(np.uint64))] = mine.value.to_numpy()
         return out
 
-    customers, tables, sums, hot_root = of("customers", CONTEXTS), of("tables", CONTEXTS), of("sums", 7), of("root", len(hot), hot)
+    sums, hot_root = of("sums", SUMS), of("root", len(hot), hot)
     words = sums[1] + (hot_count > 0).sum()
     root_tables = sums[2] + np.maximum(1, np.log1p(hot_root)).sum()
-    return Totals(customers, tables, sums[0], words, tables.sum(), root_tables, discount_of(sums[3], sums[4]), discount_of(sums[5], sums[6])), hot_root
+    none = np.zeros(0)
+    return Totals(none, none, sums[0], words, sums[7], root_tables, discount_of(sums[3], sums[4]), discount_of(sums[5], sums[6])), hot_root
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, key, customers, tables) rows as one packed row of kind 2 for each bucket of at least PACK_ROWS rows."""
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, key, customers, tables = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("bucket", "key", "customers", "tables"))
+        order = np.argsort(bucket, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            yield batch(
+                kind=pa.array([2], pa.int32()), bucket=pa.array(bucket[at[:1]], pa.int32()), contexts=pa.array([binary(key[at])], pa.binary()),
+                customers=pa.array([binary(customers[at])], pa.binary()), tables=pa.array([binary(tables[at])], pa.binary()),
+            )
+
+    held, rows = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            rows += b.num_rows
+        if rows >= PACK_ROWS:
+            yield from packed(held)
+            held, rows = [], 0
+    if held:
+        yield from packed(held)
 
 
-def _score(totals: Totals, hot: np.ndarray, hot_count: np.ndarray, hot_root: np.ndarray, buckets: int, seed: int):
+def _score(totals: Totals, hot: np.ndarray, hot_count: np.ndarray, hot_root: np.ndarray, buckets: int, seed: int, ids: pa.DataType):
     """Second pass: sample, average, and sum log probabilities by document of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _Part(batches)
+        for head in part.heads:
+            none = {c: pa.nulls(1, pa.binary()) for c in ("base", "score", "known")}
+            yield batch(bucket=head.column("bucket"), run=head.column("run"), **none, **{c: head.column(c) for c in ("held", "length", "ids")})
         if part.empty:
             return
+        keys, customers, tables = (np.concatenate(x) for x in zip(*part.totals, strict=True))
+        order = np.argsort(keys)
+        if not np.array_equal(keys[order], part.contexts):
+            raise RuntimeError("the totals by context are not those of the part's contexts")
+        mine = replace(totals, customers=customers[order], tables=tables[order])
         rng = np.random.default_rng((seed, 1, int(part.vocabulary[0] & np.uint64(0xFFFFFFFF))))
         tables = np.minimum(part.count, 1)
         at = np.minimum(np.searchsorted(hot, part.vocabulary), max(len(hot) - 1, 0))
         shared = hot[at] == part.vocabulary if len(hot) else np.zeros(len(part.vocabulary), bool)
         whole = np.where(shared, hot_count[at], part.of_word) if len(hot) else part.of_word
         direct, parent = np.zeros(len(part.count)), np.zeros(len(part.vocabulary))
-        inside = STRENGTH + totals.customers[part.context]
+        inside = STRENGTH + mine.customers[part.context]
         for sweep in range(1 + SAMPLES):
             own = np.bincount(part.word, weights=tables, minlength=len(part.vocabulary))
             extra = np.where(shared, np.maximum(hot_root[at] - own, 0), 0.0) if len(hot) else np.zeros(len(own))
-            tables, _, probability = part.sample(totals, rng, tables, extra)
+            tables, _, probability = part.sample(mine, rng, tables, extra)
             if sweep:
-                direct += (part.count - totals.discount * tables) / inside / SAMPLES
+                direct += (part.count - mine.discount * tables) / inside / SAMPLES
                 parent += probability / SAMPLES
-        back = (STRENGTH + totals.discount * totals.tables[part.context]) / inside
+        back = (STRENGTH + mine.discount * mine.tables[part.context]) / inside
         dish_score = np.log10(direct + back * parent[part.word])
-        dish_base = np.log10((whole[part.word] + 1) / (totals.tokens + totals.words + 1))
+        dish_base = np.log10((whole[part.word] + 1) / (mine.tokens + mine.words + 1))
         dish_known = (whole[part.word] > 0).astype(float)
         for (name, docs, lo, hi), doc in zip(part.runs, part.doc, strict=True):
             dish = part.dish[lo:hi]
             sums = [np.bincount(doc, weights=x[dish], minlength=docs) for x in (dish_base, dish_score, dish_known)]
+            none = {c: pa.nulls(1, kind) for c, kind in (("held", pa.binary()), ("length", pa.binary()), ("ids", ids))}
             yield batch(
                 bucket=pa.array([int(name % buckets)], pa.int32()), run=pa.array([name], pa.int64()), base=pa.array([binary(sums[0])], pa.binary()),
-                score=pa.array([binary(sums[1].astype(np.float32))], pa.binary()), known=pa.array([binary(sums[2].astype(np.uint32))], pa.binary()),
+                score=pa.array([binary(sums[1].astype(np.float32))], pa.binary()), known=pa.array([binary(sums[2].astype(np.uint32))], pa.binary()), **none,
             )
 
     return run
@@ -363,13 +417,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         counted = two.mapInArrow(tidy(_hot_counts(hot)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
         hot_count = np.zeros(len(hot))
         hot_count[np.searchsorted(hot, counted.word.to_numpy(np.int64).view(np.uint64))] = counted.n.to_numpy()
-    shared_dir(spark)
-    dealt = two.mapInArrow(tidy(_deal(hot, buckets)), _dealt_schema(kind)).repartitionById(buckets, F.col("bucket")).checkpoint()
-    burnt = dealt.mapInArrow(tidy(_burn(buckets, hot, seed)), "what string, key long, value double")
+    schema = _dealt_schema(kind)
+    dealt = two.mapInArrow(tidy(_deal(hot, buckets)), schema)
+    burnt = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(_burn(buckets, hot, seed)), "what string, bucket int, key long, value double, tables double")
+    burnt = materialise(burnt, "burnt")
     totals, hot_root = _totals(burnt, hot, hot_count)
-    parts = dealt.mapInArrow(tidy(_score(totals, hot, hot_count, hot_root, buckets, seed)), "bucket int, run long, base binary, score binary, known binary")
-    heads = dealt.filter("kind = 0").select("bucket", "run", "held", "length", "ids")
-    sent = parts.unionByName(heads, allowMissingColumns=True).repartitionById(buckets, F.col("bucket"))
+    # A context's rows are one for each bucket at most.
+    by = burnt.filter("what = 'context'").groupBy("key").agg(F.sum("value").alias("customers"), F.sum("tables").alias("tables"), F.collect_list("bucket").alias("at"))
+    by = by.select(F.explode("at").alias("bucket"), "key", "customers", "tables")
+    by = by.mapInArrow(tidy(_pack), "kind int, bucket int, contexts binary, customers binary, tables binary")
+    both = dealt.unionByName(by, allowMissingColumns=True).repartitionById(buckets, F.col("bucket"))
+    scored = T.StructType().add("bucket", T.IntegerType()).add("run", T.LongType())
+    for c in ("base", "score", "known", "held", "length"):
+        scored = scored.add(c, T.BinaryType())
+    scored = scored.add("ids", T.ArrayType(kind))
+    run = _score(totals, hot, hot_count, hot_root, buckets, seed, pa.list_(to_arrow_type(kind)))
+    sent = both.mapInArrow(tidy(run), scored).repartitionById(buckets, F.col("bucket"))
     out = T.StructType().add("id", kind).add("held_out", T.BooleanType())
     for c in ("n_tokens", "n_known", "train_tokens"):
         out = out.add(c, T.LongType())

@@ -242,6 +242,20 @@ def test_language_model(docs, rows, empty):
     assert pitman_yor.score(empty).count() == 0
 
 
+def test_language_model_contexts(spark):
+    """Every previous word is a restaurant of its own, whose customers reach every task."""
+    n = 70_000
+    text = " ".join(f"v{i}" for i in range(n)).encode()
+    _, context, _ = pitman_yor.token_stream(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(np.unique(context)) == n + 1
+    # After every word its own follower, four times: without classes in common the model foresees nearly all of them.
+    words = 3000
+    docs = [(i, " ".join(f"a{j} b{j}" for j in range(i % 10 * 300, i % 10 * 300 + 300))) for i in range(60)]
+    got = pitman_yor.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 60 and got[0]["train_tokens"] > words
+    assert all(r["score"] > r["base_score"] / 1.5 for r in got)
+
+
 def test_restaurant_seating():
     """The mean number of tables is that of the seating rule, worked out by its recursion."""
     rng = np.random.default_rng(0)
