@@ -3,8 +3,9 @@
 Temperature mixing: with p the sources' shares of tokens, the weights are q ~ p ** alpha. The exponent is bisected so that
 the weights meet a target entropy (in nats, as a share of the greatest possible), or so that no source is repeated more
 than a limit while every source is used whole at least once. The weights become token budgets, and budgets become
-documents: a source's documents lie in blocks by a hash, its blocks are permuted by another hash, anew in each epoch, and
-the last, partial epoch takes documents in that order while they fit the budget.
+documents: full epochs use every document of a source once; for the last, partial epoch a source's documents lie in
+blocks by a hash, its blocks are permuted by another hash, which depends on the number of full epochs, and documents are
+taken in that order while they fit the budget. Only how often a document is used is realised: no use has an order.
 
 Counting tokens is one partial aggregation by source. The partial epoch is decided from sums by (source, block), with a
 running total over blocks and then over the documents of the one block where the budget ends, so no source of any share
@@ -145,8 +146,7 @@ def _uses() -> Column:
 
 
 def usage(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None) -> DataFrame:
-    """One row for each input row: id, source, n_tokens, uses, first_position (its order within the source's first epoch,
-    as a hash), and of its source share, weight and budget."""
+    """One row for each input row: id, source, n_tokens, uses, and of its source share, weight and budget."""
     keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("named"), _key(id_col, text_col).alias("k"),
                         F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
                         F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("\x00")).alias("source"))
@@ -156,7 +156,7 @@ def usage(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str
 
 
 def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: int | None = None) -> DataFrame:
-    """The rows as often as they are used, with all their columns; texts are not shuffled."""
+    """The rows as often as they are used, with all their columns, in no order of use; texts are not shuffled."""
     names = docs.columns
     _, sources = plan(docs, target, id_col, text_col, source_col, budget)
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
