@@ -288,7 +288,7 @@ def _burn(buckets: int, hot: np.ndarray, seed: int):
     return run
 
 
-def _totals(rows: DataFrame, hot: np.ndarray, hot_count: np.ndarray) -> tuple[Totals, np.ndarray]:
+def _totals(rows: DataFrame, hot: np.ndarray, hot_count: np.ndarray, seed: int) -> tuple[Totals, np.ndarray]:
     """At most HOT_WORDS + SUMS rows come to the driver. Also the parent's customers of the hot words."""
     found = rows.filter("what <> 'context'").groupBy("what", "key").agg(F.sum("value").alias("value")).toPandas()
 
@@ -300,9 +300,12 @@ def _totals(rows: DataFrame, hot: np.ndarray, hot_count: np.ndarray) -> tuple[To
 
     sums, hot_root = of("sums", SUMS), of("root", len(hot), hot)
     words = sums[1] + (hot_count > 0).sum()
-    root_tables = sums[2] + np.maximum(1, np.log1p(hot_root)).sum()
+    root_discount = discount_of(sums[5] + (hot_root == 1).sum(), sums[6] + (hot_root == 2).sum())
+    # The parent's customers of the hot words are whole only here; they sit down once.
+    new = (STRENGTH + root_discount * (sums[2] + (hot_root > 0).sum())) / (words + 1)
+    root_tables = sums[2] + seat(hot_root, np.full(len(hot), new), root_discount, np.random.default_rng((seed, 2))).sum()
     none = np.zeros(0)
-    return Totals(none, none, sums[0], words, sums[7], root_tables, discount_of(sums[3], sums[4]), discount_of(sums[5], sums[6])), hot_root
+    return Totals(none, none, sums[0], words, sums[7], root_tables, discount_of(sums[3], sums[4]), root_discount), hot_root
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,7 +424,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     dealt = two.mapInArrow(tidy(_deal(hot, buckets)), schema)
     burnt = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(_burn(buckets, hot, seed)), "what string, bucket int, key long, value double, tables double")
     burnt = materialise(burnt, "burnt")
-    totals, hot_root = _totals(burnt, hot, hot_count)
+    totals, hot_root = _totals(burnt, hot, hot_count, seed)
     # A context's rows are one for each bucket at most.
     by = burnt.filter("what = 'context'").groupBy("key").agg(F.sum("value").alias("customers"), F.sum("tables").alias("tables"), F.collect_list("bucket").alias("at"))
     by = by.select(F.explode("at").alias("bucket"), "key", "customers", "tables")

@@ -256,6 +256,17 @@ def test_language_model_contexts(spark):
     assert all(r["score"] > r["base_score"] / 1.5 for r in got)
 
 
+def test_hot_words_sit_down(spark):
+    """The parent's tables of hot words are seated, and their words count in the parent's discount."""
+    hot = np.arange(5, dtype=np.uint64)
+    root = [1.0, 1.0, 1.0, 2.0, 5000.0]
+    rows = [("root", 0, k, n, 0.0) for k, n in enumerate(root)] + [("sums", 0, k, 0.0, 0.0) for k in range(8)]
+    burnt = spark.createDataFrame(rows, "what string, bucket int, key long, value double, tables double")
+    totals, hot_root = pitman_yor._totals(burnt, hot, np.ones(5), seed=5)
+    assert hot_root.tolist() == root and totals.root_discount == pytest.approx(0.6)
+    assert totals.root_tables == int(totals.root_tables) and 5 <= totals.root_tables < 30
+
+
 def test_restaurant_seating():
     """The mean number of tables is that of the seating rule, worked out by its recursion."""
     rng = np.random.default_rng(0)
