@@ -78,7 +78,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): label is the smallest node that links reach.
 
     Alternating large and small stars: each round is two group-bys without collecting any neighbourhood, over edges that
-    a written table holds, until no edge changes.
+    a written table holds, until no edge changes; it is an error if they still change after ``rounds``.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     pairs = materialise(pairs, "edges")
@@ -99,6 +99,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the components have not settled after {rounds} rounds")
     labels = pairs.groupBy("a").agg(F.min("b").alias("label"))
     roots = pairs.select(F.col("b").alias("a"), F.col("b").alias("label")).distinct()
     return labels.unionByName(roots).select(F.col("a").alias("node"), "label").groupBy("node").agg(F.min("label").alias("label"))

@@ -267,6 +267,13 @@ def test_hot_words_sit_down(spark):
     assert totals.root_tables == int(totals.root_tables) and 5 <= totals.root_tables < 30
 
 
+def test_components_must_settle(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settled"):
+        components(chain, rounds=1)
+    assert {r["label"] for r in components(chain).collect()} == {0}
+
+
 def test_restaurant_seating():
     """The mean number of tables is that of the seating rule, worked out by its recursion."""
     rng = np.random.default_rng(0)
