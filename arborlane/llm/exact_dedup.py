@@ -5,8 +5,10 @@ range-partition the normalised texts, Spark's external sort puts equals next to
 neighbours in full. Of equal texts the row with the most code points stays, then the smallest id.
 
 Skew: each Arrow batch first collapses its own equals, so a group of any size sends one row for each batch. The sweep
-keeps a running best of the open group, never its members, and the members meet their group again by digest, again one
-row for each batch.
+keeps a running best of the open group, never its members. Members meet their group again by digest, again one row for each
+batch; the ``HOT_GROUPS`` largest groups, a table of bounded size, are sent to the members instead.
+
+The normalised texts are worked out once and written in the shared folder.
 
 Defined results: null text counts as empty; all empty or blank texts are one group; a null id loses ties against any id;
 of rows repeated whole one stays; an empty table gives no rows; further columns are ignored by ``exact_groups`` and kept
@@ -24,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborlane.session import tasks_for
+from arborlane.session import materialise, tasks_for
 
 BLANKS = b" \t\n\x0b\x0c\r"
 WHITE = " \t\n\x0b\x0c\r"
+HOT_GROUPS = 1000
 
 
 def _bare(texts: pa.Array) -> list[bytes]:
@@ -114,6 +117,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .add("ids", T.ArrayType(kind))
         .add("chars", T.LongType()),
     )
+    collapsed = materialise(collapsed, "collapsed")
     ordered = (
         collapsed.select("bare", "digest", "batch", F.col("ids")[0].alias("best"), "chars", F.size("ids").cast("long").alias("n"))
         .repartitionByRange(tasks_for(spark), *_splitter(F.col("bare")))
@@ -127,8 +131,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .add("keep_batch", T.LongType())
         .add("group_size", T.LongType()),
     )
-    members = collapsed.select("digest", "batch", "ids").join(groups, "digest", "left")
-    return members.select(
+    groups = materialise(groups, "groups")
+    # A group in proportion to the table has a row for each batch; at most HOT_GROUPS rows of fixed size are broadcast.
+    hot = F.broadcast(groups.orderBy(F.desc("group_size"), "digest").limit(HOT_GROUPS))
+    members = collapsed.select("digest", "batch", "ids")
+    rest = members.join(hot.select("digest"), "digest", "left_anti").join(groups, "digest", "left")
+    return members.join(hot, "digest").unionByName(rest).select(
         F.posexplode("ids").alias("at", id_col), "ids", "digest", "batch", "keep_id", "keep_batch", "group_size"
     ).select(
         id_col,

@@ -25,12 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlane.session import materialise, tasks_for
+from arborlane.session import materialise, release, tasks_for
 
 SAMPLES, GROUP = 64, 4
 BITS = 21
 #: A sample's least a is under CERTAIN over the number of words but once in exp(CERTAIN), about nine million.
 CERTAIN = 16.0
+#: Keys to try before giving up; each tells all of 1e10 documents apart with a chance of about a tenth at worst.
+KEYS = 64
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -156,15 +158,34 @@ def _found(base: DataFrame, order: DataFrame, count: int, certain: float | None)
     return fingerprint_pair(pairs, "k", "text", "edited", count, certain).join(about.hint("shuffle_hash"), "k")
 
 
+def _meta(base: DataFrame, seed: int) -> tuple[DataFrame, bool, bool]:
+    """(k, id, n, rows) of every document, whether one is repeated, and whether unlike ones share a key.
+
+    A key stands for one document only if all its rows agree in a second hash; else the caller takes other keys.
+    """
+    second = F.xxhash64("text", "id", F.lit(~seed))
+    keyed = base.select("k", "id", F.length("text").alias("n"), second.alias("second")).groupBy("k")
+    meta = keyed.agg(F.first("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("rows"), (F.min("second") != F.max("second")).alias("clash"))
+    meta = materialise(meta, "meta")
+    repeated, clash = meta.agg(F.coalesce(F.max("rows"), F.lit(0)) > 1, F.coalesce(F.bool_or("clash"), F.lit(False))).first()
+    return meta, repeated, clash
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = SAMPLES) -> DataFrame:
     """One row for each input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumn("k", F.xxhash64("id", "text"))
-    meta = materialise(base.select("k", "id", F.length("text").alias("n")).groupBy("k").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("rows")), "meta")
-    repeated = meta.filter("rows > 1").limit(1).count() > 0
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    for seed in range(KEYS):
+        base = plain.withColumn("k", F.xxhash64(F.lit(seed), "id", "text"))
+        meta, repeated, clash = _meta(base, seed)
+        if not clash:
+            break
+        release(meta)
+    else:
+        raise RuntimeError("no key tells all documents apart")
     if repeated:
-        base = base.groupBy("k").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+        base = base.groupBy("k").agg(F.first("id").alias("id"), F.first("text").alias("text"))  # of one key all are alike
     order = _order(meta.select("k", "id", "n"))
     found = materialise(_found(base, order, count, CERTAIN), "found")
     inexact = found.filter(~F.col("exact")).select("k", "next_k")

@@ -5,7 +5,7 @@ A document's ids are cut into full blocks and one remainder. The histogram of re
 the restricted master by revised simplex, new columns priced by an unbounded knapsack. Patterns are rounded down, what is
 left over goes by first fit decreasing, and the patterns become intervals of ranks: the k-th piece of a class goes to the
 pattern whose interval holds k. Ranks come from counts by (class, salt) plus a row number within, so that a class of any
-size is ranked by many tasks.
+size, also one of a single row repeated, is ranked by many tasks.
 
 Lengths are rounded up to ``unit`` for the plan only; the pieces keep their length and lie without gaps, so a sequence
 can miss at most ``unit - 1`` ids for each piece besides what the plan leaves open.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborlane.session import materialise, tasks_for
+from arborlane.session import broadcast_if_small, materialise, tasks_for
 
 #: Fixed value: how byte-level BPE of this vocabulary splits a text.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -231,11 +231,11 @@ def pack(
         kind = kind.add(name, T.LongType())
     pieces = two.mapInArrow(_cut(tokenizer or default_tokenizer(), size, end_id), kind)
     n = tasks_for(spark)
-    order = F.xxhash64("id", "start", "crc")
-    pieces = pieces.withColumns(
-        {"cls": F.ceil(F.col("length") / F.lit(unit)).cast("int"), "salt": F.pmod(order, F.lit(n)).cast("int")}
+    # The salt is a hash of the piece and of its place in the input, so that repeated rows have many; it is written once.
+    pieces = pieces.withColumn("at", F.monotonically_increasing_id()).withColumns(
+        {"cls": F.ceil(F.col("length") / F.lit(unit)).cast("int"), "salt": F.pmod(F.xxhash64("id", "start", "crc", "at"), F.lit(n)).cast("int")}
     )
-    pieces = materialise(pieces, "pieces")
+    pieces = materialise(pieces.drop("at"), "pieces")
     by_salt = pieces.groupBy("cls", "salt").agg(F.count("*").alias("pieces"))
     shift = by_salt.select(
         "cls", "salt", (F.sum("pieces").over(Window.partitionBy("cls").orderBy("salt")) - F.col("pieces")).alias("shift")
@@ -249,8 +249,9 @@ def pack(
     ranked = pieces.withColumn(
         "k", F.row_number().over(Window.partitionBy("cls", "salt").orderBy(F.xxhash64("id", "start", "crc"), "id", "start"))
     )
-    # Both are bounded by the classes times salts or slots, whatever the input.
-    ranked = ranked.join(F.broadcast(shift), ["cls", "salt"]).withColumn("rank", F.col("shift") + F.col("k") - 1)
+    # Classes times salts may be many on a large cluster: beyond the limit Spark's own join finds the shift.
+    ranked = ranked.join(broadcast_if_small(shift, room * n), ["cls", "salt"]).withColumn("rank", F.col("shift") + F.col("k") - 1)
+    # Patterns are a few for each class and hold at most ``room`` slots each, whatever the input.
     placed = ranked.join(
         F.broadcast(slots.withColumnRenamed("cls", "slot_cls")),
         (F.col("cls") == F.col("slot_cls")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("lo") + F.col("n")),

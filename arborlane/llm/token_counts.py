@@ -4,8 +4,9 @@ A document's pre-tokens are its words, each with the space mark before it. The d
 trie. A node stands for a prefix and holds the best unigram score of it and the number of tokens of the best segmentation,
 computed once from the nodes above it, however many pre-tokens share the prefix; the terminal nodes' counts are what a
 document adds up. Nothing is shuffled: a batch of documents is counted where it is read, and the trie is dropped when it
-has grown to ``trie_nodes`` nodes, so memory is bounded whatever the vocabulary of the corpus. Pre-tokens longer than
-``trie_chars`` share little and run the same recurrence over a sliding row, without nodes.
+has grown to ``trie_nodes`` nodes, so memory is bounded whatever the vocabulary of the corpus: a known count stands for a
+node each. Pre-tokens longer than ``trie_chars`` bytes share little and run the same recurrence over a sliding row, without
+nodes; their counts are kept for the rows of one step alone.
 
 The pieces are those of a public SentencePiece model. It gives ranks, not probabilities, so the unigram score of the piece
 of rank i is the logarithm of a Zipf law, ``-ln(i + 1)`` less the log of the normaliser. A character that no piece covers
@@ -119,7 +120,7 @@ class Trie:
 def _counts(path: str, trie_nodes: int, trie_chars: int, rows_at_once: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(*vocabulary(path))
-        known: dict[bytes, int] = {}  # terminal counts of this trie
+        known: dict[bytes, int] = {}  # terminal counts of this trie, so at most as many as its nodes
         for rows in batches:
             words_of, tokens_of = [], []
             for at in range(0, rows.num_rows, rows_at_once):
@@ -129,12 +130,13 @@ def _counts(path: str, trie_nodes: int, trie_chars: int, rows_at_once: int = 512
                 short = sorted((SPACE + w.decode("utf-8", "replace"), w) for w in new if len(w) <= trie_chars)
                 for (_, w), n in zip(short, trie.insert([s for s, _ in short]), strict=True):
                     known[w] = n
-                for w in new:
-                    if len(w) > trie_chars:
-                        known[w] = trie.long(SPACE + w.decode("utf-8", "replace"))
+                long = {w: trie.long(SPACE + w.decode("utf-8", "replace")) for w in new if len(w) > trie_chars}
+                known.update(long)
                 count = known.__getitem__
                 words_of += map(len, split)
                 tokens_of += [sum(map(count, ws)) for ws in split]
+                for w in long:
+                    del known[w]
                 if len(trie.best) > trie_nodes:
                     trie.clear()
                     known.clear()

@@ -8,7 +8,8 @@ top, and each page asks the rules on the stack for the longest that its path sta
 Rules are sorted once on the driver, where they come from. They are sent to the tasks in blocks of at most ``block``
 rules, one sweep for each block, so that what is broadcast is bounded; a page keeps its best rule over the blocks.
 
-Skew: the range partitioning orders by key and then by a hash of the row, so pages of one host split over partitions.
+Skew: the range partitioning orders by key and then by a hash of the row's place in the input, so pages of one host, also
+repeated ones and those without an id, split over partitions.
 
 Defined results: a null url or one without ``://`` has empty host and path and fits no rule; a url that no rule fits
 gets the method's verdict, ``allow``; of rules of equal length the one with the longer host wins, then ``block``;
@@ -112,10 +113,10 @@ def judge(
     """(id, host, path, rule, verdict) of every row. rules: (verdict, host, path)."""
     url = F.col(f"`{url_col}`").cast("string")
     out = pages.select(
-        F.col(f"`{id_col}`").alias("id"), host_of(url).alias("host"), path_of(url).alias("path")
+        F.col(f"`{id_col}`").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.monotonically_increasing_id().alias("at")
     ).withColumn("hkey", host_key(F.col("host")))
     n = tasks_for(pages.sparkSession)
-    out = out.repartitionByRange(n, "hkey", F.xxhash64("id")).sortWithinPartitions("hkey")
+    out = out.repartitionByRange(n, "hkey", F.xxhash64("at")).drop("at").sortWithinPartitions("hkey")
     out = out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
     ordered = sorted(((rule_key(h), p, f"{h}{p}", v) for v, h, p in set(rules)), key=lambda r: r[0].encode())
     for i in range(0, len(ordered), block):

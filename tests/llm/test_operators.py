@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,49 @@ def test_token_counts(docs, rows, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_token_counts_keep_no_long_words(spark):
+    """Long words are counted at each step anew: what a task remembers is bounded by its trie."""
+    kept = []
+
+    class Spy(token_counts.Trie):
+        def long(self, word):
+            kept.append(word)
+            return super().long(word)
+
+    words = ["z" * 60, "short", "z" * 60]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array([" ".join(words)] * 1200)], names=["id", "text"])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_counts, "Trie", Spy)
+        out = list(token_counts._counts(token_counts.default_model(), 400_000, 48)(iter([batch])))
+    counts = out[0].column("n_tokens").to_pylist()
+    assert len(kept) == 3 and len(set(counts)) == 1  # once for each step of 512 rows
+
+
+def test_hot_groups_are_broadcast(spark, monkeypatch):
+    rows = [(i, "same text" if i % 3 else f"other {i % 8}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wide = sorted(map(tuple, exact_dedup.exact_groups(df).collect()))
+    monkeypatch.setattr(exact_dedup, "HOT_GROUPS", 1)
+    assert sorted(map(tuple, exact_dedup.exact_groups(df).collect())) == wide
+
+
+def test_fingerprint_keys_that_clash(spark, monkeypatch):
+    """Documents that share a key are told apart by other keys."""
+    df = spark.createDataFrame([(i, f"alpha beta {i} gamma delta") for i in range(40)], "doc_id long, text string")
+    right = sorted(map(tuple, fingerprints.edited_fingerprints(df).collect()))
+    plain = F.xxhash64
+
+    def few(*cols):
+        if len(cols) == 3 and cols[1] == "id" and str(cols[0]) == "Column<'0'>":
+            return F.pmod(plain(*cols), F.lit(7))
+        return plain(*cols)
+
+    monkeypatch.setattr(fingerprints.F, "xxhash64", few)
+    base = df.select(F.col("doc_id").alias("id"), "text").withColumn("k", few(F.lit(0), "id", "text"))
+    assert fingerprints._meta(base, 0)[2]
+    assert sorted(map(tuple, fingerprints.edited_fingerprints(df).collect())) == right
+
+
 def test_fingerprints(spark, docs, rows, empty):
     ordered = sorted({(i is not None, i or 0, t or "") for i, t, _ in rows if i is not None})
     got = fingerprints.edited_fingerprints(docs.filter("doc_id is not null")).collect()
