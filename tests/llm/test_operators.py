@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from arborlane.llm import exact_dedup, fingerprints, mixing, ngram_join, packing, pitman_yor, quality, substring_dedup, token_counts, url_filters
+from arborlane.llm import blocks, exact_dedup, fingerprints, mixing, ngram_join, packing, pitman_yor, quality, substring_dedup, token_counts, url_filters
 from arborlane.llm.blocks import Bloom, components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,6 +115,29 @@ def test_ngram_join(docs, rows, empty, short, family, monkeypatch):
         assert ngram_join.components_of(empty).count() == 0
 
 
+def test_keep_one_loses_no_text(spark):
+    """A row leaves for its own text, never for its id; of rows repeated whole one stays."""
+    long = " ".join(f"t{i}" for i in range(60))
+    near = long.replace("t59", "u59")
+    other = " ".join(f"o{i}" for i in range(40))
+    rows = [(1, long, "a"), (2, near, "b"), (2, other, "c"), (3, other + " end", "d"), (4, "", "e"), (4, "", "e"), (5, "lone words", "f"), (5, "lone words", "f"), (None, near, "g"), (None, "no id", "h")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id int, text string, key string"))
+    assert kept.columns == ["doc_id", "text", "key"]
+    assert sorted(kept.collect(), key=str) == sorted([(1, long, "a"), (2, other, "c"), (4, "", "e"), (4, "", "e"), (5, "lone words", "f"), (None, "no id", "h")], key=str)
+
+
+def test_classes_that_clash(docs, rows, monkeypatch):
+    """Sets that share a class get other classes."""
+    plain = ngram_join.class_of
+    monkeypatch.setattr(ngram_join, "NAMINGS", 2)
+    clash = lambda doc, value, texts, naming: plain(doc, value, texts, naming) % 5 if naming == 0 else plain(doc, value, texts, naming)
+    monkeypatch.setattr(ngram_join, "class_of", clash)
+    source = ngram_join._classes(0)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([t for _, t, _ in rows])], names=["id", "text"])
+    named = next(source(iter([batch])))
+    assert len(set(named.column("cls").to_pylist())) <= 5 < len(set(named.column("second").to_pylist()))
+
+
 def test_substring_dedup(docs, rows, empty):
     windows = Counter()
     for _, t, _ in rows:
@@ -471,6 +494,14 @@ def test_components_and_bloom(spark):
     got = {r["node"]: r["label"] for r in components(edges).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 101: 100}
     assert components(edges.limit(0)).count() == 0
+    star = [(9_000, i) for i in range(300)] + [(i, i + 1000) for i in range(300)] + [(i + 1000, 7_000 + i % 3) for i in range(0, 300, 50)] + [(5000, 5001)]
+    stars = spark.createDataFrame(star, "a long, b long")
+    expected = {x: 5000 if 5000 <= x <= 5001 else 0 for e in star for x in e}
+    assert {r["node"]: r["label"] for r in components(stars).collect()} == expected
+    with pytest.MonkeyPatch.context() as patch:  # nothing is small, a few nodes are hot
+        patch.setattr(blocks, "SMALL_TABLE", 0)
+        patch.setattr(blocks, "HOT_KEYS", 16)
+        assert {r["node"]: r["label"] for r in components(stars).collect()} == expected
     bloom = Bloom.of(spark.range(1000), "id", 14)
     keys = np.arange(-500, 3000)
     found = bloom.mask(keys)
