@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlane.session import materialise, release, tasks_for
+from arborlane.session import broadcast_if_small, materialise, release, tasks_for
 
 SAMPLES, GROUP = 64, 4
 BITS = 21
@@ -188,10 +188,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         base = base.groupBy("k").agg(F.first("id").alias("id"), F.first("text").alias("text"))  # of one key all are alike
     order = _order(meta.select("k", "id", "n"))
     found = materialise(_found(base, order, count, CERTAIN), "found")
-    inexact = found.filter(~F.col("exact")).select("k", "next_k")
-    if inexact.limit(1).count():
-        asking = inexact.select("k")
-        needed = asking.unionByName(inexact.select(F.col("next_k").alias("k"))).distinct()
+    inexact = materialise(found.filter(~F.col("exact")).select("k", "next_k"), "inexact")
+    number = inexact.count()
+    if number:
+        # Few: sent to the texts, which are then not shuffled to find those that are worked out anew.
+        asking = broadcast_if_small(inexact.select("k"), number)
+        needed = broadcast_if_small(inexact.select(F.explode(F.array("k", "next_k")).alias("k")).distinct(), 2 * number)
         redone = _found(base.join(needed, "k", "left_semi"), order.join(asking, "k", "left_semi"), count, None)
         found = found.filter("exact").unionByName(redone)
     # A row goes to its own key with its fingerprint, and to the next document's with all it has, to meet the other there.
