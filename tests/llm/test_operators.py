@@ -478,8 +478,98 @@ def test_quality(spark, empty):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, k in got.items() if k}
     assert quality.classify(docs, known.limit(0)).filter("not kept").count() == 0
     assert quality.classify(empty, known).count() == 0 and quality.accept(empty, known).count() == 0
-    half = quality.classify(docs, known, fraction=0.5).filter("kept").count()
-    assert abs(half - sum(got.values()) / 2) <= 2
+    half = quality.classify(docs, known, share=0.5).filter("kept").count()
+    assert half in (202, 203)  # of 403 rows, one of them repeated
+
+
+def test_quality_against_brute_force(spark):
+    """Ratios of counts, both signs, summed over whole texts; levels; Gumbel keys; the top k."""
+    import xxhash
+
+    rng = random.Random(4)
+    rows, labels = [], {}
+    for i in range(240):
+        words = [rng.choice(["Plain", "plain,", "word", "common", f"rare{rng.randrange(60)}"]) for _ in range(rng.randint(0, 40))]
+        if i % 4 == 0:
+            words += rng.sample(["awful", "Awfully", "nasty.", "awfulness"], 2)
+        if i % 6 == 1:
+            words = [w.upper() + "##" for w in words]
+        rows.append((i, " ".join(words)))
+        if i % 3:
+            labels[i] = (int(i % 6 != 1), int(i % 4 == 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, *x) for i, x in labels.items()], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, known)
+
+    def signed(x):
+        return x - (1 << 64) if x >= 1 << 63 else x
+
+    def grams(text):
+        ws = _words(text)
+        low = [w.translate(LOWER).encode() for w in ws]
+        for _ in range(3):
+            low = [w[:-1] if len(w) > 1 and not re.match(rb"[a-z0-9]", w[-1:]) else w for w in low]
+        one = Counter({("word", w): 1 for w in low}) | Counter({("stem", w[:5]): 1 for w in low})
+        form = [(w.encode()[-1], w[0].isupper(), w.encode()[min(1, len(w.encode()) - 1) :][:1].isupper(), k > 0 and ws[k - 1] == w) for k, w in enumerate(ws)]
+        return {"word": one, "form": Counter(zip(form, form[1:]))}
+
+    found = {t: grams(t) for _, t in rows}
+    by_text = defaultdict(list)
+    for i, t in rows:
+        if i in labels:
+            by_text[t].append(labels[i])
+    half = {t: signed(xxhash.xxh64(t.encode(), seed=42).intdigest()) >> 7 & 1 for t in by_text}
+    wanted = {"word": {t: all(x == 0 for _, x in m) for t, m in by_text.items()}, "form": {t: all(q == 1 for q, _ in m) for t, m in by_text.items()}}
+
+    def log_ratios(view, h, margin):
+        cells = {True: Counter(), False: Counter()}
+        for t in by_text:
+            if half[t] == h:
+                cells[wanted[view][t]].update(found[t][view])
+        total = {w: sum(c.values()) for w, c in cells.items()}
+        share = total[True] / (total[True] + total[False])
+        ratio = {}
+        for g in cells[True] | cells[False]:
+            a, b = cells[True][g] + 4 * share, cells[True][g] + cells[False][g] + 4
+            r = math.log(a / b / share)
+            ratio[g] = math.copysign(max(abs(r) - margin * math.sqrt(max(1 / a - 1 / b, 0)), 0), r)
+        return {t: sum(n * ratio.get(g, 0) for g, n in x[view].items()) for t, x in found.items()}
+
+    weight = {t: math.inf for _, t in rows}
+    for view, models in model.views.items():
+        tried = []
+        for margin in quality.MARGINS[view]:
+            each = [log_ratios(view, h, margin) for h in (0, 1)]
+            level, cost = [], 0
+            for h in (0, 1):  # the level is chosen on the other half
+                other = [(each[h][t], wanted[view][t]) for t in by_text if half[t] != h]
+                values = sorted({v for v, _ in other})
+                edges = [values[0] - 1, *((a + b) / 2 for a, b in zip(values, values[1:])), values[-1] + 1]
+                good, bad = sum(w for _, w in other), sum(not w for _, w in other)
+                price = {e: 4 * sum(w and v < e for v, w in other) / good + sum(not w and v >= e for v, w in other) / bad for e in edges if e < 0}
+                level.append(price)
+                cost += min(price.values())
+            tried.append((cost, margin, each, level))
+        cost, margin, each, level = min(tried, key=lambda x: x[0])
+        assert model.held_out[view][0] == margin
+        for h in (0, 1):
+            assert level[h][min(level[h], key=lambda e: abs(e - models[h].level))] == pytest.approx(min(level[h].values()))
+        for t in weight:
+            weight[t] = min(weight[t], sum(each[h][t] - models[h].level for h in (0, 1)) / 2)
+    assert set(model.views) == {"word", "form"}
+
+    def gumbel(i, t):
+        h = xxhash.xxh64((11).to_bytes(4, "little"), seed=42).intdigest()
+        h = xxhash.xxh64(t.encode(), seed=xxhash.xxh64(i.to_bytes(8, "little"), seed=h).intdigest()).intdigest()
+        return -math.log(-math.log(((h >> 11) + 0.5) * 2.0**-53))
+
+    for share, sharpness in ((None, 16.0), (0.3, 0.5)):
+        got = {r["doc_id"]: r for r in quality.classify(docs, known, share=share, sharpness=sharpness).collect()}
+        keys = {i: sharpness * weight[t] + gumbel(i, t) for i, t in rows}
+        for i, t in rows:
+            assert got[i]["log_weight"] == pytest.approx(weight[t], abs=1e-4) and got[i]["gumbel_key"] == pytest.approx(keys[i], abs=1e-2)
+        k = round(share * len(rows)) if share else sum(got[i]["log_weight"] >= 0 for i, _ in rows)
+        assert {i for i in got if got[i]["kept"]} == set(sorted(keys, key=lambda i: -got[i]["gumbel_key"])[:k])
 
 
 def test_kth_largest(spark):
