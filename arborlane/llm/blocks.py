@@ -81,16 +81,16 @@ class Bloom:
         return df.mapInArrow(run, df.schema)
 
 
-def join_hot(rows: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """``rows`` joined with ``one``, which has a row for each key and in column ``n`` how many of the ``total`` rows have it.
+def join_hot(rows: DataFrame, one: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left_anti) with ``one``, which has a row for each key and in column ``n`` how many of the ``total`` rows have it.
 
     Keys with more than one ``HOT_KEYS``-th of the rows, fewer than ``HOT_KEYS``, are sent to the rows; the rows of any other
     key meet in one task. Both tables are read twice, so they should be written ones.
     """
     limit = total // HOT_KEYS
     hot = F.broadcast(one.filter(F.col(n) > limit).drop(n))
-    rest = rows.join(hot.select(key), key, "left_anti").join(one.filter(F.col(n) <= limit).drop(n), key)
-    return rows.join(hot, key).unionByName(rest)
+    rest = rows.join(hot.select(key), key, "left_anti").join(one.filter(F.col(n) <= limit).drop(n), key, how)
+    return rest if how == "left_anti" else rows.join(hot, key).unionByName(rest)
 
 
 def _least(rows: DataFrame, size: int, made: list[DataFrame]) -> DataFrame:

@@ -371,29 +371,111 @@ def test_model_sums_to_one():
     assert p.sum() == pytest.approx(1)
 
 
+def _xx(*values):
+    """xxhash64 of longs, ints as (value, 4), and strings, as Spark chains it."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        h = xxhash.xxh64(data, seed=h).intdigest()
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _mixed(rows, q, budget, block_tokens, block_docs):
+    """Uses (id, source, tokens, epoch, block, position) by sorting everything. q: weights by source."""
+    by, seen, out = defaultdict(list), Counter(), Counter()
+    for i, t, s in rows:
+        k = _xx(*(x for x in (i, t) if x is not None))
+        seen[k] += 1
+        by[s].append((k if seen[k] == 1 else _xx(k, seen[k] - 1), len(_words(t)), i))
+    for s, units in by.items():
+        n = sum(u[1] for u in units)
+        wanted = math.floor(q[s] * budget + 1e-6 * n) if n else 0
+        epochs = wanted // n if n else 1
+        rest, blocks = wanted - epochs * n if n else 0, max(1, -(-n // block_tokens), -(-len(units) // block_docs))
+        used = Counter()
+        for epoch in range(epochs + (rest > 0)):
+            piles = defaultdict(list)
+            for u in units:
+                piles[_xx(u[0], (1, 4)) % blocks].append(u)
+            order = sorted(piles, key=lambda p: (_xx(epoch, "s" + s if s is not None else "", p), p))
+            room, full = (rest, False) if epoch == epochs else (math.inf, False)
+            for at, p in enumerate(order):
+                for place, u in enumerate(sorted(piles[p], key=lambda u: (_xx(epoch, u[0]), u[0]))):
+                    room -= u[1]
+                    full |= room < 0
+                    if not full:
+                        out[u[2], s, u[1], epoch, at, place] += 1
+                        used[u[0]] += 1
+        for u in units:
+            if not used[u[0]]:
+                out[u[2], s, u[1], None, None, None] += 1
+    return out
+
+
+@pytest.mark.parametrize("again", [1, 30])
+def test_mixing_against_brute_force(spark, again, monkeypatch):
+    rng = random.Random(again)
+    rows = [(i, " ".join(["w"] * rng.randrange(12)) or None, rng.choice(["a", "a", "a", "b", None])) for i in range(120)]
+    rows += [(500, "the same row", "a")] * again
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 9)
+    monkeypatch.setattr(mixing, "CELLS", 4)
+    columns = ("doc_id", "source", "n_tokens", "epoch", "block", "position")
+    for target, budget in ((mixing.Target(repeats=2.5), None), (mixing.Target(entropy=0.97), None), (mixing.Target(repeats=1.5), 150), (mixing.Target(repeats=1.5), 1)):
+        for most in (100_000, 0):  # sources broadcast, or large ones alone
+            monkeypatch.setattr(mixing, "SOURCES", most)
+            got = mixing.usage(df, target, budget=budget).collect()
+            weight = {r["source"]: r["weight"] for r in got}
+            total = sum(n for n in {r["source"]: r["budget"] for r in got}.values())
+            size = Counter()
+            for _, t, s in rows:
+                size[s] += len(_words(t))
+            least = max(size[s] / weight[s] for s in size)  # the budget that holds every source whole
+            expected = _mixed(rows, weight, budget or least, 40, 9)
+            assert Counter(tuple(r[c] for c in columns) for r in got) == expected
+            assert total <= (budget or least) + 1
+        mixed = mixing.mix(df, target, budget=budget)
+        assert Counter(map(tuple, mixed.collect())) == sum((Counter({(i, t, s): 1}) for i, t, s in _unrolled(rows, got)), Counter())
+
+
+def _unrolled(rows, got):
+    uses = Counter(r["doc_id"] for r in got if r["epoch"] is not None)
+    text = {i: (i, t, s) for i, t, s in rows}
+    for i, n in uses.items():
+        yield from [text[i]] * n
+
+
 def test_mixing(docs, rows, empty):
     target = mixing.Target(repeats=1.4)
     used = mixing.usage(docs, target).collect()
-    assert len(used) == len(rows) and min(r["uses"] for r in used) >= 1
+    assert {r["doc_id"] for r in used} == {i for i, _, _ in rows} and min(r["uses"] for r in used) >= 1
     per, size = Counter(), Counter()
     for r in used:
-        per[r["source"]] += r["uses"] * r["n_tokens"]
-        size[r["source"]] += r["n_tokens"]
-        assert 0 <= r["budget"]
+        per[r["source"]] += r["n_tokens"]
+    for _, t, s in rows:
+        size[s] += len(_words(t))
     for s, n in size.items():
         if n:
             assert n <= per[s] <= 1.4 * n + 1e-6
     mixed = mixing.mix(docs, target)
-    assert mixed.columns == docs.columns and mixed.count() == sum(r["uses"] for r in used)
+    assert mixed.columns == docs.columns and mixed.count() == len(used)
     even = mixing.usage(docs, mixing.Target(entropy=0.99)).collect()
     weights = {r["source"]: r["weight"] for r in even if r["n_tokens"]}
     entropy = -sum(w * math.log(w) for w in weights.values())
     assert entropy >= 0.99 * math.log(len(weights)) - 1e-6 and sum(weights.values()) == pytest.approx(1)
-    cut = mixing.usage(docs, target, budget=2000).collect()
-    assert 0 < sum(r["uses"] * r["n_tokens"] for r in cut) <= 2000
     assert mixing.usage(empty, target).count() == 0 and mixing.mix(empty, target).count() == 0
 
 
+def test_mixing_numbers_repeated_rows(spark):
+    rows = [(1, "a b c d e f g h i j", "s")] * 500 + [(i, "a b c d e f g h i j", "s") for i in range(2, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    used = mixing.usage(df, mixing.Target(repeats=2.0), budget=2000).filter("epoch is not null")
+    assert used.agg(F.sum("n_tokens")).first()[0] == 2000 and mixing.mix(df, mixing.Target(repeats=2.0), budget=2000).count() == 200
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
