@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -27,19 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def materialise(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder, in folders ``by`` a column if given, and read it back.
 
     The result has no lineage: a lost executor costs a re-read, never a recomputation, and rows that depend on the
     order of a shuffle are fixed once. The files go when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arborlane-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out._written_at = path
     return out
 
@@ -53,6 +55,12 @@ def release(df: DataFrame | None) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def collect_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that are written and gone: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
     """Hint a broadcast where the counted ``rows`` are within ``limit``; beyond it Spark's shuffle join is left to do it."""
     return F.broadcast(df) if rows <= limit else df
