@@ -1,19 +1,26 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Every context, the 64-bit hash of the previous word, is a restaurant; all share one parent, the unigram
-restaurant, whose base is uniform over the training words and one unknown. A context's customers are the training tokens
-after it, and each of its tables sends a customer to the parent. Gibbs sampling takes the customers of one dish out and
-seats them again in turn: at a new table with weight (strength + discount * tables) * parent's probability, else at an old
-one with (customers - discount * tables of the dish). The predictive probabilities of several samples are averaged.
-
-Plan: tokens are dealt once by word, as sorted, packed blocks, so that all restaurants' tables of a word, its parent
-tables and its count meet in one task. A first pass seats with totals scaled up from its own part. Its customers and
-tables by context are added up and sent, packed, to each task that has the context; a few totals of fixed size come by the
-driver. With them the second pass, which deals the tokens again, samples, averages and scores. Sums by document go back
-packed by block of documents.
+Every context, the 64-bit hash of the previous word, is a restaurant; all share one parent, the unigram restaurant, whose
+base is uniform over the training words and one unknown. A context's customers are the training tokens after it, and each of
+its tables sends a customer to the parent. In a sweep the customers of every dish (a word in a context) leave and are seated
+again one by one, at a new table with weight (strength + discount * tables of the restaurant) * parent's probability, else at
+an old one with (customers - discount * tables of the dish); then the parent's customers of every word are, likewise. Other
+dishes stand as the sweep before left them: all restaurants sit down at once, and every total is brought up to date between
+sweeps. Predictive probabilities are averaged over the sweeps after ``BURN``.
+
+Seating is exact: the first ``SINGLY`` customers draw in turn; from there the number of the next customer who opens a table
+is drawn, by inverting the probability that none has yet. Draws are hashes of sweep, context, word and place, so the result
+does not depend on how the words are dealt.
+
+Plan: tokens are dealt by word, as sorted, packed blocks, so that all dishes of a word and its parent's tables meet in one
+task. What sweeps need is written: the dishes of several customers (one customer has one table), and the words. Tables by
+context are added up in tasks that contexts are dealt to and sent back in the order they were asked for, by way of Spark and
+not the driver, which gets sums of fixed size. At the end tokens are dealt anew and scored where their word's dishes are; sums
+go back for those documents that have a token there, so a token sends one entry at most.
 
 Skew: words that make up more than ``HOT_SHARE`` of a run of tokens (a bounded number) are counted first and dealt by word
-and context, so that a word of any share is in all tasks; their counts are sent to the tasks.
+and context, so that a word of any share is in all tasks; their counts, and the parent's customers and tables of them, are
+sent to the tasks.
 
 Defined results: null text counts as empty, one end token; a word is new if no training document has it; a null id is in
 training; repeated rows are read and scored each; an empty table gives no rows; further columns are ignored.
@@ -22,7 +29,7 @@ training; repeated rows are read and scored each; an empty table gives no rows;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +39,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from arborlane.llm.blocks import batch, binary
-from arborlane.llm.words import Words, chunks, mix, tidy
-from arborlane.session import materialise
+from arborlane.llm.words import MIX_A, Words, chunks, mix, tidy
+from arborlane.session import collect_shuffles, materialise, release
 
 HOT_SHARE, HOT_WORDS = 1 / 128, 1024
 RUN_TOKENS, BUCKET_CHARS = 1_000_000, 24_000_000
-PACK_ROWS = 2_000_000
-SUMS = 8
+SUMS = 4
 STRENGTH = 1.0
-BURN, SAMPLES = 2, 3
+BURN, SAMPLES = 1, 2
+SINGLY = 16
 END = np.uint64(0x8F5C28F5C28F5C29)  # stands for the end of a document
 
 
@@ -97,7 +104,31 @@ def _hot_counts(hot: np.ndarray):
     return run
 
 
-def _deal(hot: np.ndarray, buckets: int):
+#: One shape for all packed rows: what a row is, the task it goes to, a number, and arrays.
+ARRAYS = ("a", "b", "c", "d", "e", "f")
+PACKED = "kind string, bucket int, run long, x double, " + ", ".join(f"{c} binary" for c in ARRAYS)
+
+
+def packed(kind: str, bucket: int, run: int = 0, x: float = 0.0, **arrays: np.ndarray) -> pa.RecordBatch:
+    given = {c: pa.array([binary(arrays[c])] if c in arrays else [None], pa.binary()) for c in ARRAYS}
+    return batch(kind=pa.array([kind]), bucket=pa.array([bucket], pa.int32()), run=pa.array([run], pa.int64()), x=pa.array([x], pa.float64()), **given)
+
+
+def _ints(x: np.ndarray) -> np.ndarray:
+    """In as few bytes as hold the greatest; the first byte of eight says how many."""
+    x = np.asarray(x)
+    most = int(x.max()) if len(x) else 0
+    size = next(k for k in (1, 2, 4, 8) if most < 1 << 8 * k or k == 8)
+    return np.concatenate([np.frombuffer(size.to_bytes(8, "little"), np.uint8), np.ascontiguousarray(x.astype(f"<u{size}")).view(np.uint8)])
+
+
+def _read_ints(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=8).astype(np.int64)
+
+
+def _deal(hot: np.ndarray, buckets: int, ids_type: pa.DataType):
+    """Runs of tokens, dealt by word: row ``tokens`` of each bucket, and row ``head`` of the run's documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -105,14 +136,9 @@ def _deal(hot: np.ndarray, buckets: int):
         for number, (ids, held, token, context, doc) in enumerate(_runs(batches)):
             name = part << 24 | number
             length = np.bincount(doc, minlength=len(ids)).astype(np.int64)
-
-            def row(kind, bucket, **given):
-                blank = {c: pa.nulls(1, pa.binary()) for c in BINARY}
-                blank |= {"ids": pa.nulls(1, pa.list_(ids.type))} | given
-                return batch(kind=pa.array([kind], pa.int32()), bucket=pa.array([bucket], pa.int32()), run=pa.array([name], pa.int64()), **blank)
-
-            yield row(0, int(name % buckets), ids=pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                      held=pa.array([binary(held.astype(np.uint8))], pa.binary()), length=pa.array([binary(length)], pa.binary()))
+            no_ids = pa.nulls(1, pa.list_(ids_type))
+            head = packed("head", int(name % buckets), name, a=held.astype(np.uint8), b=_ints(length))
+            yield head.append_column("ids", pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
             key = mix(token)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
@@ -121,258 +147,318 @@ def _deal(hot: np.ndarray, buckets: int):
             order = np.argsort(token, kind="stable")
             order = order[np.argsort(to[order].astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")]
             token, context, doc, to = token[order], context[order], doc[order], to[order]
-            low = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
-            small = np.uint16 if len(ids) < 1 << 16 else np.uint32
-            for b in range(buckets):
-                lo, hi = int(low[b]), int(low[b + 1])
-                if hi > lo:
-                    first = np.flatnonzero(np.append(True, token[lo + 1 : hi] != token[lo : hi - 1]))
-                    count = np.diff(np.append(first, hi - lo)).astype(np.uint32)
-                    known, at = np.unique(context[lo:hi], return_inverse=True)
-                    at = at.astype(np.uint16 if len(known) < 1 << 16 else np.uint32)
-                    yield row(1, b, word=pa.array([binary(token[lo:hi][first])], pa.binary()), count=pa.array([binary(count)], pa.binary()),
-                              contexts=pa.array([binary(known)], pa.binary()), context=pa.array([binary(at)], pa.binary()), doc=pa.array([binary(doc[lo:hi].astype(small))], pa.binary()),
-                              held=pa.array([binary(held.astype(np.uint8))], pa.binary()))
+            cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                first = np.flatnonzero(np.append(True, token[lo + 1 : hi] != token[lo : hi - 1]))
+                known, at = np.unique(context[lo:hi], return_inverse=True)
+                mine = doc[lo:hi]
+                yield packed(
+                    "tokens", int(to[lo]), name, a=token[lo:hi][first], b=_ints(np.diff(np.append(first, hi - lo))), c=known, d=_ints(at), e=_ints(mine),
+                    f=np.packbits(held[mine]),
+                ).append_column("ids", no_ids)
 
     return run
 
 
-BINARY = ("word", "count", "contexts", "context", "doc", "held", "length", "customers", "tables")
-
-
-def _dealt_schema(kind: T.DataType) -> T.StructType:
-    out = T.StructType().add("kind", T.IntegerType()).add("bucket", T.IntegerType()).add("run", T.LongType())
-    for c in BINARY:
-        out = out.add(c, T.BinaryType())
-    return out.add("ids", T.ArrayType(kind))
-
-
 @dataclass
 class Totals:
-    """Of the training tokens: customers and tables of the contexts of one part, and in all."""
+    """Of the state after a sweep: the parent's customers and tables in all, and of each hot word."""
 
-    customers: np.ndarray
-    tables: np.ndarray
-    tokens: float
+    tokens: float  # of training
     words: float  # distinct
-    root_customers: float
-    root_tables: float
     discount: float
     root_discount: float
+    hot: np.ndarray
+    root_customers: float = 0.0
+    root_tables: float = 0.0
+    hot_customers: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    hot_tables: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def of_words(self, words: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parent's customers and tables of the words of a part, whole also for hot words."""
+        if not len(self.hot) or not len(words):
+            return customers, tables
+        at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
+        shared = self.hot[at] == words
+        return np.where(shared, self.hot_customers[at], customers), np.where(shared, self.hot_tables[at], tables)
+
+    def parent(self, customers, tables, gone=0.0):
+        """The parent's probability of words; gone: customers that left."""
+        customers = customers - gone
+        base = (STRENGTH + self.root_discount * self.root_tables) / (self.words + 1)
+        return (np.maximum(customers - self.root_discount * np.minimum(tables, customers), 0) + base) / (STRENGTH + self.root_customers - gone)
+
+    def seat_root(self, customers: np.ndarray, old: np.ndarray, words: np.ndarray, sweep: int, seed: int) -> np.ndarray:
+        base, slope = 1 / (self.words + 1), self.root_discount / (self.words + 1)
+        weight = (STRENGTH + self.root_discount * (self.root_tables - old)) * base
+        return seat(customers, weight, slope, self.root_discount, mix(words ^ _salt(seed, sweep, 1)))
 
 
 def discount_of(ones: float, twos: float) -> float:
     return float(np.clip(ones / (ones + 2 * twos) if ones else 0.5, 0.05, 0.95))
 
 
-def seat(customers: np.ndarray, new_weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers left and sat down again in turn.
+def _salt(seed: int, sweep: int, level: int) -> np.uint64:
+    return mix(np.array([(seed * 1000 + sweep) * 2 + level + 1], np.uint64))[0]
 
-    new_weight: (strength + discount * tables of the restaurant) * parent's probability of the dish. Up to 64 customers sit
-    down one by one; those after them in groups of at most a sixteenth of the seated.
+
+def _draw(key: np.ndarray, place) -> np.ndarray:
+    """A number in (0, 1) for each key and place."""
+    bits = mix(key + np.atleast_1d(np.asarray(place, np.uint64)) * MIX_A)
+    return ((bits >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Log of the gamma function for x > 0, by Stirling's series eight further up."""
+    step = x.copy()
+    for k in range(1, 8):
+        step = step * (x + k)
+    y = x + 8
+    r = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y - np.log(step)
+
+
+def seat(customers: np.ndarray, weight: np.ndarray, slope, discount: float, key: np.ndarray) -> np.ndarray:
+    """Tables of each dish after its customers sat down one by one. With t tables a new one has weight + slope * t.
+
+    key: 64-bit hashes, one for each dish, that the draws come from.
     """
     tables = np.minimum(customers, 1).astype(float)
-    seated = tables.copy()
+    weight, slope = (np.broadcast_to(np.asarray(x, float), tables.shape) for x in (weight, slope))
     active = np.flatnonzero(customers > 1)
+    for seated in range(1, SINGLY):
+        if not len(active):
+            return tables
+        t = tables[active]
+        new = weight[active] + slope[active] * t
+        tables[active] = t + (_draw(key[active], seated) < new / (new + seated - discount * t))
+        active = active[customers[active] > seated + 1]
+    n = np.full(len(active), float(SINGLY))
     while len(active):
-        here = seated[active]
-        group = np.where(here < 64, 1.0, np.floor(here / 16))
-        group = np.minimum(group, customers[active] - here)
-        weight = new_weight[active]
-        chance = weight / (weight + here - discount * tables[active])
-        one = group == 1
-        new = np.empty(len(active))
-        new[one] = rng.random(int(one.sum())) < chance[one]
-        if not one.all():
-            new[~one] = rng.binomial(group[~one].astype(np.int64), chance[~one])
-        tables[active] += new
-        seated[active] = here + group
-        active = active[seated[active] < customers[active]]
+        t, c = tables[active], customers[active].astype(float)
+        new = weight[active] + slope[active] * t
+        # Nobody opens a table from customer n + 1 to m with probability exp(fall(m) - fall(n)).
+        fall = lambda m, at=slice(None): _lgamma(m - discount * t[at]) - _lgamma(m - discount * t[at] + new[at])  # noqa: B023, E731
+        limit = np.log(_draw(key[active], SINGLY + t.astype(np.int64))) + fall(n)
+        opens = fall(c) <= limit
+        active, n, c, t, new, limit = active[opens], n[opens], c[opens], t[opens], new[opens], limit[opens]
+        low, high = n.copy(), c.copy()  # the first m whose fall is at most the limit is in (low, high]
+        wide = np.flatnonzero(high - low > 1)
+        while len(wide):
+            middle = np.floor((low[wide] + high[wide]) / 2)
+            under = fall(middle, wide) <= limit[wide]
+            high[wide] = np.where(under, middle, high[wide])
+            low[wide] = np.where(under, low[wide], middle)
+            wide = wide[high[wide] - low[wide] > 1]
+        tables[active] = t + 1
+        more = high < c
+        active, n = active[more], high[more]
     return tables
 
 
 class _Part:
-    """The tokens of one bucket."""
-
-    def __init__(self, batches: Iterator[pa.RecordBatch]):
-        words, counts, known, contexts, docs, train, self.runs = [], [], [], [], [], [], []
-        #: heads: rows of runs; totals: (contexts, customers, tables)
-        self.heads, self.totals, at = [], [], 0
-        for rows in batches:
-            for i, r in enumerate(rows.select([c for c in rows.schema.names if c != "ids"]).to_pylist()):
-                if r["kind"] == 0:
-                    self.heads.append(rows.slice(i, 1).select(["bucket", "run", "held", "length", "ids"]))
-                    continue
-                if r["kind"] == 2:
-                    self.totals.append((np.frombuffer(r["contexts"], np.uint64), np.frombuffer(r["customers"], float), np.frombuffer(r["tables"], float)))
-                    continue
-                self.bucket = r["bucket"]
-                held = np.frombuffer(r["held"], np.uint8)
-                doc = np.frombuffer(r["doc"], np.uint16 if len(held) < 1 << 16 else np.uint32)
-                words.append(np.frombuffer(r["word"], np.uint64))
-                counts.append(np.frombuffer(r["count"], np.uint32))
-                known.append(np.frombuffer(r["contexts"], np.uint64))
-                contexts.append(np.frombuffer(r["context"], np.uint16 if len(known[-1]) < 1 << 16 else np.uint32))
-                docs.append(doc)
-                train.append(held[doc] == 0)
-                self.runs.append((r["run"], len(held), at, at + len(doc)))
-                at += len(doc)
-        self.empty = not words
-        if self.empty:
-            return
+    """The tokens of one bucket. Dishes are in the order of words and contexts, whatever order the rows come in."""
+
+    def __init__(self, rows: list[dict]):
+        words, counts, known, contexts, self.doc, train, self.runs, at = [], [], [], [], [], [], [], 0
+        for r in rows:
+            doc = _read_ints(r["e"])
+            words.append(np.frombuffer(r["a"], np.uint64))
+            counts.append(_read_ints(r["b"]))
+            known.append(np.frombuffer(r["c"], np.uint64))
+            contexts.append(_read_ints(r["d"]).astype(np.int32))
+            train.append(np.unpackbits(np.frombuffer(r["f"], np.uint8), count=len(doc)) == 0)
+            self.doc.append(doc.astype(np.int32))
+            self.runs.append((r["run"], at, at + len(doc)))
+            at += len(doc)
         self.vocabulary, index = np.unique(np.concatenate(words), return_inverse=True)
         word = np.repeat(index.astype(np.int32), np.concatenate(counts))
-        self.doc = docs
-        self.train = np.concatenate(train)
+        train = np.concatenate(train)
         #: contexts: hashes of the part's contexts; elsewhere a context is its place among them
         self.contexts = np.unique(np.concatenate(known))
         key = (word.astype(np.int64) << 32) | np.concatenate([np.searchsorted(self.contexts, k)[c] for k, c in zip(known, contexts, strict=True)])
-        del words, counts, known, contexts, train, index, word
+        del words, counts, known, contexts, index, word
         #: dishes: pairs of a word and a context; dish: that of each token
-        pairs, self.dish = np.unique(key, return_inverse=True)
-        self.dish = self.dish.astype(np.int32)
+        pairs, dish = np.unique(key, return_inverse=True)
+        self.dish = dish.astype(np.int32)
         self.word, self.context = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
-        self.count = np.bincount(self.dish[self.train], minlength=len(pairs)).astype(float)
+        self.count = np.bincount(self.dish[train], minlength=len(pairs))
         self.of_word = np.bincount(self.word, weights=self.count, minlength=len(self.vocabulary))
 
-    def sample(self, totals: Totals, rng, tables: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One sweep: tables of the dishes, parent's customers and parent's probability of the words.
 
-        extra: customers that the parent has of a word from other tasks.
-        """
-        root = np.bincount(self.word, weights=tables, minlength=len(self.vocabulary)) + extra
-        base = 1.0 / (totals.words + 1)
-        root_new = (STRENGTH + totals.root_discount * totals.root_tables) * base
-        root_tables = seat(root, np.full(len(root), root_new), totals.root_discount, rng)
-        parent = (root - totals.root_discount * root_tables + root_new) / (STRENGTH + totals.root_customers)
-        new = (STRENGTH + totals.discount * totals.tables[self.context]) * parent[self.word]
-        return seat(self.count, new, totals.discount, rng), root_tables, parent
+def _grouped(batches: Iterator[pa.RecordBatch]) -> dict[str, list[dict]]:
+    out: dict[str, list[dict]] = {}
+    for rows in batches:
+        for r in rows.to_pylist():
+            out.setdefault(r["kind"], []).append(r)
+    return out
 
 
-def _burn(buckets: int, hot: np.ndarray, seed: int):
-    """First pass: counts of one part after seating with totals scaled up from it.
+def _asks(kind: str, bucket: int, buckets: int, contexts: np.ndarray, values: list[np.ndarray], wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows that ask for the sums of values by context: contexts go by the range of their hash. wanted: which to answer."""
+    width = np.uint64(0xFFFFFFFFFFFFFFFF) // np.uint64(buckets) + np.uint64(1)
+    to = (contexts // width).astype(np.int64) if buckets > 1 else np.zeros(len(contexts), np.int64)
+    cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1]))[: len(to)], len(to))
+    for lo, hi in zip(cuts, cuts[1:]):
+        more = {"f": np.packbits(wanted[lo:hi])} if wanted is not None else {}
+        yield packed(kind, int(to[lo]), bucket, a=contexts[lo:hi], **{c: _ints(v[lo:hi]) for c, v in zip("bcde", values)}, **more)
 
-    (what, bucket, key, value, tables): of what ``context``, also those of held-out tokens alone, value is the customers.
-    """
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """To each row that asks, sums over all rows, in the order of its contexts."""
+    rows = [r for group in _grouped(batches).values() for r in group]
+    if not rows:
+        return
+    keys = [np.frombuffer(r["a"], np.uint64) for r in rows]
+    at = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    sums = [np.bincount(at, weights=np.concatenate([_read_ints(r[c]) for r in rows])) for c in "bcde" if rows[0][c] is not None]
+    lo = 0
+    for r, k in zip(rows, keys, strict=True):
+        mine = at[lo : lo + len(k)]
+        lo += len(k)
+        if r["f"] is not None:
+            mine = mine[np.unpackbits(np.frombuffer(r["f"], np.uint8), count=len(k)) == 1]
+        # The range, in x, puts the answers to one bucket in order.
+        yield packed("answer", int(r["run"]), x=float(r["bucket"]), **{c: _ints(s[mine]) for c, s in zip("bcde", sums)})
+
+
+def _answers(rows: list[dict], column: str) -> np.ndarray:
+    rows = sorted(rows, key=lambda r: r["x"])
+    return np.concatenate([_read_ints(r[column]) for r in rows]) if rows else np.zeros(0, np.int64)
+
+
+def _sums(values: list[float]) -> Iterator[pa.RecordBatch]:
+    for i, x in enumerate(values):
+        yield packed("sum", 0, i, float(x))
+
+
+def _root_rows(words: np.ndarray, customers: np.ndarray, tables: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The parent's customers of hot words, and sums over the others: customers, tables, words of one and of two customers."""
+    shared = np.isin(words, hot)
+    for w, n in zip(words[shared].view(np.int64).tolist(), customers[shared].tolist()):
+        yield packed("hot", 0, w, float(n))
+    yield from _sums([customers[~shared].sum(), tables[~shared].sum(), (customers[~shared] == 1).sum(), (customers[~shared] == 2).sum()])
+
+
+def _first(hot: np.ndarray, buckets: int):
+    """The first state, a table for each dish, of one bucket: rows words, many, contexts, ask0, sum, hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = _Part(batches)
-        if part.empty:
+        rows = _grouped(batches).get("tokens")
+        if not rows:
             return
+        bucket, part = rows[0]["bucket"], _Part(rows)
+        del rows
+        some = part.of_word > 0
+        place = np.cumsum(some) - 1  # of a word among those of training
+        words, count = part.vocabulary[some], part.count
+        single, many = count == 1, np.flatnonzero(count >= 2)
+        singles = np.bincount(place[part.word[single]], minlength=len(words))
+        customers = singles + np.bincount(place[part.word[many]], minlength=len(words))
+        yield packed("words", bucket, a=words, b=_ints(singles), c=_ints(customers), d=_ints(np.minimum(customers, 1)))
+        inside, at = np.unique(part.context[many], return_inverse=True)
+        yield packed("many", bucket, a=part.contexts[inside], b=_ints(place[part.word[many]]), c=_ints(at), d=_ints(count[many]), e=_ints(np.ones(len(many), np.int64)))
         n = len(part.contexts)
-        rng = np.random.default_rng((seed, int(part.vocabulary[0] & np.uint64(0xFFFFFFFF))))
-        customers = np.bincount(part.context, weights=part.count, minlength=n)
-        tables = np.minimum(part.count, 1)
-        known = part.of_word > 0
-        shared = np.isin(part.vocabulary, hot)
-        ones, twos = (part.count == 1).sum(), (part.count == 2).sum()
-        for _ in range(BURN):
-            by = np.bincount(part.context, weights=tables, minlength=n)
-            root = np.bincount(part.word, weights=tables, minlength=len(known))
-            root_tables = np.minimum(root, 1).sum() if _ == 0 else root_tables.sum()
-            totals = Totals(
-                customers * buckets, by * buckets, part.count.sum() * buckets, known.sum() * buckets, root.sum() * buckets, root_tables * buckets,
-                discount_of(ones, twos), discount_of((root == 1).sum(), (root == 2).sum()),
-            )
-            tables, root_tables, _p = part.sample(totals, rng, tables, np.where(shared, root * (buckets - 1), 0.0))
-        by = np.bincount(part.context, weights=tables, minlength=n)
-        root = np.bincount(part.word, weights=tables, minlength=len(known))
-        single = ~shared
-        out = [("root", part.vocabulary[shared].view(np.int64), root[shared], None), ("context", part.contexts.view(np.int64), customers, by)]
-        sums = [part.count.sum(), (known & single).sum(), root_tables[single].sum(), ones, twos, (root[single] == 1).sum(), (root[single] == 2).sum(), by.sum()]
-        out.append(("sums", np.arange(SUMS), np.array(sums, float), None))
-        for what, key, value, more in out:
-            more = np.zeros(len(key)) if more is None else more
-            yield batch(what=pa.array([what] * len(key), pa.string()), bucket=pa.array(np.full(len(key), part.bucket, np.int32)), key=pa.array(key), value=pa.array(value.astype(float)), tables=pa.array(more))
+        alone = np.bincount(part.context[single], minlength=n)
+        guests = np.bincount(part.context, weights=count, minlength=n)
+        yield packed("contexts", bucket, a=part.contexts, b=_ints(guests), c=_ints(alone), d=_ints(inside))
+        wanted = np.zeros(n, bool)
+        wanted[inside] = True
+        yield from _asks("ask", bucket, buckets, part.contexts, [alone, np.bincount(part.context[many], minlength=n)], wanted)
+        yield from _root_rows(words, customers, np.minimum(customers, 1), hot)
+        yield packed("sum", 0, 4, float(count.sum()))
+        yield packed("sum", 0, 5, float((~np.isin(words, hot)).sum()))
+        yield packed("sum", 0, 6, float(single.sum()))
+        yield packed("sum", 0, 7, float((count == 2).sum()))
 
     return run
 
 
-def _totals(rows: DataFrame, hot: np.ndarray, hot_count: np.ndarray, seed: int) -> tuple[Totals, np.ndarray]:
-    """At most HOT_WORDS + SUMS rows come to the driver. Also the parent's customers of the hot words."""
-    found = rows.filter("what <> 'context'").groupBy("what", "key").agg(F.sum("value").alias("value")).toPandas()
-
-    def of(what: str, size: int, places=None) -> np.ndarray:
-        mine, out = found[found.what == what], np.zeros(size)
-        key = mine.key.to_numpy()
-        out[key if places is None else np.searchsorted(places, key.view(np.uint64))] = mine.value.to_numpy()
-        return out
+def _sweep(totals: Totals, buckets: int, sweep: int, seed: int, last: bool):
+    """One sweep of one bucket: rows words and many of the new state, ask for the next one, sum and hot.
 
-    sums, hot_root = of("sums", SUMS), of("root", len(hot), hot)
-    words = sums[1] + (hot_count > 0).sum()
-    root_discount = discount_of(sums[5] + (hot_root == 1).sum(), sums[6] + (hot_root == 2).sum())
-    # The parent's customers of the hot words are whole only here; they sit down once.
-    new = (STRENGTH + root_discount * (sums[2] + (hot_root > 0).sum())) / (words + 1)
-    root_tables = sums[2] + seat(hot_root, np.full(len(hot), new), root_discount, np.random.default_rng((seed, 2))).sum()
-    none = np.zeros(0)
-    return Totals(none, none, sums[0], words, sums[7], root_tables, discount_of(sums[3], sums[4]), root_discount), hot_root
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, key, customers, tables) rows as one packed row of kind 2 for each bucket of at least PACK_ROWS rows."""
+    last: asks for all contexts (row contexts), with their customers and their tables in all sampled states (rows sampled).
+    """
 
-    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, key, customers, tables = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("bucket", "key", "customers", "tables"))
-        order = np.argsort(bucket, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            yield batch(
-                kind=pa.array([2], pa.int32()), bucket=pa.array(bucket[at[:1]], pa.int32()), contexts=pa.array([binary(key[at])], pa.binary()),
-                customers=pa.array([binary(customers[at])], pa.binary()), tables=pa.array([binary(tables[at])], pa.binary()),
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _grouped(batches)
+        if "words" not in rows:
+            return
+        w, m = rows["words"][0], rows["many"][0]
+        bucket = w["bucket"]
+        words, singles, customers, tables = np.frombuffer(w["a"], np.uint64), *(_read_ints(w[c]) for c in "bcd")
+        contexts, word, context, count, old = np.frombuffer(m["a"], np.uint64), *(_read_ints(m[c]) for c in "bcde")
+        answers = rows.get("answer", [])
+        base = _answers(answers, "b") if m["f"] is None else _read_ints(m["f"])  # dishes of one customer, in all
+        by_context = base + _answers(answers, "c" if m["f"] is None else "b")
+        whole, root_tables = totals.of_words(words, customers, tables)
+        parent = totals.parent(whole[word], root_tables[word], old)
+        weight = (STRENGTH + totals.discount * (by_context[context] - old)) * parent
+        key = mix(words[word] ^ mix(contexts[context] + _salt(seed, sweep, 0)))
+        new = seat(count, weight, totals.discount * parent, totals.discount, key).astype(np.int64)
+        customers = singles + np.bincount(word, weights=new, minlength=len(words)).astype(np.int64)
+        tables = totals.seat_root(customers, root_tables, words, sweep, seed).astype(np.int64)
+        yield packed("words", bucket, a=words, b=_ints(singles), c=_ints(customers), d=_ints(tables))
+        yield packed("many", bucket, a=contexts, b=_ints(word), c=_ints(context), d=_ints(count), e=_ints(new), f=_ints(base))
+        yield from _root_rows(words, customers, tables, totals.hot)
+        if not last:
+            yield from _asks("ask", bucket, buckets, contexts, [np.bincount(context, weights=new, minlength=len(contexts))])
+            return
+        every = rows["contexts"][0]
+        names, inside = np.frombuffer(every["a"], np.uint64), _read_ints(every["d"])
+        values = [_read_ints(every["b"])]
+        for state in [*(_read_ints(r["e"]) for r in sorted(rows.get("sampled", []), key=lambda r: r["run"])), new]:
+            sums = _read_ints(every["c"])
+            sums[inside] += np.bincount(context, weights=state, minlength=len(inside)).astype(np.int64)
+            values.append(sums)
+        yield from _asks("ask", bucket, buckets, names, values)
 
-    held, rows = [], 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            rows += b.num_rows
-        if rows >= PACK_ROWS:
-            yield from packed(held)
-            held, rows = [], 0
-    if held:
-        yield from packed(held)
+    return run
 
 
-def _score(totals: Totals, hot: np.ndarray, hot_count: np.ndarray, hot_root: np.ndarray, buckets: int, seed: int, ids: pa.DataType):
-    """Second pass: sample, average, and sum log probabilities by document of each run."""
+def _score(states: list[Totals], hot_count: np.ndarray, buckets: int, ids: pa.DataType):
+    """Average the sampled states' probabilities and sum their logs by document of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = _Part(batches)
-        for head in part.heads:
-            none = {c: pa.nulls(1, pa.binary()) for c in ("base", "score", "known")}
-            yield batch(bucket=head.column("bucket"), run=head.column("run"), **none, **{c: head.column(c) for c in ("held", "length", "ids")})
-        if part.empty:
+        held: dict[str, list[dict]] = {}
+        for rows in batches:
+            heads = np.array(rows.column("kind").to_pylist()) == "head"
+            yield rows.filter(pa.array(heads))
+            for kind, mine in _grouped(iter([rows.filter(pa.array(~heads)).drop_columns(["ids"])])).items():
+                held.setdefault(kind, []).extend(mine)
+        if "tokens" not in held:
             return
-        keys, customers, tables = (np.concatenate(x) for x in zip(*part.totals, strict=True))
-        order = np.argsort(keys)
-        if not np.array_equal(keys[order], part.contexts):
-            raise RuntimeError("the totals by context are not those of the part's contexts")
-        mine = replace(totals, customers=customers[order], tables=tables[order])
-        rng = np.random.default_rng((seed, 1, int(part.vocabulary[0] & np.uint64(0xFFFFFFFF))))
-        tables = np.minimum(part.count, 1)
-        at = np.minimum(np.searchsorted(hot, part.vocabulary), max(len(hot) - 1, 0))
-        shared = hot[at] == part.vocabulary if len(hot) else np.zeros(len(part.vocabulary), bool)
-        whole = np.where(shared, hot_count[at], part.of_word) if len(hot) else part.of_word
-        direct, parent = np.zeros(len(part.count)), np.zeros(len(part.vocabulary))
-        inside = STRENGTH + mine.customers[part.context]
-        for sweep in range(1 + SAMPLES):
-            own = np.bincount(part.word, weights=tables, minlength=len(part.vocabulary))
-            extra = np.where(shared, np.maximum(hot_root[at] - own, 0), 0.0) if len(hot) else np.zeros(len(own))
-            tables, _, probability = part.sample(mine, rng, tables, extra)
-            if sweep:
-                direct += (part.count - mine.discount * tables) / inside / SAMPLES
-                parent += probability / SAMPLES
-        back = (STRENGTH + mine.discount * mine.tables[part.context]) / inside
-        dish_score = np.log10(direct + back * parent[part.word])
-        dish_base = np.log10((whole[part.word] + 1) / (mine.tokens + mine.words + 1))
-        dish_known = (whole[part.word] > 0).astype(float)
-        for (name, docs, lo, hi), doc in zip(part.runs, part.doc, strict=True):
+        part = _Part(held.pop("tokens"))
+        answers = held.get("answer", [])
+        inside = STRENGTH + _answers(answers, "b")[part.context]
+        word, count, totals = part.word, part.count, states[0]
+        known = part.of_word > 0
+        many, mean = np.flatnonzero(count >= 2), np.zeros(len(count))
+        for i, state in enumerate(states):
+            tables = np.minimum(count, 1).astype(float)
+            customers, root_tables = np.zeros(len(known)), np.zeros(len(known))
+            for r in held.get("words", []):
+                if r["run"] == i:
+                    customers[known], root_tables[known] = _read_ints(r["c"]), _read_ints(r["d"])
+            for r in held.get("many", []):
+                if r["run"] == i:
+                    tables[many] = _read_ints(r["e"])
+            parent = state.parent(*state.of_words(part.vocabulary, customers, root_tables))
+            by_context = _answers(answers, "cde"[i])[part.context]
+            mean += (count - state.discount * tables + (STRENGTH + state.discount * by_context) * parent[word]) / inside
+        whole = part.of_word
+        if len(totals.hot):
+            at = np.minimum(np.searchsorted(totals.hot, part.vocabulary), len(totals.hot) - 1)
+            whole = np.where(totals.hot[at] == part.vocabulary, hot_count[at], whole)
+        dish_score = np.log10(mean / len(states))
+        dish_base = np.log10((whole + 1) / (totals.tokens + totals.words + 1))[word]
+        dish_known = (whole > 0)[word].astype(float)
+        no_ids = pa.nulls(1, pa.list_(ids))
+        for (name, lo, hi), doc in zip(part.runs, part.doc, strict=True):
             dish = part.dish[lo:hi]
-            sums = [np.bincount(doc, weights=x[dish], minlength=docs) for x in (dish_base, dish_score, dish_known)]
-            none = {c: pa.nulls(1, kind) for c, kind in (("held", pa.binary()), ("length", pa.binary()), ("ids", ids))}
-            yield batch(
-                bucket=pa.array([int(name % buckets)], pa.int32()), run=pa.array([name], pa.int64()), base=pa.array([binary(sums[0])], pa.binary()),
-                score=pa.array([binary(sums[1].astype(np.float32))], pa.binary()), known=pa.array([binary(sums[2].astype(np.uint32))], pa.binary()), **none,
-            )
+            some, at = np.unique(doc, return_inverse=True)
+            sums = [np.bincount(at, weights=x[dish]) for x in (dish_base, dish_score, dish_known)]
+            yield packed("part", int(name % buckets), name, a=_ints(some), b=sums[0], c=sums[1].astype(np.float32), d=_ints(sums[2])).append_column("ids", no_ids)
 
     return run
 
@@ -381,37 +467,57 @@ def _gather(train_tokens: int):
     """One partition's runs: their documents with the sums over all parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
         heads: dict[int, tuple] = {}
+        sums: dict[int, list] = {}
         for rows in batches:
-            for i in range(rows.num_rows):
-                name = rows.column("run")[i].as_py()
-                base = rows.column("base")[i].as_py()
-                if base is None:
-                    heads[name] = (rows.column("ids")[i].values, rows.column("held")[i].as_py(), rows.column("length")[i].as_py())
+            ids = rows.column("ids")
+            for i, r in enumerate(rows.drop_columns(["ids"]).to_pylist()):
+                if r["kind"] == "head":
+                    heads[r["run"]] = (ids[i].values, r["a"], r["b"])
                     continue
-                mine = [np.frombuffer(base, float), np.frombuffer(rows.column("score")[i].as_py(), np.float32).astype(float), np.frombuffer(rows.column("known")[i].as_py(), np.uint32).astype(np.int64)]
-                sums[name] = [a + b for a, b in zip(sums[name], mine, strict=True)] if name in sums else mine
+                at = _read_ints(r["a"])
+                mine = [np.frombuffer(r["b"], float), np.frombuffer(r["c"], np.float32).astype(float), _read_ints(r["d"])]
+                total = sums.setdefault(r["run"], [np.zeros(0), np.zeros(0), np.zeros(0, np.int64)])
+                for k in range(3):
+                    if len(total[k]) <= at[-1]:
+                        total[k] = np.append(total[k], np.zeros(max(int(at[-1]) + 1, 2 * len(total[k])) - len(total[k]), total[k].dtype))
+                    total[k][at] += mine[k]
         for name, (ids, held, length) in heads.items():
-            base, score, known = sums[name]
+            base, score, known = (np.append(x, np.zeros(max(len(ids) - len(x), 0), x.dtype))[: len(ids)] for x in sums[name])
             yield batch(
-                id=ids, held_out=pa.array(np.frombuffer(held, np.uint8) == 1), n_tokens=pa.array(np.frombuffer(length, np.int64)), n_known=pa.array(known),
+                id=ids, held_out=pa.array(np.frombuffer(held, np.uint8) == 1), n_tokens=pa.array(_read_ints(length)), n_known=pa.array(known),
                 train_tokens=pa.array(np.full(len(ids), train_tokens, np.int64)), base_score=pa.array(base), score=pa.array(score),
             )
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, seed: int = 5) -> DataFrame:
+def _totals(state: DataFrame, before: Totals | None, hot: np.ndarray, hot_count: np.ndarray, sweep: int, seed: int) -> Totals:
+    """Sums of a state; HOT_WORDS and a few more rows come to the driver, where the hot words' parent customers sit down."""
+    found = {(r["kind"], r["run"]): r["x"] for r in state.filter("kind in ('sum', 'hot')").groupBy("kind", "run").agg(F.sum("x").alias("x")).collect()}
+    sums = [found.get(("sum", i), 0.0) for i in range(8)]
+    customers = np.array([found.get(("hot", int(w)), 0.0) for w in hot.view(np.int64)])
+    if before is None:
+        words = sums[5] + (hot_count > 0).sum()
+        root = discount_of(sums[2] + (customers == 1).sum(), sums[3] + (customers == 2).sum())
+        before, tables = Totals(sums[4], words, discount_of(sums[6], sums[7]), root, hot), np.minimum(customers, 1.0)
+    else:
+        tables = before.seat_root(customers, before.hot_tables, hot, sweep, seed) if len(hot) else customers
+    return Totals(before.tokens, before.words, before.discount, before.root_discount, hot, sums[0] + customers.sum(), sums[1] + tables.sum(), customers, tables)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, seed: int = 5, buckets: int | None = None) -> DataFrame:
     """One row for each input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
+    arrow = to_arrow_type(kind)
     two = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"),
         F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % modulus == held, F.lit(False)).alias("held_out"),
     )
-    chars = two.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    buckets = max(8, -(-chars // BUCKET_CHARS))
+    if buckets is None:
+        chars = two.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        buckets = max(8, -(-chars // BUCKET_CHARS))
     often = two.mapInArrow(tidy(_hot), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     often = often.orderBy(F.desc("n"), "word").limit(HOT_WORDS).toPandas()
     hot = np.sort(often.word.to_numpy(np.int64).view(np.uint64))
@@ -420,22 +526,42 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         counted = two.mapInArrow(tidy(_hot_counts(hot)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
         hot_count = np.zeros(len(hot))
         hot_count[np.searchsorted(hot, counted.word.to_numpy(np.int64).view(np.uint64))] = counted.n.to_numpy()
-    schema = _dealt_schema(kind)
-    dealt = two.mapInArrow(tidy(_deal(hot, buckets)), schema)
-    burnt = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(_burn(buckets, hot, seed)), "what string, bucket int, key long, value double, tables double")
-    burnt = materialise(burnt, "burnt")
-    totals, hot_root = _totals(burnt, hot, hot_count, seed)
-    # A context's rows are one for each bucket at most.
-    by = burnt.filter("what = 'context'").groupBy("key").agg(F.sum("value").alias("customers"), F.sum("tables").alias("tables"), F.collect_list("bucket").alias("at"))
-    by = by.select(F.explode("at").alias("bucket"), "key", "customers", "tables")
-    by = by.mapInArrow(tidy(_pack), "kind int, bucket int, contexts binary, customers binary, tables binary")
-    both = dealt.unionByName(by, allowMissingColumns=True).repartitionById(buckets, F.col("bucket"))
-    scored = T.StructType().add("bucket", T.IntegerType()).add("run", T.LongType())
-    for c in ("base", "score", "known", "held", "length"):
-        scored = scored.add(c, T.BinaryType())
-    scored = scored.add("ids", T.ArrayType(kind))
-    run = _score(totals, hot, hot_count, hot_root, buckets, seed, pa.list_(to_arrow_type(kind)))
-    sent = both.mapInArrow(tidy(run), scored).repartitionById(buckets, F.col("bucket"))
+    with_ids = T._parse_datatype_string(PACKED).add("ids", T.ArrayType(kind))
+    dealt = two.mapInArrow(tidy(_deal(hot, buckets, arrow)), with_ids)
+
+    def met(rows: DataFrame, run, schema=PACKED) -> DataFrame:
+        return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(run), schema)
+
+    def of(rows: DataFrame, *kinds: str) -> DataFrame:
+        return rows.filter(F.col("kind").isin(*kinds))
+
+    first = materialise(met(of(dealt, "tokens").drop("ids"), _first(hot, buckets)), "state", by="kind")
+    totals, state, old = _totals(first, None, hot, hot_count, 0, seed), first, []
+    sampled: list[tuple[Totals, DataFrame]] = []
+    for sweep in range(1, BURN + SAMPLES + 1):
+        last = sweep == BURN + SAMPLES
+        answers = materialise(met(of(state, "ask"), _answer), "answers")
+        rows = of(state, "words", "many").unionByName(answers)
+        if last:
+            rows = rows.unionByName(of(first, "contexts"))
+            for i, (_, table) in enumerate(sampled):
+                rows = rows.unionByName(of(table, "many").withColumns({"kind": F.lit("sampled"), "run": F.lit(i).cast("long")}))
+        state = materialise(met(rows, _sweep(totals, buckets, sweep, seed, last)), "state", by="kind")
+        totals = _totals(state, totals, hot, hot_count, sweep, seed)
+        for table in [*old, answers]:
+            release(table)
+        old = []
+        if sweep > BURN:
+            sampled.append((totals, state))
+        else:
+            old = [state]
+        collect_shuffles(spark)
+    release(first)
+    answers = materialise(met(of(state, "ask"), _answer), "answers")
+    rows = dealt.unionByName(answers, allowMissingColumns=True)
+    for i, (_, table) in enumerate(sampled):
+        rows = rows.unionByName(of(table, "words", "many").withColumn("run", F.lit(i).cast("long")), allowMissingColumns=True)
+    sent = met(rows, _score([t for t, _ in sampled], hot_count, buckets, arrow), with_ids).repartitionById(buckets, F.col("bucket"))
     out = T.StructType().add("id", kind).add("held_out", T.BooleanType())
     for c in ("n_tokens", "n_known", "train_tokens"):
         out = out.add(c, T.LongType())

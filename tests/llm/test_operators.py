@@ -323,17 +323,6 @@ def test_language_model_contexts(spark):
     assert all(r["score"] > r["base_score"] / 1.5 for r in got)
 
 
-def test_hot_words_sit_down(spark):
-    """The parent's tables of hot words are seated, and their words count in the parent's discount."""
-    hot = np.arange(5, dtype=np.uint64)
-    root = [1.0, 1.0, 1.0, 2.0, 5000.0]
-    rows = [("root", 0, k, n, 0.0) for k, n in enumerate(root)] + [("sums", 0, k, 0.0, 0.0) for k in range(8)]
-    burnt = spark.createDataFrame(rows, "what string, bucket int, key long, value double, tables double")
-    totals, hot_root = pitman_yor._totals(burnt, hot, np.ones(5), seed=5)
-    assert hot_root.tolist() == root and totals.root_discount == pytest.approx(0.6)
-    assert totals.root_tables == int(totals.root_tables) and 5 <= totals.root_tables < 30
-
-
 def test_components_must_settle(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError, match="settled"):
@@ -341,34 +330,203 @@ def test_components_must_settle(spark):
     assert {r["label"] for r in components(chain).collect()} == {0}
 
 
-def test_restaurant_seating():
-    """The mean number of tables is that of the seating rule, worked out by its recursion."""
-    rng = np.random.default_rng(0)
-    n, weight, d = 40, 3.0, 0.5
-    tables = np.zeros((n + 1, n + 1))
-    tables[1, 1] = 1
+@pytest.mark.parametrize("n,weight,slope", [(2, 0.4, 0.0), (12, 3.0, 0.2), (150, 3.0, 0.0), (150, 0.05, 0.3), (700, 40.0, 0.01)])
+def test_restaurant_seating(n, weight, slope):
+    """The distribution of tables is that of the seating rule, worked out by its recursion, before and after SINGLY."""
+    d, each = 0.5, 40_000
+    tables = np.zeros(n + 2)
+    tables[1] = 1
+    t = np.arange(n + 2)
     for seated in range(1, n):
-        for t in range(1, seated + 1):
-            p = weight / (weight + seated - d * t)
-            tables[seated + 1, t + 1] += tables[seated, t] * p
-            tables[seated + 1, t] += tables[seated, t] * (1 - p)
-    expected = (tables[n] * np.arange(n + 1)).sum()
-    got = pitman_yor.seat(np.full(20_000, float(n)), np.full(20_000, weight), d, rng)
-    assert got.mean() == pytest.approx(expected, rel=0.02) and pitman_yor.seat(np.array([0.0, 1.0]), np.ones(2), d, rng).tolist() == [0, 1]
-
-
-def test_model_sums_to_one():
-    """Direct part plus the rest times the parent is a distribution over the known words and one unknown."""
-    rng = np.random.default_rng(1)
-    count = rng.integers(0, 5, 30).astype(float)
-    d, rd, v = 0.6, 0.5, 30
-    tables = pitman_yor.seat(count, np.full(30, 0.4), d, rng)
-    root_new = (1 + rd * 9) / (v + 1)
-    root_tables = np.minimum(tables, 1)
-    parent = np.append((tables - rd * root_tables + (1 + rd * root_tables.sum()) / (v + 1)), (1 + rd * root_tables.sum()) / (v + 1)) / (1 + tables.sum())
-    assert parent.sum() == pytest.approx(1) and root_new > 0
-    p = np.append(count - d * tables, 0) / (1 + count.sum()) + (1 + d * tables.sum()) / (1 + count.sum()) * parent
-    assert p.sum() == pytest.approx(1)
+        new = np.where(tables > 0, (weight + slope * t) / (weight + slope * t + seated - d * t), 0)
+        tables[1:] = tables[1:] * (1 - new[1:]) + tables[:-1] * new[:-1]
+    keys = pitman_yor.mix(np.arange(each, dtype=np.uint64) + np.uint64(n))
+    got = pitman_yor.seat(np.full(each, n), np.full(each, weight), slope, d, keys)
+    mean = (tables * t).sum()
+    spread = math.sqrt((tables * (t - mean) ** 2).sum())
+    assert got.mean() == pytest.approx(mean, abs=5 * spread / math.sqrt(each) + 1e-9) and got.std() == pytest.approx(spread, rel=0.03, abs=1e-9)
+    assert pitman_yor.seat(np.array([0, 1]), np.ones(2), 0.0, d, keys[:2]).tolist() == [0, 1]
+
+
+def test_lgamma():
+    x = np.concatenate([np.geomspace(1e-3, 1e6, 200), np.arange(1, 60) / 2])
+    np.testing.assert_allclose(pitman_yor._lgamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-11)
+
+
+def _stream(rows):
+    """(id, held out, [(context, word)]) with words as text and None for an end."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    out = []
+    for i, t, *_ in rows:
+        ws = [*_words(t, True), None]
+        out.append((i, held(i), list(zip([None, *ws[:-1]], ws))))
+    return out
+
+
+def _hashes(words):
+    """The hash of each word, and of the end."""
+    text = " ".join(words).encode()
+    token, _, _ = pitman_yor.token_stream(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    return dict(zip([*words, None], token.tolist()))
+
+
+def _plain_model(rows, seed=5):
+    """The same sweeps, a dish and a customer at a time. (probability of each (context, word) as a function)."""
+    stream = _stream(rows)
+    count = Counter(p for _, out, pairs in stream if not out for p in pairs)
+    h = _hashes(sorted({w for _, _, pairs in stream for p in pairs for w in p if w is not None}))
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return x ^ x >> 31
+
+    def draw(key, place):
+        return ((mix((key + place * 0xBF58476D1CE4E5B9) & mask) >> 11) + 0.5) * 2.0**-53
+
+    def salt(sweep, level):
+        return mix((seed * 1000 + sweep) * 2 + level + 1)
+
+    def seat(n, weight, slope, d, key):
+        t = seated = min(n, 1)
+        none, limit = 1.0, 0.0
+        while seated < n:
+            p = (weight + slope * t) / (weight + slope * t + seated - d * t)
+            if seated < pitman_yor.SINGLY:
+                new = draw(key, seated) < p
+            else:  # the probability that none has opened a table since the last falls under a draw
+                if none == 1.0:
+                    limit = draw(key, pitman_yor.SINGLY + t)
+                none *= 1 - p
+                new = none <= limit
+            seated += 1
+            if new:
+                t, none = t + 1, 1.0
+        return t
+
+    strength = 1.0
+    discount = pitman_yor.discount_of(sum(n == 1 for n in count.values()), sum(n == 2 for n in count.values()))
+    tables = {p: 1 for p in count}
+    root = Counter(w for _, w in count)
+    root_tables = {w: 1 for w in root}
+    root_discount = pitman_yor.discount_of(sum(n == 1 for n in root.values()), sum(n == 2 for n in root.values()))
+    guests = Counter()
+    for (u, _), n in count.items():
+        guests[u] += n
+    total = sum(count.values())
+    words, samples = len(root), []
+
+    def parent_of(state, w, gone=0):
+        root, root_tables = state
+        n, t = root.get(w, 0) - gone, root_tables.get(w, 0)
+        base = (strength + root_discount * sum(root_tables.values())) / (words + 1)
+        return (max(n - root_discount * min(t, n), 0) + base) / (strength + sum(root.values()) - gone)
+
+    for sweep in range(1, pitman_yor.BURN + pitman_yor.SAMPLES + 1):
+        by = Counter()
+        for (u, _), n in tables.items():
+            by[u] += n
+        new = {}
+        for (u, w), n in count.items():
+            parent = parent_of((root, root_tables), w, tables[u, w])
+            key = mix(h[w] ^ mix((h[u] + salt(sweep, 0)) & mask))
+            new[u, w] = seat(n, (strength + discount * (by[u] - tables[u, w])) * parent, discount * parent, discount, key)
+        tables, root = new, Counter()
+        for (_, w), n in tables.items():
+            root[w] += n
+        all_tables = sum(root_tables.values())
+        root_tables = {w: seat(n, (strength + root_discount * (all_tables - root_tables[w])) / (words + 1), root_discount / (words + 1), root_discount, mix(h[w] ^ salt(sweep, 1))) for w, n in root.items()}
+        if sweep > pitman_yor.BURN:
+            samples.append((tables, root, root_tables))
+
+    def probability(u, w):
+        out = 0.0
+        for tables, root, root_tables in samples:
+            by = sum(n for (c, _), n in tables.items() if c == u)
+            out += (count.get((u, w), 0) - discount * tables.get((u, w), 0) + (strength + discount * by) * parent_of((root, root_tables), w)) / (strength + guests[u])
+        return out / len(samples)
+
+    return stream, count, total, words, discount, root_discount, probability
+
+
+def _tiny(n=40):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(12)]
+    return [(i, " ".join(vocabulary[min(int(rng.expovariate(0.4)), 11)] for _ in range(rng.randint(0, 30)))) for i in range(n)]
+
+
+def test_language_model_against_brute_force(spark):
+    """Scores are those of the same sweeps a customer at a time, however the words are dealt."""
+    rows = _tiny()
+    stream, *_, probability = _plain_model(rows)
+    known = {}
+    expected = {i: sum(math.log10(known.setdefault(p, probability(*p))) for p in pairs) for i, _, pairs in stream}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for buckets, parts in ((1, 1), (8, 3), (50, 2)):
+        got = {r["doc_id"]: r["score"] for r in pitman_yor.score(df.repartition(parts), buckets=buckets).collect()}
+        assert got.keys() == expected.keys()
+        for i, x in expected.items():
+            assert got[i] == pytest.approx(x, abs=1e-4)
+    assert sum(probability("w1", w) for w in [*(f"w{i}" for i in range(12)), None, "unseen"]) == pytest.approx(1)
+
+
+def test_language_model_against_one_customer_at_a_time():
+    """A Gibbs sampler that takes out and seats one customer after another, all totals up to date, predicts alike."""
+    rows = _tiny(25)
+    stream, count, _, words, d, rd, probability = _plain_model(rows)
+    rng = random.Random(2)
+    sizes = {p: [1] * n for p, n in count.items()}  # every customer at a table of its own
+    root = Counter()
+    for (_, w), n in count.items():
+        root[w] += n
+    root_sizes = {w: [1] * n for w, n in root.items()}
+    by = Counter()
+    for (u, _), n in count.items():
+        by[u] += n
+    guests = Counter(by)
+
+    def p_root(w):
+        base = (1 + rd * sum(map(len, root_sizes.values()))) / (words + 1)
+        return (sum(root_sizes.get(w, [])) - rd * len(root_sizes.get(w, [])) + base) / (1 + sum(map(sum, root_sizes.values())))
+
+    def leave(tables):
+        at = rng.choices(range(len(tables)), tables)[0]
+        tables[at] -= 1
+        if not tables[at]:
+            del tables[at]
+            return True
+        return False
+
+    def sit(tables, new, discount):
+        at = rng.choices(range(len(tables) + 1), [max(n - discount, 0) for n in tables] + [new])[0]
+        if at == len(tables):
+            tables.append(1)
+            return True
+        tables[at] += 1
+        return False
+
+    def sit_root(w):
+        tables = sum(map(len, root_sizes.values()))
+        sit(root_sizes[w], (1 + rd * tables) / (words + 1), rd)
+
+    sums, pairs = Counter(), {p for _, _, ps in stream for p in ps}
+    for sweep in range(60):
+        for (u, w), tables in sizes.items():
+            for _ in range(count[u, w]):
+                if leave(tables):
+                    by[u] -= 1
+                    leave(root_sizes[w])
+                if sit(tables, (1 + d * by[u]) * p_root(w), d):
+                    by[u] += 1
+                    sit_root(w)
+        if sweep >= 20:
+            for u, w in pairs:
+                mine = sizes.get((u, w), [])
+                sums[u, w] += (sum(mine) - d * len(mine) + (1 + d * by[u]) * p_root(w)) / (1 + guests[u]) / 40
+    theirs = sum(math.log10(sums[p]) for _, _, ps in stream for p in ps)
+    ours = sum(math.log10(probability(*p)) for _, _, ps in stream for p in ps)
+    assert ours == pytest.approx(theirs, rel=0.01)
 
 
 def _xx(*values):
