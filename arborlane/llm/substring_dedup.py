@@ -3,10 +3,12 @@
 A window is ``window`` consecutive words of one document. Windows are sampled by content: of the ``ngram``-word hashes
 inside a window the smallest is its fingerprint, so equal windows have equal fingerprints and few positions are indexed.
 
-The index is a log of immutable runs, each a table of sorted blocks (one or more for each bucket of hashes), one posting
-for each distinct fingerprint. A new batch is dealt by bucket, sorted and merge-joined with the runs before it and with
-itself; postings of repeated fingerprints are reported, old ones included, and its new fingerprints become the next run.
-Beyond ``max_runs`` runs the log is compacted into one.
+The index is a log of immutable runs in a folder, each a table bucketed by fingerprint and sorted within, with one posting
+for each distinct fingerprint; a manifest, written after a run, names those that count. A new batch is dealt and sorted by
+fingerprint and merge-joined with the runs where they lie, newest first, and with itself: runs are neither shuffled nor held
+in memory. Postings of repeated fingerprints are reported, old ones included; the batch's new fingerprints, and the old ones
+that are now marked as reported, become the next run. Beyond ``max_runs`` runs the two neighbours of fewest rows are merged,
+again in place, and the superseded ones deleted. The folder outlives the session: who opens it goes on with its runs.
 
 Verification: only windows whose fingerprint is repeated are hashed whole (64 bits for sorting and 32 further bits that
 must agree too) and met across documents; a window counts as repeated when its whole word sequence starts elsewhere.
@@ -27,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlane.llm.blocks import Bloom, batch, binary
 from arborlane.llm.words import BYTE_B, WORD_B, Words, chunks, deal, mix, ngrams, tidy
-from arborlane.session import materialise, shared_dir, tasks_for
+from arborlane.session import materialise, release, shared_dir, tasks_for
 
 WINDOW, NGRAM = 35, 8
-POSTINGS = "bucket int, kind int, n long, hash binary, doc binary, pos binary, seen binary"
+#: Rows of a run: its postings, and those of the repeats found when it was made.
+RUNS = "kind int, h long, doc long, pos int, told boolean"
+MANIFEST = "window int, ngram int, buckets int, at int, run string, rows long"
 FRESH, RUN, MATCH = 0, 1, 2
 
 
@@ -60,20 +64,6 @@ def fingerprints(words: Words, window: int, ngram: int) -> tuple[np.ndarray, np.
     return starts[whole], least[whole], grams
 
 
-def _postings(kind: int, buckets: int, hashes, docs, pos, seen) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((hashes, deal(hashes, buckets)))
-    hashes, docs, pos, seen = hashes[order], docs[order], pos[order], seen[order]
-    dealt = deal(hashes, buckets)
-    cuts = np.flatnonzero(np.diff(dealt)) + 1
-    for lo, hi in zip([0, *cuts], [*cuts, len(hashes)], strict=True):
-        if hi > lo:
-            yield batch(
-                bucket=pa.array([int(dealt[lo])], pa.int32()), kind=pa.array([kind], pa.int32()), n=pa.array([int(hi - lo)], pa.int64()),
-                hash=pa.array([binary(hashes[lo:hi])], pa.binary()), doc=pa.array([binary(docs[lo:hi])], pa.binary()),
-                pos=pa.array([binary(pos[lo:hi].astype(np.uint32))], pa.binary()), seen=pa.array([binary(seen[lo:hi].astype(np.uint8))], pa.binary()),
-            )
-
-
 def _matches(buckets: int, docs: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Packed by bucket of the document: distinct keys (doc), how many positions each has (seen), positions."""
     if not len(docs):
@@ -130,19 +120,21 @@ class _Gathered:
         return out
 
 
-def _settle(buckets: int, hashes, docs, pos) -> Iterator[pa.RecordBatch]:
+def _settle(hashes, docs, pos) -> Iterator[pa.RecordBatch]:
     """Report what repeats among these postings; pass on one for each hash."""
     order = np.argsort(hashes, kind="stable")
     hashes, docs, pos = hashes[order], docs[order], pos[order]
-    new = np.append(True, hashes[1:] != hashes[:-1])
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
     count = np.diff(np.append(first, len(hashes)))
-    again = np.repeat(count > 1, count)
-    yield from _matches(buckets, docs[again], pos[again])
-    yield from _postings(FRESH, buckets, hashes[first], docs[first], pos[first], count > 1)
+    again = np.flatnonzero(np.repeat(count > 1, count))
+    for kind, at, seen in ((MATCH, again, np.ones(len(again), bool)), (FRESH, first, count > 1)):
+        yield batch(
+            kind=pa.array(np.full(len(at), kind, np.int32)), h=pa.array(hashes[at].view(np.int64)), doc=pa.array(docs[at].astype(np.int64)),
+            pos=pa.array(pos[at].astype(np.int32)), told=pa.array(seen),
+        )
 
 
-def _index_docs(window: int, ngram: int, buckets: int, limit: int = 1 << 19):
+def _index_docs(window: int, ngram: int, limit: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Gathered(limit)
         for rows in batches:
@@ -167,9 +159,9 @@ def _index_docs(window: int, ngram: int, buckets: int, limit: int = 1 << 19):
                 doc = words.doc[at]
                 held.add(grams[at], keys[first + doc], at - words.first[doc])
             if held.n >= held.limit:
-                yield from _settle(buckets, *held.take())
+                yield from _settle(*held.take())
         if held.n:
-            yield from _settle(buckets, *held.take())
+            yield from _settle(*held.take())
 
     return run
 
@@ -180,87 +172,136 @@ def _passed(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
     return rows.filter(pa.array(match)), rows.filter(pa.array(~match))
 
 
-def _read(rows: pa.RecordBatch) -> Iterator[tuple]:
-    for kind, h, d, p, s in zip(*(rows.column(c).to_pylist() for c in ("kind", "hash", "doc", "pos", "seen")), strict=True):
-        h = np.frombuffer(h, np.uint64)
-        yield kind, h, np.frombuffer(d, np.int64), np.frombuffer(p, np.uint32), np.frombuffer(s, np.uint8)
-
-
-def _merge(buckets: int):
-    """Of one partition's blocks, new and of earlier runs: the postings of repeated hashes, and the new run."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for rows in batches:
-            done, rows = _passed(rows)
-            yield done
-            parts += _read(rows)
-        if not parts:
-            return
-        kind = np.concatenate([np.full(len(x[1]), x[0], np.uint8) for x in parts])
-        hashes, docs, pos, seen = (np.concatenate([x[i] for x in parts]) for i in (1, 2, 3, 4))
-        del parts
-        order = np.lexsort((1 - kind, hashes))  # a hash of an earlier run leads its group
-        kind, hashes, docs, pos, seen = kind[order], hashes[order], docs[order], pos[order], seen[order]
-        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        count = np.diff(np.append(first, len(hashes)))
-        # seen: reported already, by a task or an earlier merge
-        told = np.maximum.reduceat((kind == RUN) & (seen == 1), first)
-        report = np.repeat(count > 1, count) & (seen == 0) & ~(np.repeat(told, count) & (kind == RUN))
-        yield from _matches(buckets, docs[report], pos[report])
-        # A new hash goes into the run, and so does one of an earlier run that was just reported, marked as told.
-        fresh = first[kind[first] == FRESH]
-        met = first[(kind[first] == RUN) & (count > 1) & ~told]
-        at = np.append(fresh, met)
-        mark = np.append(np.maximum(seen[fresh], (count > 1)[kind[first] == FRESH]), np.ones(len(met), np.uint8))
-        yield from _postings(RUN, buckets, hashes[at], docs[at], pos[at], mark)
-
-    return run
-
-
 class FingerprintIndex:
-    """Runs of fingerprints in a shared folder; ``append`` adds a batch and returns packed matches, for ``positions_of``.
+    """Runs of fingerprints in the folder ``path``, which is made or, if it holds an index, gone on with.
 
-    A repeat is reported when its second occurrence comes in; a reported one is not reported again.
+    ``append`` adds a batch and returns the postings (doc, pos) of repeats. A repeat is reported when its second occurrence
+    comes in; a reported one is not reported again.
     """
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, ngram: int = NGRAM, buckets: int | None = None, max_runs: int = 4):
-        self.spark, self.window, self.ngram, self.max_runs = spark, window, ngram, max_runs
-        self.buckets = buckets or tasks_for(spark)
-        self.runs: list[DataFrame] = []
-        self.at = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-
-    def _dealt(self, blocks: DataFrame) -> DataFrame:
-        return blocks.repartitionById(self.buckets, F.col("bucket"))
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, ngram: int = NGRAM, buckets: int | None = None, max_runs: int = 4):
+        self.spark, self.path, self.window, self.ngram, self.max_runs = spark, path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", window, ngram, max_runs
+        self.buckets, self.version = buckets or tasks_for(spark), 0
+        #: (folder, table's name, rows) of each run, oldest first
+        self.runs: list[tuple[str, str, int]] = []
+        done = [int(p.getParent().getName().partition("-")[2]) for p in self._listed("manifest-*/_SUCCESS")]
+        if done:
+            self.version = max(done)
+            rows = spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest-{self.version}").orderBy("at").collect()
+            self.buckets = rows[0]["buckets"]
+            if (rows[0]["window"], rows[0]["ngram"]) != (window, ngram):
+                raise ValueError(f"the index at {self.path} has windows of {rows[0]['window']} words and {rows[0]['ngram']}-grams")
+            self.runs = [(r["run"], self._named(r["run"]), r["rows"]) for r in rows if r["run"] is not None]
+
+    # -- files and tables ------------------------------------------------------------------------------------------
+
+    def _files(self, at: str):
+        sc = self.spark.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(at)
+        return target.getFileSystem(sc._jsc.hadoopConfiguration()), target
+
+    def _listed(self, pattern: str) -> list:
+        fs, target = self._files(f"{self.path}/{pattern}")
+        return [status.getPath() for status in fs.globStatus(target) or []]
+
+    def _gone(self, at: str) -> None:
+        fs, target = self._files(at)
+        fs.delete(target, True)
+
+    def _named(self, run: str) -> str:
+        """A name in this session's catalog for a run's files."""
+        name = f"fingerprint_run_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({RUNS}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        return name
+
+    def _written(self, rows: DataFrame) -> tuple[str, str, int]:
+        run, name = f"run-{uuid.uuid4().hex}", f"fingerprint_run_{uuid.uuid4().hex}"
+        writer = rows.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{run}")
+        # A bucket is one sorted file, which a merge need not sort again.
+        sorted_files = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(sorted_files, None)
+        self.spark.conf.set(sorted_files, "true")
+        try:
+            writer.saveAsTable(name)
+        finally:
+            self.spark.conf.unset(sorted_files) if before is None else self.spark.conf.set(sorted_files, before)
+        return run, name, self.spark.table(name).filter(F.col("kind") == RUN).count()
+
+    def _commit(self, runs: list[tuple[str, str, int]]) -> None:
+        """Make these the runs that count, then delete what no longer does."""
+        old, self.runs = self.runs, runs
+        rows = [(self.window, self.ngram, self.buckets, at, run, n) for at, (run, _, n) in enumerate(runs)] or [(self.window, self.ngram, self.buckets, 0, None, 0)]
+        self.version += 1
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{self.path}/manifest-{self.version}")
+        for run, name, _ in old:
+            if run not in {r for r, _, _ in runs}:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                self._gone(f"{self.path}/{run}")
+        if self.version > 1:
+            self._gone(f"{self.path}/manifest-{self.version - 1}")
+
+    def close(self) -> None:
+        """Forget the names; the folder stays."""
+        for _, name, _ in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs = []
+
+    def delete(self) -> None:
+        self.close()
+        self._gone(self.path)
+
+    # -- the log ---------------------------------------------------------------------------------------------------
+
+    def _postings(self, name: str, as_: str) -> DataFrame:
+        return self.spark.table(name).filter(F.col("kind") == RUN).select("h", F.struct("doc", "pos", "told").alias(as_)).hint("merge")
 
     def append(self, docs: DataFrame) -> DataFrame:
-        """docs: (key long, text)."""
-        blocks = docs.select("key", "text").mapInArrow(tidy(_index_docs(self.window, self.ngram, self.buckets)), POSTINGS)
-        for run in self.runs:
-            blocks = blocks.unionByName(run)
-        merged = materialise(self._dealt(blocks).mapInArrow(tidy(_merge(self.buckets)), POSTINGS), "run")
-        self.runs.append(merged.filter(F.col("kind") == RUN))
-        if len(self.runs) > self.max_runs:
+        """docs: (key long, text). The postings (doc, pos) of repeats."""
+        posted = docs.select("key", "text").mapInArrow(tidy(_index_docs(self.window, self.ngram)), RUNS)
+        posted = materialise(posted, "postings", by="kind")
+        rows = posted.filter(F.col("kind") == FRESH).drop("kind").repartition(self.buckets, "h")
+        for i, (_, name, _) in enumerate(self.runs):
+            rows = rows.join(self._postings(name, f"r{i}"), "h", "left")
+        old = F.coalesce(*(F.col(f"r{i}") for i in range(len(self.runs) - 1, -1, -1))) if self.runs else F.lit(None).cast("struct<doc: bigint, pos: int, told: boolean>")
+        # A hash has a posting of each task that found it, at most.
+        alike = Window.partitionBy("h")
+        rows = rows.select("h", "doc", "pos", "told", old.alias("old")).withColumns({
+            "n": F.count("*").over(alike), "some": F.max("told").over(alike), "turn": F.row_number().over(alike.orderBy("doc", "pos")),
+        })
+        known, lead = F.col("old").isNotNull(), F.col("turn") == 1
+        untold = lead & known & ~F.col("old.told")
+
+        def row(kind: int, doc: str, pos: str, told) -> object:
+            return F.struct(F.lit(kind).alias("kind"), F.col(doc).alias("doc"), F.col(pos).alias("pos"), told.alias("told"))
+
+        made = F.array(
+            F.when((known | (F.col("n") > 1)) & ~F.col("told"), row(MATCH, "doc", "pos", F.lit(True))),
+            F.when(untold, row(MATCH, "old.doc", "old.pos", F.lit(True))),
+            F.when(lead & ~known, row(RUN, "doc", "pos", F.col("some") | (F.col("n") > 1))),
+            F.when(untold, row(RUN, "old.doc", "old.pos", F.lit(True))),
+        )
+        out = rows.select("h", F.explode(F.array_compact(made)).alias("r")).select("r.kind", "h", "r.doc", "r.pos", "r.told")
+        new = self._written(out)
+        found = posted.filter(F.col("kind") == MATCH).select("doc", "pos").unionByName(self.spark.table(new[1]).filter(F.col("kind") == MATCH).select("doc", "pos"))
+        found = materialise(found, "repeats")
+        release(posted)
+        self._commit([*self.runs, new])
+        while len(self.runs) > self.max_runs:
             self.compact()
-        return merged.filter(F.col("kind") == MATCH)
+        return found
 
     def compact(self) -> None:
-        """One run in place of all, one posting for each hash, marked if any of its postings is."""
+        """Merge the two neighbouring runs that have the fewest rows; of a hash in both, the newer posting stays."""
+        at = min(range(len(self.runs) - 1), key=lambda i: self.runs[i][2] + self.runs[i + 1][2])
+        older, newer = (self._postings(self.runs[i][1], name) for i, name in ((at, "older"), (at + 1, "newer")))
+        both = older.join(newer, "h", "full").select(F.lit(RUN).alias("kind"), "h", F.coalesce("newer", "older").alias("r"))
+        merged = self._written(both.select("kind", "h", "r.doc", "r.pos", "r.told"))
+        self._commit([*self.runs[:at], merged, *self.runs[at + 2 :]])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [x for rows in batches for x in _read(rows)]
-            if parts:
-                hashes, docs, pos, seen = (np.concatenate([x[i] for x in parts]) for i in (1, 2, 3, 4))
-                order = np.lexsort((1 - seen, hashes))
-                hashes, docs, pos, seen = hashes[order], docs[order], pos[order], seen[order]
-                first = np.append(True, hashes[1:] != hashes[:-1])
-                yield from _postings(RUN, self_buckets, hashes[first], docs[first], pos[first], seen[first])
 
-        self_buckets = self.buckets
-        blocks = self.runs[0]
-        for other in self.runs[1:]:
-            blocks = blocks.unionByName(other)
-        self.runs = [materialise(self._dealt(blocks).mapInArrow(run, POSTINGS), "run")]
+def marks_of(repeats: DataFrame) -> DataFrame:
+    """(key, positions) of postings (doc, pos), one row for each document."""
+    return repeats.groupBy(F.col("doc").alias("key")).agg(F.collect_set("pos").alias("positions"))
 
 
 def _candidate_windows(window: int, ngram: int, buckets: int, limit: int = 1 << 19):
@@ -270,13 +311,14 @@ def _candidate_windows(window: int, ngram: int, buckets: int, limit: int = 1 <<
         held = _Gathered(limit)
         for rows in batches:
             keys = rows.column(0).to_numpy(zero_copy_only=False)
-            marks = rows.column(2).to_pylist()
+            marks = rows.column(2)
+            ends, places = marks.offsets.to_numpy(), marks.values.to_numpy()
             for first, data, offsets in chunks(rows.column(1)):
                 words = Words(data, offsets)
                 starts, least, grams = fingerprints(words, window, ngram)
                 if not len(starts):
                     continue
-                flagged = [np.frombuffer(marks[first + i], np.uint32) + words.first[i] for i in range(len(offsets) - 1)]
+                flagged = [places[ends[first + i] : ends[first + i + 1]] + words.first[i] for i in range(len(offsets) - 1)]
                 values = grams[np.concatenate(flagged).astype(np.int64)]
                 starts = starts[np.isin(least, values)]
                 whole = ngrams(words.hashes(), window)[starts]
@@ -389,12 +431,13 @@ def remove_repeats(
     spark = docs.sparkSession
     # The key of a row: repeated rows share one, and with it their result.
     two = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    index = FingerprintIndex(spark, window, ngram)
+    index = FingerprintIndex(spark, None, window, ngram)
     found = None
     for i in range(batches):
         new = index.append(two.filter(F.pmod("key", F.lit(batches)) == i))
         found = new if found is None else found.unionByName(new)
-    marks = materialise(positions_of(found, index.buckets), "marks")
+    marks = materialise(marks_of(found), "marks")
+    index.delete()
     bloom = Bloom.of(marks, "key")
     maybe = bloom.filter(two, "key")
     joined = maybe.select("key", "text").join(marks, "key").select("key", "text", "positions")

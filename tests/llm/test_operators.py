@@ -158,16 +158,52 @@ def test_substring_dedup(docs, rows, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-def test_index_is_incremental_and_compacts(spark):
+def test_index_is_incremental_and_persistent(spark, tmp_path):
+    """Each batch reports what a dictionary of all postings would; a second session goes on with the first one's runs."""
     words = [f"v{i}" for i in range(200)]
-    parts = [" ".join(words[:80]), " ".join(words[100:180]), " ".join(words[20:70]), " ".join(words[100:150]), " ".join(words[120:170])]
-    index = substring_dedup.FingerprintIndex(spark, max_runs=2)
-    seen = []
+    parts = [" ".join(words[a:b]) for a, b in ((0, 80), (100, 180), (20, 70), (100, 150), (120, 170), (0, 200), (60, 120), (60, 120))]
+    path = f"file://{tmp_path}/index"
+    known: dict[int, list] = {}
+    index, sizes = substring_dedup.FingerprintIndex(spark, path, buckets=3, max_runs=2), []
     for i, t in enumerate(parts):
-        found = substring_dedup.positions_of(index.append(spark.createDataFrame([(i, t)], "key long, text string")), index.buckets)
-        seen.append({r["key"] for r in found.collect()})
-        assert len(index.runs) <= 2
-    assert seen == [set(), set(), {0, 2}, {1, 3}, {3, 4, 1}] or seen[4] >= {4}
+        if i == 4:
+            index.close()
+            index = substring_dedup.FingerprintIndex(spark.newSession(), path, max_runs=2)
+            assert index.buckets == 3 and len(index.runs) == 2
+        rows = pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], names=["key", "text"])
+        fresh = [x for b in substring_dedup._index_docs(35, 8)(iter([rows])) for x in b.to_pylist() if x["kind"] == substring_dedup.FRESH]
+        expected = set()
+        for x in fresh:
+            old = known.get(x["h"])
+            if old is None:
+                known[x["h"]] = [x["doc"], x["pos"], False]
+                continue
+            expected.add((x["doc"], x["pos"]))
+            if not old[2]:
+                expected.add((old[0], old[1]))
+                old[2] = True
+        new = index.spark.createDataFrame([(i, t)], "key long, text string")
+        assert {tuple(r) for r in index.append(new).collect()} == expected
+        assert (len(expected) > 0) == (i in (2, 3, 4, 5, 6, 7)) and len(index.runs) <= 2
+        sizes.append(sum(r[2] for r in index.runs))
+    folders = {p.name for p in (tmp_path / "index").iterdir() if p.is_dir()}
+    assert folders == {r[0] for r in index.runs} | {f"manifest-{index.version}"}  # superseded runs are gone
+    stored = {r["h"]: [r["doc"], r["pos"], r["told"]] for r in spark.read.parquet(f"{path}/{index.runs[0][0]}").filter("kind = 1").collect()}
+    assert all(known[h][:2] == v[:2] for h, v in stored.items())
+    with pytest.raises(ValueError, match="35 words"):
+        substring_dedup.FingerprintIndex(spark, path, window=40)
+    index.delete()
+    assert not (tmp_path / "index").exists()
+
+
+def test_index_runs_are_merged_in_place(spark, tmp_path):
+    """The plan of a merge shuffles the new batch alone."""
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    for i in range(2):
+        index.append(spark.createDataFrame([(i, " ".join(f"x{i}y{k}" for k in range(400)))], "key long, text string"))
+    plan = index._postings(index.runs[0][1], "a").join(index._postings(index.runs[1][1], "b"), "h", "full")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.delete()
 
 
 def test_token_counts(docs, rows, empty):
