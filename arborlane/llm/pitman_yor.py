@@ -8,14 +8,15 @@ an old one with (customers - discount * tables of the dish); then the parent's c
 dishes stand as the sweep before left them: all restaurants sit down at once, and every total is brought up to date between
 sweeps. Predictive probabilities are averaged over the sweeps after ``BURN``.
 
-Seating is exact: the first ``SINGLY`` customers draw in turn; from there the number of the next customer who opens a table
-is drawn, by inverting the probability that none has yet. Draws are hashes of sweep, context, word and place, so the result
-does not depend on how the words are dealt.
+Seating is exact for dishes of any size: the first ``SINGLY`` customers draw in turn; from there, for ``LEAPS`` tables, the
+number of the next customer who opens one is drawn, by inverting the probability that none has yet; the customers of dishes
+with yet more tables draw for themselves again, many at a time, until all that they decided agrees with those before them.
+Draws are hashes of sweep, context, word and place, so the result does not depend on how the words are dealt.
 
-Plan: tokens are dealt by word, as sorted, packed blocks, so that all dishes of a word and its parent's tables meet in one
-task. What sweeps need is written: the dishes of several customers (one customer has one table), and the words. Tables by
+Plan: pairs of word and context are counted in runs of tokens and dealt by word, as sorted, packed blocks, so that all dishes
+of a word and its parent's tables meet in one task. What sweeps need is written: the dishes of several customers (one customer has one table), and the words. Tables by
 context are added up in tasks that contexts are dealt to and sent back in the order they were asked for, by way of Spark and
-not the driver, which gets sums of fixed size. At the end tokens are dealt anew and scored where their word's dishes are; sums
+not the driver, which gets sums of fixed size. At the end tokens are dealt likewise and scored where their word's dishes are; sums
 go back for those documents that have a token there, so a token sends one entry at most.
 
 Skew: words that make up more than ``HOT_SHARE`` of a run of tokens (a bounded number) are counted first and dealt by word
@@ -43,11 +44,11 @@ from arborlane.llm.words import MIX_A, Words, chunks, mix, tidy
 from arborlane.session import collect_shuffles, materialise, release
 
 HOT_SHARE, HOT_WORDS = 1 / 128, 1024
-RUN_TOKENS, BUCKET_CHARS = 1_000_000, 24_000_000
+RUN_TOKENS, BUCKET_CHARS = 1_500_000, 24_000_000
 SUMS = 4
 STRENGTH = 1.0
 BURN, SAMPLES = 1, 2
-SINGLY = 16
+SINGLY, LEAPS, MANY = 16, 24, 1 << 16
 END = np.uint64(0x8F5C28F5C28F5C29)  # stands for the end of a document
 
 
@@ -126,6 +127,37 @@ def _read_ints(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=8).astype(np.int64)
 
 
+def _bucket(token: np.ndarray, context: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """Where a token goes: by word, and by word and context if the word is hot."""
+    key = mix(token)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+        key = np.where(hot[at] == token, mix(key + context), key)
+    return ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+
+
+def _deal_pairs(hot: np.ndarray, buckets: int):
+    """Row ``pairs`` of each bucket and run: its pairs of word and context with how often they are in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held, token, context, doc in _runs(batches):
+            to = _bucket(token, context, hot, buckets)
+            order = np.lexsort((context, token, to))
+            token, context, to, train = token[order], context[order], to[order], ~held[doc[order]]
+            first = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (context[1:] != context[:-1]) | (to[1:] != to[:-1]))[: len(token)])
+            if not len(first):
+                continue
+            count = np.add.reduceat(train.astype(np.int64), first)
+            token, context, to = token[first], context[first], to[first]
+            cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                new = np.flatnonzero(np.append(True, token[lo + 1 : hi] != token[lo : hi - 1]))
+                known, at = np.unique(context[lo:hi], return_inverse=True)
+                yield packed("pairs", int(to[lo]), a=token[lo:hi][new], b=_ints(np.diff(np.append(new, hi - lo))), c=known, d=_ints(at), e=_ints(count[lo:hi]))
+
+    return run
+
+
 def _deal(hot: np.ndarray, buckets: int, ids_type: pa.DataType):
     """Runs of tokens, dealt by word: row ``tokens`` of each bucket, and row ``head`` of the run's documents."""
 
@@ -139,13 +171,9 @@ def _deal(hot: np.ndarray, buckets: int, ids_type: pa.DataType):
             no_ids = pa.nulls(1, pa.list_(ids_type))
             head = packed("head", int(name % buckets), name, a=held.astype(np.uint8), b=_ints(length))
             yield head.append_column("ids", pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
-            key = mix(token)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
-                key = np.where(hot[at] == token, mix(key + context), key)
-            to = (key >> np.uint64(20)) % np.uint64(buckets)
+            to = _bucket(token, context, hot, buckets)
             order = np.argsort(token, kind="stable")
-            order = order[np.argsort(to[order].astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")]
+            order = order[np.argsort(to[order], kind="stable")]
             token, context, doc, to = token[order], context[order], doc[order], to[order]
             cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
             for lo, hi in zip(cuts, cuts[1:]):
@@ -233,8 +261,10 @@ def seat(customers: np.ndarray, weight: np.ndarray, slope, discount: float, key:
         new = weight[active] + slope[active] * t
         tables[active] = t + (_draw(key[active], seated) < new / (new + seated - discount * t))
         active = active[customers[active] > seated + 1]
-    n = np.full(len(active), float(SINGLY))
-    while len(active):
+    n, places = np.full(len(active), float(SINGLY)), np.atleast_1d(key)
+    leaps = 0
+    while len(active) and leaps < LEAPS:
+        leaps += 1
         t, c = tables[active], customers[active].astype(float)
         new = weight[active] + slope[active] * t
         # Nobody opens a table from customer n + 1 to m with probability exp(fall(m) - fall(n)).
@@ -253,21 +283,45 @@ def seat(customers: np.ndarray, weight: np.ndarray, slope, discount: float, key:
         tables[active] = t + 1
         more = high < c
         active, n = active[more], high[more]
+    for i, seated in zip(active.tolist(), n.astype(np.int64).tolist()):
+        tables[i] = _seat_many(int(customers[i]), seated, tables[i], weight[i], slope[i], discount, places[i : i + 1])
+    return tables
+
+
+def _seat_many(customers: int, seated: int, tables: float, weight: float, slope: float, discount: float, key: np.ndarray) -> float:
+    """Tables of one dish whose further customers draw one by one, ``MANY`` worked out at a time.
+
+    A customer's decision depends on how many tables are opened before, so decisions are worked out again from one another
+    until they agree; each time at least one more customer's is final, and tables only grow in number.
+    """
+    for at in range(seated, customers, MANY):
+        before = np.arange(at, min(at + MANY, customers))
+        draw = _draw(key, before + (1 << 40))
+        opens, t = None, np.full(len(before), tables)
+        while True:
+            new = weight + slope * t
+            now = draw * (new + before - discount * t) < new
+            if opens is not None and np.array_equal(now, opens):
+                break
+            opens = now
+            t = tables + np.cumsum(opens) - opens
+        tables += float(opens.sum())
     return tables
 
 
 class _Part:
-    """The tokens of one bucket. Dishes are in the order of words and contexts, whatever order the rows come in."""
+    """The tokens, or pairs, of one bucket. Dishes are in the order of words and contexts, whatever order the rows come in."""
 
     def __init__(self, rows: list[dict]):
         words, counts, known, contexts, self.doc, train, self.runs, at = [], [], [], [], [], [], [], 0
+        pairs_given = rows[0]["kind"] == "pairs"
         for r in rows:
-            doc = _read_ints(r["e"])
+            doc = _read_ints(r["e"])  # of pairs: how often they are in training
             words.append(np.frombuffer(r["a"], np.uint64))
             counts.append(_read_ints(r["b"]))
             known.append(np.frombuffer(r["c"], np.uint64))
             contexts.append(_read_ints(r["d"]).astype(np.int32))
-            train.append(np.unpackbits(np.frombuffer(r["f"], np.uint8), count=len(doc)) == 0)
+            train.append(doc if pairs_given else np.unpackbits(np.frombuffer(r["f"], np.uint8), count=len(doc)) == 0)
             self.doc.append(doc.astype(np.int32))
             self.runs.append((r["run"], at, at + len(doc)))
             at += len(doc)
@@ -282,7 +336,7 @@ class _Part:
         pairs, dish = np.unique(key, return_inverse=True)
         self.dish = dish.astype(np.int32)
         self.word, self.context = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
-        self.count = np.bincount(self.dish[train], minlength=len(pairs))
+        self.count = np.bincount(self.dish, weights=train, minlength=len(pairs)).astype(np.int64)
         self.of_word = np.bincount(self.word, weights=self.count, minlength=len(self.vocabulary))
 
 
@@ -344,7 +398,7 @@ def _first(hot: np.ndarray, buckets: int):
     """The first state, a table for each dish, of one bucket: rows words, many, contexts, ask0, sum, hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _grouped(batches).get("tokens")
+        rows = _grouped(batches).get("pairs")
         if not rows:
             return
         bucket, part = rows[0]["bucket"], _Part(rows)
@@ -374,10 +428,10 @@ def _first(hot: np.ndarray, buckets: int):
     return run
 
 
-def _sweep(totals: Totals, buckets: int, sweep: int, seed: int, last: bool):
-    """One sweep of one bucket: rows words and many of the new state, ask for the next one, sum and hot.
-
-    last: asks for all contexts (row contexts), with their customers and their tables in all sampled states (rows sampled).
+def _sweep(totals: Totals, buckets: int, sweep: int, seed: int, keep: bool, last: bool):
+    """One sweep of one bucket: rows words and many of the new state, ask for the next one, sum and hot. keep: what scoring
+    needs of the state is in a row kept. last: there is no next state; asks for all contexts (row contexts), with their
+    customers and their tables in all states that are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,16 +452,18 @@ def _sweep(totals: Totals, buckets: int, sweep: int, seed: int, last: bool):
         new = seat(count, weight, totals.discount * parent, totals.discount, key).astype(np.int64)
         customers = singles + np.bincount(word, weights=new, minlength=len(words)).astype(np.int64)
         tables = totals.seat_root(customers, root_tables, words, sweep, seed).astype(np.int64)
-        yield packed("words", bucket, a=words, b=_ints(singles), c=_ints(customers), d=_ints(tables))
-        yield packed("many", bucket, a=contexts, b=_ints(word), c=_ints(context), d=_ints(count), e=_ints(new), f=_ints(base))
+        if keep:
+            yield packed("kept", bucket, c=_ints(customers), d=_ints(tables), e=_ints(new))
         yield from _root_rows(words, customers, tables, totals.hot)
         if not last:
+            yield packed("words", bucket, a=words, b=_ints(singles), c=_ints(customers), d=_ints(tables))
+            yield packed("many", bucket, a=contexts, b=_ints(word), c=_ints(context), d=_ints(count), e=_ints(new), f=_ints(base))
             yield from _asks("ask", bucket, buckets, contexts, [np.bincount(context, weights=new, minlength=len(contexts))])
             return
         every = rows["contexts"][0]
         names, inside = np.frombuffer(every["a"], np.uint64), _read_ints(every["d"])
         values = [_read_ints(every["b"])]
-        for state in [*(_read_ints(r["e"]) for r in sorted(rows.get("sampled", []), key=lambda r: r["run"])), new]:
+        for state in [*(_read_ints(r["e"]) for r in sorted(rows.get("kept", []), key=lambda r: r["run"])), new]:
             sums = _read_ints(every["c"])
             sums[inside] += np.bincount(context, weights=state, minlength=len(inside)).astype(np.int64)
             values.append(sums)
@@ -437,12 +493,9 @@ def _score(states: list[Totals], hot_count: np.ndarray, buckets: int, ids: pa.Da
         for i, state in enumerate(states):
             tables = np.minimum(count, 1).astype(float)
             customers, root_tables = np.zeros(len(known)), np.zeros(len(known))
-            for r in held.get("words", []):
-                if r["run"] == i:
-                    customers[known], root_tables[known] = _read_ints(r["c"]), _read_ints(r["d"])
-            for r in held.get("many", []):
+            for r in held.get("kept", []):
                 if r["run"] == i:
-                    tables[many] = _read_ints(r["e"])
+                    customers[known], root_tables[known], tables[many] = _read_ints(r["c"]), _read_ints(r["d"]), _read_ints(r["e"])
             parent = state.parent(*state.of_words(part.vocabulary, customers, root_tables))
             by_context = _answers(answers, "cde"[i])[part.context]
             mean += (count - state.discount * tables + (STRENGTH + state.discount * by_context) * parent[word]) / inside
@@ -535,33 +588,37 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     def of(rows: DataFrame, *kinds: str) -> DataFrame:
         return rows.filter(F.col("kind").isin(*kinds))
 
-    first = materialise(met(of(dealt, "tokens").drop("ids"), _first(hot, buckets)), "state", by="kind")
-    totals, state, old = _totals(first, None, hot, hot_count, 0, seed), first, []
-    sampled: list[tuple[Totals, DataFrame]] = []
+    first = materialise(met(two.mapInArrow(tidy(_deal_pairs(hot, buckets)), PACKED), _first(hot, buckets)), "state", by="kind")
+    totals, state = _totals(first, None, hot, hot_count, 0, seed), first
+    kept: list[tuple[Totals, DataFrame]] = []
+
+    def numbered(i: int, table: DataFrame) -> DataFrame:
+        return of(table, "kept").withColumn("run", F.lit(i).cast("long"))
+
     for sweep in range(1, BURN + SAMPLES + 1):
         last = sweep == BURN + SAMPLES
         answers = materialise(met(of(state, "ask"), _answer), "answers")
         rows = of(state, "words", "many").unionByName(answers)
         if last:
             rows = rows.unionByName(of(first, "contexts"))
-            for i, (_, table) in enumerate(sampled):
-                rows = rows.unionByName(of(table, "many").withColumns({"kind": F.lit("sampled"), "run": F.lit(i).cast("long")}))
-        state = materialise(met(rows, _sweep(totals, buckets, sweep, seed, last)), "state", by="kind")
+            for i, (_, table) in enumerate(kept):
+                rows = rows.unionByName(numbered(i, table))
+        old, state = state, materialise(met(rows, _sweep(totals, buckets, sweep, seed, sweep > BURN, last)), "state", by="kind")
         totals = _totals(state, totals, hot, hot_count, sweep, seed)
-        for table in [*old, answers]:
-            release(table)
-        old = []
         if sweep > BURN:
-            sampled.append((totals, state))
-        else:
-            old = [state]
+            kept.append((totals, materialise(of(state, "kept"), "kept")))
+        release(answers)
+        if old is not first:
+            release(old)
         collect_shuffles(spark)
     release(first)
     answers = materialise(met(of(state, "ask"), _answer), "answers")
+    release(state)
+    collect_shuffles(spark)
     rows = dealt.unionByName(answers, allowMissingColumns=True)
-    for i, (_, table) in enumerate(sampled):
-        rows = rows.unionByName(of(table, "words", "many").withColumn("run", F.lit(i).cast("long")), allowMissingColumns=True)
-    sent = met(rows, _score([t for t, _ in sampled], hot_count, buckets, arrow), with_ids).repartitionById(buckets, F.col("bucket"))
+    for i, (_, table) in enumerate(kept):
+        rows = rows.unionByName(numbered(i, table), allowMissingColumns=True)
+    sent = met(rows, _score([t for t, _ in kept], hot_count, buckets, arrow), with_ids).repartitionById(buckets, F.col("bucket"))
     out = T.StructType().add("id", kind).add("held_out", T.BooleanType())
     for c in ("n_tokens", "n_known", "train_tokens"):
         out = out.add(c, T.LongType())

@@ -366,15 +366,16 @@ def test_components_must_settle(spark):
     assert {r["label"] for r in components(chain).collect()} == {0}
 
 
-@pytest.mark.parametrize("n,weight,slope", [(2, 0.4, 0.0), (12, 3.0, 0.2), (150, 3.0, 0.0), (150, 0.05, 0.3), (700, 40.0, 0.01)])
-def test_restaurant_seating(n, weight, slope):
-    """The distribution of tables is that of the seating rule, worked out by its recursion, before and after SINGLY."""
-    d, each = 0.5, 40_000
+@pytest.mark.parametrize("n,weight,slope,each", [(2, 0.4, 0.0, 40_000), (12, 3.0, 0.2, 40_000), (150, 3.0, 0.0, 40_000), (150, 0.05, 0.3, 40_000), (700, 40.0, 0.01, 3000)])
+def test_restaurant_seating(n, weight, slope, each, monkeypatch):
+    """The distribution of tables is that of the seating rule, worked out by its recursion, in all three ways of seating."""
+    d = 0.5
+    monkeypatch.setattr(pitman_yor, "MANY", 100)
     tables = np.zeros(n + 2)
     tables[1] = 1
     t = np.arange(n + 2)
     for seated in range(1, n):
-        new = np.where(tables > 0, (weight + slope * t) / (weight + slope * t + seated - d * t), 0)
+        new = (weight + slope * t) / np.maximum(weight + slope * t + seated - d * t, 1e-9) * (tables > 0)
         tables[1:] = tables[1:] * (1 - new[1:]) + tables[:-1] * new[:-1]
     keys = pitman_yor.mix(np.arange(each, dtype=np.uint64) + np.uint64(n))
     got = pitman_yor.seat(np.full(each, n), np.full(each, weight), slope, d, keys)
@@ -426,16 +427,19 @@ def _plain_model(rows, seed=5):
 
     def seat(n, weight, slope, d, key):
         t = seated = min(n, 1)
-        none, limit = 1.0, 0.0
+        none, limit, leaps = 1.0, 0.0, 0
         while seated < n:
             p = (weight + slope * t) / (weight + slope * t + seated - d * t)
             if seated < pitman_yor.SINGLY:
                 new = draw(key, seated) < p
+            elif leaps == pitman_yor.LEAPS:
+                new = draw(key, seated + (1 << 40)) < p
             else:  # the probability that none has opened a table since the last falls under a draw
                 if none == 1.0:
                     limit = draw(key, pitman_yor.SINGLY + t)
                 none *= 1 - p
                 new = none <= limit
+                leaps += new
             seated += 1
             if new:
                 t, none = t + 1, 1.0
