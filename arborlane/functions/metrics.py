@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from arborlane.operators.cells import column_matrix
 
 TINY = 1e-16
 SCORE_BINS = 1 << 16
@@ -15,7 +17,7 @@ SCORE_BINS = 1 << 16
 class Metric:
     """``partial`` gives sums of a batch (any array shape), ``value`` reads the total. label, raw, score: rows by outputs."""
 
-    name, larger_is_better = "custom", False
+    name, larger_is_better, batch = "custom", False, False
 
     def partial(self, weight: np.ndarray, label: np.ndarray, raw: np.ndarray, score: np.ndarray) -> np.ndarray:
         raise NotImplementedError
@@ -37,6 +39,15 @@ class Mean(Metric):
         return self.then(sums[1] / sums[0])
 
 
+class Batch(Metric):
+    """A user's function of the whole scored table, a DataFrame (weight, label, raw, score); the last three are arrays."""
+
+    batch = True
+
+    def __init__(self, name: str, of: Callable[[DataFrame], float], larger_is_better: bool = False):
+        self.name, self.compute, self.larger_is_better = name, of, larger_is_better
+
+
 class R2(Metric):
     name, larger_is_better = "r2", True
 
@@ -125,36 +136,45 @@ def metric(name: str, threshold: float = 0.5) -> Metric:
     raise ValueError(f"unknown metric {name!r}")
 
 
-# The same definitions as Catalyst aggregates, for scored tables.
+def partials(metrics: list[Metric], scored: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows (metric, sums) of one partition's batches (weight, label, raw, score)."""
+    total: list = [None] * len(metrics)
+    for weight, label, raw, score in scored:
+        if len(weight):
+            for i, m in enumerate(metrics):
+                s = m.partial(weight, label, raw, score)
+                total[i] = s if total[i] is None else total[i] + s
+    some = [i for i, s in enumerate(total) if s is not None]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(some, pa.int32()), pa.array([total[i].astype(float).tobytes() for i in some], pa.binary()), pa.array([list(total[i].shape) for i in some], pa.list_(pa.int32()))],
+        names=["m", "s", "shape"],
+    )
+
 
+def totalled(metrics: list[Metric], rows: Iterable[dict]) -> dict[str, float]:
+    """Values by name from the rows of all partitions."""
+    total: dict[int, np.ndarray] = {}
+    for r in rows:
+        s = np.frombuffer(r["s"], float).reshape(r["shape"])
+        total[r["m"]] = total[r["m"]] + s if r["m"] in total else s
+    return {m.name: m.value(total[i]) for i, m in enumerate(metrics) if i in total}
 
-def _mean(w: Column, x: Column) -> Column:
-    return F.sum(w * x) / F.sum(w)
 
+def measured(weight, label, raw, score) -> pa.RecordBatch:
+    """Rows (weight, label, raw, score), the last three lists."""
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x, float).ravel()))
 
-def regression_aggregates(w: Column, y: Column, s: Column) -> dict[str, Column]:
-    e = s - y
-    mse = _mean(w, e * e)
-    return {"mse": mse, "rmse": F.sqrt(mse), "mae": _mean(w, F.abs(e)), "r2": 1 - mse / (_mean(w, y * y) - _mean(w, y) * _mean(w, y))}
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(weight, float)), lists(label), lists(raw), lists(score)], names=["weight", "label", "raw", "score"])
 
 
-def classification_aggregates(w: Column, y: Column, p: Column, threshold: float = 0.5) -> dict[str, Column]:
-    tiny = F.lit(TINY)
-    loss = -F.when(y > 0, y * F.log(F.greatest(p, tiny))).otherwise(0) - F.when(y < 1, (1 - y) * F.log(F.greatest(1 - p, tiny))).otherwise(0)
-    wrong = F.when((p > threshold) != (y > 0.5), 1.0).otherwise(0.0)
-    return {"logloss": _mean(w, loss), "error": _mean(w, wrong)}
+def measure(df: DataFrame, metrics: list[Metric]) -> dict[str, float]:
+    """Metrics of a scored table (weight double; label, raw and score array<double>), as fits evaluate them."""
+    adding = [m for m in metrics if not m.batch]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from partials(adding, ((b.column("weight").to_numpy(zero_copy_only=False), *(column_matrix(b.column(c)) for c in ("label", "raw", "score"))) for b in batches))
 
-def ranking(df: DataFrame, w: Column, y: Column, p: Column, bins: int = SCORE_BINS) -> DataFrame:
-    """One row (auroc, auprc). One aggregation by score bin; the window runs over at most ``bins`` rows."""
-    b = F.least(F.greatest(F.floor(p * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
-    h = df.groupBy(b.alias("b")).agg(F.sum(w * y).alias("p"), F.sum(w * (1 - y)).alias("n"))
-    down = Window.orderBy(F.desc("b"))
-    total = Window.partitionBy()
-    c = h.select("b", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(total).alias("pt"), F.sum("n").over(total).alias("nt"))
-    c = c.withColumn("prec", F.col("tp") / (F.col("tp") + F.col("fp")))
-    c = c.withColumn("prev", F.coalesce(F.lag("prec").over(down), F.col("prec")))
-    return c.agg(
-        (F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)) / F.max(F.col("pt") * F.col("nt"))).alias("auroc"),
-        F.sum(F.col("p") / F.col("pt") * (F.col("prev") + F.col("prec")) / 2).alias("auprc"),
-    )
+    rows = df.select("weight", "label", "raw", "score").mapInArrow(run, "m int, s binary, shape array<int>").collect() if adding else []
+    out = totalled(adding, (r.asDict() for r in rows)) | {m.name: float(m.compute(df)) for m in metrics if m.batch}
+    return {m.name: out[m.name] for m in metrics if m.name in out}

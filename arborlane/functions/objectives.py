@@ -1,18 +1,16 @@
-"""Losses: gradient, hessian, link and its inverse, as Columns for plans and as numpy for the training tasks."""
+"""Losses: gradient, hessian, link and its inverse over numpy arrays."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 LEAST_HESSIAN = 1e-16
 
 
 class Objective:
-    """A loss over ``size`` outputs. Subclasses give numpy forms; Column forms are for plans that stay in the JVM."""
+    """A loss over ``size`` outputs."""
 
     name, size = "custom", 1
 
@@ -40,10 +38,6 @@ class Square(Objective):
     def compute(self, label, score):
         return score - label, np.ones_like(score)
 
-    @staticmethod
-    def columns(label: Column, raw: Column) -> tuple[Column, Column]:
-        return raw - label, F.lit(1.0)
-
 
 class Logistic(Objective):
     name = "logistic"
@@ -59,11 +53,6 @@ class Logistic(Objective):
             raise ValueError("logistic loss needs labels of both classes, or a base score inside (0, 1)")
         return [-float(np.log(1 / s - 1)) for s in score]
 
-    @staticmethod
-    def columns(label: Column, raw: Column) -> tuple[Column, Column]:
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-raw))
-        return p - label, F.greatest(p * (1 - p), F.lit(LEAST_HESSIAN))
-
 
 class Softmax(Objective):
     name = "softmax"
@@ -91,16 +80,6 @@ class Softmax(Objective):
         out[np.arange(len(label)), label.astype(np.int64)] = 1
         return out
 
-    @staticmethod
-    def columns(labels: list[Column], raws: list[Column]) -> list[tuple[Column, Column]]:
-        most = F.greatest(*raws)
-        e = [F.exp(r - most) for r in raws]
-        total = e[0]
-        for x in e[1:]:
-            total = total + x
-        p = [x / total for x in e]
-        return [(q - y, F.greatest(2 * q * (1 - q), F.lit(LEAST_HESSIAN))) for q, y in zip(p, labels, strict=True)]
-
 
 class Huber(Objective):
     """Pseudo-Huber loss: quadratic near zero, linear beyond ``delta``."""

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import SparseVector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
@@ -138,8 +140,14 @@ class _BoostedModel(_Shared, Model, MLWritable, MLReadable):
         if not self.getOrDefault("enableOneHot"):
             return dataset.withColumn(name, array_to_vector(self.boosted.leaf(cols, first).cast("array<double>")))
         places, size = self.boosted.leaf_places(cols, first)
-        to_vector = F.udf(lambda p: SparseVector(size, [int(i) for i in p], [1.0] * len(p)), VectorUDT())
-        return dataset.withColumn(name, to_vector(places))
+        temporary = f"places-{uuid.uuid4().hex}"
+        own = F.col(f"`{temporary}`")
+        one_hot = F.transform(F.sequence(F.lit(0), F.lit(max(size, 1) - 1)), lambda i: F.array_contains(own, i).cast("double"))
+        dense = array_to_vector(one_hot if size else F.array().cast("array<double>"))
+        dense = dataset.withColumn(temporary, places).withColumn(f"{temporary}-vector", dense).drop(temporary)
+        # The assembler keeps a vector in its smaller form.
+        out = VectorAssembler(inputCols=[f"{temporary}-vector"], outputCol=f"{temporary}-out").transform(dense.drop(name))
+        return out.drop(f"{temporary}-vector").withColumnRenamed(f"{temporary}-out", name)
 
     def write(self) -> MLWriter:
         return _Writer(self)
@@ -201,25 +209,26 @@ class BoostedClassificationModel(_BoostedModel):
         get = self.getOrDefault
         two = self.boosted.objective.size == 1
         raw = self.boosted.predict_raw(self._features(dataset), get("firstTrees"))
-        out = dataset.withColumn("_raw", raw)
+        own = {c: f"{c}-{uuid.uuid4().hex}" for c in ("raw", "both", "p", "e")}  # no column of the input has such a name
+        col = {c: F.col(f"`{name}`") for c, name in own.items()}
+        out = dataset.withColumn(own["raw"], raw)
         if two:
-            r = F.col("_raw")[0]
+            r = col["raw"][0]
             p = F.lit(1.0) / (F.lit(1.0) + F.exp(-r))
-            out = out.withColumns({"_both": F.array(-r, r), "_p": F.array(F.lit(1.0) - p, p)})
+            out = out.withColumns({own["both"]: F.array(-r, r), own["p"]: F.array(F.lit(1.0) - p, p)})
         else:
-            most = F.array_max("_raw")
-            e = F.transform("_raw", lambda x: F.exp(x - most))
-            out = out.withColumns({"_both": F.col("_raw"), "_e": e})
-            total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
-            out = out.withColumn("_p", F.transform("_e", lambda x: x / total)).drop("_e")
+            most = F.array_max(col["raw"])
+            out = out.withColumns({own["both"]: col["raw"], own["e"]: F.transform(col["raw"], lambda x: F.exp(x - most))})
+            total = F.aggregate(col["e"], F.lit(0.0), lambda a, x: a + x)
+            out = out.withColumn(own["p"], F.transform(col["e"], lambda x: x / total))
         if get("rawPredictionCol"):
-            out = out.withColumn(get("rawPredictionCol"), array_to_vector("_both"))
+            out = out.withColumn(get("rawPredictionCol"), array_to_vector(col["both"]))
         if get("probabilityCol"):
-            out = out.withColumn(get("probabilityCol"), array_to_vector("_p"))
+            out = out.withColumn(get("probabilityCol"), array_to_vector(col["p"]))
         if get("predictionCol"):
-            best = F.array_position("_p", F.array_max("_p")) - 1
+            best = F.array_position(col["p"], F.array_max(col["p"])) - 1
             out = out.withColumn(get("predictionCol"), best.cast("double"))
-        return self.leaf(out.drop("_raw", "_both", "_p"))
+        return self.leaf(out.drop(*own.values()))
 
 
 @_with_params

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from arborlane.functions.objectives import Objective, objective
 from arborlane.operators.binning import Discretizer
+from arborlane.operators.cells import Dense
 from arborlane.operators.trees import NODE_SCHEMA, Tree
 from arborlane.sources.tables import load_tables, save_tables
 
@@ -38,6 +39,11 @@ def feature_array(df: DataFrame, features: str | list[str]) -> Column:
     return vector_to_array(F.col(features)) if isinstance(kind, VectorUDT) else F.col(features).cast("array<double>")
 
 
+def feature_vector(df: DataFrame, features: str | list[str]) -> Column | None:
+    """The features as a vector, if they are one."""
+    return F.col(features) if isinstance(features, str) and isinstance(df.schema[features].dataType, VectorUDT) else None
+
+
 def feature_count(df: DataFrame, features: str | list[str]) -> int:
     """The size is read from the first row."""
     if isinstance(features, (list, tuple)):
@@ -102,9 +108,9 @@ class BoostedModel:
         return np.stack([self.discretizer.bin_array(i, x[:, i]) for i in range(x.shape[1])], axis=1)
 
     def raw_of(self, bins: np.ndarray, first_trees: int = -1) -> np.ndarray:
-        raw = np.tile(np.array(self.raw_base, float), (len(bins), 1))
+        raw, cells = np.tile(np.array(self.raw_base, float), (len(bins), 1)), Dense(bins)
         for i in range(self._first(first_trees)):
-            raw[:, i % raw.shape[1]] += self.weights[i] * self.trees[i].predict(bins)
+            raw[:, i % raw.shape[1]] += self.weights[i] * self.trees[i].predict(cells)
         return raw
 
     # -- scoring as columns: one vectorised function over plain arrays ---------------------------------------------
@@ -139,14 +145,14 @@ class BoostedModel:
     def leaf(self, features: list[Column] | Column, first_trees: int = -1) -> Column:
         """array<int>: leaf of each tree, by the order of node ids."""
         n = self._first(first_trees)
-        return self._function(T.ArrayType(T.IntegerType()), lambda b: np.stack([t.leaf_of(b) for t in self.trees[:n]], axis=1) if n else np.zeros((len(b), 0), int))(self.array(features))
+        return self._function(T.ArrayType(T.IntegerType()), lambda b: np.stack([t.leaf_of(Dense(b)) for t in self.trees[:n]], axis=1) if n else np.zeros((len(b), 0), int))(self.array(features))
 
     def leaf_places(self, features: list[Column] | Column, first_trees: int = -1) -> tuple[Column, int]:
         """(array<int> of the ones of a one-hot vector over all leaves of all trees, its size)."""
         n = self._first(first_trees)
         sizes = self.num_leaves[:n]
         shift = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int) if n else np.zeros(0, int)
-        of = lambda b: np.stack([t.leaf_of(b) for t in self.trees[:n]], axis=1) + shift if n else np.zeros((len(b), 0), int)
+        of = lambda b: np.stack([t.leaf_of(Dense(b)) for t in self.trees[:n]], axis=1) + shift if n else np.zeros((len(b), 0), int)
         return self._function(T.ArrayType(T.IntegerType()), of)(self.array(features)), int(sum(sizes))
 
     # -- tables ----------------------------------------------------------------------------------------------------

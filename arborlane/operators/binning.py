@@ -163,6 +163,31 @@ class Discretizer:
             inside = np.searchsorted(np.array(c["splits"], float), x, side="left") + 1
         return np.where(missing, 0, inside).astype(np.int32)
 
+    @property
+    def sparse(self) -> bool:
+        """Whether zeros of every column are in bin 0, so that sparse rows can stay sparse."""
+        return self.zero_as_missing or all(c["kind"] == "cast" for c in self.columns)
+
+    def sparse_bins(self, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first cell of each row and their number, column, bin) of the filled cells of vectors, dense or sparse."""
+        kind, size, index, value = (vectors.field(k) for k in range(4))
+        kinds = kind.to_numpy(zero_copy_only=False)
+        lengths = value.value_lengths().to_numpy(zero_copy_only=False)
+        sizes = np.where(kinds == 0, size.fill_null(-1).to_numpy(zero_copy_only=False), lengths)
+        if vectors.null_count or not (sizes == self.size).all():
+            raise ValueError(f"a row has not {self.size} features")
+        row = np.repeat(np.arange(len(vectors)), lengths)
+        col = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        col[kinds[row] == 0] = index.flatten().to_numpy(zero_copy_only=False)
+        x = value.flatten().to_numpy(zero_copy_only=False).astype(float)
+        bins = np.zeros(len(row), np.int64)
+        order = np.argsort(col, kind="stable")
+        cuts = np.flatnonzero(np.diff(col[order])) + 1
+        for mine in np.split(order, cuts) if len(order) else []:
+            bins[mine] = self.bin_array(int(col[mine[0]]), x[mine])
+        some = bins != 0
+        return np.append(0, np.cumsum(np.bincount(row[some], minlength=len(vectors)))), col[some], bins[some]
+
     def to_dict(self) -> dict:
         return {"max_bins": self.max_bins, "discretization_type": self.discretization_type, "zero_as_missing": self.zero_as_missing,
                 "non_numerical": list(self.non_numerical), "columns": self.columns}

@@ -1,4 +1,4 @@
-"""Sampling by hashes of stable keys: as Columns and, with the same rates, over numpy keys."""
+"""Sampling by hashes of stable keys: about a share of many, exactly a share of few."""
 
 from __future__ import annotations
 
@@ -6,36 +6,10 @@ import math
 import random
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
 
 GRID = 1 << 30
 
 
-def keep(rate: float, seed: int, *key: Column) -> Column:
-    """Keeps about ``rate`` of the distinct keys, the same ones wherever they lie."""
-    if rate >= 1:
-        return F.lit(True)
-    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(GRID)) < math.ceil(rate * GRID)
-
-
-def exact_sample(df: DataFrame, rate: float, seed: int, *key: str) -> DataFrame:
-    """Exactly ceil(rate * n) rows, those of least hash, for small n: one window without partitions."""
-    n = df.count()
-    w = Window.orderBy(F.xxhash64(F.lit(seed), *map(F.col, key)), *key)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= math.ceil(n * rate - 1e-9)).drop("_r")
-
-
-def goss(df: DataFrame, norm: Column, top_rate: float, other_rate: float, pick: Column, exact: bool = False) -> DataFrame:
-    """Rows with ``scale``: 1 at or above the quantile 1 - top_rate of ``norm``; of the rest those that ``pick`` keeps,
-    scaled by (1 - top_rate) / other_rate."""
-    cut = F.percentile(norm, F.lit(1 - top_rate)) if exact else F.percentile_approx(norm, F.lit(1 - top_rate), 10_000)
-    level = df.agg(cut.alias("cut")).first()["cut"]
-    top = norm >= F.lit(level)
-    scale = F.when(top, F.lit(1.0)).otherwise(F.lit((1 - top_rate) / other_rate))
-    return df.withColumn("scale", scale).filter(top | pick)
-
-
 def choose_columns(cols: int, rate: float, seed: int) -> list[int]:
     """Exactly ceil(rate * cols) columns, at least one."""
     k = min(cols, max(1, math.ceil(cols * min(rate, 1.0) - 1e-9)))
@@ -48,8 +22,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashed(seed: int, key: np.ndarray) -> np.ndarray:
+    salt = _mix(np.array([seed & 0xFFFFFFFFFFFFFFFF], np.uint64))
+    return _mix(key.astype(np.int64).view(np.uint64) ^ salt[0])
+
+
 def keep_array(rate: float, seed: int, key: np.ndarray) -> np.ndarray:
+    """Keeps about ``rate`` of the distinct keys, the same ones wherever they lie."""
     if rate >= 1:
         return np.ones(len(key), bool)
-    salt = _mix(np.array([seed & 0xFFFFFFFFFFFFFFFF], np.uint64))
-    return (_mix(key.astype(np.int64).view(np.uint64) ^ salt[0]) & np.uint64(GRID - 1)) < np.uint64(math.ceil(rate * GRID))
+    return (hashed(seed, key) & np.uint64(GRID - 1)) < np.uint64(math.ceil(rate * GRID))
+
+
+def choose_units(units: np.ndarray, rate: float, seed: int) -> np.ndarray:
+    """Exactly ceil(rate * n) of the distinct units, those of least hash, sorted."""
+    k = min(len(units), math.ceil(len(units) * rate - 1e-9))
+    return np.sort(units[np.argsort(hashed(seed, units), kind="stable")[:k]])

@@ -1,12 +1,11 @@
-"""Split search on histograms: as windows over long tables, and the same rules over one histogram in numpy."""
+"""Split search on one histogram: every cut or bipartition that is looked at, and the best."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
 
 #: The missing bin counts as empty where both its sums are under this share of the absolute sums.
 NEGLIGIBLE = 1e-4
@@ -72,39 +71,52 @@ def _oriented(col, missing_go, is_seq, data, gain, g1, h1, total, p, base) -> Sp
     return Split(col, missing_go, is_seq, tuple(map(int, data)), bool(left), float(gain), *(one + two if left else two + one))
 
 
-def _set_split(col, ids, g, h, gain, p, base, total) -> Split | None:
-    """ids: bins of one side. The smaller side is the set, at a tie this one; bin 0 becomes missing_go."""
-    full = np.flatnonzero((g != 0) | (h != 0))
-    ids = np.asarray(ids)
-    if len(ids) > len(full) - len(ids):
-        ids = np.setdiff1d(full, ids)
-    return _oriented(col, bool((ids == 0).any()), False, np.sort(ids[ids != 0]), gain, g[ids].sum(), h[ids].sum(), total, p, base)
-
+@dataclass
+class Candidates:
+    """Every way to part the filled bins of a histogram that the search looks at: gain (-inf where it is not allowed), and
+    G and H of the first part. Of equal gains the first counts."""
 
-def best_split(col: int, g: np.ndarray, h: np.ndarray, categorical: bool, p, base: float = 0.0) -> Split | None:
-    """The best split of one histogram. p: reg_lambda, reg_alpha, min_gain, min_node_hess, max_brute_bins."""
+    col: int
+    categorical: bool
+    g: np.ndarray
+    h: np.ndarray
+    total: tuple[float, float]
+    gain: np.ndarray
+    first_g: np.ndarray
+    first_h: np.ndarray
+    bins: Callable[[int], np.ndarray]  # of the first part
+    missing_first: np.ndarray | None = None  # sequential: whether the missing bin is in the first part
+    cut: np.ndarray | None = None  # sequential: its last bin
+
+    def allowed(self) -> np.ndarray:
+        return np.flatnonzero(np.isfinite(self.gain))
+
+    def split(self, i: int, p, base: float = 0.0) -> Split | None:
+        """The i-th as a split. Of a categorical column the smaller side is the set, at a tie this one; bin 0 becomes missing_go."""
+        if not self.categorical:
+            return _oriented(self.col, bool(self.missing_first[i]), True, (self.cut[i],), self.gain[i], self.first_g[i], self.first_h[i], self.total, p, base)
+        ids, full = self.bins(i), np.flatnonzero((self.g != 0) | (self.h != 0))
+        if len(ids) > len(full) - len(ids):
+            ids = np.setdiff1d(full, ids)
+        return _oriented(self.col, bool((ids == 0).any()), False, np.sort(ids[ids != 0]), self.gain[i], self.g[ids].sum(), self.h[ids].sum(), self.total, p, base)
+
+
+def candidates(col: int, g: np.ndarray, h: np.ndarray, categorical: bool, p, base: float = 0.0) -> Candidates | None:
+    """p: reg_lambda, reg_alpha, min_gain, min_node_hess, max_brute_bins."""
     g, h = g.astype(float).copy(), h.astype(float).copy()
     if abs(g[0]) < NEGLIGIBLE * np.abs(g).sum() and abs(h[0]) < NEGLIGIBLE * np.abs(h).sum():
         g[0] = h[0] = 0
     full = np.flatnonzero((g != 0) | (h != 0))
     if len(g) < 2 or len(full) < 2:
         return None
-    total = (g.sum(), h.sum())
+    total, n = (g.sum(), h.sum()), len(g)
     if not categorical:
-        n = len(g)
-        order = np.arange(n)
-        gain, gs, hs = _cuts(g, h, order, p, base, total)
-        i = int(np.argmax(gain))
-        best = (gain[i], True, i, gs[i], hs[i])
-        if g[0] != 0 or h[0] != 0:
-            order = np.append(np.arange(1, n), 0)
-            gain, gs, hs = _cuts(g, h, order, p, base, total)
-            i = int(np.argmax(gain))
-            if gain[i] > best[0]:
-                best = (gain[i], False, i + 1, gs[i], hs[i])
-        if not np.isfinite(best[0]):
-            return None
-        return _oriented(col, best[1], True, (best[2],), best[0], best[3], best[4], total, p, base)
+        orders = [np.arange(n)] + ([np.append(np.arange(1, n), 0)] if g[0] != 0 or h[0] != 0 else [])
+        found = [_cuts(g, h, order, p, base, total) for order in orders]
+        gain, gs, hs = (np.concatenate(x) for x in zip(*found, strict=True))
+        missing = np.repeat(np.arange(len(orders)) == 0, n)
+        cut = np.concatenate([np.arange(n) + k for k in range(len(orders))])
+        return Candidates(col, False, g, h, total, gain, gs, hs, lambda i: orders[i // n][: i % n + 1], missing, cut)
     if len(full) <= p.max_brute_bins:
         m = len(full) - 1  # the last bin is always on the other side
         side = (np.arange(1, 1 << m)[:, None] >> np.arange(m)) & 1
@@ -113,96 +125,16 @@ def best_split(col: int, g: np.ndarray, h: np.ndarray, categorical: bool, p, bas
             gain = leaf_score(gs, hs, p.reg_lambda, p.reg_alpha, base) + leaf_score(total[0] - gs, total[1] - hs, p.reg_lambda, p.reg_alpha, base)
             gain = gain - leaf_score(*total, p.reg_lambda, p.reg_alpha, base)
         ok = (hs >= p.min_node_hess) & (total[1] - hs >= p.min_node_hess) & np.isfinite(gain) & (gain >= p.min_gain)
-        gain = np.where(ok, gain, -np.inf)
-        i = int(np.argmax(gain))
-        return _set_split(col, full[:m][side[i] == 1], g, h, gain[i], p, base, total) if np.isfinite(gain[i]) else None
-    ratio = g[full] / (h[full] + p.reg_lambda / len(g))
+        return Candidates(col, True, g, h, total, np.where(ok, gain, -np.inf), gs, hs, lambda i: full[:m][side[i] == 1])
+    ratio = g[full] / (h[full] + p.reg_lambda / n)
     order = full[np.argsort(ratio, kind="stable")]
-    gain, _, _ = _cuts(g, h, order, p, base, total)
-    i = int(np.argmax(gain))
-    return _set_split(col, order[: i + 1], g, h, gain[i], p, base, total) if np.isfinite(gain[i]) else None
-
+    return Candidates(col, True, g, h, total, *_cuts(g, h, order, p, base, total), lambda i: order[: i + 1])
 
-# The same search as plans over hist(tree_id, node_id, col_id, bin, g, h).
 
-NODE = ["tree_id", "node_id", "col_id"]
-
-
-def weight_column(g: Column, h: Column, reg_lambda: float, reg_alpha: float = 0.0, base: float = 0.0) -> Column:
-    t = g - h * base
-    return -F.signum(t) * F.greatest(F.abs(t) - reg_alpha, F.lit(0.0)) / F.nullif(h + reg_lambda, F.lit(0.0)) - base
-
-
-def score_column(g: Column, h: Column, reg_lambda: float, reg_alpha: float = 0.0, base: float = 0.0) -> Column:
-    w = weight_column(g, h, reg_lambda, reg_alpha, base)
-    return -(0.5 * (h + reg_lambda) * w * w + (g + reg_lambda * base) * w + reg_alpha * F.abs(w + base))
-
-
-def _candidates(ordered: DataFrame, p, base: float) -> DataFrame:
-    """ordered: hist with (variant, ord). Every valid cut with sums of the first part (gl, hl) and of the node (gt, ht)."""
-    part = Window.partitionBy(*NODE, "variant")
-    run = part.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    c = ordered.select("*", F.sum("g").over(run).alias("gl"), F.sum("h").over(run).alias("hl"), F.sum("g").over(part).alias("gt"), F.sum("h").over(part).alias("ht"))
-    score = lambda g, h: score_column(g, h, p.reg_lambda, p.reg_alpha, base)
-    rest_g, rest_h = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")
-    c = c.withColumn("gain", score(F.col("gl"), F.col("hl")) + score(rest_g, rest_h) - score(F.col("gt"), F.col("ht")))
-    last = F.max("ord").over(part)
-    c = c.withColumn("last", last).filter((F.col("ord") < F.col("last")) & (F.col("hl") >= p.min_node_hess) & (rest_h >= p.min_node_hess) & (F.col("gain") >= p.min_gain))
-    weight = lambda g, h: weight_column(g, h, p.reg_lambda, p.reg_alpha, base)
-    return c.withColumns({"wl": weight(F.col("gl"), F.col("hl")), "wr": weight(F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl"))})
-
-
-def without_residue(hist: DataFrame) -> DataFrame:
-    """Drop empty bins, and a missing bin that is negligible."""
-    node = Window.partitionBy(*NODE)
-    small = (F.abs("g") < NEGLIGIBLE * F.sum(F.abs("g")).over(node)) & (F.abs("h") < NEGLIGIBLE * F.sum(F.abs("h")).over(node))
-    marked = hist.withColumn("small", (F.col("bin") == 0) & small)
-    return marked.filter("not small and (g <> 0 or h <> 0)").drop("small")
-
-
-def sequential_splits(hist: DataFrame, p, base: float = 0.0) -> DataFrame:
-    """All cuts of sequential columns: miss_right 0 with missing first, 1 with missing last where there is some."""
-    hist = without_residue(hist)
-    node = Window.partitionBy(*NODE)
-    some = F.max(F.when(F.col("bin") == 0, 1).otherwise(0)).over(node)
-    first = hist.select("*", F.lit(0).alias("variant"), F.col("bin").cast("long").alias("ord"))
-    second = hist.withColumn("some", some).filter("some = 1").drop("some").select(
-        "*", F.lit(1).alias("variant"), F.when(F.col("bin") == 0, F.lit(1 << 40)).otherwise(F.col("bin").cast("long")).alias("ord")
-    )
-    return _candidates(first.unionByName(second), p, base).select(*NODE, F.col("variant").alias("miss_right"), F.col("bin").alias("threshold"), "wl", "wr", "gain", "gl", "hl", "gt", "ht")
-
-
-def heuristic_splits(hist: DataFrame, p, bins: int, base: float = 0.0) -> DataFrame:
-    """Cuts of categorical columns in the order of g / (h + lambda / bins); ``set`` is the bins of the first part."""
-    hist = without_residue(hist).withColumn("ratio", F.col("g") / (F.col("h") + p.reg_lambda / bins))
-    place = Window.partitionBy(*NODE).orderBy("ratio", "bin")
-    ordered = hist.select("*", F.lit(0).alias("variant"), F.row_number().over(place).alias("ord"))
-    upto = place.rowsBetween(Window.unboundedPreceding, 0)
-    ordered = ordered.withColumn("set", F.sort_array(F.collect_list("bin").over(upto)))
-    return _candidates(ordered, p, base).select(*NODE, "set", "wl", "wr", "gain", "gl", "hl", "gt", "ht")
-
-
-def brute_splits(hist: DataFrame, p, base: float = 0.0) -> DataFrame:
-    """All bipartitions of the filled bins of each node and column, the last bin in the second part."""
-    hist = without_residue(hist)
-    packed = hist.groupBy(*NODE).agg(F.sort_array(F.collect_list(F.struct("bin", "g", "h"))).alias("bins"))
-    n = F.size("bins")
-    packed = packed.filter((n >= 2) & (n <= p.max_brute_bins)).select(
-        "*", F.aggregate("bins", F.lit(0.0), lambda a, x: a + x["g"]).alias("gt"), F.aggregate("bins", F.lit(0.0), lambda a, x: a + x["h"]).alias("ht"),
-        F.explode(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n - 1) - 1)).alias("mask"),
-    )
-    chosen = F.filter("bins", lambda x, i: F.getbit(F.col("mask"), i) == 1)
-    c = packed.withColumn("chosen", chosen)
-    c = c.select(*NODE, "mask", "gt", "ht", F.transform("chosen", lambda x: x["bin"]).alias("set"),
-                 F.aggregate("chosen", F.lit(0.0), lambda a, x: a + x["g"]).alias("gl"), F.aggregate("chosen", F.lit(0.0), lambda a, x: a + x["h"]).alias("hl"))
-    score = lambda g, h: score_column(g, h, p.reg_lambda, p.reg_alpha, base)
-    weight = lambda g, h: weight_column(g, h, p.reg_lambda, p.reg_alpha, base)
-    rest_g, rest_h = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")
-    c = c.withColumns({"gain": score(F.col("gl"), F.col("hl")) + score(rest_g, rest_h) - score(F.col("gt"), F.col("ht")), "wl": weight(F.col("gl"), F.col("hl")), "wr": weight(rest_g, rest_h)})
-    return c.filter((F.col("hl") >= p.min_node_hess) & (rest_h >= p.min_node_hess) & (F.col("gain") >= p.min_gain))
-
-
-def best_per_node(splits: DataFrame, *ties: str) -> DataFrame:
-    """Of each tree's node the split of most gain; then the lowest column and the given order."""
-    w = Window.partitionBy("tree_id", "node_id").orderBy(F.desc("gain"), "col_id", *ties)
-    return splits.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+def best_split(col: int, g: np.ndarray, h: np.ndarray, categorical: bool, p, base: float = 0.0) -> Split | None:
+    """The best split of one histogram."""
+    found = candidates(col, g, h, categorical, p, base)
+    if found is None:
+        return None
+    i = int(np.argmax(found.gain))
+    return found.split(i, p, base) if np.isfinite(found.gain[i]) else None

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from arborlane.operators.cells import Dense, Sparse
 from arborlane.operators.splits import Split
 
 
@@ -82,13 +83,13 @@ class Tree:
             self._flat = f
         return self._flat
 
-    def place(self, bins: np.ndarray) -> np.ndarray:
-        """Place of each row's leaf; bins: rows by columns."""
+    def place(self, cells: Dense | Sparse) -> np.ndarray:
+        """Place of each row's leaf."""
         f = self.flat()
-        at = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
+        at = np.zeros(len(cells), np.int64)
+        rows = np.arange(len(cells))
         for _ in range(f["depth"]):
-            b = bins[rows, f["col"][at]]
+            b = cells.pick(rows, f["col"][at])
             go = b <= f["cut"][at]
             if f["member"] is not None:
                 inside = f["member"][at, np.minimum(b, f["member"].shape[1] - 1)] & (b < f["member"].shape[1])
@@ -97,11 +98,11 @@ class Tree:
             at = np.where(go == f["toleft"][at], f["left"][at], f["right"][at])
         return at
 
-    def predict(self, bins: np.ndarray) -> np.ndarray:
-        return self.flat()["prediction"][self.place(bins)]
+    def predict(self, cells: Dense | Sparse) -> np.ndarray:
+        return self.flat()["prediction"][self.place(cells)]
 
-    def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        return self.flat()["leaf_id"][self.place(bins)]
+    def leaf_of(self, cells: Dense | Sparse) -> np.ndarray:
+        return self.flat()["leaf_id"][self.place(cells)]
 
     def rows(self) -> list[tuple]:
         """Pre-order rows: (id, prediction, is_leaf, left, right, col, missing_go, is_seq, data, left_first, gain, stats)."""

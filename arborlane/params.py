@@ -8,6 +8,7 @@ from typing import Any
 
 CAST_MODES = ("floor", "ceil", "round")
 FIT_MODES = ("width", "depth")
+LEVELS = ("MEMORY_AND_DISK", "MEMORY_AND_DISK_SER", "MEMORY_ONLY", "MEMORY_ONLY_SER", "DISK_ONLY", "MEMORY_AND_DISK_2", "MEMORY_ONLY_2", "DISK_ONLY_2", "OFF_HEAP")
 
 
 @dataclass
@@ -50,6 +51,9 @@ class Params:
     histogram_parallelism: int = -1
     checkpoint_interval: int = 10
     aggregation_depth: int = 2
+    storage_level1: str = "MEMORY_AND_DISK"
+    storage_level2: str = "MEMORY_AND_DISK_SER"
+    storage_level3: str = "DISK_ONLY"
     float_type: str = "double"
     seed: int = -1
 
@@ -88,6 +92,8 @@ class Params:
         need(self.histogram_parallelism != 0, "histogram_parallelism must not be 0")
         need(self.checkpoint_interval == -1 or self.checkpoint_interval > 0, "checkpoint_interval must be -1 or positive")
         need(self.aggregation_depth >= 2, "aggregation_depth must be at least 2")
+        for level in (self.storage_level1, self.storage_level2, self.storage_level3):
+            need(level in LEVELS, f"storage level {level!r} is not one of {', '.join(LEVELS)}")
         need(self.float_type in ("float", "double"), "float_type must be float or double")
         self.modes()
 

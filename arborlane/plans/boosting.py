@@ -3,33 +3,42 @@
 A level's query computes, in each Arrow batch, raw scores from the model so far, gradients and node places, adds them to
 the partition's histograms with ``np.bincount``, and deals the packed histograms by (tree, node, column). The tasks that
 get them add them up and search splits; the driver collects the best split of each node, at most 2 ** depth rows a tree.
+Where the table has many partitions, histograms are first added up in groups of partitions, ``aggregation_depth - 1`` times.
 No rows are joined back by key and no lineage grows: the binned table is written once, and its raw-score columns anew
 every ``checkpoint_interval`` rounds.
+
+A binned table of at most ``LOCAL_BYTES`` comes to the driver, which runs the same functions over its partitions without a
+query for each level. With ``parallelism_type`` feature, ``vertical.py`` deals the bins by column instead of the histograms.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborlane.functions.metrics import Metric
+from arborlane.functions.metrics import Metric, measured, partials, totalled
 from arborlane.functions.objectives import Objective, Square
 from arborlane.operators.binning import WIDE, Discretizer, matrix
-from arborlane.operators.sampling import choose_columns, keep_array
+from arborlane.operators.cells import Dense, Sparse, cells_of, column_matrix
+from arborlane.operators.sampling import choose_columns, choose_units, keep_array
 from arborlane.operators.splits import Split, best_split, leaf_weight
 from arborlane.operators.trees import Tree
 from arborlane.params import Params
 from arborlane.session import materialise, release, tasks_for
 
-
 #: Histograms of a level that the driver may gather instead of dealing them to tasks.
 DRIVER_BYTES = 8 << 20
+#: A binned table that the driver may hold.
+LOCAL_BYTES = 64 << 20
+#: Sampled units (rows, blocks or partitions) up to which their number is exact; beyond, each is kept by its hash.
+EXACT_UNITS = 1 << 16
 
 
 def mixed_seed(*parts: int) -> int:
@@ -40,6 +49,22 @@ def mixed_seed(*parts: int) -> int:
     return x
 
 
+@dataclass
+class Rows:
+    """A batch of binned rows: label and raw are rows by outputs, g and h of the whole round's raw score."""
+
+    cells: Dense | Sparse
+    weight: np.ndarray
+    label: np.ndarray
+    raw: np.ndarray
+    key: np.ndarray
+    g: np.ndarray | None = None
+    h: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.weight)
+
+
 @dataclass
 class Round:
     """What a task must know to work out a level of one round."""
@@ -55,97 +80,103 @@ class Round:
     seed: int = 0
     goss: list[float] | None = None  # least norm of the top rows
     depth: int = 0
+    units: list[np.ndarray] | None = None  # of each base model the units sampled, sorted; None: by their hash
 
-    def batch(self, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(bins, weights, labels by outputs, raw by outputs)."""
-        bins = column_matrix(rows.column("bins")).astype(np.int64)
-        raw = column_matrix(rows.column("raw")).astype(float).copy()
-        for t in range(self.since, len(self.trees)):
-            if self.weights[t]:
-                raw[:, t % raw.shape[1]] += self.weights[t] * self.trees[t].predict(bins)
-        label = self.objective.encode(rows.column("label").to_numpy(zero_copy_only=False).astype(float))
-        return bins, rows.column("weight").to_numpy(zero_copy_only=False).astype(float), label, raw
+    def rows(self, batches: Iterable[pa.RecordBatch]) -> Iterator[Rows]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cells = cells_of(b)
+            raw = column_matrix(b.column("raw")).astype(float).copy()
+            for t in range(self.since, len(self.trees)):
+                if self.weights[t]:
+                    raw[:, t % raw.shape[1]] += self.weights[t] * self.trees[t].predict(cells)
+            label = self.objective.encode(b.column("label").to_numpy(zero_copy_only=False).astype(float))
+            yield self.with_gradients(Rows(cells, b.column("weight").to_numpy(zero_copy_only=False).astype(float), label, raw, b.column("key").to_numpy(zero_copy_only=False)))
+
+    def with_gradients(self, rows: Rows) -> Rows:
+        rows.g, rows.h = self.gradients(rows.weight, rows.label, rows.raw)
+        return rows
 
     def gradients(self, weight, label, raw) -> tuple[np.ndarray, np.ndarray]:
         g, h = self.objective.compute(label, self.objective.transform(raw))
         return g * weight[:, None], h * weight[:, None]
 
-
-def column_matrix(column: pa.Array) -> np.ndarray:
-    """A list column whose rows have one length, as rows by places."""
-    n = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(n, len(flat) // n if n else 0)
-
-
-def _sampled(round_: Round, key: np.ndarray, part: int, tree: int) -> np.ndarray:
-    """Row mask of a base model, the same for its outputs."""
-    p = round_.params
-    if p.sub_sample_rate_by_tree >= 1 or p.sub_sample_type == "goss":
-        return np.ones(len(key), bool)
-    unit = {"row": key, "block": key // p.block_size, "partition": np.full(len(key), part)}[p.sub_sample_type]
-    return keep_array(p.sub_sample_rate_by_tree, mixed_seed(round_.seed, 1, tree // round_.objective.size), unit)
-
-
-def _goss_scale(round_: Round, g: np.ndarray, key: np.ndarray, tree: int) -> np.ndarray:
-    p = round_.params
-    norm = (g * g).sum(axis=1)
-    top = norm >= round_.goss[0]
-    rest = keep_array(min(1.0, p.other_rate / (1 - p.top_rate)), mixed_seed(round_.seed, 2, tree // round_.objective.size), key)
-    return np.where(top, 1.0, np.where(rest, (1 - p.top_rate) / p.other_rate, 0.0))
-
-
-def _local_histograms(round_: Round, wanted: set[tuple[int, int]] | None, picked: set[tuple[int, int, int]] | None):
+    def sampled(self, key: np.ndarray, part: int, tree: int) -> np.ndarray:
+        """Row mask of a base model, the same for its outputs."""
+        p = self.params
+        if p.sub_sample_rate_by_tree >= 1 or p.sub_sample_type == "goss":
+            return np.ones(len(key), bool)
+        unit = unit_of(p, key, part)
+        base = tree // self.objective.size
+        return np.isin(unit, self.units[base]) if self.units is not None else keep_array(p.sub_sample_rate_by_tree, unit_seed(self.seed, base), unit)
+
+    def goss_scale(self, g: np.ndarray, key: np.ndarray, tree: int) -> np.ndarray:
+        """1 for rows of the top norms, the scale of the others' sample, 0 for the rest."""
+        p = self.params
+        norm = (g * g).sum(axis=1)
+        top = norm >= self.goss[0]
+        rest = keep_array(min(1.0, p.other_rate / (1 - p.top_rate)), mixed_seed(self.seed, 2, tree // self.objective.size), key)
+        return np.where(top, 1.0, np.where(rest, (1 - p.top_rate) / p.other_rate, 0.0))
+
+    def placed(self, i: int, rows: Rows, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the rows that new tree i's histograms read: (row, node, g, h)."""
+        p, k, tree = self.params, self.objective.size, self.new[i]
+        place = tree.place(rows.cells)
+        g, h = rows.g, rows.h
+        if p.leaf_boosting:  # gradients at the score that this forest's trees so far would give
+            scored = rows.raw.copy()
+            for j in range(i - i % k, i - i % k + k):
+                scored[:, j % k] += p.step_size * self.new[j].predict(rows.cells)
+            g, h = self.gradients(rows.weight, rows.label, scored)
+        flat = tree.flat()
+        node = flat["ids"][place]
+        use = flat["leaf"][place] & self.sampled(rows.key, part, i)
+        scale = self.goss_scale(rows.g, rows.key, i) if self.goss is not None else None
+        if scale is not None:
+            use &= scale > 0
+        if p.sub_sample_rate_by_node < 1 and p.histogram_computation_type != "subtract":
+            for n in np.unique(node[use]):
+                mine = node == n
+                use[mine] &= keep_array(p.sub_sample_rate_by_node, mixed_seed(self.seed, 3, i, int(n)), rows.key[mine])
+        at = np.flatnonzero(use)
+        gs, hs = g[at, i % k], h[at, i % k]
+        return (at, node[at], gs, hs) if scale is None else (at, node[at], gs * scale[at], hs * scale[at])
+
+
+def unit_of(p: Params, key: np.ndarray, part: int) -> np.ndarray:
+    return {"row": key, "block": key // p.block_size, "partition": np.full(len(key), part)}[p.sub_sample_type]
+
+
+def unit_seed(seed: int, base: int) -> int:
+    return mixed_seed(seed, 1, base)
+
+
+def local_histograms(round_: Round, wanted: set[tuple[int, int]] | None, picked: set[tuple[int, int, int]] | None):
     """Of one partition: {(tree, node, column): [g by bin, h by bin]}. wanted: (tree, node); picked: (tree, node, column)."""
-    size, k, p = round_.params.max_bins, round_.objective.size, round_.params
+    size = round_.params.max_bins
 
-    def run(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, int, int], np.ndarray]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    def run(rows: Iterable[Rows], part: int) -> dict[tuple[int, int, int], np.ndarray]:
         out: dict[tuple[int, int, int], np.ndarray] = {}
-        for rows in batches:
-            bins, weight, label, raw = round_.batch(rows)
-            if not len(bins):
-                continue
-            key = rows.column("key").to_numpy(zero_copy_only=False)
-            places = [t.place(bins) for t in round_.new]
-            scored = raw
-            g0, h0 = round_.gradients(weight, label, raw)
-            for i, tree in enumerate(round_.new):
-                g, h = g0, h0
-                if p.leaf_boosting:  # gradients at the score that this forest's trees so far would give
-                    group = range(i - i % k, i - i % k + k)
-                    scored = raw.copy()
-                    for j in group:
-                        scored[:, j % k] += p.step_size * round_.new[j].flat()["prediction"][places[j]]
-                    g, h = round_.gradients(weight, label, scored)
-                flat = tree.flat()
-                node = flat["ids"][places[i]]
-                use = flat["leaf"][places[i]] & _sampled(round_, key, part, i)
-                scale = _goss_scale(round_, g0, key, i) if round_.goss is not None else None
-                if scale is not None:
-                    use &= scale > 0
-                if p.sub_sample_rate_by_node < 1 and p.histogram_computation_type != "subtract":
-                    for n in np.unique(node[use]):
-                        mine = node == n
-                        use[mine] &= keep_array(p.sub_sample_rate_by_node, mixed_seed(round_.seed, 3, i, int(n)), key[mine])
+        for r in rows:
+            some = r.cells.columns()
+            for i in range(len(round_.new)):
+                at, node, g, h = round_.placed(i, r, part)
                 if wanted is not None:
-                    ok = [n for t, n in wanted if t == i]
-                    use &= np.isin(node, ok)
-                if not use.any():
+                    ok = np.isin(node, [n for t, n in wanted if t == i])
+                    at, node, g, h = at[ok], node[ok], g[ok], h[ok]
+                if not len(at):
                     continue
-                gs, hs = g[use, i % k], h[use, i % k]
-                if scale is not None:
-                    gs, hs = gs * scale[use], hs * scale[use]
-                nodes, at = np.unique(node[use], return_inverse=True)
-                cells = at * size
+                nodes, inside = np.unique(node, return_inverse=True)
+                totals = np.stack([np.bincount(inside, weights=w) for w in (g, h)])
                 for c in round_.columns[i]:
                     if picked is not None and not any((i, int(n), c) in picked for n in nodes):
                         continue
-                    cell = cells + bins[use, c]
-                    both = np.stack([np.bincount(cell, weights=w, minlength=len(nodes) * size) for w in (gs, hs)])
-                    both = both.reshape(2, len(nodes), size)
+                    if some is None or c in some:
+                        both = r.cells.sums(c, at, inside, len(nodes), size, [g, h], totals)
+                    else:  # nothing but missing cells
+                        both = np.zeros((2, len(nodes), size))
+                        both[:, :, 0] = totals
                     for j, n in enumerate(nodes.tolist()):
                         if picked is not None and (i, n, c) not in picked:
                             continue
@@ -161,7 +192,7 @@ def _local_histograms(round_: Round, wanted: set[tuple[int, int]] | None, picked
 HIST = "tree int, node long, col int, kind int, hist binary"
 
 
-def _hist_rows(found: dict, kind: int = 0) -> Iterator[pa.RecordBatch]:
+def hist_batches(found: dict, kind: int = 0) -> Iterator[pa.RecordBatch]:
     items = list(found.items())
     for at in range(0, len(items), 4096):
         some = items[at : at + 4096]
@@ -172,7 +203,7 @@ def _hist_rows(found: dict, kind: int = 0) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _summed(batches: Iterator[pa.RecordBatch], size: int) -> dict[tuple[int, int, int], np.ndarray]:
+def summed(batches: Iterable[pa.RecordBatch], size: int) -> dict[tuple[int, int, int], np.ndarray]:
     out: dict[tuple[int, int, int], np.ndarray] = {}
     for rows in batches:
         for t, n, c, h in zip(*(rows.column(x).to_pylist() for x in ("tree", "node", "col", "hist")), strict=True):
@@ -181,10 +212,36 @@ def _summed(batches: Iterator[pa.RecordBatch], size: int) -> dict[tuple[int, int
     return out
 
 
+def children(old: dict, right: dict, active: set[tuple[int, int]]) -> dict:
+    """Histograms of the next level: those of right children, keyed by the parent, are given; left ones are the rest of it."""
+    out = {}
+    for (t, n, c), h in old.items():
+        r = right.get((t, n, c))
+        if (t, 2 * n) in active:
+            out[t, 2 * n, c] = h if r is None else h - r
+        if r is not None and (t, 2 * n + 1) in active:
+            out[t, 2 * n + 1, c] = r
+    return out
+
+
+def long_histograms(hists: DataFrame, size: int) -> DataFrame:
+    """Packed histograms as rows (tree_id, node_id, col_id, bin, g, h) of filled bins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, n, c, h in zip(*(b.column(x).to_pylist() for x in ("tree", "node", "col", "hist")), strict=True):
+                h = np.frombuffer(h, float).reshape(2, size)
+                bins = np.flatnonzero((h != 0).any(axis=0))
+                cols = [np.full(len(bins), t, np.int32), np.full(len(bins), n, np.int64), np.full(len(bins), c, np.int32), bins.astype(np.int32), h[0, bins], h[1, bins]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["tree_id", "node_id", "col_id", "bin", "g", "h"])
+
+    return hists.mapInArrow(run, "tree_id int, node_id long, col_id int, bin int, g double, h double")
+
+
 SPLIT = "tree int, node long, col int, missing_go boolean, is_seq boolean, data array<int>, left_first boolean, gain double, stats array<double>"
 
 
-def _search(params: Params, bases: dict[tuple[int, int], float], columns_by_node: Callable[[int, int], set | None]):
+def search(params: Params, bases: dict[tuple[int, int], float], columns_by_node: Callable[[int, int], set | None]):
     """Best split of each node among one partition's histograms."""
     size, categorical = params.max_bins, set(params.cat_cols)
 
@@ -207,131 +264,221 @@ def _search(params: Params, bases: dict[tuple[int, int], float], columns_by_node
 
 
 class Booster:
-    """One fit. ``data``: (key long, bins array<int>, label double, weight double, raw array<double>)."""
+    """One fit. ``data``: (key long, bins array<int>, label double, weight double, raw array<double>), and cols array<int>
+    with the columns of the bins where they are sparse. ``local``: whether the driver may hold a small table."""
 
     def __init__(self, data: DataFrame, discretizer: Discretizer, objective: Objective, raw_base: list[float], params: Params,
-                 metrics: list[Metric] = (), callbacks: list = (), valid: DataFrame | None = None, trees: list[Tree] = (), weights: list[float] = ()):
+                 metrics: list[Metric] = (), callbacks: list = (), valid: DataFrame | None = None, trees: list[Tree] = (), weights: list[float] = (), local: bool = True):
         self.data, self.valid, self.discretizer, self.objective, self.raw_base = data, valid, discretizer, objective, raw_base
         self.params, self.metrics, self.callbacks = params, list(metrics), list(callbacks)
         self.trees, self.weights, self.since = list(trees), list(weights), 0
         self.history: dict[str, list[dict[str, float]]] = {"train": [], "valid": []}
+        spark = data.sparkSession
         p = params.histogram_parallelism
-        self.tasks = p if p > 0 else -p * tasks_for(data.sparkSession)
-        # Each task sends histograms once, so more tasks than the cluster can run at a time only send more.
-        self.readers = 3 * data.sparkSession.sparkContext.defaultParallelism
-        self.parts = min(self.readers, data.rdd.getNumPartitions())
-
-    def _read(self) -> DataFrame:
-        return self.data.coalesce(self.readers)
+        self.tasks = p if p > 0 else -p * tasks_for(spark)
+        self.parts, self.cores = data.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+        self.held: dict[str, list[tuple[int, list[Rows]]]] | None = None
+        self.vertical = None
+        self.written = [data, valid]
+        if local and params.parallelism_type == "data" and self._bytes() <= LOCAL_BYTES:
+            self._hold()
+        elif getattr(data, "_written_at", None):
+            self.data = data.persist(storage(params.storage_level1))
+            self.valid = valid.persist(storage(params.storage_level2)) if valid is not None else None
 
     def close(self) -> None:
         """Delete the written tables of this fit."""
         for table in (self.data, self.valid):
+            if table is not None and table.is_cached:
+                table.unpersist()
+        for table in (*self.written, self.data, self.valid):
             release(table)
 
+    # -- where the rows are ----------------------------------------------------------------------------------------
+
+    def _bytes(self) -> int:
+        """Of the tables, from the number of their rows and, sampled rows' mean being exact for dense ones, cells."""
+        if not getattr(self.data, "_written_at", None):
+            return LOCAL_BYTES + 1
+        total = 0
+        for table in (self.data, self.valid):
+            if table is not None:
+                n, cells = table.agg(F.count("*"), F.coalesce(F.sum(F.size("bins")), F.lit(0))).first()
+                total += n * (24 + 8 * len(self.raw_base)) + 8 * cells * (2 if "cols" in table.columns else 1)
+        return total
+
+    def _hold(self) -> None:
+        first = Round(self.objective, self.raw_base, self.trees, self.weights, 0, params=self.params)
+        self.held = {}
+        for name in ("data", "valid"):
+            table = getattr(self, name)
+            if table is None:
+                continue
+            parts: dict[int, list[pa.RecordBatch]] = {}
+            for b in table.withColumn("_part", F.spark_partition_id()).toArrow().to_batches():
+                ids = b.column("_part").to_numpy()
+                for part in np.unique(ids):
+                    parts.setdefault(int(part), []).append(b.filter(pa.array(ids == part)))
+            joined = {part: pa.Table.from_batches(bs).combine_chunks().to_batches() for part, bs in sorted(parts.items())}
+            self.held[name] = [(part, list(first.rows(bs))) for part, bs in joined.items()]
+        self.base = {name: [[r.raw.copy() for r in rows] for _, rows in parts] for name, parts in self.held.items()} if self.params.boost_type == "dart" else None
+
+    def _score_held(self, round_: Round, new: list[Tree], weights: list[float]) -> None:
+        """Bring the raw scores of held rows up to date: by the new trees, or, where weights of old ones change, from the base."""
+        for name, parts in self.held.items():
+            for i, (_, rows) in enumerate(parts):
+                for j, r in enumerate(rows):
+                    if self.base is not None:
+                        r.raw = self.base[name][i][j].copy()
+                    for t, (tree, w) in enumerate(zip(new, weights, strict=True)):
+                        if w:
+                            r.raw[:, t % r.raw.shape[1]] += w * tree.predict(r.cells)
+                    round_.with_gradients(r)
+
+    def each(self, round_: Round, run, schema: str, name: str = "data") -> DataFrame | list[pa.RecordBatch]:
+        """``run(rows, partition)`` over every partition: a query, or its batches where the rows are held."""
+        if self.held is not None:
+            return [b for part, rows in self.held[name] for b in run(rows, part)]
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            yield from run(round_.rows(batches), TaskContext.get().partitionId())
+
+        return getattr(self, name).mapInArrow(task, schema)
+
+    @staticmethod
+    def gathered(found: DataFrame | list[pa.RecordBatch]) -> list[dict]:
+        return [r for b in found for r in b.to_pylist()] if isinstance(found, list) else [r.asDict() for r in found.collect()]
+
     # -- one level -------------------------------------------------------------------------------------------------
 
-    def _level(self, round_: Round, remaining: list[int], done: set[int], parent: DataFrame | None) -> tuple[dict[int, dict[int, Split]], DataFrame | None]:
-        """Best splits of the deepest leaves of the growing trees; and, when subtracting, this level's histograms."""
-        p, size = self.params, self.params.max_bins
-        bases = {(i, n.id): n.prediction for i, t in enumerate(round_.new) for n in t.leaves} if p.leaf_boosting else {}
-        seed, depth, columns = round_.seed, round_.depth, round_.columns
+    def active(self, round_: Round, done: set[int] = frozenset()) -> set[tuple[int, int]]:
+        """(tree, node) of the deepest leaves of the growing trees."""
+        return {(i, n.id) for i, t in enumerate(round_.new) if i not in done for n in t.leaves if n.id.bit_length() - 1 == round_.depth}
+
+    def columns_by_node(self, round_: Round) -> Callable[[int, int], set | None]:
+        p, seed, depth, columns = self.params, round_.seed, round_.depth, round_.columns
 
-        def columns_by_node(t: int, n: int) -> set | None:
+        def of(t: int, n: int) -> set | None:
             if p.col_sample_rate_by_node >= 1:
                 return None
             mine = columns[t]
             return {mine[i] for i in choose_columns(len(mine), p.col_sample_rate_by_node, mixed_seed(seed, 4, t, n, depth))}
 
-        best = _search(p, bases, columns_by_node)
-        active = {(i, n.id) for i, t in enumerate(round_.new) if i not in done for n in t.leaves if n.id.bit_length() - 1 == depth}
-        picked = self._vote(round_, active, columns_by_node) if p.histogram_computation_type == "vote" else None
-        subtract = p.histogram_computation_type == "subtract"
-        wanted = {(t, n) for t, n in active if n % 2 == 1} if subtract and depth else active
-        local = _local_histograms(round_, wanted, picked)
+        return of
+
+    def _combined(self, hists: DataFrame) -> DataFrame:
+        """Histograms of many partitions added up in groups, so that what is dealt to the search is few for each key."""
+        size, parts = self.params.max_bins, self.parts
+        for _ in range(self.params.aggregation_depth - 1):
+            groups = -(-parts // max(2, self.cores))
+            if groups <= 1 or parts <= 4 * self.cores:
+                return hists
+
+            def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                yield from hist_batches(summed(batches, size))
 
-        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _hist_rows(local(batches))
+            hists = hists.withColumn("group", F.spark_partition_id() % groups).repartition(self.tasks * min(groups, 8), "group", "tree", "node", "col").drop("group").mapInArrow(add, HIST)
+            parts = groups
+        return hists
 
-        hists = self._read().mapInArrow(gather, HIST)
-        current = None
-        if not subtract and self._few(active, columns):
+    def histograms(self, round_: Round, active: set, parent=None):
+        """Histograms of the active nodes: a query, or a dictionary where the rows are held. parent: those of the level
+        before, for subtraction, which computes right children alone."""
+        p, size = self.params, self.params.max_bins
+        if self.held is None and p.parallelism_type == "feature":
+            return self.vertical.histograms(round_, active)
+        picked = self.vote(round_, active) if p.histogram_computation_type == "vote" else None
+        subtract = parent is not None
+        local = local_histograms(round_, {(t, n) for t, n in active if n % 2 == 1} if subtract else active, picked)
+        found = self.each(round_, lambda rows, part: hist_batches(local(rows, part)), HIST)
+        if self.held is not None:
+            mine = summed(found, size)
+            return children(parent, {(t, n >> 1, c): h for (t, n, c), h in mine.items()}, active) if subtract else mine
+        found = self._combined(found)
+        if not subtract:
+            return found
+        found = found.withColumn("node", F.shiftright("node", 1)).withColumn("kind", F.lit(1)).unionByName(parent)
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[int, list] = {0: [], 1: []}
+            for rows in batches:
+                kinds = rows.column("kind").to_numpy(zero_copy_only=False)
+                for k in (0, 1):
+                    parts[k].append(rows.filter(pa.array(kinds == k)))
+            yield from hist_batches(children(summed(parts[0], size), summed(parts[1], size), active))
+
+        return found.repartition(self.tasks, "tree", "node", "col").mapInArrow(task, HIST)
+
+    def splits(self, round_: Round, hists, active: set) -> list[dict]:
+        """The best splits of the tasks' histograms, at most tasks * 2 ** depth rows a tree."""
+        bases = {(i, n.id): n.prediction for i, t in enumerate(round_.new) for n in t.leaves} if self.params.leaf_boosting else {}
+        size, best = self.params.max_bins, search(self.params, bases, self.columns_by_node(round_))
+        if isinstance(hists, dict):
+            return best(hists).to_pylist()
+        if self._few(active, round_.columns):
             # So few histograms that the driver adds them up in the time of starting the tasks that would.
-            table = hists.select("tree", "node", "col", "hist").toArrow()
-            rows = best(_summed(iter(table.to_batches()), size)).to_pylist()
-        elif not subtract:
-            def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                yield best(_summed(batches, size))
-
-            rows = hists.repartition(self.tasks, "tree", "node", "col").mapInArrow(search, SPLIT).collect()
-        else:
-            if depth:
-                hists = hists.withColumn("node", F.shiftright("node", 1)).withColumn("kind", F.lit(1)).unionByName(parent)
-
-            def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                """Right children are given, left ones are what is left of their parents."""
-                parts: dict[int, list] = {0: [], 1: []}
-                for rows in batches:
-                    kinds = rows.column("kind").to_numpy(zero_copy_only=False)
-                    for k in (0, 1):
-                        parts[k].append(rows.filter(pa.array(kinds == k)))
-                old, right = _summed(iter(parts[0]), size), _summed(iter(parts[1]), size)
-                if not depth:
-                    yield from _hist_rows(old)
-                    return
-                out = {}
-                for (t, n, c), h in old.items():
-                    r = right.get((t, n, c))
-                    if (t, 2 * n) in active:
-                        out[t, 2 * n, c] = h if r is None else h - r
-                    if r is not None and (t, 2 * n + 1) in active:
-                        out[t, 2 * n + 1, c] = r
-                yield from _hist_rows(out)
-
-            current = materialise(hists.repartition(self.tasks, "tree", "node", "col").mapInArrow(children, HIST), "hist")
-
-            def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                yield best(_summed(batches, size))
-
-            rows = current.mapInArrow(search, SPLIT).collect()
+            return best(summed(hists.select("tree", "node", "col", "hist").toArrow().to_batches(), size)).to_pylist()
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield best(summed(batches, size))
+
+        return [r.asDict() for r in hists.repartition(self.tasks, "tree", "node", "col").mapInArrow(task, SPLIT).collect()]
+
+    def level(self, round_: Round, remaining: list[int], done: set[int], parent) -> tuple[dict[int, dict[int, Split]], object]:
+        """Best splits of the deepest leaves of the growing trees; and, when subtracting, this level's histograms."""
+        active = self.active(round_, done)
+        hists = self.histograms(round_, active, parent)
+        subtract = self.params.histogram_computation_type == "subtract" and self.vertical is None
+        if subtract and not isinstance(hists, dict):
+            hists = materialise(hists, "hist")
         found: dict[int, dict[int, Split]] = {}
-        for r in rows:  # at most tasks * 2 ** depth rows a tree
+        for r in self.splits(round_, hists, active):
             s = Split(r["col"], r["missing_go"], r["is_seq"], tuple(r["data"]), r["left_first"], r["gain"], *r["stats"])
             mine = found.setdefault(r["tree"], {})
             old = mine.get(r["node"])
             if old is None or (-s.gain, s.col) < (-old.gain, old.col):
                 mine[r["node"]] = s
         for t, mine in found.items():  # the leaf budget takes the splits of most gain
-            order = sorted(mine.items(), key=lambda x: (-x[1].gain, x[0]))[: remaining[t]]
-            found[t] = dict(order)
-        return found, current
+            found[t] = dict(sorted(mine.items(), key=lambda x: (-x[1].gain, x[0]))[: remaining[t]])
+        return found, hists if subtract else None
 
     def _few(self, active: set, columns: list[list[int]]) -> bool:
         """Whether all tasks' histograms of a level are within DRIVER_BYTES."""
         cells = sum(len(columns[t]) for t, _ in active) * self.params.max_bins
         return 16 * cells * self.parts <= DRIVER_BYTES
 
-    def _vote(self, round_: Round, active: set, columns_by_node) -> set[tuple[int, int, int]]:
-        """Columns that the partitions vote for: each its top_k by local gain of each node; of these the 2 * top_k of most votes."""
-        p, categorical = self.params, set(self.params.cat_cols)
-        local = _local_histograms(round_, active, None)
+    def votes(self, round_: Round, active: set) -> dict[tuple[int, int, int], int]:
+        """How many partitions vote for a column: each for its top_k by local gain of each node."""
+        p, categorical, allow = self.params, set(self.params.cat_cols), self.columns_by_node(round_)
+        local = local_histograms(round_, active, None)
 
-        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(rows: Iterable[Rows], part: int) -> Iterator[pa.RecordBatch]:
             gains: dict[tuple[int, int], list] = {}
-            for (t, n, c), h in local(batches).items():
-                allowed = columns_by_node(t, n)
+            for (t, n, c), h in local(rows, part).items():
+                allowed = allow(t, n)
                 if allowed is None or c in allowed:
                     s = best_split(c, h[0], h[1], c in categorical, p)
                     if s is not None:
                         gains.setdefault((t, n), []).append((-s.gain, c))
-            rows = [(t, n, c) for (t, n), found in gains.items() for _, c in sorted(found)[: p.top_k]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())], names=["tree", "node", "col"])
-
-        counted = self._read().mapInArrow(votes, "tree int, node long, col int").groupBy("tree", "node", "col").count()
+            out = [(t, n, c) for (t, n), found in gains.items() for _, c in sorted(found)[: p.top_k]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int32()))], names=["tree", "node", "col"])
+
+        found = self.each(round_, run, "tree int, node long, col int")
+        count: dict[tuple[int, int, int], int] = {}
+        if isinstance(found, DataFrame):  # at most 2 ** depth * columns rows a tree
+            return {(t, n, c): k for t, n, c, k in found.groupBy("tree", "node", "col").count().collect()}
+        for r in self.gathered(found):
+            count[r["tree"], r["node"], r["col"]] = count.get((r["tree"], r["node"], r["col"]), 0) + 1
+        return count
+
+    def vote(self, round_: Round, active: set) -> set[tuple[int, int, int]]:
+        """Of the columns voted for, the 2 * top_k of most votes of each node."""
         by: dict[tuple[int, int], list] = {}
-        for t, n, c, k in counted.collect():  # at most partitions * top_k a node
+        for (t, n, c), k in self.votes(round_, active).items():
             by.setdefault((t, n), []).append((-k, c))
-        return {(t, n, c) for (t, n), found in by.items() for _, c in sorted(found)[: 2 * p.top_k]}
+        return {(t, n, c) for (t, n), found in by.items() for _, c in sorted(found)[: 2 * self.params.top_k]}
 
     # -- one round -------------------------------------------------------------------------------------------------
 
@@ -348,50 +495,89 @@ class Booster:
         k = min(max(-int(-n * p.drop_rate // 1), p.min_drop), p.max_drop, n)
         return sorted(rng.sample(range(n), k))
 
-    def _goss_level(self, round_: Round) -> list[float] | None:
+    def goss_level(self, round_: Round) -> list[float] | None:
         if self.params.sub_sample_type != "goss":
             return None
 
-        def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in batches:
-                _, weight, label, raw = round_.batch(rows)
-                g, _ = round_.gradients(weight, label, raw)
-                yield pa.RecordBatch.from_arrays([pa.array((g * g).sum(axis=1))], names=["norm"])
+        def norms(rows: Iterable[Rows], part: int) -> Iterator[pa.RecordBatch]:
+            for r in rows:
+                yield pa.RecordBatch.from_arrays([pa.array((r.g * r.g).sum(axis=1))], names=["norm"])
 
-        row = self._read().mapInArrow(norms, "norm double").agg(F.percentile_approx("norm", F.lit(1 - self.params.top_rate), 10_000)).first()
+        found = self.each(round_, norms, "norm double")
+        if isinstance(found, list):
+            norm = np.sort(np.concatenate([b.column(0).to_numpy() for b in found]))
+            return [float(norm[max(0, int(np.ceil((1 - self.params.top_rate) * len(norm))) - 1)])]
+        row = found.agg(F.percentile_approx("norm", F.lit(1 - self.params.top_rate), 10_000)).first()
         return [row[0] if row[0] is not None else 0.0]
 
+    def _units(self, seed: int, base_models: int) -> list[np.ndarray] | None:
+        """Exactly the sampled units of each base model where they are few; else None, and hashes decide."""
+        p = self.params
+        if p.sub_sample_rate_by_tree >= 1 or p.sub_sample_type == "goss":
+            return None
+        if not hasattr(self, "_all_units"):
+            if self.held is not None:
+                every = np.unique(np.concatenate([unit_of(p, r.key, part) for part, rows in self.held["data"] for r in rows]))
+            elif p.sub_sample_type == "partition":
+                every = np.arange(self.parts)
+            else:
+                unit = F.col("key") if p.sub_sample_type == "row" else F.floor(F.col("key") / p.block_size).cast("long")
+                every = np.array([r[0] for r in self.data.select(unit.alias("u")).distinct().limit(EXACT_UNITS + 1).collect()], np.int64)
+            self._all_units = np.sort(every) if len(every) <= EXACT_UNITS else None
+        if self._all_units is None:
+            return None
+        return [choose_units(self._all_units, p.sub_sample_rate_by_tree, unit_seed(seed, b)) for b in range(base_models)]
+
     def _root_weights(self, round_: Round) -> None:
         """Leaf boosting: the root has a weight of its own."""
-        local = _local_histograms(round_, None, None)
 
-        def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            for (t, _, c), h in local(batches).items():
-                if c == round_.columns[t][0]:
-                    sums[t] = sums.get(t, 0) + h.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s[0] for s in sums.values()], pa.float64()), pa.array([s[1] for s in sums.values()], pa.float64())], names=["t", "g", "h"])
-
-        for t, g, h in self._read().mapInArrow(roots, "t int, g double, h double").groupBy("t").agg(F.sum("g"), F.sum("h")).collect():
-            round_.new[t].nodes[1].prediction = float(leaf_weight(g, h, self.params.reg_lambda, self.params.reg_alpha))
-            round_.new[t]._flat = None
-
-    def one_round(self, iteration: int) -> list[Tree]:
-        p = self.params
+        def roots(rows: Iterable[Rows], part: int) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((2, len(round_.new)))
+            for r in rows:
+                for t in range(len(round_.new)):
+                    _, _, g, h = round_.placed(t, r, part)
+                    sums[:, t] += g.sum(), h.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(round_.new), dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])], names=["t", "g", "h"])
+
+        found = self.each(round_, roots, "t int, g double, h double")
+        found = found.groupBy("t").agg(F.sum("g").alias("g"), F.sum("h").alias("h")) if isinstance(found, DataFrame) else found
+        sums = np.zeros((2, len(round_.new)))
+        for r in self.gathered(found):
+            sums[:, r["t"]] += r["g"], r["h"]
+        for t, tree in enumerate(round_.new):
+            tree.nodes[1].prediction = float(np.nan_to_num(leaf_weight(sums[0, t], sums[1, t], self.params.reg_lambda, self.params.reg_alpha)))
+            tree._flat = None
+
+    def start(self, iteration: int) -> tuple[Round, list[int]]:
+        """The round of an iteration, and the base models that it drops."""
+        p, k = self.params, self.objective.size
         seed = mixed_seed(p.seed, iteration)
         dropped = self._drop(random.Random(mixed_seed(seed, 6)))
-        k = self.objective.size
         working = [0.0 if t // k in dropped else w for t, w in enumerate(self.weights)]
         count = k * p.forest_size
         round_ = Round(self.objective, self.raw_base, self.trees, working, self.since, [Tree() for _ in range(count)], self._columns(seed, count), p, seed)
-        round_.goss = self._goss_level(round_)
+        if self.held is not None and self.base is not None:
+            self._score_held(round_, self.trees, working)
+        round_.units = self._units(seed, p.forest_size)
+        round_.goss = self.goss_level(round_)
+        if p.parallelism_type == "feature" and self.held is None:
+            from arborlane.plans.vertical import Vertical
+
+            if self.vertical is None or self.vertical.since != self.since:  # raw scores were folded anew
+                self.vertical = Vertical(self)
+        return round_, dropped
+
+    def one_round(self, iteration: int) -> list[Tree]:
+        p = self.params
+        round_, dropped = self.start(iteration)
+        count = len(round_.new)
         if p.leaf_boosting:
             self._root_weights(round_)
         remaining, done, hists = [p.max_leaves - 1] * count, set(), None
         for depth in range(p.max_depth):
             round_.depth = depth
             before = hists
-            found, hists = self._level(round_, remaining, done, before)
+            found, hists = self.level(round_, remaining, done, before)
             release(before)
             for t in range(count):
                 mine = found.get(t, {})
@@ -407,6 +593,11 @@ class Booster:
         if all(t.is_empty for t in new):
             return []
         self.append(new, dropped)
+        if self.held is not None:
+            if self.base is None:
+                self._score_held(round_, new, self.weights[-count:])
+            else:
+                self._score_held(round_, self.trees, self.weights)
         return new
 
     def append(self, new: list[Tree], dropped: list[int]) -> None:
@@ -415,59 +606,72 @@ class Booster:
 
     def _refresh(self) -> None:
         """Fold the trees so far into the raw column of written tables."""
-        if self.params.boost_type == "dart":
+        if self.params.boost_type == "dart" or self.held is not None:
             return
         round_ = Round(self.objective, self.raw_base, self.trees, self.weights, self.since, params=self.params)
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in batches:
-                raw = round_.batch(rows)[3]
-                yield rows.set_column(rows.schema.get_field_index("raw"), "raw", pa.array(raw.tolist(), pa.list_(pa.float64())))
+            for b in batches:
+                for r in round_.rows([b]):
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, r.raw.size + 1, r.raw.shape[1], dtype=np.int32)), pa.array(r.raw.ravel()))
+                    yield b.set_column(b.schema.get_field_index("raw"), "raw", flat)
 
-        for name in ("data", "valid"):
+        for name, level in (("data", self.params.storage_level1), ("valid", self.params.storage_level2)):
             old = getattr(self, name)
             if old is not None:
-                setattr(self, name, materialise(old.mapInArrow(scored, old.schema), "scored"))
+                new = materialise(old.mapInArrow(scored, old.schema), "scored")
+                self.written.append(new)
+                setattr(self, name, new.persist(storage(level)))
+                if old.is_cached:
+                    old.unpersist()
                 release(old)
         self.since = len(self.trees)
 
-    def evaluate(self, data: DataFrame) -> dict[str, float]:
-        """All metrics in one pass."""
+    def evaluate(self, name: str = "data") -> dict[str, float]:
+        """All metrics: sums of those that partitions add up in one pass, and the others over a table of scores."""
         round_ = Round(self.objective, self.raw_base, self.trees, self.weights, self.since, params=self.params)
-        metrics = self.metrics
-
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: list = [None] * len(metrics)
-            for rows in batches:
-                if rows.num_rows:
-                    _, weight, label, raw = round_.batch(rows)
-                    score = round_.objective.transform(raw)
-                    for i, m in enumerate(metrics):
-                        s = m.partial(weight, label, raw, score)
-                        total[i] = s if total[i] is None else total[i] + s
-            some = [i for i, s in enumerate(total) if s is not None]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[i].astype(float).tobytes() for i in some], pa.binary()), pa.array([list(total[i].shape) for i in some], pa.list_(pa.int32()))], names=["m", "s", "shape"])
-
-        total: dict[int, np.ndarray] = {}
-        for m, s, shape in data.mapInArrow(sums, "m int, s binary, shape array<int>").collect():  # a row for each partition and metric
-            s = np.frombuffer(s, float).reshape(shape)
-            total[m] = total[m] + s if m in total else s
-        return {m.name: m.value(total[i]) for i, m in enumerate(metrics) if i in total}
+        adding = [m for m in self.metrics if not m.batch]
+        scored = lambda rows: ((r.weight, r.label, r.raw, round_.objective.transform(r.raw)) for r in rows)
+        out = {}
+        if adding:
+            found = self.each(round_, lambda rows, part: partials(adding, scored(rows)), "m int, s binary, shape array<int>", name)
+            out = totalled(adding, self.gathered(found))  # a row for each partition and metric
+        if len(adding) < len(self.metrics):
+
+            def table(rows: Iterable[Rows], part: int) -> Iterator[pa.RecordBatch]:
+                for x in scored(rows):
+                    yield measured(*x)
+
+            found = self.each(round_, table, "weight double, label array<double>, raw array<double>, score array<double>", name)
+            spark = getattr(self, name).sparkSession
+            df = spark.createDataFrame(pa.Table.from_batches(found)) if isinstance(found, list) else materialise(found, "scores")
+            out |= {m.name: float(m.compute(df)) for m in self.metrics if m.batch}
+            release(df)
+        return {m.name: out[m.name] for m in self.metrics if m.name in out}
 
     def run(self, snapshot: Callable[[], object]) -> None:
-        for iteration in range(self.params.max_iter):
-            if not self.one_round(iteration):
-                break
-            every = self.params.checkpoint_interval
-            if every > 0 and (iteration + 1) % every == 0 and iteration + 1 < self.params.max_iter:
-                self._refresh()
-            if self.metrics:
-                self.history["train"].append(self.evaluate(self.data))
-                if self.valid is not None:
-                    self.history["valid"].append(self.evaluate(self.valid))
-            stop = [c.compute(self.params, snapshot(), iteration + 1, self.history["train"], self.history["valid"]) for c in self.callbacks]
-            if any(stop):
-                break
+        try:
+            for iteration in range(self.params.max_iter):
+                if not self.one_round(iteration):
+                    break
+                every = self.params.checkpoint_interval
+                if every > 0 and (iteration + 1) % every == 0 and iteration + 1 < self.params.max_iter:
+                    self._refresh()
+                if self.metrics:
+                    self.history["train"].append(self.evaluate("data"))
+                    if self.valid is not None:
+                        self.history["valid"].append(self.evaluate("valid"))
+                stop = [c.compute(self.params, snapshot(), iteration + 1, self.history["train"], self.history["valid"]) for c in self.callbacks]
+                if any(stop):
+                    break
+        finally:
+            for c in self.callbacks:
+                c.close()
+
+
+def storage(name: str) -> StorageLevel:
+    """The level of a name; serialized forms are those Python tables have anyway."""
+    return getattr(StorageLevel, name.replace("_SER", ""))
 
 
 def new_weights(weights: list[float], added: int, dropped: list[int], params: Params, size: int) -> list[float]:
@@ -481,12 +685,23 @@ def new_weights(weights: list[float], added: int, dropped: list[int], params: Pa
     return [*out, *[1.0 / (k + params.step_size)] * added]
 
 
-def prepare(df: DataFrame, discretizer: Discretizer, features: list[Column], label: Column, weight: Column, raw_base: list[float], key: Column | None = None, array: Column | None = None) -> DataFrame:
+def prepare(df: DataFrame, discretizer: Discretizer, features: list[Column], label: Column, weight: Column, raw_base: list[float], key: Column | None = None,
+            array: Column | None = None, sparse: Column | None = None) -> DataFrame:
     """The binned table of a fit, written once. key: a stable row key for sampling; without one the row's place in the
-    written table is taken, which is stable from then on but depends on the input's partitions."""
+    written table is taken, which is stable from then on but depends on the input's partitions. sparse: the features as a
+    vector, of which filled cells alone are binned and kept."""
     key = key.cast("long") if key is not None else F.monotonically_increasing_id()
     more = [label.cast("double").alias("label"), weight.cast("double").alias("weight"), F.array(*map(F.lit, raw_base)).cast("array<double>").alias("raw")]
-    if array is not None and discretizer.size > WIDE:
+    if sparse is not None:
+        def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                first, cols, bins = discretizer.sparse_bins(rows.column("v"))
+                lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (cols, bins)]
+                yield pa.RecordBatch.from_arrays([rows.column("key"), *lists, *(rows.column(c) for c in ("label", "weight", "raw"))], names=["key", "cols", "bins", "label", "weight", "raw"])
+
+        rows = df.select(key.alias("key"), sparse.alias("v"), *more)
+        rows = rows.mapInArrow(filled, "key long, cols array<int>, bins array<int>, label double, weight double, raw array<double>")
+    elif array is not None and discretizer.size > WIDE:
         def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in batches:
                 x = matrix(rows.column("bins"), discretizer.size)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from arborlane.functions.metrics import Metric
 from arborlane.params import Params
@@ -12,6 +13,9 @@ class Callback:
     def compute(self, params: Params, model, iteration: int, train: list[dict], valid: list[dict]) -> bool:
         raise NotImplementedError
 
+    def close(self) -> None:
+        """Called once after the last round, also where a fit fails."""
+
 
 class EarlyStop(Callback):
     """Stops when over the last ``iters`` rounds any validation metric has not improved. The model is left as it is."""
@@ -42,18 +46,35 @@ class Recorder(Callback):
 
 
 class Checkpoint(Callback):
-    """Saves the model every ``interval`` rounds to path/model-<round>-<trees>."""
+    """Saves the model every ``interval`` rounds to path/model-<round>-<trees>, beside the rounds that follow. An error of a
+    save is raised at the next one, or at the end."""
 
     def __init__(self, save: Callable[[object, str], None], path: str, interval: int):
         if interval < 1:
             raise ValueError("interval must be at least 1")
         self.save, self.path, self.interval = save, path, interval
+        self.worker, self.running = None, None
+
+    def _finish(self) -> None:
+        running, self.running = self.running, None
+        if running is not None:
+            running.result()
 
     def compute(self, params, model, iteration, train, valid):
         if iteration % self.interval == 0:
-            self.save(model, f"{self.path}/model-{iteration}-{model.num_trees}")
+            self._finish()
+            self.worker = self.worker or ThreadPoolExecutor(1, "checkpoint")
+            self.running = self.worker.submit(self.save, model, f"{self.path}/model-{iteration}-{model.num_trees}")
         return False
 
+    def close(self) -> None:
+        try:
+            self._finish()
+        finally:
+            if self.worker is not None:
+                self.worker.shutdown()
+                self.worker = None
+
 
 class Custom(Callback):
     """A user's function of (params, model, iteration, train, valid); it may change knobs by ``params.update``."""

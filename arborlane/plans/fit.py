@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlane.functions.metrics import Metric, metric
 from arborlane.functions.objectives import Objective, Softmax, objective
-from arborlane.model import BoostedModel, feature_array, feature_columns
+from arborlane.model import BoostedModel, feature_array, feature_columns, feature_vector
 from arborlane.operators.binning import Discretizer
 from arborlane.params import Params
 from arborlane.plans.boosting import Booster, prepare
@@ -26,8 +26,11 @@ def fit(
     initial: BoostedModel | None = None,
     key: str | None = None,
     exact_quantiles: bool = False,
+    local: bool = True,
 ) -> tuple[BoostedModel, dict]:
-    """(model, metric histories). The initial model's trees, weights, bins and base are taken over; the loss is the new one."""
+    """(model, metric histories). The initial model's trees, weights, bins and base are taken over; the loss is the new one.
+
+    local: whether the driver may hold a binned table of at most ``LOCAL_BYTES``."""
     params = params or Params()
     loss = objective(loss) if isinstance(loss, str) else loss
     metrics = [metric(m) if isinstance(m, str) else m for m in metrics]
@@ -49,10 +52,13 @@ def fit(
     stable = F.xxhash64(key) if key else None
     if key and dict(train.dtypes)[key] in ("bigint", "int", "smallint"):
         stable = F.col(key)
-    data = prepare(train, disc, cols, y, w, raw_base, stable, array)
-    held = prepare(valid, disc, feature_columns(valid, features, len(cols)), y, w, raw_base, stable, feature_array(valid, features)) if valid is not None else None
+    def written(df: DataFrame) -> DataFrame:
+        sparse = feature_vector(df, features) if disc.sparse and params.parallelism_type == "data" else None
+        return prepare(df, disc, feature_columns(df, features, len(cols)), y, w, raw_base, stable, feature_array(df, features), sparse)
+
+    data, held = written(train), written(valid) if valid is not None else None
     trees, weights = (list(initial.trees), list(initial.weights)) if initial else ([], [])
-    booster = Booster(data, disc, loss, raw_base, params, metrics, list(callbacks), held, trees, weights)
+    booster = Booster(data, disc, loss, raw_base, params, metrics, list(callbacks), held, trees, weights, local)
     try:
         booster.run(lambda: BoostedModel(loss, disc, raw_base, list(booster.trees), list(booster.weights)))
     finally:

@@ -6,7 +6,6 @@ from arborlane import ml
 from arborlane.functions import metrics as M
 from arborlane.functions.objectives import Scalar, Softmax
 from arborlane.model import BoostedModel
-from arborlane.operators import histogram as H
 from arborlane.params import Params
 from arborlane.plans.boosting import new_weights
 from arborlane.plans.callbacks import Custom, EarlyStop, Recorder
@@ -117,6 +116,7 @@ def test_search_in_tasks_equals_search_on_the_driver(data, monkeypatch):
     from arborlane.plans import boosting
 
     base, _ = _fit(data)
+    monkeypatch.setattr(boosting, "LOCAL_BYTES", 0)
     monkeypatch.setattr(boosting, "DRIVER_BYTES", 0)
     other, _ = _fit(data)
     np.testing.assert_allclose(_scores(data, other), _scores(data, base), rtol=1e-9)
@@ -210,9 +210,75 @@ def test_metrics():
     assert M.metric("error@0.85").value(M.metric("error@0.85").partial(one, t, p, p)) == 0.25
 
 
-def test_sparse_fill_equals_full(spark):
-    rows = spark.createDataFrame([(0, 1, [0, 2], 1.0, 1.0), (0, 1, [3, 0], 2.0, 1.0), (0, 2, [0, 0], 5.0, 1.0)], "tree_id int, node_id int, bins array<int>, g double, h double")
-    assert sorted(map(tuple, H.full(rows).collect())) == sorted(map(tuple, H.sparse_filled(rows).collect()))
+def test_sparse_rows_give_the_same_trees(spark, data, monkeypatch):
+    """Vectors whose zeros are missing keep filled cells alone; scores are those of dense rows, held or not (equal gains may
+    take another column that parts the same rows)."""
+    from pyspark.ml.linalg import Vectors
+
+    from arborlane.plans import boosting
+
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((300, 40)) < 0.1, rng.normal(size=(300, 40)).round(2), 0.0)
+    y = x[:, 0] - 2 * (x[:, 7] > 0) + 0.1 * rng.normal(size=300)
+    rows = [(i, Vectors.sparse(40, np.flatnonzero(x[i]).tolist(), x[i][x[i] != 0].tolist()) if i % 3 else Vectors.dense(x[i].tolist()), x[i].tolist(), float(y[i])) for i in range(300)]
+    df = spark.createDataFrame(rows, ["id", "v", "a", "y"]).repartition(3, "id")
+    params = Params(max_iter=3, max_depth=3, max_bins=16, zero_as_missing=True, step_size=0.5, top_k=40, min_node_hess=3.0)
+    for bytes_ in (boosting.LOCAL_BYTES, 0):
+        monkeypatch.setattr(boosting, "LOCAL_BYTES", bytes_)
+        for kind in ("basic", "subtract"):
+            params.update(histogram_computation_type=kind, min_node_hess=3.0)
+            sparse, _ = fit(df, "v", "y", params=params, key="id")
+            dense, _ = fit(df, "a", "y", params=params, key="id")
+            got = [r[0] for r in df.orderBy("id").select(sparse.predict(F.col("a"))[0]).collect()]
+            want = [r[0] for r in df.orderBy("id").select(dense.predict(F.col("a"))[0]).collect()]
+            np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_held_and_dealt_rows_give_the_same_trees(data, monkeypatch):
+    from arborlane.plans import boosting
+
+    variants = [{}, {"leaf_boosting": True}, {"boost_type": "dart", "drop_rate": 0.5, "drop_skip": 0.0, "seed": 4}, {"sub_sample_type": "goss", "checkpoint_interval": 1},
+                {"sub_sample_type": "row", "sub_sample_rate_by_tree": 0.6}, {"forest_size": 2, "col_sample_rate_by_node": 0.5, "sub_sample_rate_by_node": 0.7}]
+    held = [_scores(data, _fit(data, metrics=["mse"], **v)[0]) for v in variants]
+    monkeypatch.setattr(boosting, "LOCAL_BYTES", 0)
+    for v, scores in zip(variants, held, strict=True):
+        model, history = _fit(data, metrics=["mse"], **v)
+        np.testing.assert_allclose(_scores(data, model), scores, rtol=1e-9)
+        assert len(history["train"]) == 3
+
+
+def test_histograms_are_combined_in_groups(data, monkeypatch):
+    from arborlane.plans import boosting
+
+    base, _ = _fit(data)
+    monkeypatch.setattr(boosting, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(boosting, "DRIVER_BYTES", 0)
+    plain = boosting.Booster._combined
+
+    def many(self, hists):
+        self.parts, self.cores = 40, 4
+        return plain(self, hists)
+
+    monkeypatch.setattr(boosting.Booster, "_combined", many)
+    other, _ = _fit(data)
+    np.testing.assert_allclose(_scores(data, other), _scores(data, base), rtol=1e-9)
+
+
+def test_batch_metrics_and_errors_of_checkpoints(data, tmp_path):
+    from arborlane.plans.callbacks import Checkpoint
+
+    worst = M.Batch("worst", lambda df: df.select(F.max(F.abs(F.col("label")[0] - F.col("score")[0]))).first()[0])
+    _, history = _fit(data, metrics=["mse", worst])
+    assert list(history["train"][0]) == ["mse", "worst"] and history["train"][-1]["worst"] > 0
+    saved = []
+    _fit(data, callbacks=[Checkpoint(lambda m, path: saved.append((m.num_trees, path)), "p", 2)])
+    assert saved == [(2, "p/model-2-2")]
+
+    def fail(m, path):
+        raise OSError("no room")
+
+    with pytest.raises(OSError, match="no room"):
+        _fit(data, callbacks=[Checkpoint(fail, "p", 1)])
 
 
 @pytest.mark.parametrize("bad", [{"max_bins": 3}, {"max_depth": 0}, {"max_depth": 31}, {"step_size": 0}, {"discretization_type": "wide"}, {"cat_cols": (1,), "rank_cols": (1,)}, {"leaf_boosting": True, "histogram_computation_type": "subtract"}, {"max_drop": 1, "min_drop": 2}])

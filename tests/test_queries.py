@@ -11,7 +11,7 @@ def test_registry_against_sql(spark):
     from arborlane.plans.registry import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    for t in ("part", "orders", "lineitem", "events", "labels", "embeddings"):
+    for t in ("part", "orders", "lineitem", "events", "labels", "embeddings", "nation", "region"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
 
     def rows(columns, data):
