@@ -136,6 +136,11 @@ def _bucket(token: np.ndarray, context: np.ndarray, hot: np.ndarray, buckets: in
     return ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
 
 
+def _home(run: int, buckets: int) -> int:
+    """Where a run's documents get their sums."""
+    return int(mix(np.array([run], np.uint64))[0] % np.uint64(buckets))
+
+
 def _deal_pairs(hot: np.ndarray, buckets: int):
     """Row ``pairs`` of each bucket and run: its pairs of word and context with how often they are in training."""
 
@@ -169,7 +174,7 @@ def _deal(hot: np.ndarray, buckets: int, ids_type: pa.DataType):
             name = part << 24 | number
             length = np.bincount(doc, minlength=len(ids)).astype(np.int64)
             no_ids = pa.nulls(1, pa.list_(ids_type))
-            head = packed("head", int(name % buckets), name, a=held.astype(np.uint8), b=_ints(length))
+            head = packed("head", _home(name, buckets), name, a=held.astype(np.uint8), b=_ints(length))
             yield head.append_column("ids", pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
             to = _bucket(token, context, hot, buckets)
             order = np.argsort(token, kind="stable")
@@ -511,7 +516,7 @@ def _score(states: list[Totals], hot_count: np.ndarray, buckets: int, ids: pa.Da
             dish = part.dish[lo:hi]
             some, at = np.unique(doc, return_inverse=True)
             sums = [np.bincount(at, weights=x[dish]) for x in (dish_base, dish_score, dish_known)]
-            yield packed("part", int(name % buckets), name, a=_ints(some), b=sums[0], c=sums[1].astype(np.float32), d=_ints(sums[2])).append_column("ids", no_ids)
+            yield packed("part", _home(name, buckets), name, a=_ints(some), b=sums[0], c=sums[1].astype(np.float32), d=_ints(sums[2])).append_column("ids", no_ids)
 
     return run
 
