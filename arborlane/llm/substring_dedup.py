@@ -10,8 +10,8 @@ in memory. Postings of repeated fingerprints are reported, old ones included; th
 that are now marked as reported, become the next run. Beyond ``max_runs`` runs the two neighbours of fewest rows are merged,
 again in place, and the superseded ones deleted. The folder outlives the session: who opens it goes on with its runs.
 
-Verification: only windows whose fingerprint is repeated are hashed whole (64 bits for sorting and 32 further bits that
-must agree too) and met across documents; a window counts as repeated when its whole word sequence starts elsewhere.
+Verification: only windows whose fingerprint is repeated meet across documents, by a 128-bit BLAKE2b digest of their words,
+half of it for sorting; a window counts as repeated when its whole word sequence starts elsewhere.
 
 Skew: a task first settles what repeats inside it and sends one posting for each fingerprint or window, so a passage that
 any share of all documents hold costs one posting for each task. Documents without a repeated fingerprint, all but the
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlane.llm.blocks import Bloom, batch, binary
-from arborlane.llm.words import BYTE_B, WORD_B, Words, chunks, deal, mix, ngrams, tidy
+from arborlane.llm.words import Words, chunks, deal, mix, ngrams, tidy
 from arborlane.session import materialise, release, shared_dir, tasks_for
 
 WINDOW, NGRAM = 35, 8
@@ -304,6 +304,19 @@ def marks_of(repeats: DataFrame) -> DataFrame:
     return repeats.groupBy(F.col("doc").alias("key")).agg(F.collect_set("pos").alias("positions"))
 
 
+def digests(words: Words, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the digest of each window's words, joined by one space."""
+    length = words.end - words.start
+    at = np.append(0, np.cumsum(length + 1))
+    source = np.repeat(words.start - at[:-1], length + 1) + np.arange(at[-1])
+    joined = words.data[np.minimum(source, len(words.data) - 1)]
+    joined[at[1:] - 1] = 32
+    raw = joined.tobytes()
+    out = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at[starts].tolist(), (at[starts + window] - 1).tolist())])
+    both = np.frombuffer(out, np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def _candidate_windows(window: int, ngram: int, buckets: int, limit: int = 1 << 19):
     """Rows (key, text, positions): the whole hash of each window whose fingerprint is at one of the positions."""
 
@@ -321,11 +334,8 @@ def _candidate_windows(window: int, ngram: int, buckets: int, limit: int = 1 <<
                 flagged = [places[ends[first + i] : ends[first + i + 1]] + words.first[i] for i in range(len(offsets) - 1)]
                 values = grams[np.concatenate(flagged).astype(np.int64)]
                 starts = starts[np.isin(least, values)]
-                whole = ngrams(words.hashes(), window)[starts]
-                check = ngrams(words.hashes(BYTE_B), window, WORD_B)[starts] >> np.uint64(32)
                 doc = words.doc[starts]
-                # The check bits ride above the position: 32 bits each.
-                held.add(whole, keys[first + doc], (check << np.uint64(32)) | (starts - words.first[doc]).astype(np.uint64))
+                held.add(*digests(words, starts, window), keys[first + doc], (starts - words.first[doc]).astype(np.uint32))
             if held.n >= held.limit:
                 yield from _settle_windows(buckets, *held.take())
         if held.n:
@@ -343,10 +353,9 @@ def _window_matches(buckets: int, docs, pos) -> Iterator[pa.RecordBatch]:
         yield batch(**{c: rows.column(c) for c in ("bucket", "kind", "n")}, hash=none, check=none, doc=rows.column("doc"), keys=none, pos=rows.column("pos"), seen=rows.column("seen"))
 
 
-def _settle_windows(buckets: int, hashes, docs, packed) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((packed >> np.uint64(32), hashes))
-    hashes, docs, packed = hashes[order], docs[order], packed[order]
-    check, pos = (packed >> np.uint64(32)).astype(np.uint32), (packed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def _settle_windows(buckets: int, hashes, check, docs, pos) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((check, hashes))
+    hashes, check, docs, pos = hashes[order], check[order], docs[order], pos[order]
     new = np.append(True, (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1]))
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(hashes)))
@@ -378,7 +387,7 @@ def _merge_windows(buckets: int):
             for r in rows.to_pylist():
                 keys = np.frombuffer(r["keys"], np.int64)
                 index = np.frombuffer(r["doc"], np.uint16 if len(keys) < 1 << 16 else np.uint32)
-                parts.append((np.frombuffer(r["hash"], np.uint64), np.frombuffer(r["check"], np.uint32), keys[index], np.frombuffer(r["pos"], np.uint32), np.frombuffer(r["seen"], np.uint8)))
+                parts.append((np.frombuffer(r["hash"], np.uint64), np.frombuffer(r["check"], np.uint64), keys[index], np.frombuffer(r["pos"], np.uint32), np.frombuffer(r["seen"], np.uint8)))
         if not parts:
             return
         hashes, check, docs, pos, seen = (np.concatenate(x) for x in zip(*parts, strict=True))

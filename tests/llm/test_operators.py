@@ -158,6 +158,15 @@ def test_substring_dedup(docs, rows, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_windows_are_known_by_their_words():
+    """Digests are of the words, whatever the blanks between them."""
+    texts = ["a bb ccc d e", "x a\n\tbb  ccc d  e y", "a bb ccc d f"]
+    words = substring_dedup.Words(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    one, two = substring_dedup.digests(words, np.array([0, 6, 12]), 5)
+    expected = [hashlib.blake2b(b"a bb ccc d " + x, digest_size=16).digest() for x in (b"e", b"e", b"f")]
+    assert [a.tobytes() + b.tobytes() for a, b in zip(one, two)] == expected
+
+
 def test_index_is_incremental_and_persistent(spark, tmp_path):
     """Each batch reports what a dictionary of all postings would; a second session goes on with the first one's runs."""
     words = [f"v{i}" for i in range(200)]
