@@ -10,7 +10,7 @@ class Dense:
     """Rows by columns."""
 
     def __init__(self, bins: np.ndarray):
-        self.bins = bins
+        self.bins = np.asfortranarray(bins)  # a column lies together
 
     def __len__(self) -> int:
         return len(self.bins)
@@ -19,16 +19,13 @@ class Dense:
         """The bin of each pair of row and column."""
         return self.bins[rows, cols]
 
-    def partition(self, rows: np.ndarray) -> Dense:
-        return Dense(self.bins[rows])
-
     def columns(self) -> None:
         """Columns that have a bin other than 0; None: any may."""
         return None
 
     def sums(self, col: int, rows: np.ndarray, at: np.ndarray, nodes: int, size: int, weights: list[np.ndarray], totals: np.ndarray) -> np.ndarray:
         """(weights, nodes, bins): sums of the weights of ``rows``, which are in the nodes ``at``, by bin of a column."""
-        cell = at * size + self.bins[rows, col]
+        cell = at * size + self.bins[:, col][rows]
         return np.stack([np.bincount(cell, weights=w, minlength=nodes * size) for w in weights]).reshape(len(weights), nodes, size)
 
 

@@ -152,7 +152,7 @@ def unit_seed(seed: int, base: int) -> int:
     return mixed_seed(seed, 1, base)
 
 
-def local_histograms(round_: Round, wanted: set[tuple[int, int]] | None, picked: set[tuple[int, int, int]] | None):
+def local_histograms(round_: Round, wanted: set[tuple[int, int]], picked: set[tuple[int, int, int]] | None):
     """Of one partition: {(tree, node, column): [g by bin, h by bin]}. wanted: (tree, node); picked: (tree, node, column)."""
     size = round_.params.max_bins
 
@@ -161,23 +161,27 @@ def local_histograms(round_: Round, wanted: set[tuple[int, int]] | None, picked:
         for r in rows:
             some = r.cells.columns()
             for i in range(len(round_.new)):
+                nodes = np.array(sorted(n for t, n in wanted if t == i), np.int64)
+                if not len(nodes):
+                    continue
                 at, node, g, h = round_.placed(i, r, part)
-                if wanted is not None:
-                    ok = np.isin(node, [n for t, n in wanted if t == i])
-                    at, node, g, h = at[ok], node[ok], g[ok], h[ok]
+                inside = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
+                ok = nodes[inside] == node
+                if not ok.all():
+                    at, inside, g, h = at[ok], inside[ok], g[ok], h[ok]
                 if not len(at):
                     continue
-                nodes, inside = np.unique(node, return_inverse=True)
-                totals = np.stack([np.bincount(inside, weights=w) for w in (g, h)])
+                totals = np.stack([np.bincount(inside, weights=w, minlength=len(nodes)) for w in (g, h)])
+                here = [(j, int(nodes[j])) for j in np.flatnonzero(np.bincount(inside, minlength=len(nodes)))]
                 for c in round_.columns[i]:
-                    if picked is not None and not any((i, int(n), c) in picked for n in nodes):
+                    if picked is not None and not any((i, n, c) in picked for _, n in here):
                         continue
                     if some is None or c in some:
                         both = r.cells.sums(c, at, inside, len(nodes), size, [g, h], totals)
                     else:  # nothing but missing cells
                         both = np.zeros((2, len(nodes), size))
                         both[:, :, 0] = totals
-                    for j, n in enumerate(nodes.tolist()):
+                    for j, n in here:
                         if picked is not None and (i, n, c) not in picked:
                             continue
                         if (i, n, c) in out:
@@ -297,14 +301,17 @@ class Booster:
     # -- where the rows are ----------------------------------------------------------------------------------------
 
     def _bytes(self) -> int:
-        """Of the tables, from the number of their rows and, sampled rows' mean being exact for dense ones, cells."""
+        """Of the tables as the driver would hold them. Rows are counted from the files' footers, cells only of few sparse rows."""
         if not getattr(self.data, "_written_at", None):
             return LOCAL_BYTES + 1
         total = 0
         for table in (self.data, self.valid):
-            if table is not None:
-                n, cells = table.agg(F.count("*"), F.coalesce(F.sum(F.size("bins")), F.lit(0))).first()
-                total += n * (24 + 8 * len(self.raw_base)) + 8 * cells * (2 if "cols" in table.columns else 1)
+            if table is None:
+                continue
+            n, sparse = table.count(), "cols" in table.columns
+            total += n * (24 + 8 * len(self.raw_base)) + (0 if sparse else 8 * n * self.discretizer.size)
+            if sparse and total <= LOCAL_BYTES:
+                total += 24 * table.agg(F.coalesce(F.sum(F.size("bins")), F.lit(0))).first()[0]
         return total
 
     def _hold(self) -> None:
