@@ -96,4 +96,45 @@ FROM a
 WINDOW w AS (PARTITION BY bare ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+#: Shingles as text, all pairs that share one, and reach by links.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g FROM d
+), e AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+  FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (
+  SELECT x, y FROM p WHERE 100 * c >= 80 * (nx + ny - c)
+), r(x, y) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+), m AS (
+  SELECT x, min(y) AS component_id FROM r GROUP BY x
+)
+SELECT s.doc_id, len(g) AS n_shingles, component_id FROM s JOIN m ON s.doc_id = m.x
+"""
+
+#: Windows as text; a word goes if one of the 35 windows that hold it starts again elsewhere.
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS pos FROM d WHERE len(w) >= 35
+), v AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY array_to_string(w[pos : pos + 34], ' ')) > 1 AS again FROM s
+), t AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d
+), k AS (
+  SELECT t.doc_id, t.pos, word, COALESCE(max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY t.doc_id ORDER BY t.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM t LEFT JOIN v ON t.doc_id = v.doc_id AND t.pos = v.pos
+), o AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, COALESCE(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0), '') AS kept FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, COALESCE(n_words, 0) AS n_words, COALESCE(n_removed, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM d LEFT JOIN o ON d.doc_id = o.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": OP6_SQL, "op7_ngram_join": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}

@@ -75,3 +75,17 @@ def test_run_against_brute_force(spark):
     for r in got:
         sequences[r["sequence_id"]].append((r["offset"], r["length"]))
     assert all(sorted(s)[k][0] == sum(n for _, n in sorted(s)[:k]) for s in sequences.values() for k in range(len(s))) and max(sum(n for _, n in s) for s in sequences.values()) <= 1024
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_queries_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from arborlane.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        got, rel = QUERIES[name](spark, SF), con.sql(sql)
+        assert sorted(got.columns) == sorted(rel.columns), name
+        assert sorted(map(tuple, got.select(rel.columns).collect()), key=repr) == sorted(rel.fetchall(), key=repr), name
