@@ -7,8 +7,7 @@ sampling hashes.
 from __future__ import annotations
 
 import math
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +24,11 @@ from arborlane.operators.binning import Discretizer, cast_bin, clean
 from arborlane.operators.sampling import choose_columns, choose_units, keep_array
 from arborlane.operators.splits import Split, candidates
 from arborlane.params import Params
-from arborlane.plans.boosting import Booster, Round, Rows, hist_batches, long_histograms, new_weights, prepare, summed
+from arborlane.plans.boosting import Booster, Round, hist_batches, long_histograms, new_weights, prepare, summed
 from arborlane.plans.callbacks import Checkpoint, Custom, EarlyStop, Recorder
 from arborlane.plans.fit import _means, fit
 from arborlane.plans.oracles import FitSql, hashed, logistic, mix64, seed_of, softmax, width_bins
-from arborlane.session import materialise, shared_dir, tasks_for
+from arborlane.session import materialise, tasks_for, temporary
 from arborlane.sources.tables import load, load_tables, save_tables
 from arborlane.streaming.scoring import score_stream
 
@@ -869,7 +868,7 @@ def callback_early_stop(spark, sf_dir):
 @query(f"{_PLAIN.ctes()} SELECT id, ROUND({_PLAIN.final_raw(0, 1)}, 4) AS prediction FROM rows2")
 def callback_checkpoint(spark, sf_dir):
     """The model that a checkpoint saved after the first round, beside the second."""
-    path = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    path = temporary(spark, "models")
     df, _, _ = _part_fit(spark, sf_dir, more={"callbacks": [Checkpoint(lambda m, p: m.save(spark, p), path, 1)]})
     return _predicted(df, BoostedModel.load(spark, f"{path}/model-1-1"))
 
@@ -885,16 +884,16 @@ def io_parquet(spark, sf_dir):
 @query("SELECT n_nationkey::DOUBLE AS label, CAST(i AS INT) AS i, CASE WHEN i = 0 THEN n_regionkey ELSE n_nationkey * 2 END::DOUBLE AS value FROM nation, (VALUES (0), (6)) t(i)")
 def io_libsvm(spark, sf_dir):
     """Lines of a label and index:value pairs, from one; the number of features is given."""
-    path = f"{shared_dir(spark)}/libsvm-{uuid.uuid4().hex}"
+    path = temporary(spark, "libsvm")
     n = _table(spark, sf_dir, "nation")
-    n.select(F.concat_ws(" ", F.col("n_nationkey"), F.concat(F.lit("1:"), F.col("n_regionkey")), F.concat(F.lit("7:"), F.col("n_nationkey") * 2))).write.text(path)
+    n.select(F.concat_ws(" ", F.col("n_nationkey"), F.concat(F.lit("1:"), F.col("n_regionkey")), F.concat(F.lit("7:"), F.col("n_nationkey") * 2))).write.text(f"{path}/lines")
     array = vector_to_array(F.col("features"))
-    return load(spark, "libsvm@9", path).filter(F.size(array) == 9).select("label", F.explode(F.array(F.lit(0), F.lit(6))).alias("i"), array.alias("a")).select("label", "i", F.get("a", F.col("i")).alias("value"))
+    return load(spark, "libsvm@9", f"{path}/lines").filter(F.size(array) == 9).select("label", F.explode(F.array(F.lit(0), F.lit(6))).alias("i"), array.alias("a")).select("label", "i", F.get("a", F.col("i")).alias("value"))
 
 
 @query("SELECT 'region' AS name, r_regionkey::BIGINT AS k, r_name AS v FROM region UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation")
 def io_tables(spark, sf_dir):
-    path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    path = temporary(spark, "tables")
     save_tables({"region": _table(spark, sf_dir, "region"), "nation": _table(spark, sf_dir, "nation")}, path)
     found = load_tables(spark, ["region", "nation"], path)
     each = [found[t].select(F.lit(t).alias("name"), F.col(f"{t[0]}_{t}key").cast("long").alias("k"), F.col(f"{t[0]}_name").alias("v")) for t in ("region", "nation")]
@@ -904,7 +903,7 @@ def io_tables(spark, sf_dir):
 @query(ORACLE_SQL["bin_width"])
 def io_discretizer(spark, sf_dir):
     """Bins of a saved discretizer."""
-    df, cols, path = _table(spark, sf_dir, "lineitem"), [F.col(c) for c in LINE], f"{shared_dir(spark)}/bins-{uuid.uuid4().hex}"
+    df, cols, path = _table(spark, sf_dir, "lineitem"), [F.col(c) for c in LINE], temporary(spark, "bins")
     disc, _ = Discretizer.fit(df, cols, Params(max_bins=16))
     save_tables(disc.tables(spark), path)
     again = Discretizer.from_tables(load_tables(spark, ["params", "nonNumCols", "colDiscretizers"], path))
@@ -914,7 +913,7 @@ def io_discretizer(spark, sf_dir):
 @query(_PLAIN.scores())
 def io_model(spark, sf_dir):
     df, model, _ = _part_fit(spark, sf_dir)
-    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    path = temporary(spark, "model")
     model.save(spark, path)
     return _predicted(df, BoostedModel.load(spark, path))
 
@@ -922,7 +921,7 @@ def io_model(spark, sf_dir):
 @query(_PLAIN.scores())
 def io_estimator(spark, sf_dir):
     """Estimator and model, each written and read again."""
-    path = f"{shared_dir(spark)}/estimator-{uuid.uuid4().hex}"
+    path = temporary(spark, "estimator")
     df, est = _estimated(spark, sf_dir, ml.BoostedRegressor, "price", PART)
     est.write().save(f"{path}/est")
     ml.BoostedRegressor.load(f"{path}/est").fit(df).write().save(f"{path}/model")
@@ -932,7 +931,7 @@ def io_estimator(spark, sf_dir):
 @query(_PLAIN.scores())
 def io_config(spark, sf_dir):
     """A fit from a config of keys and values, and the model that it saved."""
-    path = f"{shared_dir(spark)}/config-{uuid.uuid4().hex}"
+    path = temporary(spark, "config")
     df, _ = _estimated(spark, sf_dir, ml.BoostedRegressor, "price", PART)
     df.write.parquet(f"{path}/train")
     config = {"task": "regression", "inputType": "parquet", "trainPath": f"{path}/train", "modelSavePath": f"{path}/model", "labelCol": "price", "keyCol": "p_partkey",
@@ -944,7 +943,7 @@ def io_config(spark, sf_dir):
 @query(_PLAIN.scores())
 def io_stream(spark, sf_dir):
     """A stream of rows scored by a fitted model."""
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = temporary(spark, "stream")
     df, est = _estimated(spark, sf_dir, ml.BoostedRegressor, "price", PART)
     model = est.fit(df)
     df.select("p_partkey", "features").write.parquet(f"{path}/in")

@@ -28,6 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes when the JVM ends."""
+    path = f"{shared_dir(spark)}/arborlane-{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)  # which only remembers what exists
+    return path
+
+
 def materialise(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder, in folders ``by`` a column if given, and read it back.
 
@@ -35,12 +45,9 @@ def materialise(df: DataFrame, name: str = "table", by: str | None = None) -> Da
     order of a shuffle are fixed once. The files go when the JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arborlane-{name}-{uuid.uuid4().hex}"
+    path = temporary(spark, name)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     out._written_at = path
     return out
