@@ -327,6 +327,23 @@ def test_fingerprints_of_long_tokens_and_blanks(spark, monkeypatch):
         assert run() == got
 
 
+def test_fingerprints_are_alike_whatever_the_words_length(spark):
+    """The share of equal samples is the generalised Jaccard similarity for words of 5 to 200 letters; neighbours do not count."""
+    rng = random.Random(13)
+    texts, errors = [], []
+    for size in (5, 20, 40, 80, 200):
+        for _ in range(8):
+            words = ["".join(rng.choice("abcdefgh") for _ in range(size)) for _ in range(40)]
+            words += rng.choices(words, k=20)
+            texts += [" ".join(words), " ".join(words[: rng.randint(10, 55)] + ["".join(rng.choice("xyz") for _ in range(size)) for _ in range(10)]), " ".join(words)]
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in range(0, len(texts), 3):
+        a, b = Counter(texts[i].split()), Counter(texts[i + 1].split())
+        errors.append(got[i]["near_next"] - sum((a & b).values()) / sum((a | b).values()))
+        assert got[i]["fingerprint"] == got[i + 2]["fingerprint"]  # before different documents
+    assert abs(np.mean(errors)) < 0.03 and np.sqrt(np.mean(np.square(errors))) < 0.1
+
+
 def test_fingerprint_plan_is_native(docs):
     plan = fingerprints.edited_fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
