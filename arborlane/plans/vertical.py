@@ -38,34 +38,39 @@ class Chosen(Dense):
         return self.bins[rows, self.place[cols]] if self.bins.shape[1] else np.zeros(len(rows), np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, number = TaskContext.get().partitionId(), 0
-    for whole in batches:
-        for at in range(0, whole.num_rows, BLOCK_ROWS):
-            rows = whole.slice(at, BLOCK_ROWS)
-            bins = cells_of(rows).bins.astype(np.int32)
-            block = part << 32 | number
-            number += 1
-
-            def row(kind: int, first: int, **given: np.ndarray) -> pa.RecordBatch:
-                binaries = {c: pa.array([np.ascontiguousarray(given[c]).tobytes()] if c in given else [None], pa.binary()) for c in ("bins", "key", "label", "weight", "raw")}
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([first], pa.int32()), *binaries.values()],
-                    names=["kind", "block", "part", "first", *binaries],
-                )
-
-            numbers = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "label", "weight")}
-            yield row(0, 0, **numbers, raw=column_matrix(rows.column("raw")))
-            for first in range(0, bins.shape[1], GROUP_COLUMNS):
-                yield row(1, first, bins=bins[:, first : first + GROUP_COLUMNS].T)
+def _blocks(block_rows: int, width: int):
+    """Base rows (kind 0) and rows of ``width`` columns (kind 1) of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number = TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, block_rows):
+                rows = whole.slice(at, block_rows)
+                bins = cells_of(rows).bins.astype(np.int32)
+                block = part << 32 | number
+                number += 1
+
+                def row(kind: int, first: int, **given: np.ndarray) -> pa.RecordBatch:
+                    binaries = {c: pa.array([np.ascontiguousarray(given[c]).tobytes()] if c in given else [None], pa.binary()) for c in ("bins", "key", "label", "weight", "raw")}
+                    return pa.RecordBatch.from_arrays(
+                        [pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([first], pa.int32()), *binaries.values()],  # noqa: B023
+                        names=["kind", "block", "part", "first", *binaries],
+                    )
+
+                numbers = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "label", "weight")}
+                yield row(0, 0, **numbers, raw=column_matrix(rows.column("raw")))
+                for first in range(0, bins.shape[1], width):
+                    yield row(1, first, bins=bins[:, first : first + width].T)
+
+    return run
 
 
 class Vertical:
     def __init__(self, booster):
-        self.booster, self.since = booster, booster.since
-        self.table = materialise(booster.data.mapInArrow(_blocks, BLOCKS), "vertical", by="kind")
+        self.booster, self.since, self.width = booster, booster.since, GROUP_COLUMNS
+        self.table = materialise(booster.data.mapInArrow(_blocks(BLOCK_ROWS, GROUP_COLUMNS), BLOCKS), "vertical", by="kind")
         booster.written.append(self.table)
         self.base, self.columns = (self.table.filter(F.col("kind") == k).drop("kind") for k in (0, 1))
 
@@ -74,7 +79,8 @@ class Vertical:
         from arborlane.plans.boosting import Rows
 
         every = sorted({n.split.col for t in [*round_.trees, *round_.new] for n in t.nodes.values() if n.split})
-        groups = sorted({c // GROUP_COLUMNS * GROUP_COLUMNS for c in every})
+        width = self.width
+        groups = sorted({c // width * width for c in every})
         met = self.base.unionByName(self.columns.filter(F.col("first").isin(groups))) if groups else self.base
         outputs = len(round_.raw_base)
 
@@ -89,7 +95,7 @@ class Vertical:
                         bins.setdefault(r["block"], {})[r["first"]] = np.frombuffer(r["bins"], np.int32)
             for block, r in bases.items():
                 key, label, weight = np.frombuffer(r["key"], np.int64), np.frombuffer(r["label"], float), np.frombuffer(r["weight"], float)
-                found = [bins[block][c // GROUP_COLUMNS * GROUP_COLUMNS].reshape(-1, len(key))[c % GROUP_COLUMNS] for c in every]
+                found = [bins[block][c // width * width].reshape(-1, len(key))[c % width] for c in every]
                 cells = Chosen(np.stack(found, axis=1).astype(np.int64) if found else np.zeros((len(key), 0), np.int64), np.array(every, np.int64))
                 raw = np.frombuffer(r["raw"], float).reshape(-1, outputs).copy()
                 for t in range(round_.since, len(round_.trees)):

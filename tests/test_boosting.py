@@ -247,6 +247,19 @@ def test_held_and_dealt_rows_give_the_same_trees(data, monkeypatch):
         assert len(history["train"]) == 3
 
 
+@pytest.mark.parametrize("params", [{"leaf_boosting": True}, {"sub_sample_type": "block", "block_size": 16, "sub_sample_rate_by_tree": 0.6, "forest_size": 2},
+                                    {"boost_type": "dart", "drop_rate": 0.5, "drop_skip": 0.0, "seed": 4}, {"sub_sample_type": "goss", "checkpoint_interval": 1}])
+def test_columns_dealt_vertically_give_the_same_trees(data, monkeypatch, params):
+    from arborlane.plans import vertical
+
+    monkeypatch.setattr(vertical, "BLOCK_ROWS", 37)
+    monkeypatch.setattr(vertical, "GROUP_COLUMNS", 2)
+    monkeypatch.setattr(vertical, "STATE_BYTES", 0)  # states meet the columns by block
+    base, _ = _fit(data, **params)
+    other, _ = _fit(data, parallelism_type="feature", **params)
+    np.testing.assert_allclose(_scores(data, other), _scores(data, base), rtol=1e-9)
+
+
 def test_histograms_are_combined_in_groups(data, monkeypatch):
     from arborlane.plans import boosting
 
