@@ -138,6 +138,40 @@ def test_classes_that_clash(docs, rows, monkeypatch):
     assert len(set(named.column("cls").to_pylist())) <= 5 < len(set(named.column("second").to_pylist()))
 
 
+def test_many_blocks_send_little():
+    """Where each entry has a block to itself, a class costs 12 bytes beside it; counting sends 6 bytes an entry."""
+    text = " ".join(f"w{i}" for i in range(2000))
+    rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["id", "text"])
+    none = np.zeros(0, np.int64)
+    entries = ngram_join.head_length(1996)
+    for form, most in ((ngram_join._send_entries, 6), (ngram_join._send_classes, 20)):
+        sent = list(ngram_join._heads(none, none, 1_000_000, 0, form)(iter([rows])))
+        assert len(sent) > 0.99 * entries
+        assert sum(len(x[0].as_py()) for r in sent for x in r.columns[1:]) <= most * entries
+
+
+def test_classes_that_share_a_node(spark):
+    """Classes of one size with the same 32 bits are decided together; a node that has a family keeps it."""
+    low = 7
+    each = spark.createDataFrame([(low, 50), (low | 1 << 40, 50), (low | 1 << 41, 51), (9, 60), (-(1 << 50) + 9, 60), (11, 70), (0, 0)], "cls long, n long")
+    families = spark.createDataFrame([((60 << 32) | 9, 5), ((70 << 32) | 11, 5)], "node long, label long")
+    got = {(r["cls"], r["n"]): r["family"] for r in ngram_join._kin(each, families).collect()}
+    own = (50 << 32) | low
+    assert got == {(low, 50): own, (low | 1 << 40, 50): own, (9, 60): 5, (-(1 << 50) + 9, 60): 5, (11, 70): 5}
+    assert [int(x) for x in ngram_join.node_of(np.array([low, low | 1 << 40, -(1 << 50) + 9]), np.array([50, 50, 60]))] == [own, own, (60 << 32) | 9]
+
+
+def test_shuffles_go_before_the_next(docs, monkeypatch):
+    """What the heads were dealt in is let go before they are dealt again, and before pairs and sets are."""
+    seen = []
+    written, collect = ngram_join.materialise, ngram_join.collect_shuffles
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name="table", by=None: (written(df, name, by), seen.append(name))[0])
+    monkeypatch.setattr(ngram_join, "collect_shuffles", lambda *a: (collect(*a), seen.append("go")))
+    ngram_join.components_of(docs)
+    at = [seen.index(x) for x in ("long", "product", "families", "links")]
+    assert [seen[i + 1] for i in at] == ["go"] * 4
+
+
 def test_substring_dedup(docs, rows, empty):
     windows = Counter()
     for _, t, _ in rows:
