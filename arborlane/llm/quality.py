@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from arborlane.llm.blocks import batch
 from arborlane.llm.words import Words, chunks, mix, ngrams, tidy
-from arborlane.session import materialise
+from arborlane.session import materialise, release
 
 WORD_SIZE, FORM_SIZE, STEM = 1 << 22, 1 << 14, 5
 VIEWS = {"word": WORD_SIZE, "form": FORM_SIZE}
@@ -267,18 +267,20 @@ def _weighed(model: Model, text_at: int):
     return run
 
 
-def _sampled(docs: DataFrame, model: Model, id_at: int, text_at: int, keep: list[int], share: float | None, sharpness: float, seed: int) -> DataFrame:
-    """The columns ``keep`` of docs (c0, c1, ..) with log_weight, gumbel_key and kept, written once."""
+def _keyed(docs: DataFrame, model: Model, id_at: int, text_at: int, sharpness: float, seed: int) -> DataFrame:
+    """docs (c0, c1, ..) with log_weight and gumbel_key, which are the same however often they are worked out."""
     text = F.coalesce(F.col(f"c{text_at}").cast("string"), F.lit(""))
     noise = F.xxhash64(F.lit(seed), F.col(f"c{id_at}"), text)
     u = (F.shiftrightunsigned(noise, 11) + F.lit(0.5)) * F.lit(2.0**-53)
     rows = docs.withColumn("noise", -F.log(-F.log(u)))
     rows = rows.mapInArrow(tidy(_weighed(model, text_at)), T.StructType([*rows.schema.fields, T.StructField("log_weight", T.DoubleType())]))
-    key = F.col("log_weight") * F.lit(sharpness) + F.col("noise")
-    keys = materialise(rows.select(*(f"c{i}" for i in keep), "log_weight", key.alias("gumbel_key")), "keys")
+    return rows.withColumn("gumbel_key", F.col("log_weight") * F.lit(sharpness) + F.col("noise")).drop("noise")
+
+
+def _kept(keys: DataFrame, share: float | None):
+    """Whether a row is in the Gumbel top-k. keys: a written table of all rows' log_weight and gumbel_key."""
     n, like = keys.agg(F.count("*"), F.count(F.when(F.col("log_weight") >= 0, 1))).first()
-    least = kth_largest(keys, "gumbel_key", like if share is None else round(share * n))
-    return keys.withColumn("kept", F.col("gumbel_key") >= F.lit(least))
+    return F.col("gumbel_key") >= F.lit(kth_largest(keys, "gumbel_key", like if share is None else round(share * n)))
 
 
 def classify(
@@ -294,15 +296,23 @@ def classify(
     """One row for each input row: id, log_weight, gumbel_key, kept (in the Gumbel top-k)."""
     model = fit(docs, labels, id_col, text_col, max_labelled)
     two = docs.select(F.col(f"`{id_col}`").alias("c0"), F.col(f"`{text_col}`").alias("c1"))
-    return _sampled(two, model, 0, 1, [0], share, sharpness, seed).withColumnRenamed("c0", id_col)
+    keys = materialise(_keyed(two, model, 0, 1, sharpness, seed).select("c0", "log_weight", "gumbel_key"), "keys")
+    return keys.withColumn("kept", _kept(keys, share)).withColumnRenamed("c0", id_col)
 
 
 def accept(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, sharpness: float = SHARPNESS, seed: int = 11
 ) -> DataFrame:
-    """The rows that the classifier keeps, with all their columns. They are written once with their keys: no join."""
+    """The rows that the classifier keeps, with all their columns.
+
+    Only the keys are written. The rows are read and weighed again as they leave: no join, and no copy of the texts that
+    would stay on disk while other stages run.
+    """
     names = docs.columns
     model = fit(docs, labels, id_col, text_col)
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    rows = _sampled(plain, model, names.index(id_col), names.index(text_col), list(range(len(names))), share, sharpness, seed)
-    return rows.filter("kept").select(plain.columns).toDF(*names)
+    rows = _keyed(plain, model, names.index(id_col), names.index(text_col), sharpness, seed)
+    keys = materialise(rows.select("log_weight", "gumbel_key"), "keys")
+    kept = _kept(keys, share)
+    release(keys)
+    return rows.filter(kept).select(plain.columns).toDF(*names)

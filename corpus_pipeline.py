@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arborlane.llm.exact_dedup import deduplicate
 from arborlane.llm.mixing import Target, mix
-from arborlane.llm.ngram_join import keep_one
+from arborlane.llm.ngram_join import SETTLE, keep_one
 from arborlane.llm.packing import pack
 from arborlane.llm.quality import accept
-from arborlane.session import materialise
+from arborlane.session import collect_shuffles, materialise, release
 
 REPEATS = 1.25
 
@@ -58,8 +58,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. Each stage is written as Parquet in the shared folder and read again."""
+    """The rows of the last stage. Each stage is written as Parquet in the shared folder and read again.
+
+    What a stage read, and its shuffles, go once it is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), "".join(c for c in name if c.isalpha()))
+        read, docs = docs, materialise(stage(spark, docs, sf_dir), "".join(c for c in name if c.isalpha()))
+        release(read)
+        collect_shuffles(spark, SETTLE)
     return docs

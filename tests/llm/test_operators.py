@@ -936,3 +936,23 @@ def test_components_and_bloom(spark):
     keys = np.arange(-500, 3000)
     found = bloom.mask(keys)
     assert found[500:1500].all() and found[1500:].mean() < 0.2
+
+
+def test_accept_writes_no_texts(spark, monkeypatch):
+    """Beside the labelled sample only numbers are written, and they go; the rows kept are those that classify keeps."""
+    written, tables = quality.materialise, {}
+
+    def write(df, name="table", by=None):
+        tables[name] = written(df, name, by)
+        return tables[name]
+
+    monkeypatch.setattr(quality, "materialise", write)
+    rows = [(i, " ".join(f"{'good' if i % 3 else 'bad'}{(i * j) % 17}" for j in range(1, 40)), "x") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gumbel_key string")
+    known = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 90, 2)], "doc_id long, quality int, toxic int")
+    kept = quality.accept(docs, known)
+    assert tables["keys"].columns == ["log_weight", "gumbel_key"]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables["keys"]._written_at)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    expected = quality.classify(docs, known).filter("kept").select("doc_id")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in expected.collect())
