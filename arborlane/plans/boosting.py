@@ -27,7 +27,7 @@ from arborlane.functions.metrics import Metric, measured, partials, totalled
 from arborlane.functions.objectives import Objective, Square
 from arborlane.operators.binning import WIDE, Discretizer, matrix
 from arborlane.operators.cells import Dense, Sparse, cells_of, column_matrix
-from arborlane.operators.sampling import choose_columns, choose_units, keep_array
+from arborlane.operators.sampling import choose_columns, hashed, keep_array, kth_least, share, tallied
 from arborlane.operators.splits import Split, best_split, leaf_weight
 from arborlane.operators.trees import Tree
 from arborlane.params import Params
@@ -37,8 +37,6 @@ from arborlane.session import materialise, release, tasks_for
 DRIVER_BYTES = 8 << 20
 #: A binned table that the driver may hold.
 LOCAL_BYTES = 64 << 20
-#: Sampled units (rows, blocks or partitions) up to which their number is exact; beyond, each is kept by its hash.
-EXACT_UNITS = 1 << 16
 
 
 def mixed_seed(*parts: int) -> int:
@@ -80,7 +78,7 @@ class Round:
     seed: int = 0
     goss: list[float] | None = None  # least norm of the top rows
     depth: int = 0
-    units: list[np.ndarray] | None = None  # of each base model the units sampled, sorted; None: by their hash
+    units: list[int] | None = None  # of each base model the greatest hash of the sampled units, -1 where there is none
 
     def rows(self, batches: Iterable[pa.RecordBatch]) -> Iterator[Rows]:
         for b in batches:
@@ -109,7 +107,7 @@ class Round:
             return np.ones(len(key), bool)
         unit = unit_of(p, key, part)
         base = tree // self.objective.size
-        return np.isin(unit, self.units[base]) if self.units is not None else keep_array(p.sub_sample_rate_by_tree, unit_seed(self.seed, base), unit)
+        return hashed(unit_seed(self.seed, base), unit) <= np.uint64(self.units[base]) if self.units[base] >= 0 else np.zeros(len(key), bool)
 
     def goss_scale(self, g: np.ndarray, key: np.ndarray, tree: int) -> np.ndarray:
         """1 for rows of the top norms, the scale of the others' sample, 0 for the rest."""
@@ -193,6 +191,27 @@ def local_histograms(round_: Round, wanted: set[tuple[int, int]], picked: set[tu
     return run
 
 
+TALLY = "i int, v long, n long"
+
+
+def norm_key(norm: np.ndarray) -> np.ndarray:
+    """64 bits in the order of norms, which are not negative; nothing is above NaN."""
+    return (np.where(np.isnan(norm), np.nan, norm) + 0.0).view(np.uint64)
+
+
+def tally_batches(arrays: Iterable[np.ndarray], pick: Callable[[int, np.ndarray], np.ndarray], of: list[int], most: int = 64) -> Iterator[pa.RecordBatch]:
+    """What ``pick`` takes of one partition's arrays for each i, counted: (i, v, n)."""
+    parts: dict[int, list] = {i: [] for i in of}
+    for x in arrays:
+        for i, mine in parts.items():
+            mine.append(np.unique(pick(i, x), return_counts=True))
+            if len(mine) >= most:
+                mine[:] = [tallied(mine)]
+    for i, mine in parts.items():
+        v, n = tallied(mine)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(v.view(np.int64)), pa.array(n)], names=["i", "v", "n"])
+
+
 HIST = "tree int, node long, col int, kind int, hist binary"
 
 
@@ -503,37 +522,65 @@ class Booster:
         return sorted(rng.sample(range(n), k))
 
     def goss_level(self, round_: Round) -> list[float] | None:
+        """The norm at the place where the top rows begin, of all rows in order; exact."""
         if self.params.sub_sample_type != "goss":
             return None
 
-        def norms(rows: Iterable[Rows], part: int) -> Iterator[pa.RecordBatch]:
+        def norms(rows: Iterable[Rows], part: int) -> Iterator[np.ndarray]:
             for r in rows:
-                yield pa.RecordBatch.from_arrays([pa.array((r.g * r.g).sum(axis=1))], names=["norm"])
+                yield norm_key((r.g * r.g).sum(axis=1))
+
+        def scan(pick, of: list[int]) -> dict:
+            return self._tallies(self.each(round_, lambda rows, part: tally_batches(norms(rows, part), pick, of), TALLY), of)
 
-        found = self.each(round_, norms, "norm double")
-        if isinstance(found, list):
-            norm = np.sort(np.concatenate([b.column(0).to_numpy() for b in found]))
-            return [float(norm[max(0, int(np.ceil((1 - self.params.top_rate) * len(norm))) - 1)])]
-        row = found.agg(F.percentile_approx("norm", F.lit(1 - self.params.top_rate), 10_000)).first()
-        return [row[0] if row[0] is not None else 0.0]
+        rows = sum(len(r) for _, held in self.held["data"] for r in held) if self.held is not None else self.data.count()
+        if not rows:
+            return [0.0]
+        return [float(np.array([kth_least(scan, [max(1, share(rows, 1 - self.params.top_rate))])[0]], np.uint64).view(float)[0])]
 
-    def _units(self, seed: int, base_models: int) -> list[np.ndarray] | None:
-        """Exactly the sampled units of each base model where they are few; else None, and hashes decide."""
+    @staticmethod
+    def _tallies(found: DataFrame | list[pa.RecordBatch], of: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Tasks' tallies added up: {i: (values, counts)}; of each i 65,536 values at most."""
+        if isinstance(found, DataFrame):
+            found = found.groupBy("i", "v").agg(F.sum("n").alias("n")).toArrow().to_batches()
+        parts: dict[int, list] = {i: [] for i in of}
+        for b in found:
+            which, v, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("i", "v", "n"))
+            for i in of:
+                parts[i].append((v[which == i].view(np.uint64), n[which == i]))
+        return {i: tallied(x) for i, x in parts.items()}
+
+    def _units(self, seed: int, base_models: int) -> list[int] | None:
+        """Of each base model the greatest hash of the units sampled, which are exactly the share of all, however many there are."""
         p = self.params
         if p.sub_sample_rate_by_tree >= 1 or p.sub_sample_type == "goss":
             return None
         if not hasattr(self, "_all_units"):
             if self.held is not None:
-                every = np.unique(np.concatenate([unit_of(p, r.key, part) for part, rows in self.held["data"] for r in rows]))
+                self._all_units = np.unique(np.concatenate([np.zeros(0, np.int64), *(unit_of(p, r.key, part) for part, rows in self.held["data"] for r in rows)]))
             elif p.sub_sample_type == "partition":
-                every = np.arange(self.parts)
+                self._all_units = np.arange(self.parts)
             else:
-                unit = F.col("key") if p.sub_sample_type == "row" else F.floor(F.col("key") / p.block_size).cast("long")
-                every = np.array([r[0] for r in self.data.select(unit.alias("u")).distinct().limit(EXACT_UNITS + 1).collect()], np.int64)
-            self._all_units = np.sort(every) if len(every) <= EXACT_UNITS else None
-        if self._all_units is None:
-            return None
-        return [choose_units(self._all_units, p.sub_sample_rate_by_tree, unit_seed(seed, b)) for b in range(base_models)]
+                def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    for b in batches:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.unique(unit_of(p, b.column(0).to_numpy(zero_copy_only=False), 0)))], names=["u"])
+
+                self._all_units = materialise(self.data.select("key").mapInArrow(units, "u long").distinct(), "units")
+                self.written.append(self._all_units)
+            self._unit_count = self._all_units.count() if isinstance(self._all_units, DataFrame) else len(self._all_units)
+        every, seeds, k = self._all_units, [unit_seed(seed, b) for b in range(base_models)], share(self._unit_count, p.sub_sample_rate_by_tree)
+        if not k:
+            return [-1] * base_models
+        if isinstance(every, np.ndarray):
+            return [int(np.partition(hashed(s, every), k - 1)[k - 1]) for s in seeds]
+
+        def scan(pick, of: list[int]) -> dict:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                yield from tally_batches((b.column(0).to_numpy() for b in batches), lambda i, u: pick(i, hashed(seeds[i], u)), of)
+
+            return self._tallies(every.mapInArrow(run, TALLY), of)
+
+        return kth_least(scan, [k] * base_models)
 
     def _root_weights(self, round_: Round) -> None:
         """Leaf boosting: the root has a weight of its own."""

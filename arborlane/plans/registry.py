@@ -7,7 +7,7 @@ sampling hashes.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from arborlane.operators.binning import Discretizer, cast_bin, clean
 from arborlane.operators.sampling import choose_columns, choose_units, keep_array
 from arborlane.operators.splits import Split, candidates
 from arborlane.params import Params
-from arborlane.plans.boosting import Booster, Round, hist_batches, long_histograms, new_weights, prepare, summed
+from arborlane.plans.boosting import Booster, Round, Rows, hist_batches, long_histograms, new_weights, prepare, summed
 from arborlane.plans.callbacks import Checkpoint, Custom, EarlyStop, Recorder
 from arborlane.plans.fit import _means, fit
 from arborlane.plans.oracles import FitSql, hashed, logistic, mix64, seed_of, softmax, width_bins
@@ -517,9 +517,13 @@ def sample_hashed(spark, sf_dir):
 
 def _sampled_keys(spark, sf_dir, **given) -> DataFrame:
     """Keys of the rows that the first base model reads."""
-    booster, round_ = _booster(_table(spark, sf_dir, "part"), [F.col("p_size")], F.col("p_retailprice"), 1000.0, Params(**given), F.col("p_partkey"), True)
-    keys = [int(k) for part, held in booster.held["data"] for r in held for k in r.key[round_.sampled(r.key, part, 0)]]
-    return spark.createDataFrame([(k,) for k in keys], "p_partkey long")
+    booster, round_ = _booster(_table(spark, sf_dir, "part"), [F.col("p_size")], F.col("p_retailprice"), 1000.0, Params(**given), F.col("p_partkey"))
+
+    def keys(rows: Iterable[Rows], part: int) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(r.key[round_.sampled(r.key, part, 0)])], names=["p_partkey"])
+
+    return booster.each(round_, keys, "p_partkey long")
 
 
 @query(f"SELECT p_partkey FROM part QUALIFY ROW_NUMBER() OVER (ORDER BY {hashed('p_partkey', _unit_salt(0, 0))}) <= CEIL(0.3 * COUNT(*) OVER ())")
