@@ -496,9 +496,14 @@ _GOSS_SALT = mix64(seed_of(seed_of(-1, 0), 2, 0))
 l AS (SELECT MAX(norm) AS level FROM r WHERE i = CEIL(0.8 * c))
 SELECT CASE WHEN norm >= level THEN 1.0 WHEN {hashed('event_id', _GOSS_SALT)} % {1 << 30} < {math.ceil(0.125 * (1 << 30))} THEN 8.0 ELSE 0.0 END::DOUBLE AS scale, COUNT(*) AS n FROM n, l GROUP BY 1""")
 def goss_weights(spark, sf_dir):
-    booster, round_ = _booster(_table(spark, sf_dir, "events"), [F.col("value")], F.round(F.col("value") * 100), 5.0, Params(sub_sample_type="goss"), F.col("event_id"), True)
-    rows = [float(x) for _, held in booster.held["data"] for r in held for x in round_.goss_scale(r.g, r.key, 0)]
-    return spark.createDataFrame([(x,) for x in rows], "scale double").groupBy(F.round("scale", 9).alias("scale")).agg(F.count("*").alias("n"))
+    booster, round_ = _booster(_table(spark, sf_dir, "events"), [F.col("value")], F.round(F.col("value") * 100), 5.0, Params(sub_sample_type="goss"), F.col("event_id"))
+
+    def scales(rows: Iterable[Rows], part: int) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            scale, n = np.unique(round_.goss_scale(r.g, r.key, 0), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(scale), pa.array(n.astype(np.int64))], names=["scale", "n"])
+
+    return booster.each(round_, scales, "scale double, n long").groupBy(F.round("scale", 9).alias("scale")).agg(F.sum("n").alias("n"))
 
 
 def _unit_salt(iteration: int, base: int) -> int:

@@ -37,6 +37,12 @@ def test_shares_of_many_units_are_exact(spark, many, name):
     _same(spark, many, name)
 
 
+def test_gradient_sampling_of_dealt_rows(spark, many, monkeypatch):
+    """goss_weights on a table that the driver may not hold."""
+    monkeypatch.setattr("arborlane.plans.boosting.LOCAL_BYTES", 0)
+    _same(spark, many, "goss_weights")
+
+
 def test_selection_is_exact(monkeypatch):
     monkeypatch.setattr(sampling, "FEW_KEYS", 5)
     rng = np.random.default_rng(3)
