@@ -150,6 +150,26 @@ def test_many_blocks_send_little():
         assert sum(len(x[0].as_py()) for r in sent for x in r.columns[1:]) <= most * entries
 
 
+def test_families_in_passes(docs, rows, monkeypatch):
+    """Where families are sent more than their share, several passes decide them, and no rows are sent whole."""
+    for name, value in (("FAMILY", 150), ("PASS_SHARE", 0.15), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    seen, written = [], ngram_join.materialise
+    monkeypatch.setattr(ngram_join, "materialise", lambda df, name="table", by=None: (written(df, name, by), seen.append(name))[0])
+    got = ngram_join.components_of(docs, short=2, common=3)
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == _jaccard_components(rows)
+    assert seen.count("links") == seen.count("pass") > 1
+
+
+def test_entries_of_four_bytes():
+    """Where each entry has a block to itself it costs 16 bytes with its class; where a class has one block, little over four."""
+    rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(2000))])], names=["id", "text"])
+    none, entries = np.zeros(0, np.int64), ngram_join.head_length(1996)
+    for blocks, most in ((1_000_000, 16), (1, 4.1)):
+        sent = ngram_join._heads(none, none, blocks, 0, ngram_join._send_classes)(iter([rows]))
+        assert sum(len(x[0].as_py()) for r in sent for x in r.columns[1:]) <= most * entries
+
+
 def test_classes_that_share_a_node(spark):
     """Classes of one size with the same 32 bits are decided together; a node that has a family keeps it."""
     low = 7
