@@ -446,7 +446,7 @@ def split_none(spark, sf_dir):
     df = _table(spark, sf_dir, "part")
     found = 0
     for feature, more in ((F.lit(1.0), {}), (F.col("p_size"), {"min_node_hess": 1e9}), (F.col("p_size"), {"min_gain": 1e18}), (F.lit(None).cast("double"), {})):
-        booster, round_ = _booster(df, [feature], F.col("p_retailprice"), 1000.0, Params(max_bins=16, **more), F.col("p_partkey"), True)
+        booster, round_ = _booster(df, [feature], F.col("p_retailprice"), 1000.0, Params(max_bins=16, **more), F.col("p_partkey"))
         found += sum(map(len, booster.level(round_, [10], set(), None)[0].values()))
     return spark.createDataFrame([(found,)], "found int")
 

@@ -55,3 +55,12 @@ def test_selection_is_exact(monkeypatch):
 
 def test_share_is_that_of_the_rate_as_written():
     assert sampling.share(1_000_000_000, 0.3) == 300_000_000 and sampling.share(7, 0.1) == 1 and sampling.share(0, 0.5) == 0
+
+
+def test_no_split_without_holding_rows(spark, many, monkeypatch):
+    """split_none: the rows of its four tables stay in tasks."""
+    from arborlane.plans.boosting import Booster
+    from arborlane.plans.registry import QUERIES
+
+    monkeypatch.setattr(Booster, "_hold", lambda self: pytest.fail("the driver holds the rows"))
+    assert [tuple(r) for r in QUERIES["split_none"](spark, many).collect()] == [(0,)]
